@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftloom.llm import bpe, minhash
+from driftloom.llm import bpe, minhash, quality, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,9 +29,17 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(docs, shingle_words=2, percent=80)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict on every document."""
+    return quality.assess(_table(spark, sf_dir, "documents")).drop("character_distance", "word_distance")
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op5_quality_rules": op5_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_quality_rules": sql.op5(),
+}
