@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftloom.llm import bpe, minhash, quality, sql
+from driftloom.llm import bpe, minhash, mixing, quality, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,10 +34,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(_table(spark, sf_dir, "documents")).drop("character_distance", "word_distance")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document."""
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("source", "copies")
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op8_mixing": op8_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
