@@ -8,10 +8,11 @@ probability equal to the Jaccard similarity, with concentration as for independe
 
 A pair of similarity s shares a band with probability 1 - (1 - s^rows)^bands: at 0.8 with the
 default 50 bands of 6 rows it is missed once in four million. Nothing else loses links:
-documents with equal sets form a class, a class is represented by its smallest id, and within a
-bucket pivots are compared with all members of other components; pivots grow eightfold a round
-until every member is one, so that only pairs already joined are left out. Links are confirmed
-on the full sets of 64-bit shingle hashes.
+documents with equal sets form a class, and a class is represented by its smallest id. The members
+of a bucket are compared with its smallest, and where that leaves a bucket in more components than
+one, those components' documents go through an exact prefix filter on rare shingles. No bucket is
+capped and no pairs of a group are listed. Links are confirmed on the full sets of 64-bit shingle
+hashes.
 """
 
 from __future__ import annotations
@@ -105,6 +106,45 @@ def _set_batches(k: int):
     return work
 
 
+def _torn_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b) that may be linked though the links to their buckets' leads left them in different components.
+
+    Only components that meet in a bucket matter. Their documents go through an exact prefix
+    filter: with shingles from rare to common, two sets that are similar enough share one of the
+    first n - ceil(n * percent / 100) + 1 of each. What sets a document apart from its group are
+    rare shingles, so a document that is linked with nothing offers almost nothing to match.
+    """
+    named = members.join(labels, members["id"] == labels["node"], "left")
+    meets = named.select("bucket", F.coalesce("component", "id").alias("c")).distinct()
+    torn = meets.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
+    torn = meets.join(torn, "bucket", "left_semi").select("c").distinct()
+    ids = sets.select("id").distinct()
+    ids = ids.join(labels, ids["id"] == labels["node"], "left").select("id", F.coalesce("component", "id").alias("c"))
+    ids = scratch.write(ids.join(torn, "c", "left_semi").select("id", "c"))
+    items = scratch.write(
+        sets.join(ids, "id").select("id", "c", F.size("items").alias("n"), F.explode("items").alias("item"))
+    )
+    often = items.groupBy("item").agg(F.count("*").alias("df"))
+    in_order = items.join(often, "item").groupBy("id").agg(
+        F.first("c").alias("c"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "item"))).alias("o")
+    )
+    prefix = F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1)
+    keys = in_order.select("id", "c", "n", F.explode(F.filter(prefix, lambda x: x["df"] > 1)).alias("x"))
+    keys = scratch.write(keys.select("id", "c", "n", F.col("x.item").alias("item")))
+    scratch.drop(items)
+    at = keys.select("item", "c").distinct()
+    apart = at.join(at.select("item", F.col("c").alias("c2")), "item").where("c < c2")
+    other = keys.select("item", F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("n").alias("n2"))
+    fits = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
+    return (
+        keys.join(apart, ["item", "c"])
+        .join(other, ["item", "c2"])
+        .where(fits)
+        .select(F.col("id").alias("a"), F.col("id2").alias("b"))
+        .distinct()
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -158,36 +198,9 @@ def near_duplicates(
     first = members.where("id != lead").select(F.col("lead"), "id", "n").distinct().join(ns, "lead").where(fits)
     links = scratch.write(confirmed(first.select(F.col("lead").alias("a"), F.col("id").alias("b"))))
     labels = scratch.write(connected_components(links, "a", "b", scratch))
-    rest, pivots = members, 1
-    while True:
-        # buckets of which every pair has been compared are done
-        labelled = rest.where(F.col("g") > pivots).join(labels, rest["id"] == labels["node"], "left").select(
-            "bucket", "g", "id", "n", F.coalesce("component", "id").alias("c")
-        )
-        torn = labelled.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y")
-        rest_now = scratch.write(labelled.join(torn.select("bucket"), "bucket", "left_semi"))
-        largest = rest_now.agg(F.max("g")).first()[0]
-        if largest is None:
-            break
-        pivots *= 8
-        share = F.pmod(F.xxhash64("id", "bucket"), F.lit(1 << 30)).cast("double") * F.col("g") < float(pivots << 30)
-        chosen = rest_now.where(share | (F.col("g") <= pivots)).select(
-            "bucket", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("c").alias("c2")
-        )
-        # between two pivots only one direction is needed
-        both_pivots = (F.col("g") <= pivots) & (F.col("id2") > F.col("id"))
-        pairs = (
-            rest_now.join(chosen, "bucket")
-            .where((F.col("c") != F.col("c2")) & fits & ~both_pivots)
-            .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
-            .distinct()
-        )
-        more = scratch.write(confirmed(pairs))
-        rest = rest_now.select("bucket", "g", "id", "n")
-        if more.isEmpty():
-            continue
-        links = links.unionByName(more)
-        labels = scratch.write(connected_components(links, "a", "b", scratch))
+    more = scratch.write(confirmed(_torn_pairs(members, labels, sets, percent, scratch)))
+    if not more.isEmpty():
+        labels = scratch.write(connected_components(links.unionByName(more), "a", "b", scratch))
     of_class = classes.join(labels, classes["rep"] == labels["node"], "left").select(
         "class", F.coalesce("component", "rep").alias("component")
     )
