@@ -32,9 +32,10 @@ from pyspark.sql import functions as F
 from driftloom.llm.shared import slices
 
 #: Bytes that are merged directly, characters and tokens at which the trees over texts end.
-LEAF_BYTES, LEAF_CHARS, LEAF_TOKENS = 4, 1 << 16, 1 << 16
+LEAF_BYTES, LEAF_CHARS, LEAF_TOKENS = 12, 1 << 16, 1 << 16
 #: Entries of each cache of a worker; it empties when full, so memory stays bounded.
 CACHED = 250_000
+_NONE = 1 << 62
 
 
 def read_ranks(path: str) -> bytes:
@@ -73,7 +74,9 @@ class Codec:
     def _piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
         whole = self.ranks.get(data)
-        return self.merged[data] if whole is None else (whole,)
+        if whole is not None:
+            return (whole,)
+        return self.merge(data) if len(data) <= LEAF_BYTES else self._halves(data)
 
     def _halves(self, data: bytes) -> tuple[int, ...]:
         if len(data) <= LEAF_BYTES:
@@ -83,15 +86,18 @@ class Codec:
 
     def merge(self, data: bytes) -> tuple[int, ...]:
         """Lowest rank first, leftmost among equals."""
-        parts, ranks = [data[i : i + 1] for i in range(len(data))], self.ranks
-        while len(parts) > 1:
-            found = [ranks.get(a + b, 1 << 62) for a, b in zip(parts, parts[1:], strict=False)]
-            low = min(found)
-            if low == 1 << 62:
-                break
+        rank = self.ranks.get
+        parts = [data[i : i + 1] for i in range(len(data))]
+        found = [rank(data[i : i + 2], _NONE) for i in range(len(data) - 1)]
+        while found and (low := min(found)) != _NONE:
             at = found.index(low)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return tuple(ranks[p] for p in parts)
+            parts[at] += parts.pop(at + 1)
+            del found[at]
+            if at < len(found):
+                found[at] = rank(parts[at] + parts[at + 1], _NONE)
+            if at:
+                found[at - 1] = rank(parts[at - 1] + parts[at], _NONE)
+        return tuple(map(self.ranks.__getitem__, parts))
 
     def window(self, tokens: Sequence[int]) -> tuple[int, ...]:
         """The valid encoding of a window's bytes."""
@@ -107,17 +113,17 @@ class Codec:
             i, j = min(i, len(a)), min(j, len(b))
             tokens = a[-i:] + b[:j]
             if i == len(a) and j == len(b):  # nothing is outside
-                data = b"".join(map(self.bytes_of.__getitem__, tokens))
-                return self._seam(a, b) if len(data) > 64 else self.merge(data)
+                return self._seam(tokens)
             new = self.window(tokens)
             left, right = i == len(a) or new[0] == a[-i], j == len(b) or new[-1] == b[j - 1]
             if left and right:
                 return a[:-i] + new + b[j:]
             i, j = i if left else 2 * i, j if right else 2 * j
 
-    def _seam(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:
-        """A window that has grown over everything: merged directly, by a queue over its bytes."""
-        return merge_long(b"".join(map(self.bytes_of.__getitem__, a + b)), self.ranks)
+    def _seam(self, tokens: tuple[int, ...]) -> tuple[int, ...]:
+        """A window that has grown over everything, merged directly."""
+        data = b"".join(map(self.bytes_of.__getitem__, tokens))
+        return merge_long(data, self.ranks) if len(data) > 64 else self.merge(data)
 
     def encode(self, text: str) -> array.array:
         """Ids of a whole text."""
