@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from driftloom.llm import bpe, minhash, mixing, quality, sql
+from driftloom.llm import bpe, line_dedup, minhash, mixing, quality, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +30,12 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(docs, shingle_words=2, percent=80)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without lines like an earlier one."""
+    left = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict on every document."""
     return quality.assess(_table(spark, sf_dir, "documents")).drop("character_distance", "word_distance")
@@ -42,10 +49,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op8_mixing": op8_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": sql.op4(),
     "op5_quality_rules": sql.op5(),
 }

@@ -48,3 +48,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND NOT (n_words >= {quality.LEAST_WORDS["characters"]} AND character_distance > {quality.MOST_DISTANCE["characters"]})
     AND NOT (n_words >= {quality.LEAST_WORDS["words"]} AND word_distance > {quality.MOST_DISTANCE["words"]}) AS kept
 FROM g"""
+
+
+def op4(percent: int = 80, least: int = 5) -> str:
+    """Only classes that share one of their rarest words can be similar; the rest is brute force."""
+    return f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+cell AS (SELECT doc_id, i - 1 AS no, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d)),
+word AS (SELECT doc_id, no, line, regexp_extract_all(lower(line), '[^\\x20\\x09-\\x0D]+') AS w FROM cell),
+fit AS (SELECT doc_id, no, list_sort(list_distinct(w)) AS s FROM word WHERE len(w) >= {least}),
+cls AS (SELECT s, min((doc_id, no)) AS place, row_number() OVER () AS c FROM fit GROUP BY s),
+tok AS (SELECT c, unnest(s) AS t FROM cls),
+ord AS (SELECT c, t, row_number() OVER (PARTITION BY c ORDER BY df, t) AS r FROM (SELECT c, t, count(*) OVER (PARTITION BY t) AS df FROM tok)),
+pre AS (SELECT ord.c, t FROM ord JOIN cls USING (c) WHERE r <= len(s) - ceil(len(s) * {percent} / 100.0 - 1e-9) + 1),
+pair AS (SELECT DISTINCT a.c AS a, b.c AS b FROM pre a JOIN pre b USING (t) WHERE a.c <> b.c),
+hit AS (SELECT DISTINCT x.c FROM pair JOIN cls x ON x.c = pair.a JOIN cls y ON y.c = pair.b
+  WHERE y.place < x.place AND 100 * len(list_intersect(x.s, y.s)) >= {percent} * (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)))),
+gone AS (SELECT doc_id, no FROM fit JOIN cls USING (s) WHERE (doc_id, no) <> place OR c IN (SELECT c FROM hit))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(g.no)::BIGINT AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY cell.no) FILTER (WHERE g.no IS NULL), '')) AS kept_sha256
+FROM cell LEFT JOIN gone g USING (doc_id, no) GROUP BY doc_id"""
