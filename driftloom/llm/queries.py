@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import bpe, line_dedup, minhash, mixing, quality, sql
+from driftloom.llm import bpe, line_dedup, minhash, mixing, quality, sql, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,15 +46,40 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("source", "copies")
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against a dated list.
+
+    The tables have neither fetch times nor lists. The fetch time follows from the page's id, and
+    the list's log from the hosts: most hosts are added, removed and added again on days that
+    follow from the name's length; their parent zones are listed for paths below /en/.
+    """
+    at = F.timestamp_add("HOUR", (F.col("page_id") * 7919 % 8760).cast("int"), F.lit("2024-01-01").cast("timestamp"))
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", at.alias("fetched_at"))
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("host")).where("host is not null").distinct()
+
+    def events(shifts: str) -> DataFrame:
+        return hosts.select("host", F.inline(F.expr(f"array({shifts})")).alias("action", "shift"))
+
+    day = lambda start, n: F.timestamp_add("DAY", n.cast("int"), F.lit(start).cast("timestamp"))
+    by_host = events("struct('add', 0), struct('remove', 70), struct('add', 160)").where("length(host) % 3 <> 0")
+    by_host = by_host.select(F.lit("hosts").alias("list"), "host", F.lit("/").alias("path"), "action", day("2024-01-01", F.length("host") * 17 % 150 + F.col("shift")).alias("at"))
+    zone = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
+    by_zone = events("struct('add', 0), struct('add', 20), struct('remove', 90)")
+    by_zone = by_zone.select(F.lit("zones").alias("list"), zone.alias("host"), F.lit("/en/").alias("path"), "action", day("2024-03-01", F.col("shift")).alias("at")).distinct()
+    return url_filter.evaluate(pages, by_host.unionByName(by_zone)).withColumn("lists", F.array_join("lists", ","))
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op8_mixing": op8_mixing,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": sql.op4(),
     "op5_quality_rules": sql.op5(),
+    "op10_url_filter": sql.op10(),
 }

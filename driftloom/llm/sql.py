@@ -68,3 +68,26 @@ gone AS (SELECT doc_id, no FROM fit JOIN cls USING (s) WHERE (doc_id, no) <> pla
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(g.no)::BIGINT AS n_removed,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY cell.no) FILTER (WHERE g.no IS NULL), '')) AS kept_sha256
 FROM cell LEFT JOIN gone g USING (doc_id, no) GROUP BY doc_id"""
+
+
+def op10() -> str:
+    return r"""
+WITH cap AS (SELECT page_id, fetched_at, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS authority,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS p
+  FROM (SELECT page_id, url, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (page_id * 7919 % 8760) AS fetched_at FROM pages)),
+seen AS (SELECT page_id, fetched_at, CASE WHEN p = '' THEN '/' ELSE p END AS p,
+    nullif(regexp_replace(regexp_replace(regexp_replace(lower(authority), '^.*@', ''), ':[0-9]*$', ''), '\.$', ''), '') AS host FROM cap),
+hosts AS (SELECT DISTINCT host FROM seen WHERE host IS NOT NULL),
+log AS (
+  SELECT 'hosts' AS list, host, '/' AS path, kind AS action, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (length(host) * 17 % 150 + shift) AS ts
+    FROM hosts, (VALUES ('add', 0), ('remove', 70), ('add', 160)) v(kind, shift) WHERE length(host) % 3 <> 0
+  UNION ALL
+  SELECT DISTINCT 'zones', regexp_extract(host, '([^.]+\.[^.]+)$', 1), '/en/', kind, TIMESTAMP '2024-03-01' + INTERVAL 1 DAY * shift AS ts
+    FROM hosts, (VALUES ('add', 0), ('add', 20), ('remove', 90)) v(kind, shift)),
+span AS (SELECT list, host, path, ts AS since, until FROM
+  (SELECT *, lead(ts) OVER (PARTITION BY list, host, path ORDER BY ts, action) AS until FROM (SELECT DISTINCT * FROM log))
+  WHERE action = 'add' AND (until IS NULL OR until > ts)),
+hit AS (SELECT DISTINCT page_id, fetched_at, list FROM seen s JOIN span ON (s.host = span.host OR ends_with(s.host, '.' || span.host))
+  AND since <= fetched_at AND (until IS NULL OR fetched_at < until) AND starts_with(p, path))
+SELECT s.page_id, s.host, s.fetched_at, coalesce(string_agg(list, ',' ORDER BY list), '') AS lists, count(list) > 0 AS blocked
+FROM seen s LEFT JOIN hit USING (page_id) GROUP BY ALL"""
