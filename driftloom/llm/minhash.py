@@ -111,8 +111,10 @@ def _torn_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent:
 
     Only components that meet in a bucket matter. Their documents go through an exact prefix
     filter: with shingles from rare to common, two sets that are similar enough share one of the
-    first n - ceil(n * percent / 100) + 1 of each. What sets a document apart from its group are
-    rare shingles, so a document that is linked with nothing offers almost nothing to match.
+    first n - ceil(n * percent / 100) + 1 of each, and the place of the first one they share bounds
+    their overlap. What sets a document apart from its group are rare shingles, which come first,
+    so a document that is linked with nothing has next to no candidates. A shingle's largest
+    component is compared with the others only, never with itself.
     """
     named = members.join(labels, members["id"] == labels["node"], "left")
     meets = named.select("bucket", F.coalesce("component", "id").alias("c")).distinct()
@@ -129,20 +131,28 @@ def _torn_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent:
         F.first("c").alias("c"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "item"))).alias("o")
     )
     prefix = F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1)
-    keys = in_order.select("id", "c", "n", F.explode(F.filter(prefix, lambda x: x["df"] > 1)).alias("x"))
-    keys = scratch.write(keys.select("id", "c", "n", F.col("x.item").alias("item")))
+    spots = F.transform(prefix, lambda x, i: F.struct(x["item"].alias("item"), x["df"].alias("df"), i.alias("p")))
+    keys = in_order.select("id", "c", "n", F.inline(F.filter(spots, lambda x: x["df"] > 1)))
+    keys = scratch.write(keys.drop("df"))
     scratch.drop(items)
-    at = keys.select("item", "c").distinct()
-    apart = at.join(at.select("item", F.col("c").alias("c2")), "item").where("c < c2")
-    other = keys.select("item", F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("n").alias("n2"))
-    fits = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
-    return (
-        keys.join(apart, ["item", "c"])
-        .join(other, ["item", "c2"])
-        .where(fits)
-        .select(F.col("id").alias("a"), F.col("id2").alias("b"))
-        .distinct()
+    # the shorter of a pair shares one of its first n - ceil(2 percent n / (100 + percent)) + 1
+    index = keys.where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100.0 + percent) - 1e-9))
+    index = index.select("item", F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("p").alias("p2"))
+    often = keys.groupBy("item", "c").agg(F.count("*").alias("k"))
+    often = often.groupBy("item").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count("*").alias("many")).where("many > 1")
+    often = scratch.write(often.select("item", "main"))
+    need = F.ceil((F.col("n") + F.col("n2")) * percent / (100.0 + percent) - 1e-9)
+    fits = (
+        (F.col("c") != F.col("c2"))
+        & (F.col("n") >= F.col("n2"))
+        & (100 * F.col("n2") >= percent * F.col("n"))
+        & (F.least(F.col("n") - F.col("p"), F.col("n2") - F.col("p2")) >= need)
     )
+    probe = keys.join(often, "item")
+    aside = probe.where("c != main").join(index, "item").where(fits)
+    inside = probe.where("c = main").join(index.join(often.withColumnRenamed("main", "main2"), "item").where("c2 != main2"), "item").where(fits)
+    pair = (F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+    return aside.select(*pair).unionByName(inside.select(*pair)).distinct()
 
 
 def near_duplicates(
