@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import bpe, line_dedup, minhash, mixing, quality, sql, url_filter
+from driftloom.llm import bpe, line_dedup, lm_score, minhash, mixing, quality, sql, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("source", "copies")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihood of every document by the recurrent model, and by counts."""
+    return lm_score.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page against a dated list.
 
@@ -75,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op8_mixing": op8_mixing,
+    "op9_lm_score": op9_lm_score,
     "op10_url_filter": op10_url_filter,
 }
 
