@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import bpe, line_dedup, lm_score, minhash, mixing, quality, sql, url_filter
+from driftloom.llm import ann, bpe, line_dedup, lm_score, minhash, mixing, quality, sql, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(_table(spark, sf_dir, "documents")).drop("character_distance", "word_distance")
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector."""
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of each document."""
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("source", "copies")
@@ -79,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_mixing": op8_mixing,
     "op9_lm_score": op9_lm_score,
     "op10_url_filter": op10_url_filter,
