@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import ann, bpe, line_dedup, lm_score, minhash, mixing, quality, sql, url_filter
+from driftloom.llm import ann, bpe, chat, line_dedup, lm_score, minhash, mixing, quality, sql, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,27 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, path, pattern))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a transcript whose roles are found again, and its canonical lines.
+
+    The table names the roles. A transcript shows each turn by a marker, of a style that follows
+    from the turn's hash, but for one turn in six, which shows none; later lines never do.
+    """
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    style = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(6))
+    shown = F.initcap("role")
+    marker = F.when(style == 0, F.lit("")).when(style == 1, F.concat(F.lit("<|"), "role", F.lit("|> "))).when(style == 2, F.concat(F.lit("### "), shown, F.lit(": ")))
+    marker = F.coalesce(marker.when(style == 3, F.concat(F.lit("["), shown, F.lit("] "))).otherwise(F.concat(shown, F.lit(": "))), F.lit(""))
+    cells = turns.select("conv_id", "turn", "role", F.posexplode(F.split(F.concat(marker, "text"), "\n")).alias("part", "line"))
+    # a line's place: turns and lines below two to the 31st each
+    cells = cells.withColumn("place", F.shiftleft(F.col("turn"), 31) + F.col("part"))
+    out = chat.format_lines(cells.select("conv_id", "place", "line"), "conv_id", "place", "line")
+    out = out.select("conv_id", F.shiftright("place", 31).alias("turn"), F.col("place").bitwiseAND(F.lit((1 << 31) - 1)).alias("part"), F.col("role").alias("found_role"), "opens", "rendered")
+    return cells.select("conv_id", "turn", "part", "role").join(out, ["conv_id", "turn", "part"]).select(
+        "conv_id", "turn", "part", "role", "found_role", (F.col("part") == 0).alias("opens_turn"), F.col("opens").alias("opens_found_turn"), "rendered"
+    )
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates among all documents on 2-word shingles at 0.8."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -81,6 +102,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_chat_format": op2_chat_format,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
