@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import ann, bpe, chat, line_dedup, lm_score, minhash, mixing, quality, sql, url_filter
+from driftloom.llm import ann, bpe, chat, line_dedup, lm_score, minhash, mixing, quality, repeats, sql, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +62,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(_table(spark, sf_dir, "documents")).drop("character_distance", "word_distance")
 
 
+def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to 200-byte strings that start elsewhere too."""
+    out = repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found of every twentieth vector."""
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
@@ -106,6 +112,7 @@ QUERIES: dict[str, Query] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op6_suffix_repeats": op6_suffix_repeats,
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_mixing": op8_mixing,
     "op9_lm_score": op9_lm_score,
