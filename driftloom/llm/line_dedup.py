@@ -117,25 +117,42 @@ def matched_lines(docs: DataFrame, doc_id: str, text: str, percent: int, least_w
     return places.join(verdict, "class").select("id", "no", (F.col("gone") | (F.struct("id", "no") != F.col("at"))).alias("gone"))
 
 
+def _marked(docs: DataFrame, row: list, doc_id: str, text: str, percent: int, least_words: int) -> DataFrame:
+    """``row`` columns with lines (of the text) and stays (those that are kept)."""
+    scratch = Scratch(docs.sparkSession, "line-dedup")
+    known = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull())
+    lost = matched_lines(known, doc_id, text, percent, least_words, scratch).where("gone")
+    lost = scratch.write(lost.groupBy(F.col("id").alias("lost_id")).agg(F.collect_set("no").alias("gone")))
+    slim = docs.select(F.col(doc_id).alias("lost_id"), F.split(F.col(text).cast("string"), "\n").alias("lines"), *row)
+    both = slim.join(lost, "lost_id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    return both.withColumn("stays", F.filter("lines", lambda x, i: ~F.array_contains("gone", i)))
+
+
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
     """One row per input row: id, text (what is kept, lines joined again), n_lines, n_removed.
 
-    A line of at least ``least_words`` words goes if an earlier line, by id and then line
-    number, has a Jaccard similarity of at least ``percent`` / 100 (equal lines included); shorter
-    lines stay. Null text stays null with no lines; empty text is one empty line. Rows that share
-    an id are one document: they lose the same line numbers. Lines of rows with a null id take no
-    part and stay. An empty table gives an empty result.
+    A line of at least ``least_words`` words goes if an earlier line, by id and then line number,
+    has a Jaccard similarity of at least ``percent`` / 100 (equal lines included); shorter lines
+    stay. Null text stays null with no lines; empty text is one empty line. Rows that share an id
+    are one document: they lose the same line numbers. Lines of rows with a null id take no part
+    and stay. An empty table gives an empty result.
     """
-    scratch = Scratch(docs.sparkSession, "line-dedup")
-    slim = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    known = slim.where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    lost = matched_lines(known, "id", "text", percent, least_words, scratch).where("gone")
-    lost = scratch.write(lost.groupBy("id").agg(F.collect_set("no").alias("gone")))
-    both = slim.join(lost, "id", "left").select("id", F.split("text", "\n").alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
-    stays = F.filter("lines", lambda x, i: ~F.array_contains("gone", i))
-    return both.withColumn("stays", stays).select(
-        F.col("id").alias(doc_id),
+    both = _marked(docs, [], doc_id, text, percent, least_words)
+    return both.select(
+        F.col("lost_id").alias(doc_id),
         F.when(F.col("lines").isNotNull(), F.array_join("stays", "\n")).alias(text),
         F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("lines") - F.size("stays"), F.lit(0)).cast("long").alias("n_removed"),
     )
+
+
+def without_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The rows of ``docs`` with their columns, the text as :func:`dedup_lines` leaves it.
+
+    Rows that lost lines and have no word left are dropped; rows that lost none stay as they are.
+    """
+    whole = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("whole")
+    both = _marked(docs, [whole], doc_id, text, percent, least_words)
+    left = F.when(F.col("lines").isNotNull(), F.array_join("stays", "\n"))
+    some = F.col("lines").isNull() | (F.size("stays") == F.size("lines")) | (F.btrim(left, F.lit(_BLANK)) != "")
+    return both.where(some).select(*(left.alias(c) if c == text else F.col("whole")[c].alias(c) for c in docs.columns))

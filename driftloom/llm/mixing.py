@@ -166,3 +166,14 @@ def mix(
         copies_.alias("copies"),
         (copies_ * F.col("size")).alias("taken"),
     )
+
+
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **more) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as :func:`mix` takes it.
+
+    Rows that share an id are taken equally often, as often as the one taken most.
+    """
+    often = mix(docs, doc_id, text, source, **more).groupBy(F.col(doc_id).alias("mix_id")).agg(F.max("copies").alias("mix_copies"))
+    joined = docs.join(often, docs[doc_id].eqNullSafe(often["mix_id"])).where("mix_copies > 0")
+    each = joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
+    return each.select(*(docs[f"`{c}`"] for c in docs.columns))

@@ -35,6 +35,11 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
+def _word_list() -> Column:
+    bare = F.btrim("q_text", F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE_CLASS + "+"))
+
+
 def base_counts(df: DataFrame, text: str) -> DataFrame:
     """``df`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words under ``q_`` names.
 
@@ -42,8 +47,7 @@ def base_counts(df: DataFrame, text: str) -> DataFrame:
     """
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     df = df.withColumn("q_text", whole)
-    bare = F.btrim("q_text", F.lit(" \t\n\x0b\x0c\r"))
-    df = df.withColumn("q_list", F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE_CLASS + "+")))
+    df = df.withColumn("q_list", _word_list())
     df = df.withColumn("q_words", F.size("q_list").cast("long"))
     df = df.withColumn("q_hash", F.transform("q_list", lambda w: F.xxhash64(w)))
     run = F.transform("q_hash", lambda h, i: F.xxhash64(h, *[F.get("q_hash", i + j) for j in range(1, 5)]))
@@ -93,6 +97,26 @@ def js_distance(p: str, q: str) -> Column:
     return F.sqrt(F.greatest(F.coalesce(total(terms), F.lit(0.0)), F.lit(0.0)))
 
 
+def _languages(counted: DataFrame) -> DataFrame:
+    """The summed histograms of each language."""
+    bins = {"q_c": len(CLASSES) + 3, "q_w": max(map(len, COMMON_WORDS.values())) + 1}
+    sums = [F.sum(F.get(F.col(c), F.lit(i))).alias(f"{c}_{i}") for c, n in bins.items() for i in range(n)]
+    language = counted.groupBy("q_lang").agg(*sums)
+    given = [
+        F.filter(F.array(*[f"{c}_{i}" for i in range(n)]), lambda x: x.isNotNull()).alias(f"{c}_all") for c, n in bins.items()
+    ]
+    return language.select("q_lang", *given)
+
+
+def _base_failed() -> Column:
+    return (F.col("q_words") < 10) | (100 * F.col("q_repeat_words") > 20 * F.col("q_words"))
+
+
+def _kept(least_words: dict[str, int], most_distance: dict[str, float]) -> Column:
+    far = lambda kind, c: (F.col("q_words") >= least_words[kind]) & (js_distance(c, f"{c}_all") > most_distance[kind])
+    return ~_base_failed() & ~far("characters", "q_c") & ~far("words", "q_w")
+
+
 def assess(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -112,22 +136,40 @@ def assess(
     counted = _histograms(base_counts(slim, "q_raw"), "q_raw_lang")
     counts = ["q_words", "q_word_chars", "q_symbols", "q_dup_lines", "q_repeat_words"]
     table = scratch.write(counted.select("q_id", "q_lang", *counts, "q_c", "q_w"))
-    bins = {"q_c": len(CLASSES) + 3, "q_w": max(map(len, COMMON_WORDS.values())) + 1}
-    sums = [F.sum(F.get(F.col(c), F.lit(i))).alias(f"{c}_{i}") for c, n in bins.items() for i in range(n)]
-    language = table.groupBy("q_lang").agg(*sums)
-    given = [
-        F.filter(F.array(*[f"{c}_{i}" for i in range(n)]), lambda x: x.isNotNull()).alias(f"{c}_all") for c, n in bins.items()
-    ]
     # at most as many rows as there are word lists, and one
-    both = table.join(F.broadcast(language.select("q_lang", *given)), "q_lang")
-    far = lambda kind, d: (F.col("n_words") >= least_words[kind]) & (F.col(d) > most_distance[kind])
+    both = table.join(F.broadcast(_languages(table)), "q_lang")
     return (
         both.select(
             F.col("q_id").alias(doc_id),
             *[F.col(c).alias(f"n_{c[2:]}" if c != "q_word_chars" else "word_chars") for c in counts],
             js_distance("q_c", "q_c_all").alias("character_distance"),
             js_distance("q_w", "q_w_all").alias("word_distance"),
+            _base_failed().alias("base_failed"),
+            _kept(least_words, most_distance).alias("kept"),
         )
-        .withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-        .withColumn("kept", ~F.col("base_failed") & ~far("characters", "character_distance") & ~far("words", "word_distance"))
     )
+
+
+def keep(
+    docs: DataFrame,
+    text: str = "text",
+    lang: str = "lang",
+    least_words: dict[str, int] = LEAST_WORDS,
+    most_distance: dict[str, float] = MOST_DISTANCE,
+) -> DataFrame:
+    """The rows of ``docs`` that :func:`assess` keeps, with all their columns.
+
+    Two scans and no shuffle of rows: the first sums the languages' histograms, the second judges
+    each row where it is read.
+    """
+    scratch = Scratch(docs.sparkSession, "quality")
+    bare = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("q_text"), F.col(lang).alias("q_raw_lang"))
+    bare = bare.withColumn("q_list", _word_list()).withColumn("q_words", F.size("q_list").cast("long"))
+    bare = bare.withColumn("q_space", _count(F.col("q_text"), SPACE_CLASS)).withColumn("q_symbols", _count(F.col("q_text"), SYMBOLS))
+    bins = scratch.write(_histograms(bare, "q_raw_lang").select("q_lang", "q_c", "q_w"))
+    language = scratch.write(_languages(bins))
+    whole = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("q_row"), F.col(text).alias("q_raw"), F.col(lang).alias("q_raw_lang"))
+    counted = _histograms(base_counts(whole, "q_raw"), "q_raw_lang")
+    # the verdict is to use the counts, not to be rewritten into their expressions below
+    counted = counted.withColumn("q_barrier", F.monotonically_increasing_id())
+    return counted.join(F.broadcast(language), "q_lang").where((F.col("q_barrier") >= 0) & _kept(least_words, most_distance)).select("q_row.*")
