@@ -236,6 +236,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     dealt = pieces.repartition("anchor").sortWithinPartitions("anchor")
     runs = dealt.mapInArrow(_sort_batches(length), "k long, start int, stop int")
     runs = scratch.write(runs.groupBy("k").agg(F.collect_list(F.struct("start", "stop")).alias("runs")))
+    scratch.drop(spots)
     schema = "k long, n_bytes long, n_removed long, starts array<int>, stops array<int>, kept_sha256 string"
     clean = texts.join(runs, "k", "left").select("k", "text", "runs").mapInArrow(_clean_batches, schema)
     clean = scratch.write(clean)
