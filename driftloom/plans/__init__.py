@@ -1 +1,3 @@
-"""See README.md for what this part of the library offers."""
+"""Queries over the test tables; importing this package registers them all."""
+
+from driftloom.plans import clusters, density, imputation, scalars, shaping, stream, trees, vectors  # noqa: F401
