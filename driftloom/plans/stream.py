@@ -145,6 +145,5 @@ def classification_scores(spark, sf_dir):
     t = t.select("real", pr.alias("pr"), re.alias("re"), "k")
     f1 = F.coalesce(F.try_divide(2 * F.col("pr") * F.col("re"), F.col("pr") + F.col("re")), F.lit(0.0))
     mean = lambda x: F.round(F.sum(x * F.col("real")) / F.sum("real"), 6)
-    right = c.agg(F.round(F.sum(F.when(F.col("y") == F.col("q"), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("accuracy"))
-    # one row beside one row
-    return t.agg(mean(F.col("pr")).alias("precision"), mean(F.col("re")).alias("recall"), mean(f1).alias("f1")).join(F.broadcast(right))
+    right = c.agg(F.round(F.sum(F.when(F.col("y") == F.col("q"), F.col("n")).otherwise(0)) / F.sum("n"), 6)).scalar()
+    return t.agg(mean(F.col("pr")).alias("precision"), mean(F.col("re")).alias("recall"), mean(f1).alias("f1")).withColumn("accuracy", right)
