@@ -223,7 +223,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # texts stay where they are: later joins on k bring only the small side
     name = f"repeats_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slim.groupBy("k").agg(F.first("text").alias("text"), F.count("*").alias("copies")).write.bucketBy(parts, "k").saveAsTable(name)
+    slim.groupBy("k").agg(F.first("text").alias("text"), F.count("*").alias("copies")).write.option("compression", "zstd").bucketBy(parts, "k").saveAsTable(name)
     texts = spark.table(name)
     spots = scratch.write(texts.select("k", "text").mapInArrow(_anchor_batches(length, gram), "k long, anchor long, first int, last int, place int"))
     shared_texts = texts.where("copies > 1").select("k").distinct()
