@@ -1 +1,106 @@
-"""To come."""
+"""k-modes over categorical columns of the line items' parts, and drift between cluster sets."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from driftloom.operators import clusters as c
+from driftloom.plans.registry import register
+from driftloom.plans.tables import MATRIX, matrix
+
+_START = [("0", "0", "signup"), ("5", "2", "other"), ("9", "4", "signup")]
+_X = MATRIX + ", x AS (SELECT row_id, label, CAST(CAST(f2 AS INT) AS VARCHAR) AS a, CAST(CAST(f3 AS INT) AS VARCHAR) AS b, CASE WHEN label = 1 THEN 'signup' ELSE 'other' END AS c FROM m)"
+
+
+def _ham(cs: list[tuple[str, str, str]]) -> str:
+    one = lambda k: " + ".join(f"CAST({col} <> '{v}' AS INT)" for col, v in zip("abc", k, strict=True))
+    return "[" + ", ".join(one(k) for k in cs) + "]"
+
+
+_ASSIGN = f"WITH {_X}, d AS (SELECT *, {_ham(_START)} AS ds FROM x), s AS (SELECT *, list_position(ds, list_min(ds)) - 1 AS cluster, list_min(ds) AS mismatches FROM d)"
+_MODES = _ASSIGN + """, cell AS (SELECT cluster, 0 AS feature, a AS value FROM s UNION ALL SELECT cluster, 1, b FROM s UNION ALL SELECT cluster, 2, c FROM s),
+cnt AS (SELECT cluster, feature, value, count(*) AS n FROM cell GROUP BY ALL), mo AS (SELECT cluster, feature, value AS mode, n FROM (SELECT *, row_number() OVER (PARTITION BY cluster, feature ORDER BY n DESC, value) AS r FROM cnt) WHERE r = 1)"""
+
+
+def _rows(spark, sf_dir):
+    text = lambda x: F.col(x).cast("int").cast("string")
+    return matrix(spark, sf_dir).select("row_id", "label", F.array(text("f2"), text("f3"), F.when(F.col("label") == 1, "signup").otherwise("other")).alias("x"))
+
+
+@register("modes_assigned", _ASSIGN + " SELECT row_id, cluster, mismatches FROM s")
+def modes_assigned(spark, sf_dir):
+    """The nearest of three centres."""
+    return c.assign_modes(_rows(spark, sf_dir), _START).select("row_id", "cluster", "mismatches")
+
+
+@register("modes_updated", _MODES + " SELECT cluster, feature, mode, n FROM mo")
+def modes_updated(spark, sf_dir):
+    """K2, A1: the clusters' new centres."""
+    return c.modes(c.assign_modes(_rows(spark, sf_dir), _START))
+
+
+@register("k_modes")
+def k_modes(spark, sf_dir):
+    """K2: rounds until the centres stay."""
+    return c.k_modes(_rows(spark, sf_dir), _START)[0].groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@register("cluster_purity", _ASSIGN + ", k AS (SELECT cluster, label, count(*) AS n FROM s GROUP BY ALL) SELECT round(sum(m) / sum(t), 6) AS purity FROM (SELECT max(n) AS m, sum(n) AS t FROM k GROUP BY cluster)")
+def cluster_purity(spark, sf_dir):
+    """K3: the share of rows that belong to their cluster's main class."""
+    return c.purity(c.assign_modes(_rows(spark, sf_dir), _START)).select(F.round("purity", 6).alias("purity"))
+
+
+@register("repaired_labels", _ASSIGN + """, h AS (SELECT row_id, cluster, CASE WHEN row_id % 3 = 0 THEN label END AS label FROM s), k AS (SELECT cluster, label, count(*) AS n FROM h WHERE label IS NOT NULL GROUP BY ALL),
+g AS (SELECT cluster, label AS major FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, label) AS r FROM k) WHERE r = 1) SELECT row_id, coalesce(label, major) AS label FROM h LEFT JOIN g USING (cluster)""")
+def repaired_labels(spark, sf_dir):
+    """K4: two in three labels are missing and come from the cluster."""
+    a = c.assign_modes(_rows(spark, sf_dir), _START).withColumn("label", F.when(F.col("row_id") % 3 == 0, F.col("label")))
+    return c.repair_labels(a).select("row_id", F.col("repaired").alias("label"))
+
+
+@register("seeded_modes")
+def seeded_modes(spark, sf_dir):
+    """K4: k-modes from the first labelled row of each class."""
+    rows = _rows(spark, sf_dir)
+    return c.repair_labels(c.k_modes(rows, c.seeds(rows))[0]).groupBy("cluster", "repaired").agg(F.count("*").alias("n"))
+
+
+@register("cluster_tightness", _ASSIGN + " SELECT round(avg(t), 6) AS r FROM (SELECT avg(1 - mismatches / 3.0) AS t FROM s GROUP BY cluster)")
+def cluster_tightness(spark, sf_dir):
+    """How close rows are to their centres."""
+    return c.tightness(c.assign_modes(_rows(spark, sf_dir), _START), 3).select(F.round("r", 6).alias("r"))
+
+
+def _two(spark, sf_dir):
+    rows = c.assign_modes(_rows(spark, sf_dir), _START)
+    return c.modes(rows.where("row_id % 2 = 0")), c.modes(rows.where("row_id % 2 = 1"))
+
+
+def _drift_sql(weighted: bool) -> str:
+    half = lambda k: f"(SELECT cluster, feature, value AS mode, n FROM (SELECT *, row_number() OVER (PARTITION BY cluster, feature ORDER BY n DESC, value) AS r FROM (SELECT cluster, feature, value, count(*) AS n FROM cell2 WHERE row_id % 2 = {k} GROUP BY ALL)) WHERE r = 1)"
+    mean = "sum(s * w) / sum(w)" if weighted else "avg(s)"
+    return _ASSIGN + f""", cell2 AS (SELECT row_id, cluster, 0 AS feature, a AS value FROM s UNION ALL SELECT row_id, cluster, 1, b FROM s UNION ALL SELECT row_id, cluster, 2, c FROM s),
+b AS (SELECT n.cluster, o.cluster AS oc, avg(CAST(n.mode = o.mode AS INT)) AS s, sum(n.n + o.n) AS w FROM {half(1)} n JOIN {half(0)} o USING (feature) GROUP BY ALL),
+t AS (SELECT s, w FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY s DESC, w DESC) AS r FROM b) WHERE r = 1) SELECT round(1 - {mean}, 6) AS distance FROM t"""
+
+
+@register("drift_distance", _drift_sql(False))
+def drift_distance(spark, sf_dir):
+    """How far the clusters of one half of the stream are from the other's."""
+    return c.cluster_set_distance(*_two(spark, sf_dir)).select(F.round("distance", 6).alias("distance"))
+
+
+@register("drift_distance_weighted", _drift_sql(True))
+def drift_distance_weighted(spark, sf_dir):
+    """The same, by the clusters' sizes."""
+    return c.cluster_set_distance(*_two(spark, sf_dir), weighted=True).select(F.round("distance", 6).alias("distance"))
+
+
+@register("interval_similarity", f"""WITH {MATRIX}, a AS (SELECT min(f0) AS lo, max(f0) AS hi FROM m WHERE label = 1), b AS (SELECT min(f0) AS lo, max(f0) AS hi FROM m WHERE label = 0)
+SELECT 0 AS feature, round(avg(CASE WHEN label = 1 THEN CAST(f0 BETWEEN b.lo AND b.hi AS INT) ELSE CAST(f0 BETWEEN a.lo AND a.hi AS INT) END), 6) AS similarity FROM m, a, b""")
+def interval_similarity(spark, sf_dir):
+    """How much two classes' values overlap."""
+    m = matrix(spark, sf_dir)
+    of = lambda k: m.where(F.col("label") == k).select(F.lit(0).alias("feature"), F.col("f0").alias("value"))
+    return c.interval_similarity(of(1), of(0)).select("feature", F.round("similarity", 6).alias("similarity"))

@@ -1 +1,93 @@
-"""To come."""
+"""Density peaks over three coordinates of the embeddings."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from driftloom.operators import density as d
+from driftloom.operators.lineage import cut
+from driftloom.plans.registry import register
+from driftloom.plans.tables import table
+
+_P = "WITH p AS (SELECT vec_id AS id, [embedding[1]::DOUBLE, embedding[2]::DOUBLE, embedding[3]::DOUBLE] AS x FROM embeddings), q AS (SELECT a.id AS i, b.id AS j, sqrt((a.x[1]-b.x[1])**2 + (a.x[2]-b.x[2])**2 + (a.x[3]-b.x[3])**2) AS d FROM p a JOIN p b ON a.id < b.id)"
+_RHO = _P + ", r AS (SELECT id, sum(exp(-pow(d / 0.1, 2))) AS rho FROM (SELECT i AS id, d FROM q UNION ALL SELECT j, d FROM q) GROUP BY id)"
+_PEAK = _RHO + """, up AS (SELECT CASE WHEN a.rho > b.rho OR (a.rho = b.rho AND i < j) THEN j ELSE i END AS id, d, CASE WHEN a.rho > b.rho OR (a.rho = b.rho AND i < j) THEN i ELSE j END AS par FROM q JOIN r a ON a.id = i JOIN r b ON b.id = j),
+low AS (SELECT id, d, par FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, par) AS n FROM up) WHERE n = 1),
+k AS (SELECT r.id, rho, coalesce(low.d, (SELECT max(d) FROM q)) AS delta, par AS parent FROM r LEFT JOIN low USING (id)),
+g AS (SELECT *, (rho - min(rho) OVER ()) / (max(rho) OVER () - min(rho) OVER ()) * (delta - min(delta) OVER ()) / (max(delta) OVER () - min(delta) OVER ()) AS gamma FROM k)"""
+
+
+def _points(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 3).cast("array<double>").alias("x"))
+
+
+def _peaks(spark, sf_dir):
+    pts = _points(spark, sf_dir)
+    pairs = d.pair_distances(pts, "id", "x")
+    return d.gammas(d.peaks(d.densities(pts, "id", pairs, 0.1), pairs))
+
+
+@register("pair_distances", _P + " SELECT i, count(*) AS n, round(sum(d), 6) AS total FROM q GROUP BY i")
+def pair_distances(spark, sf_dir):
+    """All distances, summed by their smaller end."""
+    return d.pair_distances(_points(spark, sf_dir), "id", "x").groupBy("i").agg(F.count("*").alias("n"), F.round(F.sum("d"), 6).alias("total"))
+
+
+@register("distance_cutoff", _P + " SELECT round(d, 6) AS dc FROM (SELECT d, row_number() OVER (ORDER BY d) - 1 AS n FROM q) WHERE n = (SELECT CAST(round_even(count(*) * 5 / 100.0, 0) AS BIGINT) FROM q)")
+def distance_cutoff(spark, sf_dir):
+    """The distance at five in a hundred."""
+    dc = d.cutoff(d.pair_distances(_points(spark, sf_dir), "id", "x"), 5)
+    return spark.range(1).select(F.round(F.lit(dc), 6).alias("dc"))
+
+
+@register("bisected_cutoff")
+def bisected_cutoff(spark, sf_dir):
+    """A cutoff found by halving."""
+    return spark.range(1).select(F.lit(d.cutoff_bisected(d.pair_distances(_points(spark, sf_dir), "id", "x"))).alias("dc"))
+
+
+@register("densities", _RHO + " SELECT id, round(rho, 6) AS rho FROM r")
+def densities(spark, sf_dir):
+    """Gaussian densities."""
+    pts = _points(spark, sf_dir)
+    return d.densities(pts, "id", d.pair_distances(pts, "id", "x"), 0.1).select("id", F.round("rho", 6).alias("rho"))
+
+
+@register("cutoff_densities", _P + " SELECT id, CAST(sum(CAST(d < 0.1 AS INT)) AS DOUBLE) AS rho FROM (SELECT i AS id, d FROM q UNION ALL SELECT j, d FROM q) GROUP BY id")
+def cutoff_densities(spark, sf_dir):
+    """D3: how many points are near."""
+    pts = _points(spark, sf_dir)
+    return d.densities(pts, "id", d.pair_distances(pts, "id", "x"), 0.1, gaussian=False)
+
+
+@register("density_peaks", _PEAK + " SELECT id, round(rho, 6) AS rho, round(delta, 6) AS delta, parent, round(gamma, 6) AS gamma FROM g")
+def density_peaks(spark, sf_dir):
+    """The nearest denser point of each, and what stands out."""
+    return _peaks(spark, sf_dir).select("id", F.round("rho", 6).alias("rho"), F.round("delta", 6).alias("delta"), "parent", F.round("gamma", 6).alias("gamma"))
+
+
+@register("peak_order", _PEAK + " SELECT id, round(gamma, 6) AS gamma, row_number() OVER (ORDER BY gamma DESC, id) AS rank FROM g ORDER BY gamma DESC, id LIMIT 30")
+def peak_order(spark, sf_dir):
+    """The thirty points that stand out most, a top-k report."""
+    return d.ranked(_peaks(spark, sf_dir)).where("rank <= 30").select("id", F.round("gamma", 6).alias("gamma"), F.col("rank").cast("long").alias("rank"))
+
+
+@register("density_clusters", _PEAK.replace("WITH p AS", "WITH RECURSIVE p AS") + """, top AS (SELECT id FROM g ORDER BY gamma DESC, id LIMIT 8),
+t AS (SELECT id, id AS cluster FROM g WHERE id IN (SELECT id FROM top) OR parent IS NULL UNION ALL SELECT g.id, t.cluster FROM g JOIN t ON g.parent = t.id WHERE g.id NOT IN (SELECT id FROM top) AND g.parent IS NOT NULL)
+SELECT id, cluster FROM t""")
+def density_clusters(spark, sf_dir):
+    """Eight clusters, all points like their parents."""
+    return d.assign(_peaks(spark, sf_dir), 8)
+
+
+@register("peak_count")
+def peak_count(spark, sf_dir):
+    """How many of the thirty largest gammas stand out."""
+    return spark.range(1).select(F.lit(d.cluster_count(d.gamma_list(_peaks(spark, sf_dir)))).alias("clusters"))
+
+
+@register("label_spreading")
+def label_spreading(spark, sf_dir):
+    """A tenth of the labels spread along the pointers."""
+    labels = table(spark, sf_dir, "embeddings").where("vec_id % 10 = 0").select(F.col("vec_id").alias("id"), "label")
+    return d.spread_labels(cut(_peaks(spark, sf_dir)), labels)
