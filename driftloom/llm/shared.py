@@ -17,13 +17,17 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+_OWN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is configured (tests)."""
+    """The folder that driver and executors share; a temporary one where none is configured (local tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    if at:
+        return at.rstrip("/")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="spark-shared-"))
+    return _OWN[0]
 
 
 class Scratch:
