@@ -1 +1,92 @@
-"""To come."""
+"""Marginals, latents and conditional means of the masked event stream."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from driftloom.functions import numeric as n
+from driftloom.operators import copula
+from driftloom.plans.registry import register
+from driftloom.plans.tables import MASKED, masked_long
+
+ORDINAL = [2, 3]
+
+
+@register("ring_window", f"WITH {MASKED}, r AS (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY row_id DESC) AS slot FROM k WHERE value IS NOT NULL) SELECT feature_id, row_id, slot, round(value, 6) AS value FROM r WHERE slot <= 50")
+def ring_window(spark, sf_dir):
+    """The last fifty observed values of each column."""
+    r = copula.ring(masked_long(spark, sf_dir), 50)
+    return r.select("feature_id", "row_id", F.col("slot").cast("long").alias("slot"), F.round("value", 6).alias("value"))
+
+
+@register("ring_window_sparse", f"""WITH {MASKED}, b AS (SELECT *, max(row_id) OVER (PARTITION BY row_id // 100) AS last FROM k), r AS (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY row_id DESC) AS slot FROM b WHERE (row_id < 100 OR row_id = last) AND value IS NOT NULL)
+SELECT feature_id, row_id FROM r WHERE slot <= 20""")
+def ring_window_sparse(spark, sf_dir):
+    """Only each batch's last row enters."""
+    return copula.ring_last_of_batch(masked_long(spark, sf_dir), 100, 20).select("feature_id", "row_id")
+
+
+@register("empirical_distribution", f"WITH {MASKED} SELECT row_id, feature_id, round(cume_dist() OVER (PARTITION BY feature_id ORDER BY value), 6) AS \"F\" FROM k WHERE value IS NOT NULL")
+def empirical_distribution(spark, sf_dir):
+    """The share of values that are no larger."""
+    return copula.ecdf(masked_long(spark, sf_dir)).select("row_id", "feature_id", F.round("F", 6).alias("F"))
+
+
+_Z = MASKED + f""", e AS (SELECT row_id, feature_id, value, cume_dist() OVER (PARTITION BY feature_id ORDER BY value) AS f, count(*) OVER (PARTITION BY feature_id) AS c FROM k WHERE value IS NOT NULL AND feature_id < 2),
+z AS (SELECT row_id, feature_id, {n.norm_ppf('(f * c / (c + 1))')} AS z FROM e)"""
+
+
+@register("continuous_latents", f"WITH {_Z} SELECT row_id, feature_id, round(z, 6) AS z FROM z")
+def continuous_latents(spark, sf_dir):
+    """Normal scores of the continuous columns."""
+    return copula.continuous_latent(masked_long(spark, sf_dir).where("feature_id < 2")).select("row_id", "feature_id", F.round("z", 6).alias("z"))
+
+
+@register("ordinal_latents", f"""WITH {MASKED}, c AS (SELECT feature_id, value, count(*) AS n FROM k WHERE value IS NOT NULL AND feature_id > 1 GROUP BY ALL),
+s AS (SELECT feature_id, value, (sum(n) OVER w - n) / sum(n) OVER (PARTITION BY feature_id) AS a, sum(n) OVER w / sum(n) OVER (PARTITION BY feature_id) AS b FROM c WINDOW w AS (PARTITION BY feature_id ORDER BY value))
+SELECT feature_id, value, round({n.norm_ppf('a')}, 6) AS lo, round({n.norm_ppf('b')}, 6) AS hi, round({n.norm_ppf('((a + b) / 2)')}, 6) AS z FROM s""")
+def ordinal_latents(spark, sf_dir):
+    """The latent interval of each level, and the middle of its mass."""
+    b = copula.ordinal_bounds(masked_long(spark, sf_dir).where("feature_id > 1"))
+    return b.select("feature_id", "value", *(F.round(c, 6).alias(c) for c in ("lo", "hi", "z")))
+
+
+_RHO = f"""WITH {_Z}, w AS (SELECT row_id, max(z) FILTER (WHERE feature_id = 0) AS a, max(z) FILTER (WHERE feature_id = 1) AS b FROM z GROUP BY row_id)"""
+
+
+@register("pair_expectation", _RHO + " SELECT row_id, round(0.5 * coalesce(a, b), 6) AS missing_z FROM w")
+def pair_expectation(spark, sf_dir):
+    """G7, G8 for two columns: the missing latent of each pair at correlation one half, from the general step."""
+    cells = copula.latent(masked_long(spark, sf_dir).where("feature_id < 2"), [])
+    rows = copula.rows_of(cells, 2)
+    sigma = np.array([[1.0, 0.5], [0.5, 1.0]])
+    x = copula.expectation(rows, sigma)
+    seen = rows.select("row_id", F.col("z")[0].isNull().alias("first_gone"))
+    return x.join(seen, "row_id").select("row_id", F.round(F.when(F.col("first_gone"), F.col("x")[0]).otherwise(F.col("x")[1]), 6).alias("missing_z"))
+
+
+@register("copula_matrix")
+def copula_matrix(spark, sf_dir):
+    """The latent correlations after batch EM."""
+    rows = copula.rows_of(copula.latent(masked_long(spark, sf_dir), ORDINAL), 4)
+    sigma = copula.fit(rows, 4, most_rounds=6)
+    return spark.createDataFrame([(i, j, float(sigma[i, j])) for i in range(4) for j in range(4)], "i int, j int, rho double")
+
+
+@register("copula_imputed")
+def copula_imputed(spark, sf_dir):
+    """The stream with its missing cells filled after two batches of online EM."""
+    cells = masked_long(spark, sf_dir)
+    rows = copula.rows_of(copula.latent(cells, ORDINAL), 4)
+    sigma = copula.fit_batches(rows, 4, 500, 2)
+    return copula.impute(cells, ORDINAL, 4, sigma)
+
+
+@register("copula_change")
+def copula_change(spark, sf_dir):
+    """Whether the correlations changed between two batches."""
+    rows = copula.rows_of(copula.latent(masked_long(spark, sf_dir), ORDINAL), 4)
+    old = copula.widen(copula.fit(rows.where("row_id < 500"), 4, 3), 4)
+    p = copula.change_test(spark, old, copula.moments(rows.where("row_id between 500 and 999"), old), 500)
+    return spark.createDataFrame([tuple(map(float, p))], "frobenius double, spectral double, nuclear double")
