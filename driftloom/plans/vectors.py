@@ -1 +1,61 @@
-"""To come."""
+"""Kernels and large-margin learners on the embeddings."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from driftloom.functions import numeric as n
+from driftloom.operators import svm
+from driftloom.plans.registry import register
+from driftloom.plans.tables import table
+
+_K = "WITH p AS (SELECT vec_id, label, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS x FROM embeddings), m AS (SELECT label, [" + ", ".join(f"avg(x[{i}])" for i in range(1, 9)) + "] AS c FROM p GROUP BY label)"
+
+
+def _vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 8).cast("array<double>").alias("x"))
+
+
+def _centres(spark, sf_dir):
+    """The mean of each label: ten rows."""
+    v = _vectors(spark, sf_dir)
+    return v.groupBy(F.col("label").alias("centre")).agg(F.array(*(F.avg(F.col("x")[i]) for i in range(8))).alias("c"))
+
+
+@register("rbf_kernel", _K + " SELECT vec_id, m.label AS centre, round(exp(-list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) ** 2)) / (2 * 0.5 * 0.5)), 6) AS k FROM p, m")
+def rbf_kernel(spark, sf_dir):
+    """radial kernel of each vector with each label's centre, gathered in one small array."""
+    few = _centres(spark, sf_dir).agg(F.collect_list(F.struct("centre", "c")).alias("all")).scalar()
+    both = _vectors(spark, sf_dir).select("vec_id", "x", F.inline(few).alias("centre", "c"))
+    return both.select("vec_id", "centre", F.round(n.rbf_kernel(F.col("x"), F.col("c"), 0.5), 6).alias("k"))
+
+
+@register("linear_kernel", _K + " SELECT vec_id, m.label AS centre, round(list_sum(list_transform(list_zip(x, c), lambda z: z[1] * z[2])), 6) AS k FROM p, m")
+def linear_kernel(spark, sf_dir):
+    """Inner products with the centres."""
+    few = _centres(spark, sf_dir).agg(F.collect_list(F.struct("centre", "c")).alias("all")).scalar()
+    both = _vectors(spark, sf_dir).select("vec_id", "x", F.inline(few).alias("centre", "c"))
+    return both.select("vec_id", "centre", F.round(n.dot(F.col("x"), F.col("c")), 6).alias("k"))
+
+
+@register("linear_svm_grid")
+def linear_svm_grid(spark, sf_dir):
+    """The best of six costs, learned on seven rows of ten."""
+    v = _vectors(spark, sf_dir).withColumn("y", (F.col("label") < 5).cast("int"))
+    return svm.linear_grid(v.where("vec_id % 10 < 7"), v.where("vec_id % 10 >= 7"), "x", "y")
+
+
+@register("transductive_svm")
+def transductive_svm(spark, sf_dir):
+    """One label in four is known."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("x"), (F.col("label") < 5).cast("int").alias("y"))
+    known = v.withColumn("known", F.when(F.col("vec_id") % 4 == 0, F.col("y")))
+    model = svm.TransductiveSVM(rounds=2).fit(known, "x", "known")
+    return model.predict(v, "x").select("vec_id", "y", "predicted", "probability")
+
+
+@register("subspace_distance")
+def subspace_distance(spark, sf_dir):
+    """Two random correlation matrices compared."""
+    d = svm.grassmann(svm.random_correlation(seed=1), svm.random_correlation(seed=2), 3)
+    return spark.createDataFrame([d], "angle double, gap double")

@@ -1 +1,3 @@
-"""See README.md for what this part of the library offers."""
+"""See :mod:`driftloom.streaming.operators`."""
+
+from driftloom.streaming.operators import copula_batches, online_learner, ring_window  # noqa: F401
