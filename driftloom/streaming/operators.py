@@ -25,13 +25,15 @@ def online_learner(stream: DataFrame, key: str, order: str, features: list[str],
     cells = F.array(*(F.col(f).cast("double") for f in features))
     slim = stream.select(F.col(key).alias("key"), F.col(order).cast("long").alias("row_id"), cells.alias("x"), F.col(label).cast("double").alias("y"))
 
+    plain = lambda v: [float(a) for a in v] if isinstance(v, list) else int(v) if isinstance(v, int) else float(v)
+
     def run(k: Any, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(pdfs)).sort_values("row_id", kind="stable")
         old = dict(zip(_FIELDS, state.get, strict=True)) if state.exists else None
         if old:
             old |= {f: list(old[f]) for f in ("v", "h", "z")}
         out, new = ftrl_rows(list(zip(pdf["row_id"], pdf["x"], pdf["y"], strict=True)), state=old, **options)
-        state.update(tuple(new[f] for f in _FIELDS))
+        state.update(tuple(plain(new[f]) for f in _FIELDS))
         yield pd.DataFrame({"key": k[0], "row_id": pdf["row_id"], "y": pdf["y"], "p": [r[1] for r in out], "loss": [r[2] for r in out], "decay": [r[3] for r in out]})
 
     kind = slim.schema["key"].dataType.simpleString()
@@ -46,7 +48,7 @@ def ring_window(stream: DataFrame, key: str, order: str, value: str, size: int)
     def run(k: Any, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(pdfs)).dropna(subset=["v"]).sort_values("o", kind="stable")["v"].tolist()
         kept = ((list(state.get[0]) if state.exists else []) + new)[-size:]
-        state.update((kept,))
+        state.update(([float(v) for v in kept],))
         yield pd.DataFrame({"key": [k[0]], "values": [kept]})
 
     kind = slim.schema["key"].dataType.simpleString()
