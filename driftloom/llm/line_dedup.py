@@ -7,33 +7,47 @@ a level are ordered by hash. Two sets of similarity t share one of the first
 filter); where they first meet and how long they are bounds their overlap (positional and length
 filter), and so does a 64-bit parity bitmap of each set. Survivors are verified on the full sets.
 
-Equal lines are one class with its first place, so that a line of any frequency is one row. Each
-word's lines are first compared with the earliest of them alone; only lines that this leaves
-standing meet all earlier lines of their prefix words. Only DataFrame functions are used.
+Equal lines (but for case) are one class, numbered by its first place, so that a line of any
+frequency is one row. Each word's lines are first compared with the earliest of them alone; only
+lines that this leaves standing meet all earlier lines of their prefix words. What is shuffled is
+the prefix, never the text. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftloom.llm.shared import SPACE_CLASS, Scratch
+from driftloom.llm.shared import Scratch
 
 LEAST_WORDS, PERCENT = 5, 80
 #: Hash buckets of the word counts: the only thing that the driver sees, whatever the corpus.
 BUCKETS = 1 << 16
+#: Rows up to which a side is broadcast; above, the join shuffles.
+FEW = 1_000_000
 _LOW = (1 << 58) - 1
 _BLANK = " \t\n\x0b\x0c\r"
+_ONE = 1 << 20
+
 
+def _plain(line: Column) -> Column:
+    """Lower case, other white space as spaces."""
+    low = F.lower(line)
+    odd = F.contains(low, F.lit("\t")) | F.contains(low, F.lit("\r")) | F.contains(low, F.lit("\x0b")) | F.contains(low, F.lit("\x0c"))
+    return F.when(odd, F.regexp_replace(low, r"[\t\x0B\f\r]", " ")).otherwise(low)
 
-def _words(line: str) -> Column:
-    return F.split(F.btrim(F.lower(line), F.lit(_BLANK)), SPACE_CLASS + "+")
+
+def _words(line: Column) -> Column:
+    """Words by single spaces; an empty one stands for what lies between two."""
+    return F.split(line, " ")
 
 
 def _levels(docs: DataFrame) -> bytes:
-    """The logarithm of each bucket's word count, as a letter."""
-    word = docs.select(F.explode(F.split(F.lower("text"), SPACE_CLASS + "+")).alias("w"))
-    counts = word.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).agg(F.count("*").alias("n"))
+    """The logarithm of each bucket's word count, as a letter; for order only, so words may hold a line end."""
+    word = docs.select(F.explode(_words(F.lower("text"))).alias("w"))
+    counts = word.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg(F.count("*").alias("n"))
     out = bytearray(b"@" * BUCKETS)
     for b, n in counts.collect():
         out[b] = 64 + min(31, int(n).bit_length())
@@ -42,79 +56,84 @@ def _levels(docs: DataFrame) -> bytes:
 
 def _ordered(words: Column, levels: bytes) -> Column:
     """Distinct words as longs that ascend from rare to common."""
-    level = lambda h: F.ascii(F.substring(F.lit(levels), F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string"))
-    hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
-    return F.sort_array(
-        F.transform(hashes, lambda h: F.shiftleft((level(h) - 64).cast("long"), 58).bitwiseOR(h.bitwiseAND(F.lit(_LOW))))
-    )
+    table = F.lit(levels)
 
+    def key(h: Column) -> Column:
+        letter = F.ascii(F.substring(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
+        return F.shiftleft((letter - 64).cast("long"), 58).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
 
-def _shared_at_least(a: str, b: str, percent: int) -> Column:
-    """The least overlap of two sets of these sizes that are similar enough."""
-    return F.ceil((F.col(a) + F.col(b)) * percent / (100.0 + percent) - 1e-9)
+    hashes = F.array_distinct(F.transform(F.array_remove(words, ""), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(hashes, key))
+
+
+def _join_few(big: DataFrame, few: DataFrame, on: str, how: str) -> DataFrame:
+    """Broadcasts ``few`` (a written table) if it has few rows."""
+    return big.join(F.broadcast(few) if few.count() <= FEW else few, on, how)
 
 
 def matched_lines(docs: DataFrame, doc_id: str, text: str, percent: int, least_words: int, scratch: Scratch) -> DataFrame:
     """(id, no, gone) for every line of at least ``least_words`` words; gone if it has an earlier match."""
+    spark = docs.sparkSession
     slim = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    cells = slim.select("id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    cells = cells.withColumn("line", F.array_join(_words("line"), " ")).where(F.size(F.split("line", " ")) >= least_words)
-    cells = cells.select("id", "no", F.xxhash64("line").alias("class"), "line")
-    places = scratch.write(cells.select("id", "no", "class"))
-    first = places.groupBy("class").agg(F.min(F.struct("id", "no")).alias("at"))
-    first = scratch.write(first)
     levels = _levels(slim)
-    chosen = cells.groupBy("class").agg(F.min("line").alias("line"))
-    sets = chosen.select("class", _ordered(F.split("line", " "), levels).alias("o"))
-    sets = scratch.write(sets)
-
+    cells = slim.select("id", F.posexplode(F.split("text", "\n")).alias("no", "raw")).select("id", "no", _plain(F.col("raw")).alias("line"))
+    words = cells.select("id", "no", F.xxhash64("line").alias("class"), F.array_remove(_words(F.col("line")), "").alias("w"))
+    # the guard uses w twice, so that it is split once
+    sets = words.where(F.size("w") >= least_words).select("id", "no", "class", _ordered(F.col("w"), levels).alias("o"))
     n = F.size("o")
     probe = n - F.ceil(n * percent / 100.0 - 1e-9).cast("int") + 1
-    index = n - F.ceil(n * 2 * percent / (100.0 + percent) - 1e-9).cast("int") + 1
-    one_bit = F.array(*(F.lit(x).cast("long") for x in [1 << i for i in range(63)] + [-(1 << 63)]))
-    bits = F.aggregate("o", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.get(one_bit, F.pmod(h, F.lit(64)).cast("int"))))
-    about = sets.join(first, "class").select("class", "at", n.alias("n"), index.alias("q"), bits.alias("bits"), F.posexplode(F.slice("o", F.lit(1), probe)).alias("p", "word"))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    bits = F.aggregate("o", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
+    lines = scratch.write(sets.select("id", "no", "class", n.alias("n"), bits.alias("bits"), F.slice("o", F.lit(1), probe).alias("prefix")))
+
+    first = lines.groupBy("class").agg(F.min(F.struct("id", "no")).alias("at"))
+    # numbers that ascend with the place, frozen by being written
+    first = first.repartitionByRange("at").sortWithinPartitions("at").select("class", "at", F.monotonically_increasing_id().alias("c"))
+    first = scratch.write(first)
+    heads = lines.join(first.select(F.col("at.id").alias("id"), F.col("at.no").alias("no"), "c"), ["id", "no"]).dropDuplicates(["c"])
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spots = heads.select("c", "bits", "n", F.posexplode("prefix").alias("p", "word"))
     by_word = Window.partitionBy("word")
-    row = F.struct("at", "class", "n", "p", "bits")
-    posts = about.withColumn("lead", F.min(row).over(by_word)).withColumn("crowd", F.count("*").over(by_word))
-    posts = scratch.write(posts.where("crowd > 1").drop("crowd"))
+    # size and place in one number; places end at a fifth of the size or so
+    spots = spots.select("word", "c", (F.col("n").cast("long") * _ONE + F.least("p", F.lit(_ONE - 1))).alias("np"), "bits")
+    spots = spots.withColumn("lead", F.min(F.struct("c", "np", "bits")).over(by_word)).withColumn("crowd", F.count("*").over(by_word))
+    name = f"line_posts_{uuid.uuid4().hex}"
+    spots.where("crowd > 1").drop("crowd").write.option("compression", "zstd").bucketBy(parts, "word").saveAsTable(name)
+    posts = spark.table(name)
 
     def may_match(x: str, y: str) -> Column:
-        """Length, positional and bitmap filters on columns prefixed x and y."""
-        need = _shared_at_least(f"{x}n", f"{y}n", percent)
-        rest = 1 + F.least(F.col(f"{x}n") - F.col(f"{x}p"), F.col(f"{y}n") - F.col(f"{y}p")) - 1
-        differ = F.bit_count(F.col(f"{x}bits").bitwiseXOR(F.col(f"{y}bits")))
+        """Length, positional and bitmap filters on columns prefixed x and y; and, with the shorter's word in its index prefix."""
+        xn, yn = F.floor(F.col(f"{x}np") / _ONE), F.floor(F.col(f"{y}np") / _ONE)
+        xp, yp = F.col(f"{x}np") % _ONE, F.col(f"{y}np") % _ONE
+        need = F.ceil((xn + yn) * percent / (100.0 + percent) - 1e-9)
+        index = lambda k: k - F.ceil(k * 2 * percent / (100.0 + percent) - 1e-9) + 1
         return (
-            (100 * F.least(f"{x}n", f"{y}n") >= percent * F.greatest(f"{x}n", f"{y}n"))
-            & (rest >= need)
-            & (differ <= F.col(f"{x}n") + F.col(f"{y}n") - 2 * need)
+            (100 * F.least(xn, yn) >= percent * F.greatest(xn, yn))
+            & F.when(xn <= yn, xp < index(xn)).otherwise(yp < index(yn))
+            & (F.least(xn - xp, yn - yp) >= need)
+            & (F.bit_count(F.col(f"{x}bits").bitwiseXOR(F.col(f"{y}bits"))) <= xn + yn - 2 * need)
         )
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Classes (later) with a similar earlier one among the pairs (later, earlier)."""
-        a = sets.select(F.col("class").alias("later"), F.col("o").alias("ox"))
-        b = sets.select(F.col("class").alias("earlier"), F.col("o").alias("oy"))
-        both = pairs.distinct().join(a, "later").join(b, "earlier")
+        """(c) of the later of each pair (later, earlier) that is similar, on the full sets."""
+        pairs = scratch.write(pairs.distinct())
+        wanted = pairs.select(F.explode(F.array("later", "earlier")).alias("c")).distinct()
+        named = scratch.write(wanted.join(first, "c").select("c", "class", F.col("at.id").alias("id"), F.col("at.no").alias("no")))
+        found = _join_few(cells.select("id", "no", "line", F.xxhash64("line").alias("class")), named.select("class", "id", "no", "c"), ["class", "id", "no"], "inner")
+        full = scratch.write(found.dropDuplicates(["c"]).select("c", _ordered(_words(F.col("line")), levels).alias("o")))
+        both = pairs.join(full.select(F.col("c").alias("later"), F.col("o").alias("ox")), "later").join(full.select(F.col("c").alias("earlier"), F.col("o").alias("oy")), "earlier")
         inter = F.size(F.array_intersect("ox", "oy"))
-        return both.where(100 * inter >= percent * (F.size("ox") + F.size("oy") - inter)).select(F.col("later").alias("class")).distinct()
+        return both.where(100 * inter >= percent * (F.size("ox") + F.size("oy") - inter)).select(F.col("later").alias("c")).distinct()
 
-    with_lead = posts.select(
-        F.col("class").alias("later"), "at", F.col("n").alias("xn"), F.col("p").alias("xp"), F.col("bits").alias("xbits"),
-        F.col("lead.class").alias("earlier"), F.col("lead.at").alias("yat"), F.col("lead.n").alias("yn"), F.col("lead.p").alias("yp"), F.col("lead.bits").alias("ybits"),
-    )
-    found = scratch.write(verified(with_lead.where((F.col("at") > F.col("yat")) & may_match("x", "y")).select("later", "earlier")))
-    x = posts.join(found, "class", "left_anti").select(
-        "word", F.col("class").alias("later"), F.col("at").alias("xat"), F.col("n").alias("xn"), F.col("p").alias("xp"), F.col("q").alias("xq"), F.col("bits").alias("xbits")
-    )
-    y = posts.select(
-        "word", F.col("class").alias("earlier"), F.col("at").alias("yat"), F.col("n").alias("yn"), F.col("p").alias("yp"), F.col("q").alias("yq"), F.col("bits").alias("ybits")
-    )
-    in_index = F.when(F.col("xn") <= F.col("yn"), F.col("xp") < F.col("xq")).otherwise(F.col("yp") < F.col("yq"))
-    pairs = x.join(y, "word").where((F.col("xat") > F.col("yat")) & in_index & may_match("x", "y")).select("later", "earlier")
-    found = found.unionByName(verified(pairs))
-    gone = scratch.write(found)
-    verdict = first.join(gone.withColumn("gone", F.lit(True)), "class", "left").select("class", "at", F.coalesce("gone", F.lit(False)).alias("gone"))
-    return places.join(verdict, "class").select("id", "no", (F.col("gone") | (F.struct("id", "no") != F.col("at"))).alias("gone"))
+    lead = posts.where("c > lead.c").select(F.col("c").alias("later"), F.col("np").alias("xnp"), F.col("bits").alias("xbits"), F.col("lead.c").alias("earlier"), F.col("lead.np").alias("ynp"), F.col("lead.bits").alias("ybits"))
+    found = scratch.write(verified(lead.where(may_match("x", "y")).select("later", "earlier")))
+    x = _join_few(posts.select("word", "c", F.col("np").alias("xnp"), F.col("bits").alias("xbits")), found, "c", "left_anti")
+    y = posts.select("word", F.col("c").alias("earlier"), F.col("np").alias("ynp"), F.col("bits").alias("ybits"))
+    pairs = x.join(y, "word").where((F.col("c") > F.col("earlier")) & may_match("x", "y")).select(F.col("c").alias("later"), "earlier")
+    gone = scratch.write(found.unionByName(verified(pairs)))
+    spark.sql(f"DROP TABLE {name}")
+    verdict = first.join(gone.withColumn("gone", F.lit(True)), "c", "left").select("class", "at", F.coalesce("gone", F.lit(False)).alias("gone"))
+    return lines.select("id", "no", "class").join(verdict, "class").select("id", "no", (F.col("gone") | (F.struct("id", "no") != F.col("at"))).alias("gone"))
 
 
 def _marked(docs: DataFrame, row: list, doc_id: str, text: str, percent: int, least_words: int) -> DataFrame:
@@ -124,7 +143,7 @@ def _marked(docs: DataFrame, row: list, doc_id: str, text: str, percent: int, le
     lost = matched_lines(known, doc_id, text, percent, least_words, scratch).where("gone")
     lost = scratch.write(lost.groupBy(F.col("id").alias("lost_id")).agg(F.collect_set("no").alias("gone")))
     slim = docs.select(F.col(doc_id).alias("lost_id"), F.split(F.col(text).cast("string"), "\n").alias("lines"), *row)
-    both = slim.join(lost, "lost_id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    both = _join_few(slim, lost, "lost_id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
     return both.withColumn("stays", F.filter("lines", lambda x, i: ~F.array_contains("gone", i)))
 
 
