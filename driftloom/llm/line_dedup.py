@@ -5,7 +5,7 @@ counts, kept in a fixed number of hash buckets, give a level (the count's logari
 a level are ordered by hash. Two sets of similarity t share one of the first
 |x| - ceil(t |x|) + 1 words of the longer and |y| - ceil(2t/(1+t) |y|) + 1 of the shorter (prefix
 filter); where they first meet and how long they are bounds their overlap (positional and length
-filter), and so does a 64-bit parity bitmap of each set. Survivors are verified on the full sets.
+filter), and so do a 64-bit parity bitmap of each set and counts of its words by 14 classes. Survivors are verified on the full sets.
 
 Equal lines (but for case) are one class, numbered by its first place, so that a line of any
 frequency is one row. Each word's lines are first compared with the earliest of them alone; only
@@ -30,6 +30,8 @@ FEW = 1_000_000
 _LOW = (1 << 58) - 1
 _BLANK = " \t\n\x0b\x0c\r"
 _ONE = 1 << 20
+#: Words up to which a line's counters cannot overflow.
+_COUNTED = 511
 
 
 def _plain(line: Column) -> Column:
@@ -84,7 +86,10 @@ def matched_lines(docs: DataFrame, doc_id: str, text: str, percent: int, least_w
     probe = n - F.ceil(n * percent / 100.0 - 1e-9).cast("int") + 1
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
     bits = F.aggregate("o", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
-    lines = scratch.write(sets.select("id", "no", "class", n.alias("n"), bits.alias("bits"), F.slice("o", F.lit(1), probe).alias("prefix")))
+    # 14 counters of 9 bits: how many words fall into each of 14 classes
+    one = lambda h, k: F.when(F.floor(F.pmod(h, F.lit(14)) / 7) == k, F.call_function("shiftleft", F.lit(1).cast("long"), (F.pmod(h, F.lit(7)) * 9).cast("int"))).otherwise(F.lit(0).cast("long"))
+    count = lambda k: F.when(n <= _COUNTED, F.aggregate("o", F.lit(0).cast("long"), lambda a, h: a + one(h, k))).otherwise(F.lit(0).cast("long"))
+    lines = scratch.write(sets.select("id", "no", "class", n.alias("n"), bits.alias("bits"), count(0).alias("k0"), count(1).alias("k1"), F.slice("o", F.lit(1), probe).alias("prefix")))
 
     first = lines.groupBy("class").agg(F.min(F.struct("id", "no")).alias("at"))
     # numbers that ascend with the place, frozen by being written
@@ -92,11 +97,11 @@ def matched_lines(docs: DataFrame, doc_id: str, text: str, percent: int, least_w
     first = scratch.write(first)
     heads = lines.join(first.select(F.col("at.id").alias("id"), F.col("at.no").alias("no"), "c"), ["id", "no"]).dropDuplicates(["c"])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spots = heads.select("c", "bits", "n", F.posexplode("prefix").alias("p", "word"))
+    spots = heads.select("c", "bits", "k0", "k1", "n", F.posexplode("prefix").alias("p", "word"))
     by_word = Window.partitionBy("word")
     # size and place in one number; places end at a fifth of the size or so
-    spots = spots.select("word", "c", (F.col("n").cast("long") * _ONE + F.least("p", F.lit(_ONE - 1))).alias("np"), "bits")
-    spots = spots.withColumn("lead", F.min(F.struct("c", "np", "bits")).over(by_word)).withColumn("crowd", F.count("*").over(by_word))
+    spots = spots.select("word", "c", (F.col("n").cast("long") * _ONE + F.least("p", F.lit(_ONE - 1))).alias("np"), "bits", "k0", "k1")
+    spots = spots.withColumn("lead", F.min(F.struct("c", "np", "bits", "k0", "k1")).over(by_word)).withColumn("crowd", F.count("*").over(by_word))
     name = f"line_posts_{uuid.uuid4().hex}"
     spots.where("crowd > 1").drop("crowd").write.option("compression", "zstd").bucketBy(parts, "word").saveAsTable(name)
     posts = spark.table(name)
@@ -107,11 +112,14 @@ def matched_lines(docs: DataFrame, doc_id: str, text: str, percent: int, least_w
         xp, yp = F.col(f"{x}np") % _ONE, F.col(f"{y}np") % _ONE
         need = F.ceil((xn + yn) * percent / (100.0 + percent) - 1e-9)
         index = lambda k: k - F.ceil(k * 2 * percent / (100.0 + percent) - 1e-9) + 1
+        nine = lambda c, b: F.shiftright(F.col(c), 9 * b).bitwiseAND(F.lit(511))
+        apart = sum(F.abs(nine(f"{x}k{k}", b) - nine(f"{y}k{k}", b)) for k in (0, 1) for b in range(7))
         return (
             (100 * F.least(xn, yn) >= percent * F.greatest(xn, yn))
             & F.when(xn <= yn, xp < index(xn)).otherwise(yp < index(yn))
             & (F.least(xn - xp, yn - yp) >= need)
             & (F.bit_count(F.col(f"{x}bits").bitwiseXOR(F.col(f"{y}bits"))) <= xn + yn - 2 * need)
+            & ((F.greatest(xn, yn) > _COUNTED) | (apart <= xn + yn - 2 * need))
         )
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -125,10 +133,11 @@ def matched_lines(docs: DataFrame, doc_id: str, text: str, percent: int, least_w
         inter = F.size(F.array_intersect("ox", "oy"))
         return both.where(100 * inter >= percent * (F.size("ox") + F.size("oy") - inter)).select(F.col("later").alias("c")).distinct()
 
-    lead = posts.where("c > lead.c").select(F.col("c").alias("later"), F.col("np").alias("xnp"), F.col("bits").alias("xbits"), F.col("lead.c").alias("earlier"), F.col("lead.np").alias("ynp"), F.col("lead.bits").alias("ybits"))
+    marks = lambda p, of: [F.col(f"{of}{c}").alias(f"{p}{c}") for c in ("bits", "k0", "k1")]
+    lead = posts.where("c > lead.c").select(F.col("c").alias("later"), F.col("np").alias("xnp"), *marks("x", ""), F.col("lead.c").alias("earlier"), F.col("lead.np").alias("ynp"), *marks("y", "lead."))
     found = scratch.write(verified(lead.where(may_match("x", "y")).select("later", "earlier")))
-    x = _join_few(posts.select("word", "c", F.col("np").alias("xnp"), F.col("bits").alias("xbits")), found, "c", "left_anti")
-    y = posts.select("word", F.col("c").alias("earlier"), F.col("np").alias("ynp"), F.col("bits").alias("ybits"))
+    x = _join_few(posts.select("word", "c", F.col("np").alias("xnp"), *marks("x", "")), found, "c", "left_anti")
+    y = posts.select("word", F.col("c").alias("earlier"), F.col("np").alias("ynp"), *marks("y", ""))
     pairs = x.join(y, "word").where((F.col("c") > F.col("earlier")) & may_match("x", "y")).select(F.col("c").alias("later"), "earlier")
     gone = scratch.write(found.unionByName(verified(pairs)))
     spark.sql(f"DROP TABLE {name}")
