@@ -120,7 +120,9 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_minhash_near_dedup": sql.op3(),
     "op4_line_dedup": sql.op4(),
     "op5_quality_rules": sql.op5(),
+    "op6_suffix_repeats": sql.op6(),
     "op10_url_filter": sql.op10(),
 }

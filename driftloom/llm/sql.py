@@ -91,3 +91,31 @@ hit AS (SELECT DISTINCT page_id, fetched_at, list FROM seen s JOIN span ON (s.ho
   AND since <= fetched_at AND (until IS NULL OR fetched_at < until) AND starts_with(p, path))
 SELECT s.page_id, s.host, s.fetched_at, coalesce(string_agg(list, ',' ORDER BY list), '') AS lists, count(list) > 0 AS blocked
 FROM seen s LEFT JOIN hit USING (page_id) GROUP BY ALL"""
+
+
+def op3(percent: int = 80) -> str:
+    """Brute force over shared two-word shingles; components by walking the links."""
+    upper = "".join(map(chr, range(65, 91)))
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+x AS (SELECT doc_id, unnest(s) AS t, len(s) AS n FROM s),
+link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b USING (t) WHERE a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+walk AS (SELECT doc_id AS d, doc_id AS c FROM s UNION SELECT e.b, walk.c FROM walk JOIN e ON walk.d = e.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, min(c) AS component_id, doc_id = min(c) AS kept FROM s JOIN walk ON d = doc_id GROUP BY doc_id, s"""
+
+
+def op6(length: int = 200) -> str:
+    """Every window of the table counted by itself."""
+    return f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, md5(b[i:i + {length - 1}]) AS m FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - {length - 2})) AS i FROM d)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY m) AS c FROM w) WHERE c > 1),
+run AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {length} THEN 0 ELSE 1 END AS new FROM hit)),
+span AS (SELECT doc_id, min(i) AS a, max(i) + {length} AS z FROM run GROUP BY doc_id, r),
+piece AS (SELECT doc_id, lag(z, 1, 1) OVER (PARTITION BY doc_id ORDER BY a) AS f, a AS t FROM span UNION ALL SELECT doc_id, coalesce(max(z), 1), octet_length(any_value(b)) + 1 FROM d LEFT JOIN span USING (doc_id) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(CASE WHEN t > f THEN hex(b[f:t - 1]) ELSE '' END, '' ORDER BY f) AS h FROM piece JOIN d USING (doc_id) GROUP BY doc_id),
+size AS (SELECT doc_id, sum(z - a) AS n, count(*) AS k FROM span GROUP BY doc_id)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(k, 0)::BIGINT AS n_spans, sha256(unhex(h)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN size USING (doc_id)"""
