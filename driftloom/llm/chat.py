@@ -110,45 +110,64 @@ def _path(e: np.ndarray, opens: np.ndarray, before: int, after: int) -> np.ndarr
 
 
 def _runs(pdfs: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Blocks of rows with equal keys from batches sorted by them; a block may span batches."""
+    """Rows with equal keys from batches sorted by them; a run may span batches."""
     held = None
     for pdf in pdfs:
         pdf = pdf if held is None else pd.concat((held, pdf), ignore_index=True)
         if len(pdf):
-            change = (pdf[keys] != pdf[keys].shift()).any(axis=1)
-            ids = change.cumsum()
-            yield from (g for _, g in pdf[ids < ids.iloc[-1]].groupby(ids, sort=False))
-            held = pdf[ids == ids.iloc[-1]]
+            change = np.zeros(len(pdf) - 1, bool)
+            for k in keys:
+                v = pdf[k].to_numpy()
+                change |= v[1:] != v[:-1]
+            cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
+            for x, z in zip(cuts, cuts[1:], strict=False):
+                yield pdf.iloc[x:z]
+            held = pdf.iloc[cuts[-1] :]
     if held is not None and len(held):
         yield held
 
 
+def _gathered(parts: Iterator[tuple], names: list[str], rows: int = 5000) -> Iterator[pd.DataFrame]:
+    """Frames of about ``rows`` rows from tuples of equally long sequences."""
+    held, n = [], 0
+    frame = lambda: pd.DataFrame({name: [x for part in held for x in part[i]] for i, name in enumerate(names)})
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= rows:
+            yield frame()
+            held, n = [], 0
+    if held:
+        yield frame()
+
+
 def _matrices(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for g in _runs(pdfs, ["t", "block"]):
-        m = _reduce(*_steps(g))
-        yield pd.DataFrame({"t": [g["t"].iloc[0]], "block": [g["block"].iloc[0]], "m": [m.ravel().tolist()]})
+    found = (((g["t"].iloc[0],), (g["block"].iloc[0],), (_reduce(*_steps(g)).ravel().tolist(),)) for g in _runs(pdfs, ["t", "block"]))
+    yield from _gathered(found, ["t", "block", "m"])
 
 
-def _borders(pdf: pd.DataFrame) -> pd.DataFrame:
-    """From a transcript's block matrices, the states before and at the end of each block."""
-    pdf = pdf.sort_values("block")
+def _border(g: pd.DataFrame) -> tuple:
+    """From a transcript's block matrices in order, the states before and at the end of each block."""
     score, back = np.zeros(_N), []
-    for m in pdf["m"]:
+    for m in g["m"]:
         step = np.asarray(m).reshape(_N, _N) + score[:, None]
         back.append(step.argmax(0))
         score = step.max(0)
-    state, ends = int(score.argmax()), []
+    state, before, after = int(score.argmax()), [], []
     for b in reversed(back):
-        ends.append((int(b[state]), state))
+        after.append(state)
         state = int(b[state])
-    before, after = zip(*reversed(ends), strict=True)
-    return pd.DataFrame({"t": pdf["t"], "block": pdf["block"], "before": before, "after": after})
+        before.append(state)
+    return g["t"].tolist(), g["block"].tolist(), before[::-1], after[::-1]
+
+
+def _borders(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    yield from _gathered(map(_border, _runs(pdfs, ["t"])), ["t", "block", "before", "after"])
 
 
 def _states(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for g in _runs(pdfs, ["t", "block"]):
-        path = _path(*_steps(g), int(g["before"].iloc[0]), int(g["after"].iloc[0]))
-        yield g[["t", "line"]].assign(state=path.astype(np.int32))
+    found = ((g["t"].tolist(), g["line"].tolist(), _path(*_steps(g), int(g["before"].iloc[0]), int(g["after"].iloc[0])).tolist()) for g in _runs(pdfs, ["t", "block"]))
+    yield from _gathered(found, ["t", "line", "state"])
 
 
 def line_roles(lines: DataFrame, transcript: str, order: str, text: str) -> DataFrame:
@@ -176,7 +195,7 @@ def line_roles(lines: DataFrame, transcript: str, order: str, text: str) -> Data
     seen = named.select("t", "block", "line", "marker", "asks", "size")
     dealt = seen.repartition("t", "block").sortWithinPartitions("t", "block", "line")
     matrices = dealt.mapInPandas(_matrices, f"t {kind}, block long, m array<double>")
-    borders = matrices.groupBy("t").applyInPandas(_borders, f"t {kind}, block long, before int, after int")
+    borders = matrices.repartition("t").sortWithinPartitions("t", "block").mapInPandas(_borders, f"t {kind}, block long, before int, after int")
     again = seen.join(borders, ["t", "block"]).repartition("t", "block").sortWithinPartitions("t", "block", "line")
     states = again.mapInPandas(_states, f"t {kind}, line long, state int")
     role = F.get(F.array(*map(F.lit, ROLES)), F.col("state") % 3)
