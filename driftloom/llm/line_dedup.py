@@ -91,7 +91,8 @@ def matched_lines(docs: DataFrame, doc_id: str, text: str, percent: int, least_w
     count = lambda k: F.when(n <= _COUNTED, F.aggregate("o", F.lit(0).cast("long"), lambda a, h: a + one(h, k))).otherwise(F.lit(0).cast("long"))
     lines = scratch.write(sets.select("id", "no", "class", n.alias("n"), bits.alias("bits"), count(0).alias("k0"), count(1).alias("k1"), F.slice("o", F.lit(1), probe).alias("prefix")))
 
-    first = lines.groupBy("class").agg(F.min(F.struct("id", "no")).alias("at"))
+    places = scratch.write(lines.select("id", "no", "class"))
+    first = places.groupBy("class").agg(F.min(F.struct("id", "no")).alias("at"))
     # numbers that ascend with the place, frozen by being written
     first = first.repartitionByRange("at").sortWithinPartitions("at").select("class", "at", F.monotonically_increasing_id().alias("c"))
     first = scratch.write(first)
@@ -105,6 +106,7 @@ def matched_lines(docs: DataFrame, doc_id: str, text: str, percent: int, least_w
     name = f"line_posts_{uuid.uuid4().hex}"
     spots.where("crowd > 1").drop("crowd").write.option("compression", "zstd").bucketBy(parts, "word").saveAsTable(name)
     posts = spark.table(name)
+    scratch.drop(lines)
 
     def may_match(x: str, y: str) -> Column:
         """Length, positional and bitmap filters on columns prefixed x and y; and, with the shorter's word in its index prefix."""
@@ -142,7 +144,7 @@ def matched_lines(docs: DataFrame, doc_id: str, text: str, percent: int, least_w
     gone = scratch.write(found.unionByName(verified(pairs)))
     spark.sql(f"DROP TABLE {name}")
     verdict = first.join(gone.withColumn("gone", F.lit(True)), "c", "left").select("class", "at", F.coalesce("gone", F.lit(False)).alias("gone"))
-    return lines.select("id", "no", "class").join(verdict, "class").select("id", "no", (F.col("gone") | (F.struct("id", "no") != F.col("at"))).alias("gone"))
+    return places.join(verdict, "class").select("id", "no", (F.col("gone") | (F.struct("id", "no") != F.col("at"))).alias("gone"))
 
 
 def _marked(docs: DataFrame, row: list, doc_id: str, text: str, percent: int, least_words: int) -> DataFrame:
