@@ -34,7 +34,7 @@ from driftloom.llm.shared import slices
 #: Bytes that are merged directly, characters and tokens at which the trees over texts end.
 LEAF_BYTES, LEAF_CHARS, LEAF_TOKENS = 12, 1 << 16, 1 << 16
 #: Entries of each cache of a worker; it empties when full, so memory stays bounded.
-CACHED = 250_000
+CACHED = 120_000
 _NONE = 1 << 62
 
 
