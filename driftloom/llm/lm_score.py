@@ -9,10 +9,9 @@ class.
 
 Training is synchronous: in each round every trainer starts from the same parameters, runs Adam
 with back-propagation truncated to windows over its share of the training documents, and the
-parameters are averaged. Windows of ``WINDOW`` tokens start every ``STRIDE`` tokens of each
-training document, from an offset that differs between documents: their number grows with the
-tokens, and no document or length is left out by rule. Scoring carries the state from the first
-token of a document to its end.
+parameters are averaged. Each training document is cut into windows of ``WINDOW`` tokens that
+follow one another, the last as short as what is left with the end mark, so every token and every
+end is a target once. Scoring carries the state from the first token of a document to its end.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ END, RARE = 0, 1
 VOCABULARY, CLASS_SIZE, HIDDEN = 1022, 32, 16
 #: Words whose counts every task holds: 16 bytes each, whatever the corpus.
 LOOKED_UP = 200_000
-WINDOW, STRIDE, BATCH, ROUNDS, RATE = 32, 64, 128, 3, 0.01
+WINDOW, BATCH, ROUNDS, RATE = 32, 128, 3, 0.01
 #: Windows of a trainer in a round: the trainers grow in number with the corpus.
 WINDOWS_EACH = 16_384
 SCORED_TOGETHER, STEPS_TOGETHER = 512, 16
@@ -119,17 +118,22 @@ def output(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray, grads: d
     return score, back
 
 
-def loss_and_gradients(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray):
-    """Mean negative log-likelihood of windows (steps x batch) from an empty state, and its gradients."""
+def loss_and_gradients(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, real: np.ndarray | None = None):
+    """Mean negative log-likelihood of windows (steps x batch) from an empty state, and its gradients.
+
+    Only the targets that are ``real`` count; what is not stands behind a window's end.
+    """
     steps, batch = inputs.shape
+    real = np.ones(inputs.shape, bool) if real is None else real
     g = {k: np.zeros(s, np.float32) for k, s in _SHAPES.items()}
     table, h, kept, states = gate_inputs(p), np.zeros((batch, HIDDEN), np.float32), [], []
     for t in range(steps):
         h, way = step(p, table, inputs[t], h)
         kept.append(way)
         states.append(h)
-    score, back = output(p, np.concatenate(states), targets.ravel(), g)
-    back = back.reshape(steps, batch, HIDDEN)
+    score, some = output(p, np.stack(states)[real], targets[real], g)
+    back = np.zeros((steps, batch, HIDDEN), some.dtype)
+    back[real] = some
     n, dh, gates = HIDDEN, np.zeros((batch, HIDDEN), np.float32), []
     wz, wn = p["wh"][:, : 2 * n], p["wh"][:, 2 * n :]
     for t in range(steps - 1, -1, -1):
@@ -148,7 +152,7 @@ def loss_and_gradients(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np
     np.add.at(per_word, inputs.ravel(), d)
     g["wx"] += p["embed"].T @ per_word
     g["embed"] += per_word @ p["wx"].T
-    total = steps * batch
+    total = len(score)
     return -float(score.mean()), {k: v / total for k, v in g.items()}
 
 
@@ -253,36 +257,48 @@ def _encode_batches(hashes: np.ndarray, counts: np.ndarray, ranks: np.ndarray):
 
 
 def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, window) for each window of each document, the end mark of the one before in front."""
+    """(row, window) for all windows of each document, each with the token before in front, the first with an end mark."""
     for batch in batches:
         rows, out = [], []
         for row, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             ids = np.concatenate(([END], ids.values.to_numpy(zero_copy_only=False))).astype(np.int16)
-            for a in range((row * 2654435761) % STRIDE, len(ids) - WINDOW, STRIDE):
+            for a in range(0, len(ids) - 1, WINDOW):
                 rows.append(row * 31 + a)
                 out.append(ids[a : a + WINDOW + 1])
-        at = np.arange(len(out) + 1, dtype=np.int32) * (WINDOW + 1)
+        at = np.cumsum([0, *map(len, out)]).astype(np.int32)
         body = np.concatenate([*out, np.zeros(0, np.int16)]).astype(np.int16)
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(body))], names=["row", "window"])
 
 
+def _block(windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Windows as columns, filled up behind their ends, and which targets are real."""
+    sizes = np.array([len(w) for w in windows])
+    ids = np.full((sizes.max(), len(windows)), END, np.int64)
+    for j, w in enumerate(windows):
+        ids[: len(w), j] = w
+    return ids, np.arange(1, sizes.max())[:, None] < sizes
+
+
 def _train_batches(flat: np.ndarray):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, waiting, done = unpack(flat), [], 0
         adam = Adam(p)
 
-        def learn() -> None:
-            block = np.array(waiting, np.int64).T
-            adam.update(p, loss_and_gradients(p, block[:-1], block[1:])[1])
+        def learn(windows: list[np.ndarray]) -> None:
+            block, real = _block(windows)
+            adam.update(p, loss_and_gradients(p, block[:-1], block[1:], real)[1])
 
         for batch in batches:
-            for window in batch.column(1):
-                waiting.append(window.values.to_numpy(zero_copy_only=False))
-                if len(waiting) == BATCH:
-                    learn()
-                    waiting, done = [], done + 1
-        if len(waiting) >= 8:
-            learn()
+            body, at = batch.column(1).values.to_numpy(zero_copy_only=False), batch.column(1).offsets.to_numpy()
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                waiting.append(body[a:b])
+                if len(waiting) == 2 * BATCH:
+                    learn(waiting[:BATCH])
+                    waiting, done = waiting[BATCH:], done + 1
+        # what is left is dealt over equal blocks, so that none is a few windows beside full ones
+        blocks = -(-len(waiting) // BATCH)
+        for k in range(blocks):
+            learn(waiting[k::blocks])
             done += 1
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64()), pa.array([pack(p)], pa.list_(pa.float32()))], names=["updates", "p"])

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from driftloom.llm import lm_score
@@ -67,3 +68,35 @@ def test_empty(spark):
     assert lm_score.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = lm_score.score_documents(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).first()
     assert one.n_tokens == 3 and one.train_tokens == 3
+
+
+def test_every_token_and_end_is_a_target_once():
+    docs = [[*np.random.default_rng(n).integers(1, 1024, n - 1).tolist(), lm_score.END] for n in (1, 2, 31, 32, 33, 64, 94, 200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs)), pa.int64()), pa.array(docs, pa.list_(pa.int16()))], names=["row", "ids"])
+    windows = [w for b in lm_score._window_batches(iter([batch])) for w in b.column(1).to_pylist()]
+    assert [t for w in windows for t in w[1:]] == [t for d in docs for t in d]
+    assert all(2 <= len(w) <= lm_score.WINDOW + 1 for w in windows)
+
+
+def test_filled_up_windows_count_as_themselves():
+    p = {k: v.astype(np.float64) for k, v in lm_score.initial(np.ones(1024), 2).items()}
+    windows = [np.random.default_rng(n).integers(0, 1024, n) for n in (2, 5, 33)]
+    block, real = lm_score._block(windows)
+    loss, g = lm_score.loss_and_gradients(p, block[:-1], block[1:], real)
+    alone = [(len(w) - 1, *lm_score.loss_and_gradients(p, w[:-1, None], w[1:, None])) for w in windows]
+    total = sum(n for n, _, _ in alone)
+    assert loss == pytest.approx(sum(n * x for n, x, _ in alone) / total)
+    for k in g:
+        assert np.allclose(g[k], sum(n * x[k] for n, _, x in alone) / total, atol=1e-7)
+
+
+def test_leftover_blocks_are_trained_on(monkeypatch):
+    seen = []
+    real_one = lm_score.loss_and_gradients
+    monkeypatch.setattr(lm_score, "loss_and_gradients", lambda p, i, t, real=None: (seen.append(i.shape[1]), real_one(p, i, t, real))[1])
+    flat = lm_score.pack(lm_score.initial(np.ones(1024)))
+    for n in (1, 7, 128, 131, 300):
+        seen.clear()
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([[0, 5, 0]] * n, pa.list_(pa.int16()))], names=["row", "window"])
+        (out,) = lm_score._train_batches(flat)(iter([batch.slice(0, n // 2), batch.slice(n // 2)]))
+        assert sum(seen) == n and out.column(0).to_pylist() == [len(seen)]
