@@ -16,6 +16,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftloom.functions import numeric as n
+from driftloom.operators.lineage import cut, stored
+
+#: Batches that one task takes in turn before the driver hands the matrix to the next task.
+CHAIN = 200
 
 
 def ring(long: DataFrame, size: int) -> DataFrame:
@@ -134,6 +138,29 @@ def expectation(rows: DataFrame, sigma: np.ndarray) -> DataFrame:
     return rows.mapInPandas(work, "row_id long, x array<double>")
 
 
+def _add_rows(sums: tuple[int, np.ndarray, np.ndarray], pdf: pd.DataFrame, sigma: np.ndarray, cache: dict) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number, sum and second moments of the imputed latents of all rows so far."""
+    k, one, two = sums
+    a = [np.array(pdf[c].tolist(), float).reshape(-1, len(sigma)) for c in ("z", "lo", "hi")]
+    for r in zip(*a, strict=True):
+        x, c = expect_row(*r, sigma, cache)
+        k, one, two = k + 1, one + x, two + np.outer(x, x) + c
+    return k, one, two
+
+
+def _next_matrix(k: int, one: np.ndarray, two: np.ndarray, sigma: np.ndarray) -> np.ndarray:
+    """The matrix that the sums give; fewer than two rows leave it."""
+    if k < 2:
+        return sigma
+    mean = one / k
+    return to_correlation((two - k * np.outer(mean, mean)) / (k - 1))
+
+
+def _local_moments(pdf: pd.DataFrame, sigma: np.ndarray) -> np.ndarray:
+    """:func:`moments` of the rows of one batch, inside a task."""
+    return _next_matrix(*_add_rows((0, np.zeros(len(sigma)), np.zeros_like(sigma)), pdf, sigma, {}), sigma)
+
+
 def moments(rows: DataFrame, sigma: np.ndarray) -> np.ndarray:
     """The next correlation matrix: covariance of the imputed latents and the mean conditional covariance.
 
@@ -142,21 +169,18 @@ def moments(rows: DataFrame, sigma: np.ndarray) -> np.ndarray:
     p = len(sigma)
 
     def work(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, k, one, two = {}, 0, np.zeros(p), np.zeros((p, p))
+        cache, sums = {}, (0, np.zeros(p), np.zeros((p, p)))
         for pdf in pdfs:
-            a = [np.array(pdf[c].tolist(), float).reshape(-1, p) for c in ("z", "lo", "hi")]
-            for r in zip(*a, strict=True):
-                x, c = expect_row(*r, sigma, cache)
-                k, one, two = k + 1, one + x, two + np.outer(x, x) + c
+            sums = _add_rows(sums, pdf, sigma, cache)
+        k, one, two = sums
         yield pd.DataFrame({"k": [k], "v": [np.concatenate((one, two.ravel())).tolist()]})
 
     parts = rows.mapInPandas(work, "k long, v array<double>").select("k", F.posexplode("v").alias("i", "x"))
     sums = parts.groupBy("i").agg(F.sum("x").alias("x"), F.sum("k").alias("k")).toPandas().sort_values("i")
-    if sums.empty or sums["k"].iloc[0] < 2:
+    if sums.empty:
         return sigma
-    v, k = sums["x"].to_numpy(), int(sums["k"].iloc[0])
-    mean = v[:p] / k
-    return to_correlation((v[p:].reshape(p, p) - k * np.outer(mean, mean)) / (k - 1))
+    v = sums["x"].to_numpy()
+    return _next_matrix(int(sums["k"].iloc[0]), v[:p], v[p:].reshape(p, p), sigma)
 
 
 def to_correlation(c: np.ndarray) -> np.ndarray:
@@ -172,24 +196,55 @@ def batch_decay(j: int, changing: bool) -> float:
     return 8 / (j + 8) if changing else 0.5
 
 
-def fit(rows: DataFrame, width: int, most_rounds: int = 50, least_change: float = 0.01) -> np.ndarray:
-    """Batch EM: rounds until the matrix changes by less than one part in a hundred."""
+def _until_still(step, width: int, most_rounds: int, least_change: float) -> np.ndarray:
     sigma = np.eye(width)
     for _ in range(most_rounds):
-        new = moments(rows, sigma)
+        new = step(sigma)
         if scaled_difference(sigma, new) < least_change:
             return new
         sigma = new
     return sigma
 
 
-def fit_batches(rows: DataFrame, width: int, size: int, count: int, changing: bool = True) -> np.ndarray:
-    """Online EM: one step for each batch of ``size`` rows, blended with what came before."""
-    sigma = np.eye(width)
-    for j in range(count):
-        d = batch_decay(j + 1, changing)
-        new = moments(rows.where(F.floor(F.col("row_id") / size) == j), sigma)
-        sigma = d * new + (1 - d) * sigma
+def fit(rows: DataFrame, width: int, most_rounds: int = 50, least_change: float = 0.01) -> np.ndarray:
+    """Batch EM: rounds until the matrix changes by less than one part in a hundred."""
+    return _until_still(lambda sigma: moments(rows, sigma), width, most_rounds, least_change)
+
+
+def fit_batches(rows: DataFrame, width: int, size: int, count: int | None = None, changing: bool = True) -> np.ndarray:
+    """Online EM: one step for each batch of ``size`` rows, blended with what came before.
+
+    All batches up to the largest row_id, or the first ``count``. Each step needs the matrix of the
+    one before, so tasks follow one another; each takes ``CHAIN`` batches and holds one at a time.
+    """
+    rows, sigma = stored(rows, "row_id"), np.eye(width)
+    if count is None:
+        last = rows.agg(F.max("row_id")).first()[0]
+        count = 0 if last is None else last // size + 1
+
+    def chained(sigma: np.ndarray):
+        def work(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            now, sums, at = sigma, None, None
+
+            def blended() -> np.ndarray:
+                d = batch_decay(at + 1, changing)
+                return d * _next_matrix(*sums, now) + (1 - d) * now
+
+            for pdf in pdfs:
+                for j, part in pdf.groupby(pdf["row_id"] // size):
+                    if j != at:
+                        now = blended() if sums else now
+                        sums, at, cache = (0, np.zeros(width), np.zeros((width, width))), int(j), {}
+                    sums = _add_rows(sums, part, now, cache)
+            if sums:
+                yield pd.DataFrame({"v": [blended().ravel().tolist()]})
+
+        return work
+
+    for a in range(0, count, CHAIN):
+        some = rows.where(F.col("row_id").between(a * size, min(a + CHAIN, count) * size - 1)).coalesce(1).sortWithinPartitions("row_id")
+        for r in some.mapInPandas(chained(sigma), "v array<double>").collect():
+            sigma = np.array(r.v).reshape(width, width)
     return sigma
 
 
@@ -203,18 +258,29 @@ def widen(sigma: np.ndarray, width: int) -> np.ndarray:
 def impute(long: DataFrame, ordinal: list[int], width: int, sigma: np.ndarray) -> DataFrame:
     """(row_id, feature_id, value): missing cells at the observed quantile of their latent mean.
 
-    Continuous: linear between sorted values. Ordinal: the value at that place.
+    Continuous: linear between sorted values. Ordinal: the value at place ceil((n + 1) q - 1), as in
+    the reference. Sorted values are numbered in ranges, by place in the range and the ranges before.
     """
     cells = latent(long, ordinal)
     x = expectation(rows_of(cells, width), sigma).select("row_id", F.posexplode("x").alias("feature_id", "z"))
-    q = n.col(n.norm_cdf("z"))
-    sorted_ = long.where("value is not null").groupBy("feature_id").agg(F.percentile("value", F.array(*(F.lit(i / 200) for i in range(201)))).alias("grid"))
-    gone = long.where("value is null").join(x, ["row_id", "feature_id"]).join(F.broadcast(sorted_), "feature_id").withColumn("q", q * 200)
-    low = F.floor("q").cast("int")
-    at = lambda i: F.get("grid", i)
-    linear = at(low) + (at(F.least(low + 1, F.lit(200))) - at(low)) * (F.col("q") - low)
-    level = at(F.least(F.ceil(F.col("q")).cast("int"), F.lit(200)))
-    filled = gone.select("row_id", "feature_id", F.when(F.col("feature_id").isin(ordinal), F.round(level)).otherwise(linear).alias("value"))
+    order = ["feature_id", "value", "row_id"]
+    seen = long.where("value is not null").select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    seen = cut(seen.withColumn("no", F.monotonically_increasing_id()))
+    # one row for each range and feature
+    parts = seen.groupBy("feature_id", F.shiftright("no", 33).alias("part")).agg(F.min("no").alias("first"), F.count("*").alias("k"))
+    w = Window.partitionBy("feature_id").orderBy("part")
+    parts = parts.withColumn("before", F.sum("k").over(w) - F.col("k")).withColumn("n", F.sum("k").over(Window.partitionBy("feature_id")))
+    placed = seen.withColumn("part", F.shiftright("no", 33)).join(F.broadcast(parts), ["feature_id", "part"])
+    placed = placed.select("feature_id", (F.col("no") - F.col("first") + F.col("before")).alias("place"), "value")
+    sizes = parts.select("feature_id", "n").distinct()
+    gone = long.where("value is null").select("row_id", "feature_id").join(x, ["row_id", "feature_id"]).join(F.broadcast(sizes), "feature_id", "left")
+    q, is_level = n.col(n.norm_cdf("z")), F.col("feature_id").isin(ordinal)
+    at = F.when(is_level, F.greatest(F.ceil(F.round((F.col("n") + 1) * q - 1, 3)), F.lit(0))).otherwise(q * (F.col("n") - 1))
+    gone = gone.withColumn("at", F.least(at.cast("double"), (F.col("n") - 1).cast("double"))).withColumn("low", F.floor("at"))
+    gone = gone.withColumn("high", F.least(F.col("low") + 1, F.col("n") - 1))
+    value_at = lambda c: placed.select("feature_id", F.col("place").alias(c), F.col("value").alias(f"{c}_value"))
+    both = gone.join(value_at("low"), ["feature_id", "low"], "left").join(value_at("high"), ["feature_id", "high"], "left")
+    filled = both.select("row_id", "feature_id", (F.col("low_value") + (F.col("high_value") - F.col("low_value")) * (F.col("at") - F.col("low"))).alias("value"))
     return long.where("value is not null").select("row_id", "feature_id", "value").unionByName(filled)
 
 
@@ -226,18 +292,41 @@ def differences(old: np.ndarray, new: np.ndarray) -> tuple[float, float, float]:
     return float(np.sqrt((s * s).sum())), float(s.max()), float(s.sum())
 
 
+def _drawn(old: np.ndarray, rows: int, seed: int, i: int) -> tuple[float, float, float]:
+    x = np.random.default_rng([seed, i]).multivariate_normal(np.zeros(len(old)), old, rows)
+    return differences(old, to_correlation(np.cov(x.T)))
+
+
 def change_test(spark, old: np.ndarray, new: np.ndarray, rows: int, samples: int = 100, seed: int = 1) -> tuple[float, ...]:
     """p-values of the three differences: how often fresh samples from the old law differ as much."""
-    seen, p = differences(old, new), len(old)
+    seen = differences(old, new)
 
     def work(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
-            out = []
-            for i in pdf["id"]:
-                x = np.random.default_rng([seed, int(i)]).multivariate_normal(np.zeros(p), old, rows)
-                out.append(differences(old, to_correlation(np.cov(x.T))))
-            yield pd.DataFrame(out, columns=["a", "b", "c"])
+            yield pd.DataFrame([_drawn(old, rows, seed, int(i)) for i in pdf["id"]], columns=["a", "b", "c"])
 
     drawn = spark.range(samples).mapInPandas(work, "a double, b double, c double")
     r = drawn.agg(*(F.count_if(F.col(c) >= v) for c, v in zip("abc", seen, strict=True))).first()
     return tuple((k + 1) / (samples + 1) for k in r)
+
+
+def batch_changes(rows: DataFrame, width: int, size: int, samples: int = 100, seed: int = 1) -> DataFrame:
+    """(batch, frobenius, spectral, nuclear): :func:`change_test` of each batch of ``size`` rows against the one before.
+
+    The earlier batch is fitted by EM. A task holds two batches at a time.
+    """
+
+    def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        j = key[0]
+        before, now = (pdf[(pdf["row_id"] // size) == k].sort_values("row_id") for k in (j - 1, j))
+        names = ["frobenius", "spectral", "nuclear"]
+        if len(before) < 2 or len(now) < 2:
+            return pd.DataFrame(columns=["batch", *names]).astype({"batch": "int64"} | dict.fromkeys(names, "float64"))
+        old = _until_still(lambda sigma: _local_moments(before, sigma), width, 50, 0.01)
+        seen = differences(old, _local_moments(now, old))
+        drawn = np.array([_drawn(old, len(now), seed, i) for i in range(samples)])
+        return pd.DataFrame([(j, *((1 + (drawn >= seen).sum(0)) / (samples + 1)))], columns=["batch", *names])
+
+    j = F.floor(F.col("row_id") / size)
+    both = rows.select("row_id", "z", "lo", "hi", F.explode(F.array(j, j + 1)).alias("batch"))
+    return both.groupBy("batch").applyInPandas(work, "batch long, frobenius double, spectral double, nuclear double")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftloom.functions import numeric as n
 from driftloom.operators import copula
+from driftloom.operators.lineage import cut
 from driftloom.plans.registry import register
 from driftloom.plans.tables import MASKED, masked_long
 
@@ -70,23 +71,21 @@ def pair_expectation(spark, sf_dir):
 def copula_matrix(spark, sf_dir):
     """The latent correlations after batch EM."""
     rows = copula.rows_of(copula.latent(masked_long(spark, sf_dir), ORDINAL), 4)
-    sigma = copula.fit(rows, 4, most_rounds=6)
+    sigma = copula.fit(cut(rows), 4)
     return spark.createDataFrame([(i, j, float(sigma[i, j])) for i in range(4) for j in range(4)], "i int, j int, rho double")
 
 
 @register("copula_imputed")
 def copula_imputed(spark, sf_dir):
-    """The stream with its missing cells filled after two batches of online EM."""
+    """The stream with its missing cells filled after online EM over all batches of 500."""
     cells = masked_long(spark, sf_dir)
     rows = copula.rows_of(copula.latent(cells, ORDINAL), 4)
-    sigma = copula.fit_batches(rows, 4, 500, 2)
+    sigma = copula.fit_batches(rows, 4, 500)
     return copula.impute(cells, ORDINAL, 4, sigma)
 
 
 @register("copula_change")
 def copula_change(spark, sf_dir):
-    """Whether the correlations changed between two batches."""
+    """Whether the correlations changed from each batch of 500 to the next."""
     rows = copula.rows_of(copula.latent(masked_long(spark, sf_dir), ORDINAL), 4)
-    old = copula.widen(copula.fit(rows.where("row_id < 500"), 4, 3), 4)
-    p = copula.change_test(spark, old, copula.moments(rows.where("row_id between 500 and 999"), old), 500)
-    return spark.createDataFrame([tuple(map(float, p))], "frobenius double, spectral double, nuclear double")
+    return copula.batch_changes(rows, 4, 500)
