@@ -209,7 +209,8 @@ def search(
     lengths = clean.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     if lengths is None:
         return clean.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
-    clean = clean.where(F.size("v") == lengths["d"])
+    # before blocks take their k nearest, so that no repeated row takes the place of another
+    clean = clean.where(F.size("v") == lengths["d"]).dropDuplicates(["id", "v"])
     some = clean.select("v").orderBy(F.xxhash64("id"), "id").limit(sample).toArrow().column(0).combine_chunks()
     router, visits = fit(_matrix(some), k, parts, recall)
     schema = "id long, v array<double>, parts array<int>"

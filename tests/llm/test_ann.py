@@ -50,6 +50,15 @@ def test_copies_ties_and_odd_rows(spark):
     assert [i for i, _ in got[40]] == want[40] and [i for i, _ in got[60]] == want[60]
 
 
+def test_repeated_rows_leave_room_for_others(spark):
+    r = np.random.default_rng(4)
+    x = r.standard_normal((300, 8))
+    x[41] = 2 * x[40]  # the nearest of 40
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows + [rows[41]] * 50 + [rows[60]] * 3, "vec_id long, embedding array<double>")
+    assert {q: [i for i, _ in v] for q, v in found(df, recall=1.0).items()} == exact(np.arange(300), x, range(0, 300, 20), 20)
+
+
 def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert found(df) == {0: [(2, 1.0), (1, 0.0)]}
