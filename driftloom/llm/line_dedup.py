@@ -1,20 +1,26 @@
 """Line deduplication by an exact set-similarity join.
 
-A line is the set of its lower-cased words. Words are ordered from rare to common: their corpus
-counts, kept in a fixed number of hash buckets, give a level (the count's logarithm), and words of
-a level are ordered by hash. Two sets of similarity t share one of the first
-|x| - ceil(t |x|) + 1 words of the longer and |y| - ceil(2t/(1+t) |y|) + 1 of the shorter (prefix
-filter); where they first meet and how long they are bounds their overlap (positional and length
-filter), and so do a 64-bit parity bitmap of each set and counts of its words by 14 classes. Survivors are verified on the full sets.
-
-Equal lines (but for case) are one class, numbered by its first place, so that a line of any
-frequency is one row. Each word's lines are first compared with the earliest of them alone; only
-lines that this leaves standing meet all earlier lines of their prefix words. What is shuffled is
-the prefix, never the text. Only DataFrame functions are used.
+A line is the set of its lower-cased words. Words are ordered from rare to common: counts over the
+whole corpus, kept in hash buckets that grow with it up to a fixed number, give a level (the
+count's logarithm), and words of a level are ordered by hash. Two sets of similarity t that overlap
+in two words or more share two of the first |x| - ceil(t |x|) + 2 words of each (prefix filter,
+one word longer than needed); where a shared word stands and how long the lines are bounds their
+overlap (positional and length filter), and so does a 64-bit parity bitmap of each set. Pairs that
+share two such words are verified on the full sets of words.
+
+* Equal lines (but for case) are found first, by 128-bit hashes; all but the first are gone and
+  never reach the join, so that a line of any frequency is one row there.
+* Each word's lines are first compared with the earliest of them alone; only lines that this
+  leaves standing meet all earlier lines of their prefix words.
+* A word of a hot bucket makes no group of its own: it is posted together with each later word of
+  the prefix, which is exact because a second shared word is sure.
+
+What is shuffled for all lines is the prefix, never the text. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,16 +28,17 @@ from pyspark.sql import functions as F
 
 from driftloom.llm.shared import Scratch
 
-LEAST_WORDS, PERCENT = 5, 80
-#: Hash buckets of the word counts: the only thing that the driver sees, whatever the corpus.
-BUCKETS = 1 << 16
-#: Rows up to which a side is broadcast; above, the join shuffles.
-FEW = 1_000_000
+PERCENT = 80
+#: Hash buckets of the word counts, at least and at most; between them one for each CHARS characters.
+BUCKETS, CHARS = (1 << 16, 1 << 20), 4096
+#: Occurrences from which a bucket is hot, if that is 64 times the mean of all buckets or more.
+HOT_COUNT = 4096
+#: Bytes up to which a side is broadcast; above, the join shuffles.
+BROADCAST_BYTES = 32 << 20
+_HOT = 15 << 58
 _LOW = (1 << 58) - 1
 _BLANK = " \t\n\x0b\x0c\r"
-_ONE = 1 << 20
-#: Words up to which a line's counters cannot overflow.
-_COUNTED = 511
+_PLACE = ["id", "sub", "no"]
 
 
 def _plain(line: Column) -> Column:
@@ -42,147 +49,178 @@ def _plain(line: Column) -> Column:
 
 
 def _words(line: Column) -> Column:
-    """Words by single spaces; an empty one stands for what lies between two."""
-    return F.split(line, " ")
+    """Words by single spaces, without the empty ones that lie between two."""
+    return F.array_remove(F.split(line, " "), "")
 
 
-def _levels(docs: DataFrame) -> bytes:
-    """The logarithm of each bucket's word count, as a letter; for order only, so words may hold a line end."""
-    word = docs.select(F.explode(_words(F.lower("text"))).alias("w"))
-    counts = word.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg(F.count("*").alias("n"))
-    out = bytearray(b"@" * BUCKETS)
-    for b, n in counts.collect():
-        out[b] = 64 + min(31, int(n).bit_length())
-    return bytes(out)
+class _Order:
+    """Keys of words that ascend from rare to common."""
 
+    def __init__(self, docs: DataFrame, chars: int):
+        """Counts every word of ``docs``; for order only, so a word may hold a line end."""
+        self.buckets = BUCKETS[0]
+        while self.buckets < min(BUCKETS[1], chars // CHARS):
+            self.buckets *= 2
+        word = docs.select(F.explode(F.split(F.lower("text"), " ")).alias("w"))
+        counts = word.groupBy(F.xxhash64("w").bitwiseAND(F.lit(self.buckets - 1)).alias("b")).agg(F.count("*").alias("n")).toPandas()
+        hot = max(HOT_COUNT, 64 * int(counts["n"].sum()) // self.buckets)
+        unit = max(1, hot >> 12)
+        packed = [0] * (self.buckets // 16)
+        for b, n in zip(counts["b"].tolist(), counts["n"].tolist(), strict=True):
+            packed[b >> 4] |= (15 if n >= hot else (n // unit).bit_length()) << 4 * (b & 15)
+        # sixteen levels a long; a constant that the plan holds once
+        self.levels = F.from_json(F.lit(json.dumps([x - (1 << 64) if x >> 63 else x for x in packed])), "array<bigint>")
 
-def _ordered(words: Column, levels: bytes) -> Column:
-    """Distinct words as longs that ascend from rare to common."""
-    table = F.lit(levels)
+    def _key(self, h: Column) -> Column:
+        pack = F.get(self.levels, F.shiftright(h, 4).bitwiseAND(F.lit(self.buckets // 16 - 1)).cast("int"))
+        level = F.call_function("shiftright", pack, (h.bitwiseAND(F.lit(15)) * 4).cast("int")).bitwiseAND(F.lit(15))
+        return F.shiftleft(level, 58).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
 
-    def key(h: Column) -> Column:
-        letter = F.ascii(F.substring(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.shiftleft((letter - 64).cast("long"), 58).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
+    def keys(self, words: Column) -> Column:
+        return F.sort_array(F.array_distinct(F.transform(F.transform(words, lambda w: F.xxhash64(w)), self._key)))
 
-    hashes = F.array_distinct(F.transform(F.array_remove(words, ""), lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(hashes, key))
 
+def _join(big: DataFrame, few: DataFrame, on: list[str] | Column, how: str, row_bytes: int) -> DataFrame:
+    """Broadcasts ``few`` (a written table) if its rows of about ``row_bytes`` are few enough, else leaves the join to Spark."""
+    return big.join(F.broadcast(few) if few.count() * row_bytes <= BROADCAST_BYTES else few, on, how)
 
-def _join_few(big: DataFrame, few: DataFrame, on: str, how: str) -> DataFrame:
-    """Broadcasts ``few`` (a written table) if it has few rows."""
-    return big.join(F.broadcast(few) if few.count() <= FEW else few, on, how)
 
+def _numbered(docs: DataFrame, doc_id: str, text: str, scratch: Scratch) -> tuple[DataFrame, int]:
+    """``docs`` with id, sub and text, and how many characters there are.
 
-def matched_lines(docs: DataFrame, doc_id: str, text: str, percent: int, least_words: int, scratch: Scratch) -> DataFrame:
-    """(id, no, gone) for every line of at least ``least_words`` words; gone if it has an earlier match."""
-    spark = docs.sparkSession
-    slim = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    levels = _levels(slim)
-    cells = slim.select("id", F.posexplode(F.split("text", "\n")).alias("no", "raw")).select("id", "no", _plain(F.col("raw")).alias("line"))
-    words = cells.select("id", "no", F.xxhash64("line").alias("class"), F.array_remove(_words(F.col("line")), "").alias("w"))
-    # the guard uses w twice, so that it is split once
-    sets = words.where(F.size("w") >= least_words).select("id", "no", "class", _ordered(F.col("w"), levels).alias("o"))
+    sub tells rows apart that share an id but not the text; it is 0 where an id has one text.
+    """
+    keyed = docs.withColumns({"dedup_id": F.col(doc_id), "dedup_text": F.col(text).cast("string")})
+    keyed = keyed.withColumn("dedup_hash", F.xxhash64("dedup_text"))
+    known = keyed.where("dedup_id is not null and dedup_text is not null")
+    each = known.groupBy("dedup_id").agg(F.min("dedup_hash").alias("a"), F.max("dedup_hash").alias("z"), F.sum(F.length("dedup_text")).alias("chars"))
+    chars = each.agg(F.sum("chars"), F.sum((F.col("a") != F.col("z")).cast("long"))).first()
+    if chars[1]:
+        clash = scratch.write(each.where("a <> z").select("dedup_id", F.lit(True).alias("clashes")))
+        keyed = _join(keyed, clash, ["dedup_id"], "left", 32)
+    else:
+        keyed = keyed.withColumn("clashes", F.lit(None).cast("boolean"))
+    sub = F.when(F.col("clashes"), F.col("dedup_hash")).otherwise(F.lit(0).cast("long"))
+    return keyed.withColumn("dedup_sub", sub).drop("clashes", "dedup_hash"), int(chars[0] or 0)
+
+
+def _near(x: str, y: str, percent: int) -> Column:
+    """Bitmap, length and positional filter on columns prefixed ``x`` and ``y``; the place of a second shared word passes."""
+    both = F.col(f"{x}n") + F.col(f"{y}n")
+    return (
+        (F.bit_count(F.col(f"{x}bits").bitwiseXOR(F.col(f"{y}bits"))) * (100 + percent) <= (100 - percent) * both)
+        & (100 * F.least(f"{x}n", f"{y}n") >= percent * F.greatest(f"{x}n", f"{y}n"))
+        & ((F.least(F.col(f"{x}n") - F.col(f"{x}p"), F.col(f"{y}n") - F.col(f"{y}p")) + 1) * (100 + percent) >= percent * both)
+    )
+
+
+def matched_lines(texts: DataFrame, chars: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(id, sub, no) of every line of (id, sub, text) that has a word and an earlier match."""
+    spark = texts.sparkSession
+    order = _Order(texts, chars)
+    lines = texts.select("id", "sub", F.posexplode(F.split("text", "\n")).alias("no", "raw")).select(*_PLACE, _plain(F.col("raw")).alias("line"))
+    lines = lines.where(F.btrim("line") != "")
+    hashed = lines.withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(7), "line")})
+
+    often = hashed.groupBy("k1", "k2").agg(F.min(F.struct(*_PLACE)).alias("at"), F.count("*").alias("copies")).where("copies > 1")
+    often = scratch.write(often.select("k1", "k2", F.col("at.id").alias("id1"), F.col("at.sub").alias("sub1"), F.col("at.no").alias("no1")))
+    # of its class, but not the first
+    copy = (hashed["k1"] == often["k1"]) & (hashed["k2"] == often["k2"]) & ~((hashed["id"] == often["id1"]) & (hashed["sub"] == often["sub1"]) & (hashed["no"] == often["no1"]))
+    copies = scratch.write(_join(hashed, often, copy, "left_semi", 64).select(*_PLACE))
+
+    heads = _join(hashed, often, copy, "left_anti", 64).select(*_PLACE, order.keys(_words(F.col("line"))).alias("o"))
     n = F.size("o")
-    probe = n - F.ceil(n * percent / 100.0 - 1e-9).cast("int") + 1
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
     bits = F.aggregate("o", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
-    # 14 counters of 9 bits: how many words fall into each of 14 classes
-    one = lambda h, k: F.when(F.floor(F.pmod(h, F.lit(14)) / 7) == k, F.call_function("shiftleft", F.lit(1).cast("long"), (F.pmod(h, F.lit(7)) * 9).cast("int"))).otherwise(F.lit(0).cast("long"))
-    count = lambda k: F.when(n <= _COUNTED, F.aggregate("o", F.lit(0).cast("long"), lambda a, h: a + one(h, k))).otherwise(F.lit(0).cast("long"))
-    lines = scratch.write(sets.select("id", "no", "class", n.alias("n"), bits.alias("bits"), count(0).alias("k0"), count(1).alias("k1"), F.slice("o", F.lit(1), probe).alias("prefix")))
-
-    places = scratch.write(lines.select("id", "no", "class"))
-    first = places.groupBy("class").agg(F.min(F.struct("id", "no")).alias("at"))
-    # numbers that ascend with the place, frozen by being written
-    first = first.repartitionByRange("at").sortWithinPartitions("at").select("class", "at", F.monotonically_increasing_id().alias("c"))
-    first = scratch.write(first)
-    heads = lines.join(first.select(F.col("at.id").alias("id"), F.col("at.no").alias("no"), "c"), ["id", "no"]).dropDuplicates(["c"])
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spots = heads.select("c", "bits", "k0", "k1", "n", F.posexplode("prefix").alias("p", "word"))
-    by_word = Window.partitionBy("word")
-    # size and place in one number; places end at a fifth of the size or so
-    spots = spots.select("word", "c", (F.col("n").cast("long") * _ONE + F.least("p", F.lit(_ONE - 1))).alias("np"), "bits", "k0", "k1")
-    spots = spots.withColumn("lead", F.min(F.struct("c", "np", "bits", "k0", "k1")).over(by_word)).withColumn("crowd", F.count("*").over(by_word))
+    prefix = F.slice("o", F.lit(1), n - F.ceil(n * percent / 100.0 - 1e-9).cast("int") + 2)
+    heads = heads.select(*_PLACE, n.alias("n"), bits.alias("bits"), prefix.alias("prefix"))
+    heads = heads.withColumn("hot", (F.col("n") > 1) & (F.element_at("prefix", -1) >= _HOT))
+    heads = heads.withColumn("later", F.when(F.col("hot"), F.col("prefix")).otherwise(F.array().cast("array<bigint>")))
+    posts = heads.select(*_PLACE, "n", "bits", (F.col("hot") | (F.col("n") == 1)).alias("solo"), "later", F.posexplode("prefix").alias("p", "word"))
+    paired = (F.col("n") > 1) & (F.col("word") >= _HOT)
+    with_ = F.when(paired, F.slice("later", F.col("p") + 2, F.size("later"))).otherwise(F.array(F.lit(0).cast("long")))
+    posts = posts.select(*_PLACE, "n", "p", "bits", "solo", "word", F.explode(with_).alias("with"))
+    posts = posts.withColumn("word", F.when(paired, F.xxhash64("word", "with")).otherwise(F.col("word"))).drop("with")
+
+    place = Window.partitionBy("word").orderBy(*_PLACE)
+    lead = F.first(F.struct(*_PLACE, "n", "p", "bits")).over(place)
+    alone = F.lag("no").over(place).isNull() & F.lead("no").over(place).isNull()
+    posts = posts.withColumns({"lead": lead, "alone": alone}).where("not alone").drop("alone")
     name = f"line_posts_{uuid.uuid4().hex}"
-    spots.where("crowd > 1").drop("crowd").write.option("compression", "zstd").bucketBy(parts, "word").saveAsTable(name)
-    posts = spark.table(name)
-    scratch.drop(lines)
-
-    def may_match(x: str, y: str) -> Column:
-        """Length, positional and bitmap filters on columns prefixed x and y; and, with the shorter's word in its index prefix."""
-        xn, yn = F.floor(F.col(f"{x}np") / _ONE), F.floor(F.col(f"{y}np") / _ONE)
-        xp, yp = F.col(f"{x}np") % _ONE, F.col(f"{y}np") % _ONE
-        need = F.ceil((xn + yn) * percent / (100.0 + percent) - 1e-9)
-        index = lambda k: k - F.ceil(k * 2 * percent / (100.0 + percent) - 1e-9) + 1
-        nine = lambda c, b: F.shiftright(F.col(c), 9 * b).bitwiseAND(F.lit(511))
-        apart = sum(F.abs(nine(f"{x}k{k}", b) - nine(f"{y}k{k}", b)) for k in (0, 1) for b in range(7))
-        return (
-            (100 * F.least(xn, yn) >= percent * F.greatest(xn, yn))
-            & F.when(xn <= yn, xp < index(xn)).otherwise(yp < index(yn))
-            & (F.least(xn - xp, yn - yp) >= need)
-            & (F.bit_count(F.col(f"{x}bits").bitwiseXOR(F.col(f"{y}bits"))) <= xn + yn - 2 * need)
-            & ((F.greatest(xn, yn) > _COUNTED) | (apart <= xn + yn - 2 * need))
-        )
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    named = lambda of, as_: [F.col(f"{of}{c}").alias(f"{as_}{c}") for c in (*_PLACE, "n", "p", "bits")]
+    mine, yours = [f"x{c}" for c in _PLACE], [f"y{c}" for c in _PLACE]
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """(c) of the later of each pair (later, earlier) that is similar, on the full sets."""
-        pairs = scratch.write(pairs.distinct())
-        wanted = pairs.select(F.explode(F.array("later", "earlier")).alias("c")).distinct()
-        named = scratch.write(wanted.join(first, "c").select("c", "class", F.col("at.id").alias("id"), F.col("at.no").alias("no")))
-        found = _join_few(cells.select("id", "no", "line", F.xxhash64("line").alias("class")), named.select("class", "id", "no", "c"), ["class", "id", "no"], "inner")
-        full = scratch.write(found.dropDuplicates(["c"]).select("c", _ordered(_words(F.col("line")), levels).alias("o")))
-        both = pairs.join(full.select(F.col("c").alias("later"), F.col("o").alias("ox")), "later").join(full.select(F.col("c").alias("earlier"), F.col("o").alias("oy")), "earlier")
-        inter = F.size(F.array_intersect("ox", "oy"))
-        return both.where(100 * inter >= percent * (F.size("ox") + F.size("oy") - inter)).select(F.col("later").alias("c")).distinct()
-
-    marks = lambda p, of: [F.col(f"{of}{c}").alias(f"{p}{c}") for c in ("bits", "k0", "k1")]
-    lead = posts.where("c > lead.c").select(F.col("c").alias("later"), F.col("np").alias("xnp"), *marks("x", ""), F.col("lead.c").alias("earlier"), F.col("lead.np").alias("ynp"), *marks("y", "lead."))
-    found = scratch.write(verified(lead.where(may_match("x", "y")).select("later", "earlier")))
-    x = _join_few(posts.select("word", "c", F.col("np").alias("xnp"), *marks("x", "")), found, "c", "left_anti")
-    y = posts.select("word", F.col("c").alias("earlier"), F.col("np").alias("ynp"), *marks("y", ""))
-    pairs = x.join(y, "word").where((F.col("c") > F.col("earlier")) & may_match("x", "y")).select(F.col("c").alias("later"), "earlier")
-    gone = scratch.write(found.unionByName(verified(pairs)))
-    spark.sql(f"DROP TABLE {name}")
-    verdict = first.join(gone.withColumn("gone", F.lit(True)), "c", "left").select("class", "at", F.coalesce("gone", F.lit(False)).alias("gone"))
-    return places.join(verdict, "class").select("id", "no", (F.col("gone") | (F.struct("id", "no") != F.col("at"))).alias("gone"))
-
-
-def _marked(docs: DataFrame, row: list, doc_id: str, text: str, percent: int, least_words: int) -> DataFrame:
-    """``row`` columns with lines (of the text) and stays (those that are kept)."""
+        """(id, sub, no) of the later line x of each pair (x, y) that is similar, by its words."""
+        pairs = scratch.write(pairs)
+        ends = pairs.select(*(F.col(f"x{c}").alias(c) for c in _PLACE)).unionByName(pairs.select(*(F.col(f"y{c}").alias(c) for c in _PLACE)))
+        wanted = scratch.write(ends.distinct())
+        nos = scratch.write(wanted.groupBy("id", "sub").agg(F.collect_list("no").alias("nos")))
+        found = texts.join(F.broadcast(nos) if wanted.count() * 24 <= BROADCAST_BYTES else nos, ["id", "sub"])
+        # rows that repeat an id and text give the same lines
+        found = found.select("id", "sub", F.split("text", "\n").alias("lines"), F.explode("nos").alias("no")).dropDuplicates(_PLACE)
+        full = scratch.write(found.select(*_PLACE, F.array_distinct(_words(_plain(F.get("lines", F.col("no"))))).alias("w")))
+        x, y = (full.select(*(F.col(c).alias(f"{of}{c}") for c in _PLACE), F.col("w").alias(f"{of}w")) for of in "xy")
+        both = pairs.join(x, mine).join(y, yours)
+        inter = F.size(F.array_intersect("xw", "yw"))
+        similar = both.where(100 * inter >= percent * (F.size("xw") + F.size("yw") - inter))
+        return similar.select(*(F.col(f"x{c}").alias(c) for c in _PLACE)).distinct()
+
+    try:
+        posts.write.option("compression", "zstd").bucketBy(parts, "word").saveAsTable(name)
+        posts = spark.table(name)
+        first = posts.select(*named("", "x"), *named("lead.", "y")).where(F.struct(*mine) > F.struct(*yours)).where(_near("x", "y", percent))
+        found = scratch.write(verified(first.select(*mine, *yours).distinct()))
+        x = _join(posts, found, _PLACE, "left_anti", 48).select("word", *named("", "x"), F.col("solo").alias("xsolo"))
+        y = posts.select("word", *named("", "y"), F.col("solo").alias("ysolo"))
+        met = x.join(y, "word").where(_near("x", "y", percent) & (F.struct(*mine) > F.struct(*yours)))
+        pairs = met.groupBy(*mine, *yours).agg(F.count("*").alias("words"), F.max(F.col("xsolo") | F.col("ysolo")).alias("solo"))
+        more = scratch.write(verified(pairs.where("words > 1 or solo").select(*mine, *yours)))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return copies.distinct().unionByName(found).unionByName(more)
+
+
+def _marked(docs: DataFrame, row: list, doc_id: str, text: str, percent: int) -> DataFrame:
+    """``row`` columns with dedup_id, lines (of the text) and stays (those that are kept)."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    known = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull())
-    lost = matched_lines(known, doc_id, text, percent, least_words, scratch).where("gone")
-    lost = scratch.write(lost.groupBy(F.col("id").alias("lost_id")).agg(F.collect_set("no").alias("gone")))
-    slim = docs.select(F.col(doc_id).alias("lost_id"), F.split(F.col(text).cast("string"), "\n").alias("lines"), *row)
-    both = _join_few(slim, lost, "lost_id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    return both.withColumn("stays", F.filter("lines", lambda x, i: ~F.array_contains("gone", i)))
+    keyed, chars = _numbered(docs.select(*row, F.col(doc_id).alias("dedup_doc"), F.col(text).alias("dedup_raw")), "dedup_doc", "dedup_raw", scratch)
+    texts = keyed.where("dedup_id is not null and dedup_text is not null").select(F.col("dedup_id").alias("id"), F.col("dedup_sub").alias("sub"), F.col("dedup_text").alias("text"))
+    lost = scratch.write(matched_lines(texts, chars, percent, scratch))
+    by_row = scratch.write(lost.groupBy(F.col("id").alias("dedup_id"), F.col("sub").alias("dedup_sub")).agg(F.collect_list("no").alias("gone")))
+    slim = keyed.withColumn("lines", F.split("dedup_text", "\n")).drop("dedup_text", "dedup_raw", "dedup_doc")
+    both = slim.join(F.broadcast(by_row) if lost.count() * 24 <= BROADCAST_BYTES else by_row, ["dedup_id", "dedup_sub"], "left")
+    stays = F.filter("lines", lambda x, i: ~F.array_contains("gone", i))
+    return both.withColumn("stays", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(stays)).drop("dedup_sub", "gone")
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per input row: id, text (what is kept, lines joined again), n_lines, n_removed.
 
-    A line of at least ``least_words`` words goes if an earlier line, by id and then line number,
-    has a Jaccard similarity of at least ``percent`` / 100 (equal lines included); shorter lines
-    stay. Null text stays null with no lines; empty text is one empty line. Rows that share an id
-    are one document: they lose the same line numbers. Lines of rows with a null id take no part
-    and stay. An empty table gives an empty result.
+    A line with a word goes if an earlier line, by id and then line number, has a Jaccard
+    similarity of at least ``percent`` / 100 (equal lines included); lines without a word stay.
+    Null text stays null with no lines; empty text is one empty line. Rows that share an id but
+    not the text come one after the other, in the order of a hash of their texts; rows that share
+    both are one document and lose the same lines. Lines of rows with a null id take no part and
+    stay. An empty table gives an empty result.
     """
-    both = _marked(docs, [], doc_id, text, percent, least_words)
+    both = _marked(docs, [], doc_id, text, percent)
     return both.select(
-        F.col("lost_id").alias(doc_id),
+        F.col("dedup_id").alias(doc_id),
         F.when(F.col("lines").isNotNull(), F.array_join("stays", "\n")).alias(text),
         F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("lines") - F.size("stays"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
-def without_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` with their columns, the text as :func:`dedup_lines` leaves it.
 
     Rows that lost lines and have no word left are dropped; rows that lost none stay as they are.
     """
     whole = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("whole")
-    both = _marked(docs, [whole], doc_id, text, percent, least_words)
+    both = _marked(docs, [whole], doc_id, text, percent)
     left = F.when(F.col("lines").isNotNull(), F.array_join("stays", "\n"))
     some = F.col("lines").isNull() | (F.size("stays") == F.size("lines")) | (F.btrim(left, F.lit(_BLANK)) != "")
     return both.where(some).select(*(left.alias(c) if c == text else F.col("whole")[c].alias(c) for c in docs.columns))

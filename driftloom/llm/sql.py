@@ -50,13 +50,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM g"""
 
 
-def op4(percent: int = 80, least: int = 5) -> str:
+def op4(percent: int = 80) -> str:
     """Only classes that share one of their rarest words can be similar; the rest is brute force."""
     return f"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 cell AS (SELECT doc_id, i - 1 AS no, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d)),
 word AS (SELECT doc_id, no, line, regexp_extract_all(lower(line), '[^\\x20\\x09-\\x0D]+') AS w FROM cell),
-fit AS (SELECT doc_id, no, list_sort(list_distinct(w)) AS s FROM word WHERE len(w) >= {least}),
+fit AS (SELECT doc_id, no, list_sort(list_distinct(w)) AS s FROM word WHERE len(w) > 0),
 cls AS (SELECT s, min((doc_id, no)) AS place, row_number() OVER () AS c FROM fit GROUP BY s),
 tok AS (SELECT c, unnest(s) AS t FROM cls),
 ord AS (SELECT c, t, row_number() OVER (PARTITION BY c ORDER BY df, t) AS r FROM (SELECT c, t, count(*) OVER (PARTITION BY t) AS df FROM tok)),
