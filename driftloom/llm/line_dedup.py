@@ -38,21 +38,15 @@ BROADCAST_BYTES = 32 << 20
 _HOT = 15 << 58
 _LOW = (1 << 58) - 1
 _BLANK = " \t\n\x0b\x0c\r"
-_PLACE = ["id", "sub", "no"]
 
 
-def _plain(line: Column) -> Column:
-    """Lower case, other white space as spaces."""
-    low = F.lower(line)
+def _plain(text: Column) -> Column:
+    """Lower case, other white space but line ends as spaces."""
+    low = F.lower(text)
     odd = F.contains(low, F.lit("\t")) | F.contains(low, F.lit("\r")) | F.contains(low, F.lit("\x0b")) | F.contains(low, F.lit("\x0c"))
     return F.when(odd, F.regexp_replace(low, r"[\t\x0B\f\r]", " ")).otherwise(low)
 
 
-def _words(line: Column) -> Column:
-    """Words by single spaces, without the empty ones that lie between two."""
-    return F.array_remove(F.split(line, " "), "")
-
-
 class _Order:
     """Keys of words that ascend from rare to common."""
 
@@ -76,8 +70,10 @@ class _Order:
         level = F.call_function("shiftright", pack, (h.bitwiseAND(F.lit(15)) * 4).cast("int")).bitwiseAND(F.lit(15))
         return F.shiftleft(level, 58).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
 
-    def keys(self, words: Column) -> Column:
-        return F.sort_array(F.array_distinct(F.transform(F.transform(words, lambda w: F.xxhash64(w)), self._key)))
+    def keys(self, line: Column) -> Column:
+        """Of the distinct words of a plain line; what lies between two spaces is no word."""
+        hashes = F.array_remove(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+        return F.sort_array(F.transform(F.array_distinct(hashes), self._key))
 
 
 def _join(big: DataFrame, few: DataFrame, on: list[str] | Column, how: str, row_bytes: int) -> DataFrame:
@@ -85,114 +81,137 @@ def _join(big: DataFrame, few: DataFrame, on: list[str] | Column, how: str, row_
     return big.join(F.broadcast(few) if few.count() * row_bytes <= BROADCAST_BYTES else few, on, how)
 
 
-def _numbered(docs: DataFrame, doc_id: str, text: str, scratch: Scratch) -> tuple[DataFrame, int]:
-    """``docs`` with id, sub and text, and how many characters there are.
+def _numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, int]:
+    """``docs`` (with dedup_id, dedup_text) with ``base``, the number of its first line, in the order of the ids.
 
-    sub tells rows apart that share an id but not the text; it is 0 where an id has one text.
+    Also the bits that a line's place in its text takes, and how many characters there are. Whole
+    ids that leave room are the numbers themselves; others are ranked, together with a hash of the
+    text where an id has more than one. No number: the row has no id or no text.
     """
-    keyed = docs.withColumns({"dedup_id": F.col(doc_id), "dedup_text": F.col(text).cast("string")})
-    keyed = keyed.withColumn("dedup_hash", F.xxhash64("dedup_text"))
-    known = keyed.where("dedup_id is not null and dedup_text is not null")
-    each = known.groupBy("dedup_id").agg(F.min("dedup_hash").alias("a"), F.max("dedup_hash").alias("z"), F.sum(F.length("dedup_text")).alias("chars"))
-    chars = each.agg(F.sum("chars"), F.sum((F.col("a") != F.col("z")).cast("long"))).first()
-    if chars[1]:
-        clash = scratch.write(each.where("a <> z").select("dedup_id", F.lit(True).alias("clashes")))
-        keyed = _join(keyed, clash, ["dedup_id"], "left", 32)
-    else:
-        keyed = keyed.withColumn("clashes", F.lit(None).cast("boolean"))
-    sub = F.when(F.col("clashes"), F.col("dedup_hash")).otherwise(F.lit(0).cast("long"))
-    return keyed.withColumn("dedup_sub", sub).drop("clashes", "dedup_hash"), int(chars[0] or 0)
-
-
-def _near(x: str, y: str, percent: int) -> Column:
-    """Bitmap, length and positional filter on columns prefixed ``x`` and ``y``; the place of a second shared word passes."""
-    both = F.col(f"{x}n") + F.col(f"{y}n")
-    return (
-        (F.bit_count(F.col(f"{x}bits").bitwiseXOR(F.col(f"{y}bits"))) * (100 + percent) <= (100 - percent) * both)
-        & (100 * F.least(f"{x}n", f"{y}n") >= percent * F.greatest(f"{x}n", f"{y}n"))
-        & ((F.least(F.col(f"{x}n") - F.col(f"{x}p"), F.col(f"{y}n") - F.col(f"{y}p")) + 1) * (100 + percent) >= percent * both)
+    hashed = docs.withColumn("dedup_hash", F.xxhash64("dedup_text"))
+    known = hashed.where("dedup_id is not null and dedup_text is not null")
+    sizes = F.max(F.length("dedup_text")).alias("longest"), F.sum(F.length("dedup_text")).alias("chars")
+    each = known.groupBy("dedup_id").agg(F.min("dedup_hash").alias("a"), F.max("dedup_hash").alias("z"), *sizes)
+    ends = F.min("dedup_id"), F.max("dedup_id")
+    low, high, clash, longest, chars = each.agg(*ends, F.max((F.col("a") != F.col("z")).cast("int")), F.max("longest"), F.sum("chars")).first()
+    bits = int(longest or 0).bit_length()
+    whole = docs.schema["dedup_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    has = F.col("dedup_id").isNotNull() & F.col("dedup_text").isNotNull()
+    if low is None or whole and not clash and (high - low).bit_length() + bits < 63:
+        shift = F.shiftleft(F.col("dedup_id").cast("long") - F.lit(low or 0).cast("long"), bits) if whole else F.lit(None).cast("long")
+        return docs.withColumn("base", F.when(has, shift)), bits, int(chars or 0)
+    keys = known.select("dedup_id", "dedup_hash").distinct().repartitionByRange("dedup_id", "dedup_hash").sortWithinPartitions("dedup_id", "dedup_hash")
+    keys = scratch.write(keys.withColumn("row", F.monotonically_increasing_id()))
+    # a row's part is above bit 33: one row for each part in the window
+    parts = keys.groupBy(F.shiftright("row", 33).alias("part")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = scratch.write(parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip")))
+    ranked = keys.join(parts, F.shiftright("row", 33) == F.col("part")).select(
+        F.col("dedup_id").alias("rank_id"), F.col("dedup_hash").alias("rank_hash"), F.shiftleft(F.col("skip") + F.col("row").bitwiseAND(F.lit((1 << 33) - 1)), bits).alias("base")
+    )
+    ranked = scratch.write(ranked)
+    joined = _join(hashed, ranked, (F.col("dedup_id") == F.col("rank_id")) & (F.col("dedup_hash") == F.col("rank_hash")), "left", 48)
+    return joined.drop("rank_id", "rank_hash", "dedup_hash"), bits, int(chars or 0)
+
+
+#: A post's mark: whether one shared word is enough, a parity bitmap, how many words the line has and which of them this is.
+_SIGNS, _MOST = 38, 4095
+
+
+def _mark(o: Column, n: Column, p: Column, solo: Column) -> Column:
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(_SIGNS)).cast("int"))
+    bits = F.aggregate(o, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
+    return F.shiftleft(solo.cast("long"), 62).bitwiseOR(F.shiftleft(bits, 24)).bitwiseOR(F.shiftleft(F.least(n, F.lit(_MOST)).cast("long"), 12)).bitwiseOR(p)
+
+
+def _near(x: Column, y: Column, percent: int) -> Column:
+    """Bitmap, length and positional filter on two marks; the place of a second shared word passes. Lines too long for a mark pass."""
+    signs = F.shiftright(x.bitwiseXOR(y), 24).bitwiseAND(F.lit((1 << _SIGNS) - 1))
+    xn, yn = (F.shiftright(m, 12).bitwiseAND(F.lit(_MOST)) for m in (x, y))
+    xp, yp = (m.bitwiseAND(F.lit(_MOST)) for m in (x, y))
+    near = (
+        (F.bit_count(signs) * (100 + percent) <= (100 - percent) * (xn + yn))
+        & (100 * F.least(xn, yn) >= percent * F.greatest(xn, yn))
+        & ((F.least(xn - xp, yn - yp) + 1) * (100 + percent) >= percent * (xn + yn))
     )
+    return near | (F.greatest(xn, yn) == _MOST)
 
 
-def matched_lines(texts: DataFrame, chars: int, percent: int, scratch: Scratch) -> DataFrame:
-    """(id, sub, no) of every line of (id, sub, text) that has a word and an earlier match."""
+def matched_lines(texts: DataFrame, bits: int, chars: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(c) of every line of (base, text) that has a word and an earlier match: the base and its place in the text."""
     spark = texts.sparkSession
     order = _Order(texts, chars)
-    lines = texts.select("id", "sub", F.posexplode(F.split("text", "\n")).alias("no", "raw")).select(*_PLACE, _plain(F.col("raw")).alias("line"))
-    lines = lines.where(F.btrim("line") != "")
-    hashed = lines.withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(7), "line")})
+    lines = texts.select("base", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("no", "line")).select((F.col("base") + F.col("no")).alias("c"), "line")
+    hashed = lines.select("c", "line", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2")).where(F.trim("line") != "")
 
-    often = hashed.groupBy("k1", "k2").agg(F.min(F.struct(*_PLACE)).alias("at"), F.count("*").alias("copies")).where("copies > 1")
-    often = scratch.write(often.select("k1", "k2", F.col("at.id").alias("id1"), F.col("at.sub").alias("sub1"), F.col("at.no").alias("no1")))
+    often = hashed.groupBy("k1", "k2").agg(F.min("c").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    often = scratch.write(often.select("k1", "k2", "first"))
     # of its class, but not the first
-    copy = (hashed["k1"] == often["k1"]) & (hashed["k2"] == often["k2"]) & ~((hashed["id"] == often["id1"]) & (hashed["sub"] == often["sub1"]) & (hashed["no"] == often["no1"]))
-    copies = scratch.write(_join(hashed, often, copy, "left_semi", 64).select(*_PLACE))
+    copy = (hashed["k1"] == often["k1"]) & (hashed["k2"] == often["k2"]) & (hashed["c"] != often["first"])
+    copies = scratch.write(_join(hashed, often, copy, "left_semi", 32).select("c"))
 
-    heads = _join(hashed, often, copy, "left_anti", 64).select(*_PLACE, order.keys(_words(F.col("line"))).alias("o"))
+    heads = _join(hashed, often, copy, "left_anti", 32).select("c", order.keys(F.col("line")).alias("o"))
     n = F.size("o")
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-    bits = F.aggregate("o", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
     prefix = F.slice("o", F.lit(1), n - F.ceil(n * percent / 100.0 - 1e-9).cast("int") + 2)
-    heads = heads.select(*_PLACE, n.alias("n"), bits.alias("bits"), prefix.alias("prefix"))
-    heads = heads.withColumn("hot", (F.col("n") > 1) & (F.element_at("prefix", -1) >= _HOT))
-    heads = heads.withColumn("later", F.when(F.col("hot"), F.col("prefix")).otherwise(F.array().cast("array<bigint>")))
-    posts = heads.select(*_PLACE, "n", "bits", (F.col("hot") | (F.col("n") == 1)).alias("solo"), "later", F.posexplode("prefix").alias("p", "word"))
+    heads = heads.select("c", n.alias("n"), "o", prefix.alias("prefix"))
+    hot = (F.col("n") > 1) & (F.element_at("prefix", -1) >= _HOT)
+    mark = _mark(F.col("o"), F.col("n"), F.lit(0).cast("long"), hot | (F.col("n") == 1))
+    heads = heads.select("c", "n", mark.alias("mark"), F.when(hot, F.col("prefix")).otherwise(F.array().cast("array<bigint>")).alias("later"), "prefix")
+    posts = heads.select("c", "n", "mark", "later", F.posexplode("prefix").alias("p", "word"))
     paired = (F.col("n") > 1) & (F.col("word") >= _HOT)
     with_ = F.when(paired, F.slice("later", F.col("p") + 2, F.size("later"))).otherwise(F.array(F.lit(0).cast("long")))
-    posts = posts.select(*_PLACE, "n", "p", "bits", "solo", "word", F.explode(with_).alias("with"))
-    posts = posts.withColumn("word", F.when(paired, F.xxhash64("word", "with")).otherwise(F.col("word"))).drop("with")
+    posts = posts.select("c", (F.col("mark") + F.least("p", F.lit(_MOST))).alias("mark"), "word", paired.alias("paired"), F.explode(with_).alias("with"))
+    posts = posts.select(F.when(F.col("paired"), F.xxhash64("word", "with")).otherwise(F.col("word")).alias("word"), "c", "mark")
 
-    place = Window.partitionBy("word").orderBy(*_PLACE)
-    lead = F.first(F.struct(*_PLACE, "n", "p", "bits")).over(place)
-    alone = F.lag("no").over(place).isNull() & F.lead("no").over(place).isNull()
-    posts = posts.withColumns({"lead": lead, "alone": alone}).where("not alone").drop("alone")
+    place = Window.partitionBy("word").orderBy("c")
+    lead = F.first(F.struct("c", "mark")).over(place)
+    alone = F.lag("c").over(place).isNull() & F.lead("c").over(place).isNull()
+    posts = posts.select("word", "c", "mark", lead.alias("lead"), alone.alias("alone")).where("not alone").drop("alone")
     name = f"line_posts_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    named = lambda of, as_: [F.col(f"{of}{c}").alias(f"{as_}{c}") for c in (*_PLACE, "n", "p", "bits")]
-    mine, yours = [f"x{c}" for c in _PLACE], [f"y{c}" for c in _PLACE]
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """(id, sub, no) of the later line x of each pair (x, y) that is similar, by its words."""
+        """(c) of the later line x of each pair (x, y) that is similar, by its words."""
         pairs = scratch.write(pairs)
-        ends = pairs.select(*(F.col(f"x{c}").alias(c) for c in _PLACE)).unionByName(pairs.select(*(F.col(f"y{c}").alias(c) for c in _PLACE)))
-        wanted = scratch.write(ends.distinct())
-        nos = scratch.write(wanted.groupBy("id", "sub").agg(F.collect_list("no").alias("nos")))
-        found = texts.join(F.broadcast(nos) if wanted.count() * 24 <= BROADCAST_BYTES else nos, ["id", "sub"])
+        wanted = scratch.write(pairs.select(F.col("x").alias("c")).unionByName(pairs.select(F.col("y").alias("c"))).distinct())
+        nos = wanted.groupBy(F.shiftleft(F.shiftright("c", bits), bits).alias("base")).agg(F.collect_list("c").alias("cs"))
+        found = texts.join(F.broadcast(nos) if wanted.count() * 24 <= BROADCAST_BYTES else nos, "base")
         # rows that repeat an id and text give the same lines
-        found = found.select("id", "sub", F.split("text", "\n").alias("lines"), F.explode("nos").alias("no")).dropDuplicates(_PLACE)
-        full = scratch.write(found.select(*_PLACE, F.array_distinct(_words(_plain(F.get("lines", F.col("no"))))).alias("w")))
-        x, y = (full.select(*(F.col(c).alias(f"{of}{c}") for c in _PLACE), F.col("w").alias(f"{of}w")) for of in "xy")
-        both = pairs.join(x, mine).join(y, yours)
+        found = found.select("base", F.split(_plain(F.col("text")), "\n").alias("lines"), F.explode("cs").alias("c")).dropDuplicates(["c"])
+        line = F.get("lines", (F.col("c") - F.col("base")).cast("int"))
+        full = scratch.write(found.select("c", F.array_distinct(F.array_remove(F.split(line, " "), "")).alias("w")))
+        both = pairs.join(full.select(F.col("c").alias("x"), F.col("w").alias("xw")), "x").join(full.select(F.col("c").alias("y"), F.col("w").alias("yw")), "y")
         inter = F.size(F.array_intersect("xw", "yw"))
-        similar = both.where(100 * inter >= percent * (F.size("xw") + F.size("yw") - inter))
-        return similar.select(*(F.col(f"x{c}").alias(c) for c in _PLACE)).distinct()
+        return both.where(100 * inter >= percent * (F.size("xw") + F.size("yw") - inter)).select(F.col("x").alias("c")).distinct()
 
     try:
         posts.write.option("compression", "zstd").bucketBy(parts, "word").saveAsTable(name)
         posts = spark.table(name)
-        first = posts.select(*named("", "x"), *named("lead.", "y")).where(F.struct(*mine) > F.struct(*yours)).where(_near("x", "y", percent))
-        found = scratch.write(verified(first.select(*mine, *yours).distinct()))
-        x = _join(posts, found, _PLACE, "left_anti", 48).select("word", *named("", "x"), F.col("solo").alias("xsolo"))
-        y = posts.select("word", *named("", "y"), F.col("solo").alias("ysolo"))
-        met = x.join(y, "word").where(_near("x", "y", percent) & (F.struct(*mine) > F.struct(*yours)))
-        pairs = met.groupBy(*mine, *yours).agg(F.count("*").alias("words"), F.max(F.col("xsolo") | F.col("ysolo")).alias("solo"))
-        more = scratch.write(verified(pairs.where("words > 1 or solo").select(*mine, *yours)))
+        first = posts.where((F.col("c") > F.col("lead.c")) & _near(F.col("mark"), F.col("lead.mark"), percent))
+        found = scratch.write(verified(first.select(F.col("c").alias("x"), F.col("lead.c").alias("y")).distinct()))
+        x = _join(posts.select("word", "c", F.col("mark").alias("xm")), found, ["c"], "left_anti", 16).withColumnRenamed("c", "x")
+        y = posts.select("word", F.col("c").alias("y"), F.col("mark").alias("ym"))
+        met = x.join(y, "word").where((F.col("x") > F.col("y")) & _near(F.col("xm"), F.col("ym"), percent))
+        pairs = met.groupBy("x", "y").agg(F.count("*").alias("words"), F.max(F.greatest("xm", "ym") >= 1 << 62).alias("solo"))
+        more = scratch.write(verified(pairs.where("words > 1 or solo").select("x", "y")))
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-    return copies.distinct().unionByName(found).unionByName(more)
+    return copies.unionByName(found).unionByName(more).distinct()
 
 
 def _marked(docs: DataFrame, row: list, doc_id: str, text: str, percent: int) -> DataFrame:
     """``row`` columns with dedup_id, lines (of the text) and stays (those that are kept)."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    keyed, chars = _numbered(docs.select(*row, F.col(doc_id).alias("dedup_doc"), F.col(text).alias("dedup_raw")), "dedup_doc", "dedup_raw", scratch)
-    texts = keyed.where("dedup_id is not null and dedup_text is not null").select(F.col("dedup_id").alias("id"), F.col("dedup_sub").alias("sub"), F.col("dedup_text").alias("text"))
-    lost = scratch.write(matched_lines(texts, chars, percent, scratch))
-    by_row = scratch.write(lost.groupBy(F.col("id").alias("dedup_id"), F.col("sub").alias("dedup_sub")).agg(F.collect_list("no").alias("gone")))
-    slim = keyed.withColumn("lines", F.split("dedup_text", "\n")).drop("dedup_text", "dedup_raw", "dedup_doc")
-    both = slim.join(F.broadcast(by_row) if lost.count() * 24 <= BROADCAST_BYTES else by_row, ["dedup_id", "dedup_sub"], "left")
+    slim = docs.select(*row, F.col(doc_id).alias("dedup_id"), F.col(text).cast("string").alias("dedup_text"))
+    keyed, bits, chars = _numbered(slim, scratch)
+    texts = keyed.where("base is not null").select("base", F.col("dedup_text").alias("text"))
+    lost = scratch.write(matched_lines(texts, bits, chars, percent, scratch))
+    by_row = lost.groupBy(F.shiftleft(F.shiftright("c", bits), bits).alias("base")).agg(F.collect_list("c").alias("cs"))
+    by_row = scratch.write(by_row.select("base", F.transform("cs", lambda c: (c - F.col("base")).cast("int")).alias("gone")))
+    both = keyed.join(F.broadcast(by_row) if lost.count() * 16 <= BROADCAST_BYTES else by_row, "base", "left")
+    both = both.withColumn("lines", F.split("dedup_text", "\n")).drop("base", "dedup_text")
     stays = F.filter("lines", lambda x, i: ~F.array_contains("gone", i))
-    return both.withColumn("stays", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(stays)).drop("dedup_sub", "gone")
+    return both.withColumn("stays", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(stays)).drop("gone")
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:

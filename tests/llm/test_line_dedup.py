@@ -77,5 +77,12 @@ def test_rows_keep_their_columns(spark):
     assert got == [(1, "a b c", "x"), (3, "d e f", "z"), (None, "a b c", None)]
 
 
+def test_ids_that_are_no_numbers(spark):
+    rows = lines_like_each_other(4)
+    df = spark.createDataFrame([(f"d{i:04}", text) for i, text in rows], "doc_id string, text string")
+    got = [(int(r[0][1:]), *r[1:]) for r in line_dedup.dedup_lines(df).collect()]
+    assert sorted(map(str, got)) == brute(rows)
+
+
 def test_empty(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
