@@ -1,159 +1,174 @@
 """The adaptive online logistic learner and what is measured along a stream.
 
-A stream is one ordered array of rows per key, folded by one state struct: keys run in parallel,
-rows of a key in order, all in the JVM. For streams too long for one array there is
+A stream is the rows of one key in order. Streams are brought together by one shuffle and sorted
+within their partitions, so that Arrow batches pass by in order and only the state of the key at
+hand is held, however long its stream. A row is predicted before it is learned from; a row without
+a label to learn from is predicted only. Rows may be shorter than those before: only the features
+they have are seen and updated. For endless streams there is
 :func:`driftloom.streaming.online_learner`, which keeps the state between micro-batches.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+STATE = "v array<double>, h array<double>, z array<double>, r double, t long, fails long, tw long, fw long, pm double, sm double"
 
-def streams(df: DataFrame, key: str, order: str, features: list[str], label: str) -> DataFrame:
-    """(key, rows): each key's rows in order; a null label is a row without update."""
-    row = F.struct(F.col(order).alias("o"), F.array(*(F.col(f).cast("double") for f in features)).alias("x"), F.col(label).cast("double").alias("y"))
-    return df.groupBy(F.col(key).alias("key")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
 
+def start() -> dict:
+    """The state before the first row. tw, fw: rows and errors since a warning; pm, sm: the lowest error rate and its deviation."""
+    return {"v": [], "h": [], "z": [], "r": 1.0, "t": 0, "fails": 0, "tw": 0, "fw": 0, "pm": 1.0, "sm": 10.0}
 
-def _decay(schedule: int, t: Column) -> Column:
-    c, s = F.cbrt(t), F.sqrt(t)
-    return [(c - 1) / c, (s - 1) / s, (t - 1) / t, t / (t + 1), 1 - F.log(t) / (2 * t)][schedule]
 
+def _decay(schedule: int, t: float) -> float:
+    return ((math.cbrt(t) - 1) / math.cbrt(t), (math.sqrt(t) - 1) / math.sqrt(t), (t - 1) / t, t / (t + 1), 1 - math.log(t) / (2 * t))[schedule]
 
-def weights(state: Column, l1: float, l2: float, lp: float) -> Column:
-    """The learner's weights from its state; those whose signal is within ``l1`` are zero."""
-    return F.transform(
-        state["z"], lambda z: F.when(F.abs(z) <= l1, 0.0).otherwise(-(z - l1 * F.signum(z)) / (l2 + lp * state["r"]))
-    )
 
+def _drifted(s: dict, err: int, decay: float, blend: float) -> float:
+    """The decay blended with the error rate; warnings are counted, and a drift starts the counts anew."""
+    t = s["t"]
+    rate = s["fails"] / t
+    spread = math.sqrt(max(rate * (1 - rate), 0.0) / t)
+    if rate + spread < s["pm"] + s["sm"]:
+        s["pm"], s["sm"] = rate, spread
+    if rate + spread < s["pm"] + 2 * s["sm"]:
+        s["tw"] = s["fw"] = 0
+    else:
+        s["tw"] += 1
+        s["fw"] += err
+        if rate + spread > s["pm"] + 3 * s["sm"]:
+            s |= {"t": s["tw"], "fails": s["fw"], "tw": 0, "fw": 0, "pm": 1.0, "sm": 10.0}
+    return decay * (1 - blend) + blend * rate
 
-def _sigmoid(x: Column) -> Column:
-    return F.when(x >= 0, 1 / (1 + F.exp(-x))).otherwise(F.exp(x) / (1 + F.exp(x)))
 
+def ftrl_rows(rows: Iterable[tuple], schedule: int = 3, blend: float = 0.0, drift: bool = False, l1: float = 0.0, l2: float = 0.0, lp: float = 1.0, state: dict | None = None):
+    """The learner over one key's (order, features, label) rows: outputs (order, score, p, loss, decay), and the state to go on from.
 
-def start(width: int) -> Column:
-    zeros = F.array_repeat(F.lit(0.0), width)
-    one = {"r": 1.0, "decay": 1.0, "t": 0.0, "fails": 0.0, "t_warn": 0.0, "fails_warn": 0.0, "p_min": 1.0, "s_min": 10.0}
-    given = F.array().cast("array<struct<o:bigint,p:double,loss:double,decay:double>>")
-    return F.struct(*(zeros.alias(n) for n in ("v", "h", "z")), *(F.lit(v).alias(k) for k, v in one.items()), given.alias("out"))
-
-
-def step(schedule: int, blend: float, drift: bool, l1: float, l2: float, lp: float):
-    """(state, row) -> state: predict, measure, adapt the decay, update."""
-
-    def fold(s: Column, row: Column) -> Column:
-        x, y = row["x"], row["y"]
-        w = weights(s, l1, l2, lp)
-        score = F.aggregate(F.zip_with(w, x, lambda a, b: a * F.coalesce(b, F.lit(0.0))), F.lit(0.0), lambda a, b: a + b)
-        p = _sigmoid(score)
-        loss = F.greatest(score, F.lit(0.0)) - y * score + F.log(1 + F.exp(-F.abs(score)))
-        err = (F.abs(y - p) > 0.5).cast("double")
-        t, fails = s["t"] + 1, s["fails"] + err
-        decay = _decay(schedule, t)
-        p_min, s_min, tw, fw, t2, f2 = s["p_min"], s["s_min"], s["t_warn"], s["fails_warn"], t, fails
-        if drift:
-            pi = fails / t
-            si = F.sqrt(F.greatest(pi * (1 - pi), F.lit(0.0)) / t)
-            late = t > 30
-            decay = F.when(late, decay * (1 - blend) + blend * pi).otherwise(decay)
-            lower = late & (pi + si < s["p_min"] + s["s_min"])
-            p_new, s_new = F.when(lower, pi).otherwise(s["p_min"]), F.when(lower, si).otherwise(s["s_min"])
-            calm = pi + si < p_new + 2 * s_new
-            tw1, fw1 = F.when(calm, 0.0).otherwise(s["t_warn"] + 1), F.when(calm, 0.0).otherwise(s["fails_warn"] + err)
-            reset = late & ~calm & (pi + si > p_new + 3 * s_new)
-            tw, fw = F.when(late & ~reset, tw1).when(late, 0.0).otherwise(s["t_warn"]), F.when(late & ~reset, fw1).when(late, 0.0).otherwise(s["fails_warn"])
-            t2, f2 = F.when(reset, tw1).otherwise(t), F.when(reset, fw1).otherwise(fails)
-            p_min, s_min = F.when(reset, 1.0).otherwise(p_new), F.when(reset, 10.0).otherwise(s_new)
-        g = F.transform(x, lambda a: (p - y) * F.coalesce(a, F.lit(0.0)))
-        h = F.zip_with(s["h"], w, lambda a, b: decay * a + b)
-        v = F.zip_with(s["v"], g, lambda a, b: a + b)
-        z = F.zip_with(v, h, lambda a, b: a - lp * b)
-        out = F.array_append(s["out"], F.struct(row["o"].alias("o"), p.alias("p"), loss.alias("loss"), decay.alias("decay")))
-        new = F.struct(v.alias("v"), h.alias("h"), z.alias("z"), (1 + decay * s["r"]).alias("r"), decay.alias("decay"), t2.alias("t"), f2.alias("fails"),
-                       tw.alias("t_warn"), fw.alias("fails_warn"), p_min.alias("p_min"), s_min.alias("s_min"), out.alias("out"))
-        return new
-
-    return fold
-
-
-def ftrl_rows(rows: list[tuple], schedule: int = 3, blend: float = 0.0, drift: bool = False, l1: float = 0.0, l2: float = 0.0, lp: float = 1.0, state: dict | None = None):
-    """The same learner over one key's (order, features, label) rows, for long streams in Python workers.
-
-    Returns the outputs (order, p, loss, decay) and the state to go on from. A null label predicts
-    only. Rows may be shorter than the state: only their features are seen and updated.
+    The score is the inner product before the sigmoid. A null label predicts only: no loss, no decay.
     """
-    import math
-
-    s = state or {"v": [], "h": [], "z": [], "r": 1.0, "t": 0, "fails": 0, "tw": 0, "fw": 0, "pm": 1.0, "sm": 10.0}
+    s = state or start()
     out = []
     for o, x, y in rows:
-        k = len(x)
+        x = [0.0 if a is None or a != a else a for a in x or ()]
         for name in ("v", "h", "z"):
-            s[name].extend([0.0] * (k - len(s[name])))
-        x = [0.0 if a is None or a != a else a for a in x]
-        w = [0.0 if abs(z) <= l1 else -(z - math.copysign(l1, z)) / (l2 + lp * s["r"]) for z in s["z"][:k]]
+            s[name].extend([0.0] * (len(x) - len(s[name])))
+        w = [0.0 if abs(z) <= l1 else -(z - math.copysign(l1, z)) / (l2 + lp * s["r"]) for z in s["z"][: len(x)]]
         score = 0.0
         for a, b in zip(w, x, strict=True):
             score += a * b
         p = 1 / (1 + math.exp(-score)) if score >= 0 else math.exp(score) / (1 + math.exp(score))
         if y is None or y != y:
-            out.append((o, p, None, None))
+            out.append((o, score, p, None, None))
             continue
         loss = max(score, 0.0) - y * score + math.log(1 + math.exp(-abs(score)))
         err = int(abs(y - p) > 0.5)
         s["t"] += 1
         s["fails"] += err
-        t = float(s["t"])
-        decay = ((math.cbrt(t) - 1) / math.cbrt(t), (math.sqrt(t) - 1) / math.sqrt(t), (t - 1) / t, t / (t + 1), 1 - math.log(t) / (2 * t))[schedule]
-        if drift and t > 30:
-            pi = s["fails"] / t
-            si = math.sqrt(max(pi * (1 - pi), 0.0) / t)
-            decay = decay * (1 - blend) + blend * pi
-            if pi + si < s["pm"] + s["sm"]:
-                s["pm"], s["sm"] = pi, si
-            if pi + si < s["pm"] + 2 * s["sm"]:
-                s["tw"] = s["fw"] = 0
-            else:
-                s["tw"] += 1
-                s["fw"] += err
-                if pi + si > s["pm"] + 3 * s["sm"]:
-                    s |= {"t": s["tw"], "fails": s["fw"], "tw": 0, "fw": 0, "pm": 1.0, "sm": 10.0}
-        for i in range(k):
-            s["v"][i] += (p - y) * x[i]
-            s["h"][i] = decay * s["h"][i] + w[i]
+        decay = _decay(schedule, float(s["t"]))
+        if drift and s["t"] > 30:
+            decay = _drifted(s, err, decay, blend)
+        for i, (a, b) in enumerate(zip(w, x, strict=True)):
+            s["v"][i] += (p - y) * b
+            s["h"][i] = decay * s["h"][i] + a
             s["z"][i] = s["v"][i] - lp * s["h"][i]
         s["r"] = 1 + decay * s["r"]
-        out.append((o, p, loss, decay))
+        out.append((o, score, p, loss, decay))
     return out, s
 
 
-def replay(df: DataFrame, key: str, order: str, features: list[str], label: str, **options) -> DataFrame:
-    """(key, row_id, y, p, loss, decay) for each row: the learner run over each key's stream in order.
+def _runs(keys: list) -> Iterator[tuple[int, int]]:
+    """Where equal neighbours start and end."""
+    a = 0
+    for i in range(1, len(keys) + 1):
+        if i == len(keys) or keys[i] != keys[a]:
+            yield a, i
+            a = i
 
-    Grouped Arrow batches: one shuffle on the key. Streams of different keys are independent.
+
+def _streams(df: DataFrame, key: str, order: str, features: list[str] | str, label: str, learn_from: str | None) -> DataFrame:
+    """(key, row_id, x, y, label) with each key's rows together and in order."""
+    x = F.col(features).cast("array<double>") if isinstance(features, str) else F.array(*(F.col(f).cast("double") for f in features))
+    y = F.col(label).cast("double")
+    slim = df.select(F.col(key).alias("key"), F.col(order).cast("long").alias("row_id"), x.alias("x"), y.alias("y"), (F.col(learn_from).cast("double") if learn_from else y).alias("label"))
+    return slim.repartition("key").sortWithinPartitions("key", "row_id")
+
+
+def replay(df: DataFrame, key: str, order: str, features: list[str] | str, label: str, learn_from: str | None = None, **options) -> DataFrame:
+    """(key, row_id, y, score, p, loss, decay) for each row: the learner run along each key's stream.
+
+    ``features``: columns, or one array column whose rows may differ in length. ``label`` is what
+    results are measured against; the learner is told ``learn_from`` (by default the same), and
+    only predicts where that is null. A null key is a stream of its own. An empty table gives an
+    empty result.
     """
-    import pandas as pd
+    slim = _streams(df, key, order, features, label, learn_from)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state, some = None, None, False
+        for batch in batches:
+            keys, orders, xs, labels = (batch.column(i).to_pylist() for i in (0, 1, 2, 4))
+            out: list[tuple] = []
+            for a, z in _runs(keys):
+                if not some or keys[a] != at:
+                    at, state, some = keys[a], None, True
+                found, state = ftrl_rows(zip(orders[a:z], xs[a:z], labels[a:z], strict=True), state=state, **options)
+                out += found
+            done = [pa.array([r[i] for r in out], pa.float64()) for i in range(1, 5)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *done], names=["key", "row_id", "y", "score", "p", "loss", "decay"])
 
-    cells = F.array(*(F.col(f).cast("double") for f in features))
-    slim = df.select(F.col(key).alias("key"), F.col(order).cast("long").alias("row_id"), cells.alias("x"), F.col(label).cast("double").alias("y"))
+    kind = slim.schema["key"].dataType.simpleString()
+    return slim.mapInArrow(work, f"key {kind}, row_id long, y double, score double, p double, loss double, decay double")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_id", kind="stable")
-        out, _ = ftrl_rows(list(zip(pdf["row_id"], pdf["x"], pdf["y"], strict=True)), **options)
-        return pd.DataFrame({"key": pdf["key"], "row_id": pdf["row_id"], "y": pdf["y"], "p": [r[1] for r in out], "loss": [r[2] for r in out], "decay": [r[3] for r in out]})
 
+def learned(df: DataFrame, key: str, order: str, features: list[str] | str, label: str, **options) -> DataFrame:
+    """(key, state): what the learner knows at the end of each key's stream; see :func:`predict`."""
+    slim = _streams(df, key, order, features, label, None)
     kind = slim.schema["key"].dataType.simpleString()
-    return slim.groupBy("key").applyInPandas(run, f"key {kind}, row_id long, y double, p double, loss double, decay double")
+    schema = slim.sparkSession.createDataFrame([], f"key {kind}, state struct<{STATE.replace(' ', ':').replace(',:', ',')}>").schema
+    fields = list(start())
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
 
+        held, state = None, None
 
-def fold_replay(df: DataFrame, key: str, order: str, features: list[str], label: str, schedule: int = 3, blend: float = 0.0, drift: bool = False, l1: float = 0.0, l2: float = 0.0, lp: float = 1.0) -> DataFrame:
-    """:func:`replay` without Python, for many keys with short streams."""
-    per = streams(df, key, order, features, label)
-    done = per.select("key", F.aggregate("rows", start(len(features)), step(schedule, blend, drift, l1, l2, lp), lambda s: s["out"]).alias("out"), "rows")
-    both = done.select("key", F.explode(F.arrays_zip("rows", "out")).alias("b"))
-    return both.select("key", F.col("b.rows.o").alias("row_id"), F.col("b.rows.y").alias("y"), F.col("b.out.p").alias("p"), F.col("b.out.loss").alias("loss"), F.col("b.out.decay").alias("decay"))
+        def given() -> pa.RecordBatch:
+            kinds = to_arrow_schema(schema)
+            one = {f: state[f] for f in fields}
+            return pa.RecordBatch.from_arrays([held, pa.array([one], kinds.field("state").type)], names=["key", "state"])
+
+        for batch in batches:
+            keys, orders, xs, labels = (batch.column(i).to_pylist() for i in (0, 1, 2, 4))
+            for a, z in _runs(keys):
+                if held is not None and held[0].as_py() != keys[a]:
+                    yield given()
+                    state = None
+                held = batch.column(0).slice(a, 1)
+                _, state = ftrl_rows(zip(orders[a:z], xs[a:z], labels[a:z], strict=True), state=state, **options)
+        if held is not None:
+            yield given()
+
+    return slim.mapInArrow(work, schema)
+
+
+def weights(state: Column, l1: float = 0.0, l2: float = 0.0, lp: float = 1.0) -> Column:
+    """The learner's weights from its state; those whose signal is within ``l1`` are zero."""
+    return F.transform(state["z"], lambda z: F.when(F.abs(z) <= l1, 0.0).otherwise(-(z - l1 * F.signum(z)) / (l2 + lp * state["r"])))
+
+
+def predict(state: Column, x: Column, **options) -> Column:
+    """The probability that a learned state gives to features; missing ones count as zero. In the JVM."""
+    products = F.zip_with(weights(state, **options), x, lambda a, b: F.coalesce(a, F.lit(0.0)) * F.coalesce(b, F.lit(0.0)))
+    return _sigmoid(F.aggregate(products, F.lit(0.0), lambda a, b: a + b))
+
+
+def _sigmoid(x: Column) -> Column:
+    return F.when(x >= 0, 1 / (1 + F.exp(-x))).otherwise(F.exp(x) / (1 + F.exp(x)))
 
 
 def running(key: str, order: str):
@@ -172,15 +187,15 @@ def cumulative_mse(y: Column, p: Column, w) -> Column:
 def ensemble(x: DataFrame, z: DataFrame, eta: float = 0.001) -> DataFrame:
     """(key, row_id, y, lam, p): two replays of one stream, weighted by their losses so far.
 
-    The weight used for a row knows the losses of the rows before it only.
+    The weight used for a row knows the losses of the rows before it only; rows that were only
+    predicted have no loss and leave it as it is. Both start with half of the weight.
     """
-    both = x.select("key", "row_id", "y", F.col("p").alias("px"), F.col("loss").alias("lx")).join(
-        z.select("key", "row_id", F.col("p").alias("pz"), F.col("loss").alias("lz")), ["key", "row_id"]
+    both = x.select("key", "row_id", "y", F.col("score").alias("sx"), F.col("loss").alias("lx")).join(
+        z.select(F.col("key").alias("key_z"), F.col("row_id").alias("row_z"), F.col("score").alias("sz"), F.col("loss").alias("lz")),
+        F.col("key").eqNullSafe(F.col("key_z")) & (F.col("row_id") == F.col("row_z")),
     )
     w = Window.partitionBy("key").orderBy("row_id").rowsBetween(Window.unboundedPreceding, -1)
     gap = F.coalesce(F.sum(F.col("lx") - F.col("lz")).over(w), F.lit(0.0))
-    lam = 1 / (1 + F.exp(eta * gap))
-    logit = lambda p: F.log(F.col(p) / (1 - F.col(p)))
-    both = both.withColumn("lam", lam)
-    p = _sigmoid(F.col("lam") * logit("px") + (1 - F.col("lam")) * logit("pz"))
+    both = both.withColumn("lam", 1 / (1 + F.exp(eta * gap)))
+    p = _sigmoid(F.col("lam") * F.col("sx") + (1 - F.col("lam")) * F.col("sz"))
     return both.select("key", "row_id", "y", "lam", p.alias("p"))

@@ -6,66 +6,142 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftloom.functions import numeric as n
-from driftloom.operators import online
+from driftloom.operators import frames, online
 from driftloom.plans.registry import register
-from driftloom.plans.tables import MATRIX, matrix
+from driftloom.plans.tables import MATRIX, draw, matrix
 
 _XS = ["one", "a", "b"]
 
 
 def _input(spark, sf_dir) -> DataFrame:
-    return matrix(spark, sf_dir).select("user_id", "row_id", F.lit(1.0).alias("one"), (F.col("f0") / 100).alias("a"), (F.col("f1") / 100).alias("b"), "label")
+    return matrix(spark, sf_dir).select("user_id", "row_id", F.lit(1.0).alias("one"), (F.col("f0") / 100).alias("a"), (F.col("f1") / 100).alias("b"), "label", "f1")
 
 
-def _learner_sql(schedule: int, drift: bool, blend: float, xs: tuple[str, str, str] = ("1.0", "f0 / 100", "f1 / 100"), l1: float = 0.0, masked: bool = False) -> str:
-    """A recursive walk along each user's stream with the learner's state as columns."""
-    w = [f"CASE WHEN abs(z{i}) <= {l1} THEN 0.0 ELSE -(z{i} - {l1} * sign(z{i})) / r END" for i in range(3)]
+def _other_input(spark, sf_dir) -> DataFrame:
+    """The second view of the stream."""
+    return matrix(spark, sf_dir).select("user_id", "row_id", F.lit(1.0).alias("one"), (F.col("f2") / 10).alias("a"), (F.col("f3") / 5).alias("b"), "label")
+
+
+#: The features of both views in SQL, and of the first widening along each stream: a feature more in each third.
+_X, _Z = ("1.0", "f0 / 100", "f1 / 100"), ("1.0", "f2 / 10", "f3 / 5")
+_widening = lambda xs: tuple(f"CASE WHEN 3 * (rn - 1) // c >= {i} THEN {x} END" for i, x in enumerate(xs))
+#: Half of the labels are missing.
+_HALF = f"CASE WHEN {draw('row_id')} % 2 = 0 THEN label END"
+
+
+def _half(df: DataFrame) -> DataFrame:
+    return df.withColumn("known", F.when(frames.draw(F.col("row_id"), F.lit(0)) % 2 == 0, F.col("label")))
+
+
+def _ragged(df: DataFrame) -> DataFrame:
+    """The three features as an array that gets longer in each third of a stream."""
+    w = Window.partitionBy("user_id")
+    third = F.floor(3 * (F.row_number().over(w.orderBy("row_id")) - 1) / F.count("*").over(w)).cast("int")
+    return df.withColumn("xs", F.slice(F.array("one", "a", "b"), F.lit(1), third + 1))
+
+
+def _walk_sql(schedule: int = 3, drift: bool = False, blend: float = 0.0, xs: tuple[str, ...] = _X, l1: float = 0.0, learn: str = "label", name: str = "o") -> str:
+    """A recursive walk along each user's stream with the learner's state as columns, up to the table ``name``.
+
+    ``learn``: what the learner is told; null only predicts. A null feature is one the row does not have.
+    """
+    three = range(3)
+    told, kept = "ly IS NOT NULL", lambda new, old: f"CASE WHEN ly IS NOT NULL THEN {new} ELSE {old} END"
+    w = [f"CASE WHEN abs(z{i}) <= {l1} THEN 0.0 ELSE -(z{i} - {l1} * sign(z{i})) / r END AS w{i}" for i in three]
     dec = n.decay(schedule, "t1")
     if drift:
-        dec = f"CASE WHEN t1 > 30 THEN {dec} * (1 - {blend}) + {blend} * f1_ / t1 ELSE {dec} END"
-    ddm = (
-        """low AS lo_, CASE WHEN t1 > 30 AND pi + si < pm + sm THEN pi ELSE pm END AS pm1, CASE WHEN t1 > 30 AND pi + si < pm + sm THEN si ELSE sm END AS sm1"""
-        if drift
-        else "false AS lo_, pm AS pm1, sm AS sm1"
-    )
-    calm, late, reset = "(pi + si < pm1 + 2 * sm1)", ("(t1 > 30)" if drift else "false"), None
+        dec = f"CASE WHEN t1 > 30 THEN {dec} * (1 - {blend}) + {blend} * pi ELSE {dec} END"
+    late = "t1 > 30" if drift else "false"
+    lower, calm = f"({late} AND pi + si < pm + sm)", "(pi + si < pm1 + 2 * sm1)"
     reset = f"({late} AND NOT {calm} AND pi + si > pm1 + 3 * sm1)"
+    new = [f"v{i} + (p - ly) * x{i}" for i in three], [f"dec * h{i} + w{i}" for i in three]
+    state = [
+        *(f"CASE WHEN {told} AND x{i} IS NOT NULL THEN {new[k][i]} ELSE {'vh'[k]}{i} END" for k in (0, 1) for i in three),
+        *(f"CASE WHEN {told} AND x{i} IS NOT NULL THEN {new[0][i]} - ({new[1][i]}) ELSE z{i} END" for i in three),
+        kept("1 + dec * r", "r"),
+        kept(f"CASE WHEN {reset} THEN tw + 1 ELSE t1 END", "t"), kept(f"CASE WHEN {reset} THEN fw + e ELSE f1_ END", "fails"),
+        kept(f"CASE WHEN NOT {late} THEN tw WHEN {reset} OR {calm} THEN 0.0 ELSE tw + 1 END", "tw"),
+        kept(f"CASE WHEN NOT {late} THEN fw WHEN {reset} OR {calm} THEN 0.0 ELSE fw + e END", "fw"),
+        kept(f"CASE WHEN {reset} THEN 1.0 ELSE pm1 END", "pm"), kept(f"CASE WHEN {reset} THEN 10.0 ELSE sm1 END", "sm"),
+    ]
+    first = {**{f"{c}{i}": 0.0 for c in "vhz" for i in three}, "r": 1.0, "t": 0.0, "fails": 0.0, "tw": 0.0, "fw": 0.0, "pm": 1.0, "sm": 10.0}
     return f"""
-WITH RECURSIVE {MATRIX},
-s AS (SELECT user_id AS uid, row_number() OVER (PARTITION BY user_id ORDER BY row_id) AS rn, row_id, label::DOUBLE AS y,
-    ({xs[0]})::DOUBLE AS x0, ({xs[1]})::DOUBLE AS x1, ({xs[2]})::DOUBLE AS x2 FROM m),
-w AS (
-  SELECT DISTINCT uid, 0::BIGINT AS rn, 0::BIGINT AS row_id, 0.0::DOUBLE AS y, 0.0::DOUBLE AS p, 0.0::DOUBLE AS loss, 1.0::DOUBLE AS decay,
-    0.0::DOUBLE AS v0, 0.0::DOUBLE AS v1, 0.0::DOUBLE AS v2, 0.0::DOUBLE AS h0, 0.0::DOUBLE AS h1, 0.0::DOUBLE AS h2, 0.0::DOUBLE AS z0, 0.0::DOUBLE AS z1, 0.0::DOUBLE AS z2,
-    1.0::DOUBLE AS r, 0.0::DOUBLE AS t, 0.0::DOUBLE AS fails, 0.0::DOUBLE AS tw, 0.0::DOUBLE AS fw, 1.0::DOUBLE AS pm, 10.0::DOUBLE AS sm FROM s
+{name}_r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY row_id) AS rn, count(*) OVER (PARTITION BY user_id) AS c FROM m),
+{name}_s AS (SELECT user_id AS uid, rn, row_id, label::DOUBLE AS y, ({learn})::DOUBLE AS ly, {", ".join(f"({x})::DOUBLE AS x{i}" for i, x in enumerate(xs))} FROM {name}_r),
+{name}_w AS (
+  SELECT DISTINCT uid, 0::BIGINT AS rn, 0::BIGINT AS row_id, 0.0::DOUBLE AS y, 0.0::DOUBLE AS u, 0.0::DOUBLE AS p, 0.0::DOUBLE AS loss, 1.0::DOUBLE AS decay,
+    {", ".join(f"{v}::DOUBLE AS {k}" for k, v in first.items())} FROM {name}_s
   UNION ALL
-  SELECT uid, rn, row_id, y, p, loss, dec, v0 + g0, v1 + g1, v2 + g2, dec * h0 + w0, dec * h1 + w1, dec * h2 + w2,
-    v0 + g0 - (dec * h0 + w0), v1 + g1 - (dec * h1 + w1), v2 + g2 - (dec * h2 + w2), 1 + dec * r,
-    CASE WHEN {reset} THEN tw + 1 ELSE t1 END, CASE WHEN {reset} THEN fw + e ELSE f1_ END,
-    CASE WHEN NOT {late} THEN tw WHEN {reset} OR {calm} THEN 0.0 ELSE tw + 1 END, CASE WHEN NOT {late} THEN fw WHEN {reset} OR {calm} THEN 0.0 ELSE fw + e END,
-    CASE WHEN {reset} THEN 1.0 ELSE pm1 END, CASE WHEN {reset} THEN 10.0 ELSE sm1 END
-  FROM (SELECT *, {dec} AS dec, (p - y) * x0 AS g0, (p - y) * x1 AS g1, (p - y) * x2 AS g2, {ddm.replace('low AS', 'false AS')}
+  SELECT uid, rn, row_id, y, u, p, loss, {kept("dec", "NULL")}, {", ".join(state)}
+  FROM (SELECT *, {dec} AS dec, CASE WHEN {lower} THEN pi ELSE pm END AS pm1, CASE WHEN {lower} THEN si ELSE sm END AS sm1
     FROM (SELECT *, f1_ / t1 AS pi, sqrt(greatest((f1_ / t1) * (1 - f1_ / t1), 0.0) / t1) AS si
-      FROM (SELECT *, greatest(u, 0.0) - y * u + ln(1 + exp(-abs(u))) AS loss, t + 1 AS t1, fails + e AS f1_
-        FROM (SELECT *, CASE WHEN abs(y - p) > 0.5 THEN 1.0 ELSE 0.0 END AS e
-          FROM (SELECT *, {n.sigmoid('u')} AS p
-            FROM (SELECT *, w0 * x0 + w1 * x1 + w2 * x2 AS u
-              FROM (SELECT s.uid, s.rn, s.row_id, s.y, s.x0, s.x1, s.x2, {w[0]} AS w0, {w[1]} AS w1, {w[2]} AS w2,
-                v0, v1, v2, h0, h1, h2, z0, z1, z2, r, t, fails, tw, fw, pm, sm FROM w JOIN s ON s.uid = w.uid AND s.rn = w.rn + 1))))))))
-,
-o AS (SELECT uid AS user_id, row_id, y, p, loss, decay FROM w WHERE rn > 0)
-"""
+      FROM (SELECT *, {kept("greatest(u, 0.0) - ly * u + ln(1 + exp(-abs(u)))", "NULL")} AS loss, t + 1 AS t1, fails + e AS f1_
+        FROM (SELECT *, CASE WHEN abs(ly - p) > 0.5 THEN 1.0 ELSE 0.0 END AS e
+          FROM (SELECT *, {n.sigmoid("u")} AS p
+            FROM (SELECT *, {" + ".join(f"coalesce(w{i} * x{i}, 0.0)" for i in three)} AS u
+              FROM (SELECT s.uid, s.rn, s.row_id, s.y, s.ly, s.x0, s.x1, s.x2, {", ".join(w)}, {", ".join(first)}
+                FROM {name}_w AS w JOIN {name}_s AS s ON s.uid = w.uid AND s.rn = w.rn + 1)))))))),
+{name} AS (SELECT uid AS user_id, row_id, y, u, p, loss, decay FROM {name}_w WHERE rn > 0)"""
+
+
+def _learner_sql(*args, **more) -> str:
+    return f"WITH RECURSIVE {MATRIX}, {_walk_sql(*args, **more)}\n"
 
 
 _RUN = "OVER (PARTITION BY user_id ORDER BY row_id ROWS UNBOUNDED PRECEDING)"
+_CER = f"round(avg(CASE WHEN abs(y - p) > 0.5 THEN 1.0 ELSE 0.0 END) {_RUN}, 6) AS cer"
+_MSE = f"round(avg((p - y) * (p - y)) {_RUN}, 6) AS mse"
+
 
+def _measured(out: DataFrame, *more) -> DataFrame:
+    """Predictions and the error rate so far, against the true labels."""
+    rate = online.cer(F.col("y"), F.col("p"), online.running("key", "row_id"))
+    return out.select(F.col("key").alias("user_id"), "row_id", F.round("p", 6).alias("p"), F.round(rate, 6).alias("cer"), *more)
 
-@register("online_cer", _learner_sql(3, False, 0.0) + f"SELECT user_id, row_id, round(p, 6) AS p, round(avg(CASE WHEN abs(y - p) > 0.5 THEN 1.0 ELSE 0.0 END) {_RUN}, 6) AS cer FROM o")
+
+@register("online_cer", _learner_sql() + f"SELECT user_id, row_id, round(p, 6) AS p, {_CER} FROM o")
 def online_cer(spark, sf_dir):
-    """The learner over each user's events, folded in the JVM, and its error rate so far."""
-    out = online.fold_replay(_input(spark, sf_dir), "user_id", "row_id", _XS, "label")
-    w = online.running("key", "row_id")
-    return out.select(F.col("key").alias("user_id"), "row_id", F.round("p", 6).alias("p"), F.round(online.cer(F.col("y"), F.col("p"), w), 6).alias("cer"))
+    """O1-O3, O6 (all labels known), W1: the learner over each user's events, and its error rate so far."""
+    return _measured(online.replay(_input(spark, sf_dir), "user_id", "row_id", _XS, "label"))
+
+
+@register("online_masked", _learner_sql(learn=_HALF) + f"SELECT user_id, row_id, round(p, 6) AS p, {_CER}, round(decay, 6) AS decay FROM o")
+def online_masked(spark, sf_dir):
+    """Half of the labels are missing; their rows are predicted only, and measured like all."""
+    out = online.replay(_half(_input(spark, sf_dir)), "user_id", "row_id", _XS, "label", "known")
+    return _measured(out, F.round("decay", 6).alias("decay"))
+
+
+_FILLED = f"coalesce({_HALF}, CASE WHEN f1 > 60 THEN 1 ELSE 0 END)"
+
+
+@register("online_filled", _learner_sql(learn=_FILLED, schedule=2) + f"SELECT user_id, row_id, round(p, 6) AS p, {_CER}, {_MSE} FROM o")
+def online_filled(spark, sf_dir):
+    """O6 on filled labels, O3 (third schedule): missing labels are filled by a rule and learned from; measured against the true ones."""
+    rows = _half(_input(spark, sf_dir)).withColumn("filled", F.coalesce("known", (F.col("f1") > 60).cast("int")))
+    out = online.replay(rows, "user_id", "row_id", _XS, "label", "filled", schedule=2)
+    return _measured(out, F.round(online.cumulative_mse(F.col("y"), F.col("p"), online.running("key", "row_id")), 6).alias("mse"))
+
+
+@register("online_ragged", _learner_sql(xs=_widening(_X), learn=_HALF) + f"SELECT user_id, row_id, round(p, 6) AS p, {_CER} FROM o")
+def online_ragged(spark, sf_dir):
+    """Rows that get wider along the stream, half of them without label."""
+    return _measured(online.replay(_ragged(_half(_input(spark, sf_dir))), "user_id", "row_id", "xs", "label", "known"))
+
+
+_EARLY = "CASE WHEN rn <= floor(0.7 * c) THEN label END"
+
+
+@register("online_predict", _learner_sql(learn=_EARLY) + "SELECT user_id, row_id, round(p, 6) AS p FROM o JOIN o_r USING (user_id, row_id) WHERE rn > floor(0.7 * c)")
+def online_predict(spark, sf_dir):
+    """Learned on the first seven tenths of each stream, then its state predicts the rest in the JVM."""
+    w = Window.partitionBy("user_id")
+    rows = _input(spark, sf_dir).withColumns({"rn": F.row_number().over(w.orderBy("row_id")), "c": F.count("*").over(w)})
+    early = F.col("rn") <= F.floor(0.7 * F.col("c"))
+    states = online.learned(rows.where(early), "user_id", "row_id", _XS, "label")
+    late = rows.where(~early).join(states.withColumnRenamed("key", "user_id"), "user_id", "left")
+    p = F.coalesce(online.predict(F.col("state"), F.array(*_XS)), F.lit(0.5))  # a stream too short to learn from knows nothing
+    return late.select("user_id", "row_id", F.round(p, 6).alias("p"))
 
 
 @register("online_drift", _learner_sql(4, True, 0.02) + "SELECT user_id, row_id, round(p, 6) AS p, round(decay, 6) AS decay FROM o")
@@ -75,46 +151,59 @@ def online_drift(spark, sf_dir):
     return out.select(F.col("key").alias("user_id"), "row_id", F.round("p", 6).alias("p"), F.round("decay", 6).alias("decay"))
 
 
-@register("online_sparse", _learner_sql(1, False, 0.0, l1=0.4) + "SELECT user_id, row_id, round(p, 6) AS p FROM o")
+@register("online_sparse", _learner_sql(1, l1=0.4) + "SELECT user_id, row_id, round(p, 6) AS p FROM o")
 def online_sparse(spark, sf_dir):
     """O1 with a threshold: weights of weak features stay zero."""
     out = online.replay(_input(spark, sf_dir), "user_id", "row_id", _XS, "label", schedule=1, l1=0.4)
     return out.select(F.col("key").alias("user_id"), "row_id", F.round("p", 6).alias("p"))
 
 
-@register("online_mse", _learner_sql(0, False, 0.0) + f"SELECT user_id, row_id, round(avg((p - y) * (p - y)) {_RUN}, 6) AS mse, round(loss, 6) AS loss FROM o")
+@register("online_mse", _learner_sql(0) + f"SELECT user_id, row_id, {_MSE}, round(loss, 6) AS loss FROM o")
 def online_mse(spark, sf_dir):
     """Cumulative squared error in one pass, and the logistic loss of each row."""
-    out = online.fold_replay(_input(spark, sf_dir), "user_id", "row_id", _XS, "label", schedule=0)
+    out = online.replay(_input(spark, sf_dir), "user_id", "row_id", _XS, "label", schedule=0)
     mse = online.cumulative_mse(F.col("y"), F.col("p"), online.running("key", "row_id"))
     return out.select(F.col("key").alias("user_id"), "row_id", F.round(mse, 6).alias("mse"), F.round("loss", 6).alias("loss"))
 
 
-
-
-def _ensemble_sql() -> str:
-    a = _learner_sql(3, False, 0.0)
-    b = _learner_sql(3, False, 0.0, xs=("1.0", "f2 / 10", "f3 / 5"))
-    b = b.replace("\nw AS (", "\nw2 AS (").replace("FROM w JOIN s ON s.uid = w.uid AND s.rn = w.rn + 1", "FROM w2 JOIN s2 AS s ON s.uid = w2.uid AND s.rn = w2.rn + 1")
-    b = b.replace("\ns AS (", "\ns2 AS (").replace("AS sm FROM s\n", "AS sm FROM s2\n").replace("\no AS (", "\no2 AS (").replace("FROM w WHERE", "FROM w2 WHERE")
-    b = b[b.index("\ns2 AS (") :]
+def _ensemble_sql(x: tuple[str, ...], z: tuple[str, ...], learn: str, only_told: bool = False) -> str:
     w = "OVER (PARTITION BY user_id ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    u = "(lam * ln(px / (1 - px)) + (1 - lam) * ln(pz / (1 - pz)))"
-    return (
-        a.rstrip() + "," + b + f""",
-e AS (SELECT o.user_id, o.row_id, o.p AS px, o2.p AS pz, o.loss AS lx, o2.loss AS lz FROM o JOIN o2 USING (user_id, row_id)),
+    u = "(lam * ux + (1 - lam) * uz)"
+    m = MATRIX if not only_told else MATRIX.replace("m AS (", "all_ AS (", 1) + f", m AS (SELECT * FROM all_ WHERE {learn} IS NOT NULL)"
+    return f"""WITH RECURSIVE {m}, {_walk_sql(xs=x, learn=learn)}, {_walk_sql(xs=z, learn=learn, name="o2")},
+e AS (SELECT o.user_id, o.row_id, o.u AS ux, o2.u AS uz, o.loss AS lx, o2.loss AS lz FROM o JOIN o2 USING (user_id, row_id)),
 f AS (SELECT *, 1 / (1 + exp(0.001 * coalesce(sum(lx - lz) {w}, 0))) AS lam FROM e)
 SELECT user_id, row_id, round(lam, 6) AS lam, round({n.sigmoid(u)}, 6) AS p FROM f"""
-    )
 
 
-@register("online_ensemble", _ensemble_sql())
+def _ensemble(x: DataFrame, z: DataFrame, features, learn_from: str) -> DataFrame:
+    both = online.ensemble(*(online.replay(v, "user_id", "row_id", features, "label", learn_from) for v in (x, z)))
+    return both.select(F.col("key").alias("user_id"), "row_id", F.round("lam", 6).alias("lam"), F.round("p", 6).alias("p"))
+
+
+@register("online_ensemble", _ensemble_sql(_X, _Z, "label"))
 def online_ensemble(spark, sf_dir):
-    """Two views of one stream, weighted by the losses before each row."""
-    x = online.replay(_input(spark, sf_dir), "user_id", "row_id", _XS, "label")
-    z_in = matrix(spark, sf_dir).select("user_id", "row_id", F.lit(1.0).alias("one"), (F.col("f2") / 10).alias("a"), (F.col("f3") / 5).alias("b"), "label")
-    z = online.replay(z_in, "user_id", "row_id", _XS, "label")
-    return online.ensemble(x, z).select(F.col("key").alias("user_id"), "row_id", F.round("lam", 6).alias("lam"), F.round("p", 6).alias("p"))
+    """Two views of one stream, weighted by the losses before each row."""
+    return _ensemble(_input(spark, sf_dir), _other_input(spark, sf_dir), _XS, "label")
+
+
+@register("online_ensemble_masked", _ensemble_sql(_X, _Z, _HALF))
+def online_ensemble_masked(spark, sf_dir):
+    """Half of the labels are missing; their rows are predicted by both views and leave the weight as it is."""
+    return _ensemble(_half(_input(spark, sf_dir)), _half(_other_input(spark, sf_dir)), _XS, "known")
+
+
+@register("online_ensemble_ragged", _ensemble_sql(_widening(_X), _widening(_Z), _HALF))
+def online_ensemble_ragged(spark, sf_dir):
+    """The same over rows that get wider."""
+    return _ensemble(_ragged(_half(_input(spark, sf_dir))), _ragged(_half(_other_input(spark, sf_dir))), "xs", "known")
+
+
+@register("online_ensemble_skipping", _ensemble_sql(_X, _Z, _HALF, only_told=True))
+def online_ensemble_skipping(spark, sf_dir):
+    """Rows with a missing label are left out, not predicted."""
+    known = lambda df: _half(df).where("known is not null")
+    return _ensemble(known(_input(spark, sf_dir)), known(_other_input(spark, sf_dir)), _XS, "known")
 
 
 @register("online_holdout", f"""WITH {MATRIX}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY row_id) AS rn, count(*) OVER (PARTITION BY user_id) AS c FROM m)

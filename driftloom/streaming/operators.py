@@ -14,10 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from driftloom.operators.online import ftrl_rows
+from driftloom.operators.online import STATE, ftrl_rows, start
 
-_STATE = "v array<double>, h array<double>, z array<double>, r double, t long, fails long, tw long, fw long, pm double, sm double"
-_FIELDS = ("v", "h", "z", "r", "t", "fails", "tw", "fw", "pm", "sm")
+_FIELDS = tuple(start())
 
 
 def online_learner(stream: DataFrame, key: str, order: str, features: list[str], label: str, **options) -> DataFrame:
@@ -34,11 +33,11 @@ def online_learner(stream: DataFrame, key: str, order: str, features: list[str],
             old |= {f: list(old[f]) for f in ("v", "h", "z")}
         out, new = ftrl_rows(list(zip(pdf["row_id"], pdf["x"], pdf["y"], strict=True)), state=old, **options)
         state.update(tuple(plain(new[f]) for f in _FIELDS))
-        yield pd.DataFrame({"key": k[0], "row_id": pdf["row_id"], "y": pdf["y"], "p": [r[1] for r in out], "loss": [r[2] for r in out], "decay": [r[3] for r in out]})
+        yield pd.DataFrame({"key": k[0], "row_id": pdf["row_id"], "y": pdf["y"], "p": [r[2] for r in out], "loss": [r[3] for r in out], "decay": [r[4] for r in out]})
 
     kind = slim.schema["key"].dataType.simpleString()
     schema = f"key {kind}, row_id long, y double, p double, loss double, decay double"
-    return slim.groupBy("key").applyInPandasWithState(run, schema, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return slim.groupBy("key").applyInPandasWithState(run, schema, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def ring_window(stream: DataFrame, key: str, order: str, value: str, size: int) -> DataFrame:

@@ -33,18 +33,31 @@ def test_interleaving_is_a_bijection(spark, every):
         assert sorted(places) == list(range(majors + minors))
 
 
-def test_fold_and_python_learner_agree(spark):
-    m = matrix(spark, SF).select("user_id", "row_id", "label", F.lit(1.0).alias("one"), (F.col("f0") / 100).alias("a"))
-    for options in ({"schedule": 2}, {"schedule": 4, "blend": 0.02, "drift": True}, {"schedule": 1, "l1": 0.3}):
-        a = online.fold_replay(m, "user_id", "row_id", ["one", "a"], "label", **options).orderBy("row_id").collect()
-        b = online.replay(m, "user_id", "row_id", ["one", "a"], "label", **options).orderBy("row_id").collect()
-        assert np.allclose([[r.p, r.loss, r.decay] for r in a], [[r.p, r.loss, r.decay] for r in b])
+def test_long_stream_keeps_its_state_between_batches(spark):
+    """A key whose rows span Arrow batches, beside short ones and a null key, against one walk."""
+    r = np.random.default_rng(3)
+    rows = [(None if i % 50 == 0 else "hot" if i % 5 else f"k{i % 7}", i, [1.0, float(a)][: 1 + (i > 40)], None if i % 3 == 0 else int(a > 0)) for i, a in enumerate(r.standard_normal(30_000))]
+    df = spark.createDataFrame(rows, "k string, i long, x array<double>, y int")
+    got = {x.row_id: x for x in online.replay(df, "k", "i", "x", "y", schedule=4, blend=0.02, drift=True).collect()}
+    assert len(got) == len(rows)
+    states = {x.key: x.state for x in online.learned(df, "k", "i", "x", "y", schedule=4, blend=0.02, drift=True).collect()}
+    for key in {x[0] for x in rows}:
+        want, state = online.ftrl_rows([(i, x, y) for k, i, x, y in rows if k == key], schedule=4, blend=0.02, drift=True)
+        assert all((g := got[o]).p == p and g.loss == loss and g.decay == decay and g.score == score for o, score, p, loss, decay in want)
+        assert states[key].z == state["z"] and states[key].t == state["t"]
+
+
+def test_scores_of_certain_rows(spark):
+    """A probability that rounds to one does not end the ensemble."""
+    df = spark.createDataFrame([(i, [500.0 * (1 if i % 2 else -1)], i % 2) for i in range(40)], "i long, x array<double>, y int").withColumn("k", F.lit(1))
+    one = online.replay(df, "k", "i", "x", "y")
+    assert one.where("p = 1").count() and online.ensemble(one, one).where("p is null").count() == 0
 
 
 def test_ragged_rows_and_missing_labels():
     rows = [(0, [1.0], 1.0), (1, [1.0, 2.0], 0.0), (2, [1.0, None], None), (3, [1.0, 0.5], 1.0)]
     out, state = online.ftrl_rows(rows)
-    assert out[2][2] is None and state["t"] == 3 and len(state["z"]) == 2
+    assert out[2][3] is None and state["t"] == 3 and len(state["z"]) == 2
 
 
 def test_expectation_against_numpy():
