@@ -59,16 +59,15 @@ class _Order:
         counts = word.groupBy(F.xxhash64("w").bitwiseAND(F.lit(self.buckets - 1)).alias("b")).agg(F.count("*").alias("n")).toPandas()
         hot = max(HOT_COUNT, 64 * int(counts["n"].sum()) // self.buckets)
         unit = max(1, hot >> 12)
-        packed = [0] * (self.buckets // 16)
+        table = [0] * self.buckets
         for b, n in zip(counts["b"].tolist(), counts["n"].tolist(), strict=True):
-            packed[b >> 4] |= (15 if n >= hot else (n // unit).bit_length()) << 4 * (b & 15)
-        # sixteen levels a long; a constant that the plan holds once
-        self.levels = F.from_json(F.lit(json.dumps([x - (1 << 64) if x >> 63 else x for x in packed])), "array<bigint>")
+            table[b] = 15 if n >= hot else (n // unit).bit_length()
+        self.levels = F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<tinyint>")
 
     def _key(self, h: Column) -> Column:
-        pack = F.get(self.levels, F.shiftright(h, 4).bitwiseAND(F.lit(self.buckets // 16 - 1)).cast("int"))
-        level = F.call_function("shiftright", pack, (h.bitwiseAND(F.lit(15)) * 4).cast("int")).bitwiseAND(F.lit(15))
-        return F.shiftleft(level, 58).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
+        # never null, so that keys are sorted as plain longs
+        level = F.coalesce(F.get(self.levels, h.bitwiseAND(F.lit(self.buckets - 1)).cast("int")), F.lit(0).cast("byte"))
+        return F.shiftleft(level.cast("long"), 58).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
 
     def keys(self, line: Column) -> Column:
         """Of the distinct words of a plain line; what lies between two spaces is no word."""
@@ -176,8 +175,8 @@ def matched_lines(texts: DataFrame, bits: int, chars: int, percent: int, scratch
         wanted = scratch.write(pairs.select(F.col("x").alias("c")).unionByName(pairs.select(F.col("y").alias("c"))).distinct())
         nos = wanted.groupBy(F.shiftleft(F.shiftright("c", bits), bits).alias("base")).agg(F.collect_list("c").alias("cs"))
         found = texts.join(F.broadcast(nos) if wanted.count() * 24 <= BROADCAST_BYTES else nos, "base")
-        # rows that repeat an id and text give the same lines
-        found = found.select("base", F.split(_plain(F.col("text")), "\n").alias("lines"), F.explode("cs").alias("c")).dropDuplicates(["c"])
+        # rows that repeat an id and text give the same lines twice, and the pairs are made distinct in the end
+        found = found.select("base", F.split(_plain(F.col("text")), "\n").alias("lines"), F.explode("cs").alias("c"))
         line = F.get("lines", (F.col("c") - F.col("base")).cast("int"))
         full = scratch.write(found.select("c", F.array_distinct(F.array_remove(F.split(line, " "), "")).alias("w")))
         both = pairs.join(full.select(F.col("c").alias("x"), F.col("w").alias("xw")), "x").join(full.select(F.col("c").alias("y"), F.col("w").alias("yw")), "y")
