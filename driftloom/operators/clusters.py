@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.functions import numeric
+from driftloom.operators.lineage import cut
 
 
 def assign_modes(rows: DataFrame, centres: list[tuple], features: str = "x") -> DataFrame:
@@ -64,16 +65,48 @@ def tightness(assigned: DataFrame, width: int) -> DataFrame:
     return assigned.groupBy("cluster").agg(F.avg(1 - F.col("mismatches") / width).alias("s")).agg(F.avg("s").alias("r"))
 
 
-def cluster_set_distance(old: DataFrame, new: DataFrame, weighted: bool = False) -> DataFrame:
-    """(distance) of two sets of (cluster, feature, mode, n): 1 less the mean best similarity of the new to the old.
+def cluster_set_distances(old: DataFrame, new: DataFrame, keys: list[str], weighted: bool = False) -> DataFrame:
+    """(…keys, distance) of two sets of (…keys, cluster, feature, mode, n): 1 less the mean best similarity of the new to the old.
 
     Both sets hold a row per cluster and feature, so they are small whatever the data.
     """
-    o = old.select(F.col("cluster").alias("oc"), "feature", F.col("mode").alias("om"), F.col("n").alias("on"))
-    both = new.join(o, "feature").groupBy("cluster", "oc").agg(F.avg((F.col("mode") == F.col("om")).cast("double")).alias("s"), F.sum(F.col("n") + F.col("on")).alias("w"))
-    best = both.groupBy("cluster").agg(F.max(F.struct("s", "w")).alias("b"))
+    o = old.select(*keys, F.col("cluster").alias("oc"), "feature", F.col("mode").alias("om"), F.col("n").alias("on"))
+    both = new.join(o, [*keys, "feature"]).groupBy(*keys, "cluster", "oc").agg(F.avg((F.col("mode") == F.col("om")).cast("double")).alias("s"), F.sum(F.col("n") + F.col("on")).alias("w"))
+    best = both.groupBy(*keys, "cluster").agg(F.max(F.struct("s", "w")).alias("b"))
     mean = F.sum(F.col("b.s") * F.col("b.w")) / F.sum("b.w") if weighted else F.avg("b.s")
-    return best.agg((1 - mean).alias("distance"))
+    return best.groupBy(*keys).agg((1 - mean).alias("distance"))
+
+
+def cluster_set_distance(old: DataFrame, new: DataFrame, weighted: bool = False) -> DataFrame:
+    """(distance): :func:`cluster_set_distances` of two whole sets."""
+    return cluster_set_distances(old, new, [], weighted)
+
+
+def mixed_distance(old: DataFrame, new: DataFrame, cells: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(distance) where numeric features are compared by their values: 1 less the mean best similarity of the new clusters to the old.
+
+    ``old``, ``new``: (cluster, feature, mode, n) of the categorical features. ``cells``: old and new
+    (cluster, feature, value) of the numeric ones; two clusters are as like in a feature as the
+    share of both sides' values that lie between the other's ends.
+    """
+    same = new.join(old.select(F.col("cluster").alias("oc"), "feature", F.col("mode").alias("om")), "feature")
+    same = same.select("cluster", "oc", "feature", (F.col("mode") == F.col("om")).cast("double").alias("s"))
+    ends = [c.groupBy("cluster", "feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("value").alias("k")) for c in cells]
+    pair = ends[1].join(ends[0].select(F.col("cluster").alias("oc"), "feature", F.col("lo").alias("olo"), F.col("hi").alias("ohi"), F.col("k").alias("ok")), "feature")
+    # values counted once for each cluster of the other side, of which there are few
+    few = cut(pair)
+    of_new = cells[1].join(F.broadcast(few), ["cluster", "feature"]).groupBy("cluster", "oc", "feature").agg(F.count_if(F.col("value").between(F.col("olo"), F.col("ohi"))).alias("a"))
+    of_old = cells[0].withColumnRenamed("cluster", "oc").join(F.broadcast(few), ["oc", "feature"]).groupBy("cluster", "oc", "feature").agg(F.count_if(F.col("value").between(F.col("lo"), F.col("hi"))).alias("b"))
+    near = few.join(of_new, ["cluster", "oc", "feature"]).join(of_old, ["cluster", "oc", "feature"])
+    near = near.select("cluster", "oc", "feature", ((F.col("a") + F.col("b")) / (F.col("k") + F.col("ok"))).alias("s"))
+    alike = same.unionByName(near).groupBy("cluster", "oc").agg(F.avg("s").alias("s"))
+    return alike.groupBy("cluster").agg(F.max("s").alias("s")).agg((1 - F.avg("s")).alias("distance"))
+
+
+def labels_by_match(rows: DataFrame, known: DataFrame, features: str = "x", label: str = "label") -> DataFrame:
+    """(…, matched): each row's label from the rows of ``known`` with the same features, the smallest where they differ; null if there are none."""
+    table = known.where(F.col(label).isNotNull()).groupBy(F.col(features).alias("_x")).agg(F.min(label).alias("matched"))
+    return rows.join(table, F.col(features).eqNullSafe(F.col("_x")), "left").drop("_x")
 
 
 def interval_similarity(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftloom.functions import numeric as n
+from driftloom.operators import order
 from driftloom.operators.lineage import cut, stored
 
 #: Batches that one task takes in turn before the driver hands the matrix to the next task.
@@ -36,15 +37,15 @@ def ring_last_of_batch(long: DataFrame, batch: int, size: int) -> DataFrame:
 
 
 def ecdf(long: DataFrame) -> DataFrame:
-    """(…, F): the share of a feature's observed values that are no larger."""
+    """(…, F, c): the share of a feature's observed values that are no larger, and how many are observed."""
     seen = long.where("value is not null")
-    return seen.withColumn("F", F.cume_dist().over(Window.partitionBy("feature_id").orderBy("value")))
+    counts = order.cumulative(seen.groupBy("feature_id", "value").agg(F.count("*").alias("k")), "feature_id", "value", "k")
+    return seen.join(counts.select("feature_id", "value", (F.col("upto") / F.col("total")).alias("F"), F.col("total").alias("c")), ["feature_id", "value"])
 
 
 def continuous_latent(long: DataFrame) -> DataFrame:
     """(…, z): the normal quantile of a value's rank, kept inside (0, 1) by the number of values."""
-    c = F.count("*").over(Window.partitionBy("feature_id"))
-    return ecdf(long).withColumn("c", c).withColumn("z", n.col(n.norm_ppf("(F * c / (c + 1))"))).drop("c")
+    return ecdf(long).withColumn("z", n.col(n.norm_ppf("(F * c / (c + 1))"))).drop("c")
 
 
 def ordinal_bounds(long: DataFrame) -> DataFrame:
@@ -263,27 +264,140 @@ def impute(long: DataFrame, ordinal: list[int], width: int, sigma: np.ndarray) -
     """
     cells = latent(long, ordinal)
     x = expectation(rows_of(cells, width), sigma).select("row_id", F.posexplode("x").alias("feature_id", "z"))
-    order = ["feature_id", "value", "row_id"]
-    seen = long.where("value is not null").select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
-    seen = cut(seen.withColumn("no", F.monotonically_increasing_id()))
-    # one row for each range and feature
-    parts = seen.groupBy("feature_id", F.shiftright("no", 33).alias("part")).agg(F.min("no").alias("first"), F.count("*").alias("k"))
-    w = Window.partitionBy("feature_id").orderBy("part")
-    parts = parts.withColumn("before", F.sum("k").over(w) - F.col("k")).withColumn("n", F.sum("k").over(Window.partitionBy("feature_id")))
-    placed = seen.withColumn("part", F.shiftright("no", 33)).join(F.broadcast(parts), ["feature_id", "part"])
-    placed = placed.select("feature_id", (F.col("no") - F.col("first") + F.col("before")).alias("place"), "value")
-    sizes = parts.select("feature_id", "n").distinct()
+    seen = order.placed(long.where("value is not null").select("feature_id", "value", "row_id"), "feature_id", ["value", "row_id"])
+    seen = cut(seen.select("feature_id", "place", "value", "total"))
+    sizes = seen.groupBy("feature_id").agg(F.first("total").alias("n"))
     gone = long.where("value is null").select("row_id", "feature_id").join(x, ["row_id", "feature_id"]).join(F.broadcast(sizes), "feature_id", "left")
     q, is_level = n.col(n.norm_cdf("z")), F.col("feature_id").isin(ordinal)
     at = F.when(is_level, F.greatest(F.ceil(F.round((F.col("n") + 1) * q - 1, 3)), F.lit(0))).otherwise(q * (F.col("n") - 1))
     gone = gone.withColumn("at", F.least(at.cast("double"), (F.col("n") - 1).cast("double"))).withColumn("low", F.floor("at"))
     gone = gone.withColumn("high", F.least(F.col("low") + 1, F.col("n") - 1))
-    value_at = lambda c: placed.select("feature_id", F.col("place").alias(c), F.col("value").alias(f"{c}_value"))
+    value_at = lambda c: seen.select("feature_id", F.col("place").alias(c), F.col("value").alias(f"{c}_value"))
     both = gone.join(value_at("low"), ["feature_id", "low"], "left").join(value_at("high"), ["feature_id", "high"], "left")
     filled = both.select("row_id", "feature_id", (F.col("low_value") + (F.col("high_value") - F.col("low_value")) * (F.col("at") - F.col("low"))).alias("value"))
     return long.where("value is not null").select("row_id", "feature_id", "value").unionByName(filled)
 
 
+class StreamState:
+    """What imputation along a stream knows: the last ``window`` observed values of each feature, and the latent correlations.
+
+    Features may appear late: they start uncorrelated and without values. A batch first enters the
+    windows, then its rows are made latent by them, the matrix moves, and missing cells are read
+    back from the windows. A feature that was never seen stays missing.
+    """
+
+    def __init__(self, ordinal: list[int], window: int, changing: bool = True, last_only: bool = False):
+        self.ordinal, self.window, self.changing, self.last_only = set(ordinal), window, changing, last_only
+        self.rings: list[np.ndarray] = []
+        self.sigma, self.batches = np.eye(0), 0
+
+    def _see(self, x: np.ndarray) -> None:
+        """After the first batch, only the last row enters if ``last_only``."""
+        for k in range(len(self.rings), x.shape[1]):
+            self.rings.append(np.zeros(0))
+        self.sigma = widen(self.sigma, len(self.rings))
+        rows = x[-1:] if self.last_only and self.batches else x
+        for k in range(x.shape[1]):
+            seen = rows[:, k][~np.isnan(rows[:, k])]
+            self.rings[k] = np.concatenate((self.rings[k], seen))[-self.window :]
+
+    def _latent(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        z, lo, hi = (np.full(x.shape, np.nan) for _ in range(3))
+        for k in range(x.shape[1]):
+            ring, at = np.sort(self.rings[k]), np.flatnonzero(~np.isnan(x[:, k]))
+            n, v = len(ring), x[at, k]
+            if not n or not len(at):
+                continue
+            upto, below = np.searchsorted(ring, v, "right") / n, np.searchsorted(ring, v, "left") / n
+            if k in self.ordinal:
+                lo[at, k], hi[at, k] = _quantiles(below, -np.inf, np.inf), _quantiles(upto, -np.inf, np.inf)
+                z[at, k] = _quantiles(np.clip((below + upto) / 2, 0.5 / (n + 1), 1 - 0.5 / (n + 1)))
+            else:
+                z[at, k] = _quantiles(np.clip(upto * n / (n + 1), 1 / (n + 1), None))
+        return z, lo, hi
+
+    def _inverse(self, k: int, z: np.ndarray) -> np.ndarray:
+        from statistics import NormalDist
+
+        ring = np.sort(self.rings[k])
+        if not len(ring):
+            return np.full(len(z), np.nan)
+        q = np.array([NormalDist().cdf(v) for v in z])
+        if k in self.ordinal:
+            at = np.ceil(np.round((len(ring) + 1) * q - 1, 3)).astype(int)
+            return ring[np.clip(at, 0, len(ring) - 1)]
+        return np.quantile(ring, q)
+
+    def step(self, x: np.ndarray) -> np.ndarray:
+        """One batch, rows x features with NaN for what is missing; the batch with its missing cells filled."""
+        self._see(x)
+        x = np.concatenate((x, np.full((len(x), len(self.rings) - x.shape[1]), np.nan)), axis=1)
+        z, lo, hi = self._latent(x)
+        p, cache = len(self.sigma), {}
+        sums, latents = (0, np.zeros(p), np.zeros((p, p))), []
+        for r in zip(z, lo, hi, strict=True):
+            e, c = expect_row(*r, self.sigma, cache)
+            latents.append(e)
+            sums = sums[0] + 1, sums[1] + e, sums[2] + np.outer(e, e) + c
+        self.batches += 1
+        d = batch_decay(self.batches, self.changing)
+        self.sigma = d * _next_matrix(*sums, self.sigma) + (1 - d) * self.sigma
+        out, latents = x.copy(), np.array(latents)
+        for k in range(p):
+            gone = np.isnan(x[:, k])
+            if gone.any():
+                out[gone, k] = self._inverse(k, latents[gone, k])
+        return out
+
+
+def _quantiles(q: np.ndarray, low: float = np.nan, high: float = np.nan) -> np.ndarray:
+    """Normal quantiles; ``low`` at 0 and ``high`` at 1."""
+    from statistics import NormalDist
+
+    return np.array([low if v <= 0 else high if v >= 1 else NormalDist().inv_cdf(v) for v in q], float)
+
+
+def impute_stream(df: DataFrame, key: str, order: str, features: str, ordinal: list[int], window: int, batch: int, **options) -> DataFrame:
+    """(key, row_id, values): each key's rows, in order and in batches of ``batch``, with missing cells filled as :class:`StreamState` does.
+
+    ``features``: an array column; later rows may be longer. Streams of different keys run in
+    parallel; a task holds one batch and one state, however long a stream is. An empty table gives
+    an empty result.
+    """
+    x = F.col(features).cast("array<double>")
+    slim = df.select(F.col(key).alias("key"), F.col(order).cast("long").alias("row_id"), x.alias("x")).repartition("key").sortWithinPartitions("key", "row_id")
+    kind = slim.schema["key"].dataType.simpleString()
+
+    def work(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        state: StreamState | None = None
+
+        def filled(some: pd.DataFrame) -> pd.DataFrame:
+            wide = max(1, *map(len, some["x"]))
+            rows = np.full((len(some), wide), np.nan)
+            for i, r in enumerate(some["x"]):
+                rows[i, : len(r)] = [np.nan if v is None else v for v in r]
+            done = state.step(rows)
+            return pd.DataFrame({"key": some["key"], "row_id": some["row_id"], "values": [[None if np.isnan(v) else float(v) for v in r] for r in done]})
+
+        at = None
+        for pdf in pdfs:
+            for _, part in pdf.groupby((pdf["key"] != pdf["key"].shift()).cumsum(), sort=False):
+                now = part["key"].iloc[0]
+                if state is None or now != at:
+                    if held is not None and len(held):
+                        yield filled(held)
+                    state, held, at = StreamState(ordinal, window, **options), None, now
+                held = part if held is None else pd.concat((held, part))
+                while len(held) >= batch:
+                    yield filled(held.iloc[:batch])
+                    held = held.iloc[batch:]
+        if held is not None and len(held):
+            yield filled(held)
+
+    return slim.where("key is not null and x is not null").mapInPandas(work, f"key {kind}, row_id long, values array<double>")
+
+
 def differences(old: np.ndarray, new: np.ndarray) -> tuple[float, float, float]:
     """Frobenius, spectral and nuclear norm of the new matrix seen from the old one, less identity."""
     w, v = np.linalg.eigh(old)

@@ -6,28 +6,46 @@ dealt in blocks so that no task holds all of one side. Pairs are computed once,
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftloom.functions import numeric
+from driftloom.operators import order
 from driftloom.operators.lineage import cut
 
 
-def pair_distances(points: DataFrame, row_id: str, features: str, blocks: int = 8) -> DataFrame:
-    """(i, j, d) for i < j. Each pair of blocks meets once: an equi-join on the pair, not a product of the table."""
-    p = points.select(F.col(row_id).alias("id"), F.col(features).cast("array<double>").alias("x"), F.pmod(F.col(row_id), F.lit(blocks)).cast("int").alias("k"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = p.select(F.col("id").alias("i"), F.col("x").alias("xi"), F.col("k").alias("a"), every.alias("b"))
-    right = p.select(F.col("id").alias("j"), F.col("x").alias("xj"), F.col("k").alias("b"), every.alias("a"))
-    met = left.join(right, ["a", "b"]).where("i < j")
-    return met.select("i", "j", F.sqrt(numeric.squared_distance(F.col("xi"), F.col("xj"))).alias("d"))
+def pair_distances(points: DataFrame, row_id: str, features: str, block_rows: int = 512) -> DataFrame:
+    """(i, j, d) for i < j. Points are dealt in blocks of about ``block_rows``; each pair of blocks is one task's small matrix."""
+    p = points.select(F.col(row_id).cast("long").alias("id"), F.col(features).cast("array<double>").alias("x"))
+    blocks = max(1, -(-p.count() // block_rows))
+    p = p.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    meets = p.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    cells = meets.select(F.least("k", "other").alias("a"), F.greatest("k", "other").alias("b"), "k", "id", "x")
+
+    def work(key: tuple, t: pa.Table) -> pa.Table:
+        k, ids = t["k"].to_numpy(), t["id"].to_numpy()
+        x = np.asarray(t["x"].combine_chunks().flatten()).reshape(len(ids), -1)
+        left, right = (np.flatnonzero(k == key[i].as_py()) for i in (0, 1))
+        i, j, d = [], [], []
+        for at in left:
+            others = right[ids[right] > ids[at]] if key[0] == key[1] else right
+            i.append(np.minimum(ids[at], ids[others]))
+            j.append(np.maximum(ids[at], ids[others]))
+            d.append(np.sqrt(((x[others] - x[at]) ** 2).sum(1)))
+        join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0), kind)
+        return pa.table({"i": join(i, pa.int64()), "j": join(j, pa.int64()), "d": join(d, pa.float64())})
+
+    return cells.groupBy("a", "b").applyInArrow(work, "i long, j long, d double")
 
 
 def cutoff(pairs: DataFrame, percent: float) -> float:
-    """The distance at ``percent`` of all, by position. Sorted in ranges by the cluster: only one value comes back."""
+    """The distance at ``percent`` of all, by position, narrowed down by counts in ranges."""
     n = pairs.count()
-    at = max(1, round(n * percent / 100))
-    return pairs.select("d").orderBy("d").offset(at).limit(1).first()[0] if n else 0.0
+    return order.value_at(pairs, "d", min(n - 1, max(1, round(n * percent / 100)))) if n else 0.0
 
 
 def cutoff_bisected(pairs: DataFrame, low_share: float = 0.01, high_share: float = 0.02, width: float = 1e-4) -> float:
@@ -115,21 +133,31 @@ def cluster_count(values: list[float]) -> int:
     return n - 1 - at if at is not None and best >= -math.log(0.05) * 2 / n else 1
 
 
-def spread_labels(p: DataFrame, labels: DataFrame, rounds: int = 30) -> DataFrame:
+def spread_labels(p: DataFrame, labels: DataFrame, features: str = "x", fit=None) -> DataFrame:
     """(id, label, hops): labels along the pointer graph, first to parents, then to children, a hop a round.
 
-    A parent takes the smallest label among the children that reach it first.
+    ``p`` has id, parent and the features. In each hop a learner is fitted on all points labelled so
+    far and predicts those that the hop reaches; it goes on until a hop reaches no point. ``fit``:
+    (rows with vector and label) -> a fitted Spark ML model; by default a decision tree.
     """
-    edges = p.where("parent is not null").select("id", "parent")
-    known = cut(labels.select("id", "label").withColumn("hops", F.lit(0)))
+    points = cut(p.select("id", "parent", array_to_vector(F.col(features).cast("array<double>")).alias("v")))
+    edges = points.where("parent is not null").select("id", "parent")
+    known = cut(labels.select("id", F.col("label").cast("double").alias("label")).withColumn("hops", F.lit(0)))
+    fit = fit or (lambda rows: DecisionTreeClassifier(featuresCol="v", labelCol="label", seed=1).fit(rows))
+    hop = 0
     for source, target in (("id", "parent"), ("parent", "id")):
-        for hop in range(1, rounds + 1):
-            new = edges.join(known.select(F.col("id").alias(source), "label"), source).groupBy(F.col(target).alias("id")).agg(F.min("label").alias("label"))
-            new = cut(new.join(known, "id", "left_anti").withColumn("hops", F.lit(hop)))
+        front = known.select("id")
+        while True:
+            # a hop only starts from what the hop before reached
+            new = edges.join(front.withColumnRenamed("id", source), source, "left_semi").select(F.col(target).alias("id")).distinct()
+            new = cut(new.join(known, "id", "left_anti"))
             if new.isEmpty():
                 break
-            known = cut(known.unionByName(new))
-    return known
+            hop += 1
+            model = fit(points.join(known, "id").select("v", "label"))
+            told = model.transform(points.join(new, "id")).select("id", F.col("prediction").alias("label"), F.lit(hop).alias("hops"))
+            known, front = cut(known.unionByName(told)), new
+    return known.select("id", F.col("label").cast("int").alias("label"), "hops")
 
 
 def gamma_list(p: DataFrame, most: int = 30) -> list[float]:
@@ -137,5 +165,7 @@ def gamma_list(p: DataFrame, most: int = 30) -> list[float]:
     return sorted(r[0] for r in p.orderBy(F.desc("gamma"), "id").limit(most).select("gamma").collect())
 
 
-def ranked(p: DataFrame) -> DataFrame:
-    return p.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("gamma"), "id")))
+def ranked(p: DataFrame, most: int) -> DataFrame:
+    """The ``most`` points of largest gamma with their rank, a report: only they reach the window."""
+    top = p.orderBy(F.desc("gamma"), "id").limit(most)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("gamma"), "id")))

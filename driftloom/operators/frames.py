@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftloom.operators import order
+
 CONTINUOUS_FROM = 15
 
 
@@ -97,6 +99,24 @@ def continuous_features(long: DataFrame, least: int = CONTINUOUS_FROM) -> DataFr
     return long.groupBy("feature_id").agg((F.count_distinct("value") >= least).alias("is_cont"))
 
 
+def drawn_cut(long: DataFrame, seed: int = 0) -> DataFrame:
+    """(feature_id, cut): one of each feature's values between its tenth and ninetieth percentile, the one of smallest draw."""
+    ends = order.quantiles(long, "feature_id", "value", [0.1, 0.9])
+    inside = long.join(F.broadcast(ends), "feature_id").where(F.col("value").between(F.col("q")[0], F.col("q")[1]))
+    first = inside.groupBy("feature_id").agg(F.min(F.struct(draw(F.col("row_id"), F.col("feature_id"), seed).alias("u"), "row_id", "value")).alias("f"))
+    return first.select("feature_id", F.col("f.value").alias("cut"))
+
+
+def binary(long: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(…, bit): whether a value exceeds its feature's cut."""
+    return long.join(F.broadcast(cuts), "feature_id").withColumn("bit", (F.col("value") > F.col("cut")).cast("int")).drop("cut")
+
+
+def interval_members(discretised: DataFrame) -> DataFrame:
+    """(feature_id, bin, value, row_id, place): the members of each interval, by value; a row for each, so that an interval may be of any size."""
+    return order.placed(discretised.where("bin is not null").withColumn("_k", F.struct("feature_id", "bin")), "_k", ["value", "row_id"]).select("feature_id", "bin", "value", "row_id", "place")
+
+
 def equal_width(long: DataFrame, k: int) -> DataFrame:
     """(…, ordinal): how many of the k upper cuts a value exceeds."""
     ends = long.groupBy("feature_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
@@ -106,15 +126,14 @@ def equal_width(long: DataFrame, k: int) -> DataFrame:
 
 def quantile_cuts(long: DataFrame, shares: list[float]) -> DataFrame:
     """(…, ordinal): how many of the exact quantiles at ``shares`` a value reaches."""
-    cuts = long.groupBy("feature_id").agg(F.percentile("value", F.array(*map(F.lit, shares))).alias("cuts"))
-    return long.join(cuts, "feature_id").withColumn("ordinal", F.aggregate("cuts", F.lit(0), lambda a, c: a + (F.col("value") >= c).cast("int"))).drop("cuts")
+    cuts = order.quantiles(long, "feature_id", "value", shares).withColumnRenamed("q", "cuts")
+    return long.join(F.broadcast(cuts), "feature_id").withColumn("ordinal", F.aggregate("cuts", F.lit(0), lambda a, c: a + (F.col("value") >= c).cast("int"))).drop("cuts")
 
 
 def equal_frequency(long: DataFrame, chunks: int = 10) -> DataFrame:
     """(feature_id, bin, lo, hi): sorted values in chunks of floor(n / chunks); few distinct values are left out."""
-    w = Window.partitionBy("feature_id").orderBy("value", "row_id")
-    size = F.greatest(F.floor(F.count("*").over(Window.partitionBy("feature_id")) / chunks), F.lit(1))
-    ranked = long.where("value is not null").withColumn("bin", F.floor((F.row_number().over(w) - 1) / size))
+    ranked = order.placed(long.where("value is not null").select("feature_id", "value", "row_id"), "feature_id", ["value", "row_id"])
+    ranked = ranked.withColumn("bin", F.floor(F.col("place") / F.greatest(F.floor(F.col("total") / chunks), F.lit(1))))
     many = long.groupBy("feature_id").agg(F.count_distinct("value").alias("d")).where(F.col("d") > chunks)
     return ranked.join(many, "feature_id", "left_semi").groupBy("feature_id", "bin").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
 

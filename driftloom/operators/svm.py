@@ -150,6 +150,25 @@ class TransductiveSVM:
         return self.decision(df, features).withColumn("predicted", (F.col("score") >= 0).cast("int")).withColumn("probability", 1 / (1 + F.exp(-(a * F.col("score") + b))))
 
 
+def correlation(df: DataFrame, features: str) -> np.ndarray:
+    """The correlation matrix of an array column: sums of products by batch, added by the cluster; the driver sees features x features."""
+    rows = df.where(F.col(features).isNotNull()).select(F.col(features).cast("array<double>").alias("x"))
+
+    def work(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            if len(pdf):
+                x = np.array(pdf["x"].tolist(), float)
+                x = np.concatenate((np.ones((len(x), 1)), x), axis=1)
+                yield pd.DataFrame({"i": range(x.shape[1]), "v": (x.T @ x).tolist()})
+
+    cells = rows.mapInPandas(work, "i int, v array<double>").select("i", F.posexplode("v").alias("j", "s"))
+    m = cells.groupBy("i", "j").agg(F.sum("s").alias("s")).toPandas().pivot(index="i", columns="j", values="s").to_numpy()
+    mean = m[0, 1:] / m[0, 0]
+    c = m[1:, 1:] / m[0, 0] - np.outer(mean, mean)
+    d = np.sqrt(np.where(np.diag(c) > 0, np.diag(c), 1.0))
+    return c / np.outer(d, d)
+
+
 def grassmann(a: np.ndarray, b: np.ndarray, rank: int) -> tuple[float, float]:
     """Distance of the leading subspaces of two symmetric matrices by principal angles, and the gap of their singular values."""
     (ua, sa, _), (ub, sb, _) = np.linalg.svd(a), np.linalg.svd(b)

@@ -1,4 +1,4 @@
-"""Decision trees on streams: count tables, split search, Hoeffding decisions, routing.
+"""Decision trees on streams: count tables, split search, Hoeffding decisions, routing, growth by micro-batch.
 
 All statistics are counts by (node, feature, value, class): partially aggregated, additive over
 micro-batches, and as small as the values are few. A level of the tree is one aggregation.
@@ -11,6 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftloom.operators import clusters
+from driftloom.operators.lineage import cut
+
 DELTA, TIE, LEAST_ROWS = 0.001, 0.5, 20
 
 
@@ -75,13 +78,33 @@ def accepts(delta: float = DELTA, tie: float = TIE, least: int = LEAST_ROWS) ->
     return (F.col("n") >= least) & (F.col("g") < F.col("root")) & ((gap > eps) | ((gap < eps) & (eps < tie)))
 
 
+def categorical_splits(counts: DataFrame, keys: list[str], most: int = 10) -> DataFrame:
+    """(…keys, feature_id, members, g, root, n): all subsets where a feature has at most ``most`` values, each value against the rest where it has more."""
+    per = counts.groupBy(*keys, "feature_id").agg(F.count("*").alias("k"), F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))
+    few = subset_splits(counts, keys, most)
+    many = one_against_rest(counts.join(per.where(F.col("k") > most).select(*keys, "feature_id"), [*keys, "feature_id"], "left_semi"), keys)
+    both = few.unionByName(many.select(*keys, "feature_id", F.array("value").alias("members"), "g"))
+    root = per.select(*keys, "feature_id", _gini(F.col("t0"), F.col("t1")).alias("root"), (F.col("t0") + F.col("t1")).alias("n"))
+    return both.join(root, [*keys, "feature_id"])
+
+
 @dataclass
 class Node:
+    """A test (value <= cut, or value among members, goes left) or a leaf; a missing value goes left."""
+
     feature: int | None = None
     cut: float | None = None
     left: Node | None = None
     right: Node | None = None
     label: int = 0
+    members: tuple | None = None
+
+    def split(self, feature: int, cut: float | None, members=None) -> None:
+        self.feature, self.cut, self.members = feature, cut, tuple(members) if members is not None else None
+        self.left, self.right = Node(label=self.label), Node(label=self.label)
+
+    def clear(self) -> None:
+        self.feature = self.cut = self.left = self.right = self.members = None
 
 
 def grow(rows: DataFrame, features: list[str], label: str = "label", depth: int = 3) -> Node:
@@ -97,7 +120,7 @@ def grow(rows: DataFrame, features: list[str], label: str = "label", depth: int
         new = {}
         for r in best_splits(numeric_splits(counts, ["node"]), ["node"]).where(accepts()).collect():
             node = leaves[r.node]
-            node.feature, node.cut, node.left, node.right = r.feature_id, r.cut, Node(label=node.label), Node(label=node.label)
+            node.split(r.feature_id, r.cut)
             new[2 * r.node], new[2 * r.node + 1] = node.left, node.right
         majority = rows.select(node_id(root, features).alias("node"), F.col(label).alias("label")).where("label is not null").groupBy("node").agg(F.count_if(F.col("label") == 1).alias("a"), F.count("*").alias("n"))
         for r in majority.collect():
@@ -107,10 +130,19 @@ def grow(rows: DataFrame, features: list[str], label: str = "label", depth: int
     return root
 
 
+def name_leaves(tree: Node, rows: DataFrame, features: list[str], label: str) -> None:
+    """Each leaf's label: what most of its rows with a known label are; one without such rows keeps what it has."""
+    at = rows.select(node_id(tree, features).alias("node"), F.col(label).alias("label")).where("label is not null")
+    leaves = dict(_leaves(tree))
+    for r in at.groupBy("node").agg(F.count_if(F.col("label") == 1).alias("a"), F.count("*").alias("n")).collect():
+        leaves[r.node].label = int(2 * r.a > r.n)
+
+
 def _walk(node: Node, features: list[str], number: int, leaf) -> Column:
     if node.feature is None:
         return F.lit(leaf(node, number))
-    left = F.coalesce(F.col(features[node.feature]) <= node.cut, F.lit(True))
+    value = F.col(features[node.feature])
+    left = F.coalesce(value.isin(*node.members) if node.members is not None else value <= node.cut, F.lit(True))
     return F.when(left, _walk(node.left, features, 2 * number, leaf)).otherwise(_walk(node.right, features, 2 * number + 1, leaf))
 
 
@@ -124,10 +156,10 @@ def predict(tree: Node, features: list[str]) -> Column:
 
 
 def describe(tree: Node, number: int = 1) -> list[tuple]:
-    """(node, feature, cut, label) from the root."""
+    """(node, feature, cut or members, label) from the root."""
     if tree.feature is None:
         return [(number, None, None, tree.label)]
-    return [(number, tree.feature, tree.cut, tree.label), *describe(tree.left, 2 * number), *describe(tree.right, 2 * number + 1)]
+    return [(number, tree.feature, tree.cut if tree.members is None else list(tree.members), tree.label), *describe(tree.left, 2 * number), *describe(tree.right, 2 * number + 1)]
 
 
 def either(a: Column, b: Column) -> Column:
@@ -135,10 +167,142 @@ def either(a: Column, b: Column) -> Column:
     return F.greatest(a, b)
 
 
-def reset_drifted(tree: Node, numbers: set[int], number: int = 1) -> None:
-    """Nodes whose clusters drifted become leaves again and learn anew."""
-    if number in numbers or tree.feature is None:
-        tree.feature = tree.cut = tree.left = tree.right = None
-        return
-    reset_drifted(tree.left, numbers, 2 * number)
-    reset_drifted(tree.right, numbers, 2 * number + 1)
+def reset_drifted(tree: Node, numbers: set[int], number: int = 1) -> set[int]:
+    """Nodes whose clusters drifted become leaves again and learn anew; the numbers of all nodes that this took away."""
+    if number in numbers:
+        gone = {k for k, *_ in describe(tree, number)}
+        tree.clear()
+        return gone
+    if tree.feature is None:
+        return set()
+    return reset_drifted(tree.left, numbers, 2 * number) | reset_drifted(tree.right, numbers, 2 * number + 1)
+
+
+class StreamTree:
+    """A tree that grows by micro-batch, with repaired labels, cluster history and drift at its leaves.
+
+    Rows wait at their leaf until it has ``least`` of them. A ready leaf's rows are clustered by
+    k-modes from the first labelled row of each class, missing labels become their cluster's main
+    one, and the counts of (leaf, feature, value, class) grow. A leaf whose best split is certain
+    is split. One that is not keeps its clusters, and compares them with those it had: at a
+    distance of both tightnesses or more the leaf has drifted, and its parent becomes a leaf again
+    (the root, if it is one, starts anew).
+
+    Waiting rows, counts and clusters are tables keyed by node and cut after each batch. The driver
+    holds the tree and sees a row for each ready leaf, and for each of its clusters and features.
+    """
+
+    def __init__(self, row_id: str, numeric: list[str], categories: list[str], label: str, width: float = 10.0, delta: float = DELTA, tie: float = TIE, least: int = LEAST_ROWS):
+        self.row_id, self.numeric, self.categories, self.label, self.width = row_id, numeric, categories, label, width
+        self.features, self.delta, self.tie, self.least = [*numeric, *categories], delta, tie, least
+        self.root, self.log = Node(), []
+        self.waiting: DataFrame | None = None
+        self.counts: DataFrame | None = None
+        self.history: DataFrame | None = None
+        self.tight: dict[int, float] = {}
+
+    def _modal(self, rows: DataFrame) -> DataFrame:
+        """Features as categories, numbers by ranges of ``width``."""
+        cell = lambda f: F.coalesce((F.floor(F.col(f) / self.width) if f in self.numeric else F.col(f)).cast("string"), F.lit(""))
+        return rows.withColumn("x", F.array(*map(cell, self.features)))
+
+    def _clustered(self, ready: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows with their cluster and repaired label, and the clusters (node, cluster, feature, mode, n), after one round of new modes."""
+        seeds = ready.where(F.col(self.label).isNotNull()).groupBy("node", F.col(self.label).alias("cluster")).agg(F.min(F.struct(self.row_id, "x")).alias("s"))
+        first = ready.groupBy("node").agg(F.min(F.struct(self.row_id, "x")).alias("s")).withColumn("cluster", F.lit(0))
+        seeds = seeds.select("node", "cluster", "s").unionByName(first.join(seeds, "node", "left_anti").select("node", "cluster", "s"))
+        centres = seeds.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("cluster", F.col("s.x").alias("x")))).alias("centres"))
+        for turn in range(2):
+            away = lambda c: F.aggregate(F.zip_with("x", c["x"], lambda a, b: (a != b).cast("int")), F.lit(0), lambda a, b: a + b)
+            best = F.array_min(F.transform("centres", lambda c: F.struct(away(c).alias("mismatches"), c["cluster"].alias("cluster"))))
+            near = ready.join(F.broadcast(centres), "node").withColumn("_b", best)
+            near = near.withColumns({"cluster": F.col("_b.cluster"), "mismatches": F.col("_b.mismatches")}).drop("_b", "centres")
+            cells = near.select("node", "cluster", F.posexplode("x").alias("feature", "value")).groupBy("node", "cluster", "feature", "value").agg(F.count("*").alias("n"))
+            modes = cells.groupBy("node", "cluster", "feature").agg(F.min(F.struct((-F.col("n")).alias("m"), "value")).alias("b"))
+            modes = cut(modes.select("node", "cluster", "feature", F.col("b.value").alias("mode"), (-F.col("b.m")).alias("n")))
+            if not turn:
+                per = modes.groupBy("node", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "mode"))), lambda f: f["mode"]).alias("x"))
+                centres = per.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("cluster", "x"))).alias("centres"))
+        major = near.where(F.col(self.label).isNotNull()).groupBy("node", "cluster", self.label).agg(F.count("*").alias("n"))
+        major = major.groupBy("node", "cluster").agg(F.min(F.struct((-F.col("n")).alias("m"), F.col(self.label).alias("l"))).alias("b"))
+        major = major.select("node", "cluster", F.col("b.l").alias("_major"))
+        rows = near.join(F.broadcast(major), ["node", "cluster"], "left")
+        return cut(rows.withColumn("told", F.coalesce(self.label, "_major")).drop("_major")), modes
+
+    def update(self, batch: DataFrame) -> None:
+        """One micro-batch: rows with the features, the label (null where unknown) and the row id, which are kept in its order."""
+        rows = batch.select(self.row_id, *self.features, self.label)
+        rows = rows if self.waiting is None else self.waiting.select(rows.columns).unionByName(rows)
+        rows = cut(self._modal(rows.withColumn("node", node_id(self.root, self.features).cast("long"))))
+        full = [r.node for r in rows.groupBy("node").count().where(F.col("count") >= self.least).collect()]
+        is_full = F.col("node").isin(full) if full else F.lit(False)
+        self.waiting = cut(rows.where(~is_full).select(self.row_id, *self.features, self.label))
+        if not full:
+            return
+        near, modes = self._clustered(rows.where(is_full))
+        names = {f: i for i, f in enumerate(self.features)}
+        cells = F.inline(F.array(*(F.struct(F.lit(i).alias("feature_id"), F.col(f).cast("string").alias("value")) for f, i in names.items())))
+        new = class_counts(near.select("node", F.col("told").alias("label"), cells), ["node"])
+        if self.counts is not None:
+            new = self.counts.unionByName(new).groupBy("node", "feature_id", "value").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        self.counts = cut(new)
+        split = self._split(full)
+        self._compare([k for k in full if k not in split], near, modes)
+        self._name_leaves()
+
+    def _split(self, full: list[int]) -> set[int]:
+        at = self.counts.where(F.col("node").isin(full))
+        is_number = F.col("feature_id") < len(self.numeric)
+        no = F.lit(None)
+        cuts = numeric_splits(at.where(is_number).withColumn("value", F.col("value").cast("double")), ["node"])
+        cuts = cuts.select("node", "feature_id", "cut", no.cast("array<string>").alias("members"), "g", "root", "n")
+        sets = categorical_splits(at.where(~is_number), ["node"])
+        sets = sets.select("node", "feature_id", no.cast("double").alias("cut"), "members", "g", "root", "n")
+        both = cuts.unionByName(sets)
+        both = both.select("node", "feature_id", F.struct("cut", "members").alias("cut"), "g", "root", "n")
+        done = set()
+        leaves = dict(_leaves(self.root))
+        for r in best_splits(both, ["node"]).where(accepts(self.delta, self.tie, self.least)).collect():
+            leaves[r.node].split(r.feature_id, r.cut.cut, r.cut.members)
+            self.log.append(("split", r.node))
+            done.add(r.node)
+        return done
+
+    def _compare(self, nodes: list[int], near: DataFrame, modes: DataFrame) -> None:
+        """The clusters of leaves that were not split, against those they had."""
+        share = near.groupBy("node", "cluster").agg(F.avg(1 - F.col("mismatches") / len(self.features)).alias("s"))
+        tight = {r.node: r.r for r in share.groupBy("node").agg(F.avg("s").alias("r")).collect()}
+        drifted = set()
+        if self.history is not None and nodes:
+            for r in clusters.cluster_set_distances(self.history, modes.where(F.col("node").isin(nodes)), ["node"]).collect():
+                if clusters.drifted(r.distance, self.tight[r.node], tight[r.node]):
+                    drifted.add(max(1, r.node // 2))
+                    self.log.append(("drift", r.node))
+        kept = modes.where(F.col("node").isin(nodes)) if nodes else modes.limit(0)
+        if self.history is not None:
+            kept = kept.unionByName(self.history.where(~F.col("node").isin([*nodes, 0])))
+        gone = reset_drifted(self.root, drifted) | drifted if drifted else set()
+        if gone:
+            kept, self.counts = kept.where(~F.col("node").isin(list(gone))), cut(self.counts.where(~F.col("node").isin(list(gone))))
+        self.history = cut(kept)
+        self.tight = {k: v for k, v in {**self.tight, **{k: tight[k] for k in nodes}}.items() if k not in gone}
+
+    def _name_leaves(self) -> None:
+        """A leaf's label is its main class; one without counts keeps its parent's."""
+        first = self.counts.where("feature_id = 0").groupBy("node").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b"))
+        leaves = dict(_leaves(self.root))
+        main = {r.node: int(r.b > r.a) for r in first.collect()}
+        for number, leaf in leaves.items():
+            while number and number not in main:
+                number //= 2
+            leaf.label = main.get(number, leaf.label)
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with node and predicted."""
+        return rows.withColumns({"node": node_id(self.root, self.features), "predicted": predict(self.root, self.features)})
+
+
+def _leaves(tree: Node, number: int = 1) -> list[tuple[int, Node]]:
+    if tree.feature is None:
+        return [(number, tree)]
+    return _leaves(tree.left, 2 * number) + _leaves(tree.right, 2 * number + 1)

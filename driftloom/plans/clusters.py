@@ -39,7 +39,24 @@ def modes_updated(spark, sf_dir):
     return c.modes(c.assign_modes(_rows(spark, sf_dir), _START))
 
 
-@register("k_modes")
+def _rounds_sql(start: str, rounds: int = 20) -> str:
+    """Twenty rounds of assignment and new modes from the centres (k, a, b, c) of ``start``; rounds after the last change change nothing."""
+    near = lambda r: f"(SELECT row_id, x.a, x.b, x.c, x.label, arg_min(k, 10 * ((x.a <> z.a)::INT + (x.b <> z.b)::INT + (x.c <> z.c)::INT) + k) AS k FROM x, c{r} z GROUP BY ALL)"
+    out = f"WITH {_X}, c0 AS MATERIALIZED ({start})"
+    for r in range(rounds):
+        cells = " UNION ALL ".join(f"SELECT k, '{f}' AS f, {f} AS v FROM a{r}" for f in "abc")
+        pick = ", ".join(f"coalesce((SELECT v FROM m{r} WHERE m{r}.k = z.k AND f = '{f}'), z.{f}) AS {f}" for f in "abc")
+        out += f""",
+a{r} AS MATERIALIZED {near(r)},
+m{r} AS MATERIALIZED (SELECT k, f, v FROM (SELECT *, row_number() OVER (PARTITION BY k, f ORDER BY n DESC, v) AS o FROM (SELECT k, f, v, count(*) AS n FROM ({cells}) GROUP BY ALL)) WHERE o = 1),
+c{r + 1} AS MATERIALIZED (SELECT k, {pick} FROM c{r} z)"""
+    return out + f", fin AS MATERIALIZED {near(rounds)}"
+
+
+_FIRST = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{a}', '{b}', '{c}')" for i, (a, b, c) in enumerate(_START)) + ") t(k, a, b, c)"
+
+
+@register("k_modes", _rounds_sql(_FIRST) + " SELECT k AS cluster, count(*) AS n FROM fin GROUP BY k")
 def k_modes(spark, sf_dir):
     """K2: rounds until the centres stay."""
     return c.k_modes(_rows(spark, sf_dir), _START)[0].groupBy("cluster").agg(F.count("*").alias("n"))
@@ -59,7 +76,11 @@ def repaired_labels(spark, sf_dir):
     return c.repair_labels(a).select("row_id", F.col("repaired").alias("label"))
 
 
-@register("seeded_modes")
+_SEEDS = "SELECT label AS k, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY row_id) AS o FROM x) WHERE o = 1 GROUP BY label"
+
+
+@register("seeded_modes", _rounds_sql(_SEEDS) + """, g AS (SELECT k, label AS major FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, label) AS o FROM (SELECT k, label, count(*) AS n FROM fin GROUP BY ALL)) WHERE o = 1)
+SELECT fin.k AS cluster, coalesce(label, major) AS repaired, count(*) AS n FROM fin LEFT JOIN g USING (k) GROUP BY ALL""")
 def seeded_modes(spark, sf_dir):
     """K4: k-modes from the first labelled row of each class."""
     rows = _rows(spark, sf_dir)
@@ -87,10 +108,43 @@ t AS (SELECT s, w FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER
 
 @register("drift_distance", _drift_sql(False))
 def drift_distance(spark, sf_dir):
-    """How far the clusters of one half of the stream are from the other's."""
+    """R2: how far the clusters of one half of the stream are from the other's."""
     return c.cluster_set_distance(*_two(spark, sf_dir)).select(F.round("distance", 6).alias("distance"))
 
 
+@register("drift_test", _drift_sql(False).rsplit(" SELECT round(", 1)[0] + """, h AS (SELECT row_id % 2 AS half, cluster, avg(1 - mismatches / 3.0) AS t FROM s GROUP BY ALL),
+r AS (SELECT half, avg(t) AS r FROM h GROUP BY half), z AS (SELECT 1 - avg(s) AS distance FROM t) SELECT round(distance, 6) AS distance, distance >= (SELECT sum(r) FROM r) AS drifted FROM z""")
+def drift_test(spark, sf_dir):
+    """Whether the halves' clusters are farther apart than both are loose."""
+    rows = c.assign_modes(_rows(spark, sf_dir), _START)
+    tight = [c.tightness(rows.where(F.col("row_id") % 2 == k), 3).first()[0] or 0.0 for k in (0, 1)]
+    far = c.cluster_set_distance(*_two(spark, sf_dir))
+    return far.select(F.round("distance", 6).alias("distance"), (F.col("distance") >= sum(tight)).alias("drifted"))
+
+
+@register("drift_distance_mixed", f"""{_ASSIGN}, v AS (SELECT s.row_id % 2 AS half, cluster, a, b, f0 FROM s JOIN m USING (row_id)),
+mo AS (SELECT half, cluster, f, v AS mode FROM (SELECT *, row_number() OVER (PARTITION BY half, cluster, f ORDER BY n DESC, v) AS o FROM
+  (SELECT half, cluster, f, v, count(*) AS n FROM (SELECT half, cluster, 'a' AS f, a AS v FROM v UNION ALL SELECT half, cluster, 'b', b FROM v) GROUP BY ALL)) WHERE o = 1),
+e AS (SELECT half, cluster, min(f0) AS lo, max(f0) AS hi, count(*) AS k FROM v GROUP BY ALL),
+p AS (SELECT n.cluster, o.cluster AS oc, ((SELECT count(*) FROM v WHERE half = 1 AND v.cluster = n.cluster AND f0 BETWEEN o.lo AND o.hi) + (SELECT count(*) FROM v WHERE half = 0 AND v.cluster = o.cluster AND f0 BETWEEN n.lo AND n.hi)) / (n.k + o.k) AS s
+  FROM e n, e o WHERE n.half = 1 AND o.half = 0),
+q AS (SELECT cluster, oc, s FROM p UNION ALL SELECT n.cluster, o.cluster, CAST(n.mode = o.mode AS DOUBLE) FROM mo n JOIN mo o ON n.f = o.f WHERE n.half = 1 AND o.half = 0)
+SELECT round(1 - avg(s), 6) AS distance FROM (SELECT cluster, max(s) AS s FROM (SELECT cluster, oc, avg(s) AS s FROM q GROUP BY ALL) GROUP BY cluster)""")
+def drift_distance_mixed(spark, sf_dir):
+    """R2 over categories and numbers: two of the former by modes, one of the latter by how much the clusters' values overlap."""
+    rows = c.assign_modes(_rows(spark, sf_dir), _START).withColumn("x", F.slice("x", 1, 2)).join(matrix(spark, sf_dir).select("row_id", "f0"), "row_id")
+    half = lambda k: rows.where(F.col("row_id") % 2 == k)
+    cells = tuple(half(k).select("cluster", F.lit(9).alias("feature"), F.col("f0").alias("value")) for k in (0, 1))
+    return c.mixed_distance(c.modes(half(0)), c.modes(half(1)), cells).select(F.round("distance", 6).alias("distance"))
+
+
+@register("labels_by_match", f"""WITH {_X}, k AS (SELECT a, b, c, min(label) AS matched FROM x WHERE row_id % 3 = 0 GROUP BY ALL) SELECT row_id, matched FROM x LEFT JOIN k USING (a, b, c)""")
+def labels_by_match(spark, sf_dir):
+    """K3: labels of rows from a third of them, by equal features."""
+    rows = _rows(spark, sf_dir)
+    return c.labels_by_match(rows.drop("label"), rows.where("row_id % 3 = 0")).select("row_id", "matched")
+
+
 @register("drift_distance_weighted", _drift_sql(True))
 def drift_distance_weighted(spark, sf_dir):
     """The same, by the clusters' sizes."""

@@ -1,4 +1,4 @@
-"""Density peaks over three coordinates of the embeddings."""
+"""Density peaks over the embeddings."""
 
 from __future__ import annotations
 
@@ -9,8 +9,12 @@ from driftloom.operators.lineage import cut
 from driftloom.plans.registry import register
 from driftloom.plans.tables import table
 
-_P = "WITH p AS (SELECT vec_id AS id, [embedding[1]::DOUBLE, embedding[2]::DOUBLE, embedding[3]::DOUBLE] AS x FROM embeddings), q AS (SELECT a.id AS i, b.id AS j, sqrt((a.x[1]-b.x[1])**2 + (a.x[2]-b.x[2])**2 + (a.x[3]-b.x[3])**2) AS d FROM p a JOIN p b ON a.id < b.id)"
-_RHO = _P + ", r AS (SELECT id, sum(exp(-pow(d / 0.1, 2))) AS rho FROM (SELECT i AS id, d FROM q UNION ALL SELECT j, d FROM q) GROUP BY id)"
+#: Distance within which points count as near: about two pairs in a hundred are nearer.
+_DC = 1.2
+# the vectors as columns: distances of lists are slow in SQL
+_D = " + ".join(f"(a.x{i} - b.x{i}) ** 2" for i in range(1, 65))
+_P = f"WITH p AS (SELECT vec_id AS id, {', '.join(f'embedding[{i}]::DOUBLE AS x{i}' for i in range(1, 65))} FROM embeddings), q AS (SELECT a.id AS i, b.id AS j, sqrt({_D}) AS d FROM p a JOIN p b ON a.id < b.id)"
+_RHO = _P + f", r AS (SELECT id, sum(exp(-pow(d / {_DC}, 2))) AS rho FROM (SELECT i AS id, d FROM q UNION ALL SELECT j, d FROM q) GROUP BY id)"
 _PEAK = _RHO + """, up AS (SELECT CASE WHEN a.rho > b.rho OR (a.rho = b.rho AND i < j) THEN j ELSE i END AS id, d, CASE WHEN a.rho > b.rho OR (a.rho = b.rho AND i < j) THEN i ELSE j END AS par FROM q JOIN r a ON a.id = i JOIN r b ON b.id = j),
 low AS (SELECT id, d, par FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, par) AS n FROM up) WHERE n = 1),
 k AS (SELECT r.id, rho, coalesce(low.d, (SELECT max(d) FROM q)) AS delta, par AS parent FROM r LEFT JOIN low USING (id)),
@@ -18,13 +22,13 @@ g AS (SELECT *, (rho - min(rho) OVER ()) / (max(rho) OVER () - min(rho) OVER ())
 
 
 def _points(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 3).cast("array<double>").alias("x"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
 
 
 def _peaks(spark, sf_dir):
     pts = _points(spark, sf_dir)
-    pairs = d.pair_distances(pts, "id", "x")
-    return d.gammas(d.peaks(d.densities(pts, "id", pairs, 0.1), pairs))
+    pairs = cut(d.pair_distances(pts, "id", "x"))
+    return d.gammas(cut(d.peaks(d.densities(pts, "id", pairs, _DC), pairs)))
 
 
 @register("pair_distances", _P + " SELECT i, count(*) AS n, round(sum(d), 6) AS total FROM q GROUP BY i")
@@ -36,28 +40,33 @@ def pair_distances(spark, sf_dir):
 @register("distance_cutoff", _P + " SELECT round(d, 6) AS dc FROM (SELECT d, row_number() OVER (ORDER BY d) - 1 AS n FROM q) WHERE n = (SELECT CAST(round_even(count(*) * 5 / 100.0, 0) AS BIGINT) FROM q)")
 def distance_cutoff(spark, sf_dir):
     """The distance at five in a hundred."""
-    dc = d.cutoff(d.pair_distances(_points(spark, sf_dir), "id", "x"), 5)
+    dc = d.cutoff(cut(d.pair_distances(_points(spark, sf_dir), "id", "x")), 5)
     return spark.range(1).select(F.round(F.lit(dc), 6).alias("dc"))
 
 
-@register("bisected_cutoff")
+@register("bisected_cutoff", _P.replace("WITH p AS", "WITH RECURSIVE p AS") + """, e AS (SELECT min(d) AS lo, max(d) AS hi, count(*) AS n FROM q),
+b AS (SELECT lo, hi, n, 0 AS step, NULL::DOUBLE AS found FROM e
+  UNION ALL SELECT CASE WHEN share < 0.01 THEN mid ELSE lo END, CASE WHEN share > 0.02 THEN mid ELSE hi END, n, step + 1, CASE WHEN share BETWEEN 0.01 AND 0.02 THEN mid END
+  FROM (SELECT *, (lo + hi) / 2 AS mid, (SELECT count(*) FROM q WHERE d < (lo + hi) / 2) / n AS share FROM b WHERE found IS NULL AND hi - lo > 1e-4))
+SELECT round(coalesce(max(found), max_by((lo + hi) / 2, step)), 6) AS dc FROM b""")
 def bisected_cutoff(spark, sf_dir):
-    """A cutoff found by halving."""
-    return spark.range(1).select(F.lit(d.cutoff_bisected(d.pair_distances(_points(spark, sf_dir), "id", "x"))).alias("dc"))
+    """A cutoff below which one to two pairs in a hundred lie, found by halving."""
+    dc = d.cutoff_bisected(cut(d.pair_distances(_points(spark, sf_dir), "id", "x")))
+    return spark.range(1).select(F.round(F.lit(dc), 6).alias("dc"))
 
 
 @register("densities", _RHO + " SELECT id, round(rho, 6) AS rho FROM r")
 def densities(spark, sf_dir):
     """Gaussian densities."""
     pts = _points(spark, sf_dir)
-    return d.densities(pts, "id", d.pair_distances(pts, "id", "x"), 0.1).select("id", F.round("rho", 6).alias("rho"))
+    return d.densities(pts, "id", d.pair_distances(pts, "id", "x"), _DC).select("id", F.round("rho", 6).alias("rho"))
 
 
-@register("cutoff_densities", _P + " SELECT id, CAST(sum(CAST(d < 0.1 AS INT)) AS DOUBLE) AS rho FROM (SELECT i AS id, d FROM q UNION ALL SELECT j, d FROM q) GROUP BY id")
+@register("cutoff_densities", _P + f" SELECT id, CAST(sum(CAST(d < {_DC} AS INT)) AS DOUBLE) AS rho FROM (SELECT i AS id, d FROM q UNION ALL SELECT j, d FROM q) GROUP BY id")
 def cutoff_densities(spark, sf_dir):
     """D3: how many points are near."""
     pts = _points(spark, sf_dir)
-    return d.densities(pts, "id", d.pair_distances(pts, "id", "x"), 0.1, gaussian=False)
+    return d.densities(pts, "id", d.pair_distances(pts, "id", "x"), _DC, gaussian=False)
 
 
 @register("density_peaks", _PEAK + " SELECT id, round(rho, 6) AS rho, round(delta, 6) AS delta, parent, round(gamma, 6) AS gamma FROM g")
@@ -69,7 +78,7 @@ def density_peaks(spark, sf_dir):
 @register("peak_order", _PEAK + " SELECT id, round(gamma, 6) AS gamma, row_number() OVER (ORDER BY gamma DESC, id) AS rank FROM g ORDER BY gamma DESC, id LIMIT 30")
 def peak_order(spark, sf_dir):
     """The thirty points that stand out most, a top-k report."""
-    return d.ranked(_peaks(spark, sf_dir)).where("rank <= 30").select("id", F.round("gamma", 6).alias("gamma"), F.col("rank").cast("long").alias("rank"))
+    return d.ranked(_peaks(spark, sf_dir), 30).select("id", F.round("gamma", 6).alias("gamma"), F.col("rank").cast("long").alias("rank"))
 
 
 @register("density_clusters", _PEAK.replace("WITH p AS", "WITH RECURSIVE p AS") + """, top AS (SELECT id FROM g ORDER BY gamma DESC, id LIMIT 8),
@@ -88,6 +97,6 @@ def peak_count(spark, sf_dir):
 
 @register("label_spreading")
 def label_spreading(spark, sf_dir):
-    """A tenth of the labels spread along the pointers."""
+    """A tenth of the labels spread along the pointers of all points, to parents and then to children, by a learner fitted anew each hop."""
     labels = table(spark, sf_dir, "embeddings").where("vec_id % 10 = 0").select(F.col("vec_id").alias("id"), "label")
-    return d.spread_labels(cut(_peaks(spark, sf_dir)), labels)
+    return d.spread_labels(_peaks(spark, sf_dir).join(_points(spark, sf_dir), "id"), labels)

@@ -6,10 +6,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from driftloom.functions import numeric as n
-from driftloom.operators import copula
+from driftloom.operators import copula, frames
 from driftloom.operators.lineage import cut
 from driftloom.plans.registry import register
-from driftloom.plans.tables import MASKED, masked_long
+from driftloom.plans.tables import FEATURES, MASKED, masked_long, matrix
 
 ORDINAL = [2, 3]
 
@@ -89,3 +89,18 @@ def copula_change(spark, sf_dir):
     """Whether the correlations changed from each batch of 500 to the next."""
     rows = copula.rows_of(copula.latent(masked_long(spark, sf_dir), ORDINAL), 4)
     return copula.batch_changes(rows, 4, 500)
+
+
+@register("copula_stream")
+def copula_stream(spark, sf_dir):
+    """Four streams filled along their way, by the last 200 values of each column and batches of 50."""
+    rows = matrix(spark, sf_dir).select((F.col("user_id") % 4).alias("stream"), "row_id", frames.mask_pairs(F.array(*FEATURES), F.col("row_id")).alias("x"))
+    return copula.impute_stream(rows, "stream", "row_id", "x", ORDINAL, 200, 50).select("key", "row_id", F.posexplode("values").alias("feature_id", "value"))
+
+
+@register("copula_trapezoid")
+def copula_trapezoid(spark, sf_dir):
+    """The same where columns appear one after the other, and only each batch's last row enters the windows."""
+    rows = matrix(spark, sf_dir).select((F.col("user_id") % 4).alias("stream"), "row_id", frames.mask_pairs(F.array(*FEATURES), F.col("row_id")).alias("x"))
+    shown = rows.withColumn("x", frames.trapezoid(F.col("x"), F.col("row_id"), F.lit(rows.count())))
+    return copula.impute_stream(shown, "stream", "row_id", "x", ORDINAL, 200, 50, last_only=True).select("key", "row_id", F.posexplode("values").alias("feature_id", "value"))

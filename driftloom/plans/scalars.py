@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftloom.functions import numeric as n
+from driftloom.operators import order
 from driftloom.plans.registry import register
 from driftloom.plans.tables import LONG, MASKED, MATRIX, long, masked_long, matrix
 
@@ -33,10 +34,11 @@ def pooled_moments(spark, sf_dir):
   round((max(value) - min(value)) / nullif(max(value), 0), 6) AS spread FROM k GROUP BY feature_id""")
 def column_summary(spark, sf_dir):
     """Ends, quartile and median of each column."""
-    return masked_long(spark, sf_dir).groupBy("feature_id").agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi"), F.round(F.percentile("value", F.lit(0.25)), 6).alias("q1"), F.round(F.median("value"), 6).alias("median"),
-        F.round(F.try_divide(F.max("value") - F.min("value"), F.max("value")), 6).alias("spread"),
-    )
+    cells = masked_long(spark, sf_dir)
+    ends = cells.groupBy("feature_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    both = ends.join(order.quantiles(cells, "feature_id", "value", [0.25, 0.5]), "feature_id", "left")
+    spread = F.try_divide(F.col("hi") - F.col("lo"), F.col("hi"))
+    return both.select("feature_id", "lo", "hi", F.round(F.col("q")[0], 6).alias("q1"), F.round(F.col("q")[1], 6).alias("median"), F.round(spread, 6).alias("spread"))
 
 
 _PAIRS = [(i, j) for i in range(4) for j in range(i, 4)]
@@ -74,7 +76,8 @@ def _imputed(spark, sf_dir):
     """Every cell with its true, observed and mean-imputed value, and its column's median."""
     m = masked_long(spark, sf_dir).withColumnRenamed("value", "obs")
     both = long(spark, sf_dir).withColumnRenamed("value", "true_").join(m, ["row_id", "feature_id"])
-    stats = m.groupBy("feature_id").agg(F.avg("obs").alias("imp"), F.median("obs").alias("med"))
+    middle = order.quantiles(m, "feature_id", "obs", [0.5]).select("feature_id", F.col("q")[0].alias("med"))
+    stats = m.groupBy("feature_id").agg(F.avg("obs").alias("imp")).join(middle, "feature_id", "left")
     return both.join(F.broadcast(stats), "feature_id")
 
 

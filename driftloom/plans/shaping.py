@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from driftloom.operators import frames
+from driftloom.operators import frames, order
 from driftloom.plans.registry import register
 from driftloom.plans.tables import FEATURES, LONG, MASKED, MATRIX, draw, long, masked_long, matrix, table
 from driftloom.sources import readers
@@ -109,10 +109,13 @@ def column_kinds(spark, sf_dir):
     return frames.continuous_features(long(spark, sf_dir))
 
 
-@register("binary_cut", f"WITH {MATRIX} SELECT row_id, CAST(f0 > 50 AS INT) AS bit FROM m")
+@register("binary_cut", f"""WITH {LONG}, q AS (SELECT feature_id, quantile_cont(value, 0.1) AS a, quantile_cont(value, 0.9) AS z FROM l GROUP BY feature_id),
+d AS (SELECT feature_id, value AS cut FROM (SELECT l.*, row_number() OVER (PARTITION BY feature_id ORDER BY {draw('row_id', 'feature_id')}, row_id) AS o FROM l JOIN q USING (feature_id) WHERE value BETWEEN a AND z) WHERE o = 1)
+SELECT feature_id, CAST(value > cut AS INT) AS bit, count(*) AS rows FROM l JOIN d USING (feature_id) GROUP BY ALL""")
 def binary_cut(spark, sf_dir):
-    """A column cut in two."""
-    return matrix(spark, sf_dir).select("row_id", (F.col("f0") > 50).cast("int").alias("bit"))
+    """Columns cut in two at a value drawn from between the tenth and ninetieth percentile."""
+    cells = long(spark, sf_dir)
+    return frames.binary(cells, frames.drawn_cut(cells)).groupBy("feature_id", "bit").agg(F.count("*").alias("rows"))
 
 
 @register("equal_width_ordinal", f"""WITH {LONG}, e AS (SELECT feature_id, min(value) AS lo, max(value) AS hi FROM l GROUP BY feature_id)
@@ -147,20 +150,20 @@ def discretised(spark, sf_dir):
     return frames.discretised(cells, frames.equal_frequency(cells)).select("row_id", "feature_id", "bin")
 
 
-@register("interval_members", _BINS + ", d AS (SELECT l.row_id, l.feature_id, value, max(bin) AS bin FROM l JOIN b ON l.feature_id = b.feature_id AND value BETWEEN lo AND hi GROUP BY ALL) SELECT feature_id, bin, count(*) AS members, round(sum(value), 4) AS total FROM d GROUP BY ALL")
+@register("interval_members", _BINS + """, d AS (SELECT l.row_id, l.feature_id, value, max(bin) AS bin FROM l JOIN b ON l.feature_id = b.feature_id AND value BETWEEN lo AND hi GROUP BY ALL)
+SELECT feature_id, bin, round(value, 6) AS value, row_id, row_number() OVER (PARTITION BY feature_id, bin ORDER BY value, row_id) - 1 AS place FROM d""")
 def interval_members(spark, sf_dir):
-    """What stands behind each chunk."""
+    """What stands behind each chunk, in order."""
     cells = long(spark, sf_dir)
-    d = frames.discretised(cells, frames.equal_frequency(cells)).where("bin is not null")
-    return d.groupBy("feature_id", "bin").agg(F.count("*").alias("members"), F.round(F.sum("value"), 4).alias("total"))
+    d = frames.discretised(cells, frames.equal_frequency(cells))
+    return frames.interval_members(d).select("feature_id", "bin", F.round("value", 6).alias("value"), "row_id", "place")
 
 
 @register("chunked_list", f"WITH {MATRIX} SELECT user_id, CAST(floor((row_number() OVER (PARTITION BY user_id ORDER BY row_id) - 1) / 16) AS BIGINT) AS chunk, row_id FROM m")
 def chunked_list(spark, sf_dir):
-    """A key's rows in groups of 16."""
-    rows = matrix(spark, sf_dir).groupBy("user_id").agg(F.sort_array(F.collect_list("row_id")).alias("ids"))
-    parts = F.transform(F.sequence(F.lit(1), F.size("ids"), F.lit(16)), lambda i: F.slice("ids", i, F.lit(16)))
-    return rows.select("user_id", F.posexplode(parts).alias("chunk", "part")).select("user_id", F.col("chunk").cast("long").alias("chunk"), F.explode("part").alias("row_id"))
+    """A key's rows in groups of 16, by their places."""
+    rows = order.placed(matrix(spark, sf_dir).select("user_id", "row_id"), "user_id", ["row_id"])
+    return rows.select("user_id", F.floor(F.col("place") / 16).alias("chunk"), "row_id")
 
 
 _MAPS = "WITH s AS (SELECT user_id, event_type AS k, sum(value) AS v FROM events GROUP BY ALL)"

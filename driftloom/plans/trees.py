@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driftloom.operators import trees as t
 from driftloom.plans.registry import register
-from driftloom.plans.tables import FEATURES, LONG, matrix, table
+from driftloom.plans.tables import FEATURES, LONG, MATRIX, matrix, table
 
 _G = lambda a, b: f"(CASE WHEN {a} + {b} > 0 THEN 1 - pow(({a}) / ({a} + {b}), 2) - pow(({b}) / ({a} + {b}), 2) ELSE 0 END)"
 _COUNTS = f"WITH {LONG}, c AS (SELECT feature_id, value, (count(*) FILTER (WHERE label = 0))::DOUBLE AS n0, (count(*) FILTER (WHERE label = 1))::DOUBLE AS n1 FROM l JOIN m USING (row_id) GROUP BY ALL)"
@@ -59,14 +59,41 @@ def subset_splits(spark, sf_dir):
     return s.select(F.array_join("members", ",").alias("members"), F.round("g", 6).alias("g"))
 
 
+_TREE = t.Node()
+_TREE.split(3, None, (0.0, 2.0))
+_TREE.left.split(0, 20.0, None)
+_TREE.right.split(1, 60.0, None)
+
+
+@register("tree_routed", f"""WITH {MATRIX}, r AS (SELECT *, CASE WHEN f3 IN (0, 2) THEN CASE WHEN f0 <= 20 THEN 4 ELSE 5 END ELSE CASE WHEN f1 <= 60 THEN 6 ELSE 7 END END AS node FROM m),
+k AS (SELECT node, CAST(2 * count(*) FILTER (WHERE label = 1) > count(*) AS INT) AS main FROM r WHERE row_id % 2 = 0 GROUP BY node)
+SELECT row_id, node, coalesce(main, 0) AS predicted FROM r LEFT JOIN k USING (node)""")
+def tree_routed(spark, sf_dir):
+    """H1, H2, H7: a given tree, by members of a category and by cuts, routes the stream; leaves say what most of their rows with a known label are."""
+    m = matrix(spark, sf_dir)
+    t.name_leaves(_TREE, m.where("row_id % 2 = 0"), FEATURES, "label")
+    return m.select("row_id", t.node_id(_TREE, FEATURES).alias("node"), t.predict(_TREE, FEATURES).alias("predicted"))
+
+
 @register("tree_predictions")
 def tree_predictions(spark, sf_dir):
-    """H1, H2, H6-H8: a tree grown on the labelled rows predicts the stream."""
+    """H8: a tree grown level by level on the labelled rows of the whole table predicts the stream."""
     m = matrix(spark, sf_dir).withColumn("known", F.when(F.col("row_id") % 2 == 0, F.col("label")))
     tree = t.grow(m, FEATURES, "known")
     return m.select("row_id", "label", t.node_id(tree, FEATURES).alias("node"), t.predict(tree, FEATURES).alias("predicted"))
 
 
+@register("tree_stream")
+def tree_stream(spark, sf_dir):
+    """The tree along the stream in eight micro-batches, half of the labels missing; what it predicts at the end."""
+    m = matrix(spark, sf_dir).withColumn("known", F.when(F.col("row_id") % 2 == 0, F.col("label")))
+    size = m.agg(F.max("row_id")).first()[0] // 8 + 1
+    tree = t.StreamTree("row_id", FEATURES[:2], FEATURES[2:], "known")
+    for j in range(8):
+        tree.update(m.where(F.col("row_id").between(j * size, (j + 1) * size - 1)))
+    return tree.predict(m).select("row_id", "label", "node", "predicted")
+
+
 @register("tree_ensemble")
 def tree_ensemble(spark, sf_dir):
     """H9: trees over two views of the stream, joined by either."""

@@ -9,17 +9,17 @@ from driftloom.operators import svm
 from driftloom.plans.registry import register
 from driftloom.plans.tables import table
 
-_K = "WITH p AS (SELECT vec_id, label, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS x FROM embeddings), m AS (SELECT label, [" + ", ".join(f"avg(x[{i}])" for i in range(1, 9)) + "] AS c FROM p GROUP BY label)"
+_K = "WITH p AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings), m AS (SELECT label, [" + ", ".join(f"avg(x[{i}])" for i in range(1, 65)) + "] AS c FROM p GROUP BY label)"
 
 
 def _vectors(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 8).cast("array<double>").alias("x"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
 
 
 def _centres(spark, sf_dir):
     """The mean of each label: ten rows."""
     v = _vectors(spark, sf_dir)
-    return v.groupBy(F.col("label").alias("centre")).agg(F.array(*(F.avg(F.col("x")[i]) for i in range(8))).alias("c"))
+    return v.groupBy(F.col("label").alias("centre")).agg(F.array(*(F.avg(F.col("x")[i]) for i in range(64))).alias("c"))
 
 
 @register("rbf_kernel", _K + " SELECT vec_id, m.label AS centre, round(exp(-list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) ** 2)) / (2 * 0.5 * 0.5)), 6) AS k FROM p, m")
@@ -50,12 +50,15 @@ def transductive_svm(spark, sf_dir):
     """One label in four is known."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("x"), (F.col("label") < 5).cast("int").alias("y"))
     known = v.withColumn("known", F.when(F.col("vec_id") % 4 == 0, F.col("y")))
-    model = svm.TransductiveSVM(rounds=2).fit(known, "x", "known")
+    model = svm.TransductiveSVM().fit(known, "x", "known")
     return model.predict(v, "x").select("vec_id", "y", "predicted", "probability")
 
 
 @register("subspace_distance")
 def subspace_distance(spark, sf_dir):
-    """Two random correlation matrices compared."""
-    d = svm.grassmann(svm.random_correlation(seed=1), svm.random_correlation(seed=2), 3)
-    return spark.createDataFrame([d], "angle double, gap double")
+    """The leading subspaces of the embeddings' correlations, labels below five against the others, and against a random correlation matrix."""
+    v = _vectors(spark, sf_dir)
+    low, high = (svm.correlation(v.where(c), "x") for c in ("label < 5", "label >= 5"))
+    drawn = svm.random_correlation(len(low), seed=1)
+    rows = [(name, *svm.grassmann(low, other, 3)) for name, other in (("others", high), ("random", drawn))]
+    return spark.createDataFrame(rows, "against string, angle double, gap double")

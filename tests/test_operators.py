@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftloom.functions import numeric as n
-from driftloom.operators import clusters, copula, density, frames, online, svm, trees
+from driftloom.operators import clusters, copula, density, frames, online, order, svm, trees
 from driftloom.plans.tables import FEATURES, masked_long, matrix
 from driftloom.sources import readers
 from driftloom.streaming import copula_batches, online_learner, ring_window
@@ -170,3 +170,119 @@ def test_copula_stream(spark, tmp_path):
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).where("value is null").count() == 0
     assert np.allclose(np.diag(holder["sigma"]), 1)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_places_sums_and_quantiles(spark, parts):
+    """Against sorting each key's rows, with ties, nulls, a key of one row and a hot one."""
+    r = np.random.default_rng(7)
+    rows = [(0 if i % 10 else i % 3 + 1, None if i % 17 == 0 else float(r.integers(0, 40)), i) for i in range(2000)] + [(9, 1.5, 5000), (8, None, 5001)]
+    df = spark.createDataFrame(rows, "k int, v double, i long").repartition(parts)
+    seen = {k: sorted((v, i) for k2, v, i in rows if k2 == k and v is not None) for k in {x[0] for x in rows}}
+    placed = order.placed(df.where("v is not null"), "k", ["v", "i"]).collect()
+    assert len(placed) == sum(map(len, seen.values()))
+    assert all(seen[x.k][x.place] == (x.v, x.i) and x.total == len(seen[x.k]) for x in placed)
+    counts = df.where("v is not null").groupBy("k", "v").agg(F.count("*").alias("n"))
+    for x in order.cumulative(counts, "k", "v", "n").collect():
+        assert x.upto == sum(v <= x.v for v, _ in seen[x.k]) and x.total == len(seen[x.k])
+    shares = [0.0, 0.05, 0.5, 0.9, 1.0]
+    got = {x.k: x.q for x in order.quantiles(df, "k", "v", shares).collect()}
+    assert got.keys() == {k for k, v in seen.items() if v}
+    for k, q in got.items():
+        assert q == pytest.approx(np.quantile([v for v, _ in seen[k]], shares))
+
+
+def test_value_at_a_place(spark):
+    values = np.random.default_rng(1).exponential(1, 20_000).round(4).tolist()
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "d double")
+    for place in (0, 1, 777, 19_998, 19_999):
+        assert order.value_at(df, "d", place, buckets=8, few=50) == sorted(values)[place]
+    assert order.value_at(df, "d", 20_000) is None
+
+
+def _stream(n, seed, flip=False):
+    r = np.random.default_rng(seed)
+    out = []
+    for i in range(n):
+        a, c = float(r.uniform(0, 100)), "xyz"[r.integers(0, 3)]
+        y = int((a > 50) != flip)
+        out.append((i, a, c, y if i % 3 else None))
+    return out
+
+
+def test_tree_grows_along_the_stream(spark):
+    tree = trees.StreamTree("i", ["a"], ["c"], "y")
+    rows = _stream(400, 1)
+    for j in range(4):
+        tree.update(spark.createDataFrame(rows[100 * j : 100 * j + 100], "i long, a double, c string, y int"))
+    assert ("split", 1) in tree.log and tree.root.feature == 0 and tree.root.cut == pytest.approx(50, abs=5)
+    away = spark.createDataFrame(_stream(300, 2), "i long, a double, c string, y int").where("y is not null")
+    assert tree.predict(away).agg(F.avg((F.col("predicted") == F.col("y")).cast("double"))).first()[0] > 0.9
+
+
+def test_tree_waits_for_rows(spark):
+    tree = trees.StreamTree("i", ["a"], ["c"], "y", least=50)
+    rows = _stream(60, 3)
+    tree.update(spark.createDataFrame(rows[:30], "i long, a double, c string, y int"))
+    assert tree.counts is None and tree.waiting.count() == 30
+    tree.update(spark.createDataFrame(rows[30:], "i long, a double, c string, y int"))
+    assert tree.waiting.count() == 0 and tree.counts.where("feature_id = 0").agg(F.sum("n0") + F.sum("n1")).first()[0] == 60
+
+
+def test_drift_takes_a_split_back(spark):
+    """Leaves that cannot be split keep clusters; rows of another kind make their parent a leaf again."""
+    schema = "i long, a double, c string, d string, y int"
+    near = [(i, 5.0 if i % 2 else 95.0, "p", "p", i % 2) for i in range(200)]
+    far = [(1000 + i, 25.0 if i % 2 else 75.0, f"q{i % 7}", f"r{i % 5}", i % 2) for i in range(400)]
+    tree = trees.StreamTree("i", ["a"], ["c", "d"], "y", width=1.0)
+    for some in (near[:100], near[100:], far[:200], far[200:]):
+        tree.update(spark.createDataFrame(some, schema))
+    assert tree.log[0] == ("split", 1) and any(kind == "drift" for kind, _ in tree.log)
+
+
+def test_categories_are_routed(spark):
+    rows = [(i, "abcd"[i % 4], int(i % 4 in (1, 3))) for i in range(200)]
+    tree = trees.StreamTree("i", [], ["c"], "y")
+    tree.update(spark.createDataFrame(rows, "i long, c string, y int"))
+    assert sorted(tree.root.members) in (["a", "c"], ["b", "d"])
+    assert tree.predict(spark.createDataFrame(rows, "i long, c string, y int")).where("predicted <> y").count() == 0
+
+
+def test_spread_labels_reach_every_connected_point(spark):
+    """A chain longer than any bound on hops, in two halves of which each has a label at one end."""
+    n = 60
+    rows = [(i, None if i == 0 else i - 1, [float(i >= n // 2), 1.0]) for i in range(n)]
+    p = spark.createDataFrame(rows, "id long, parent long, x array<double>")
+    labels = spark.createDataFrame([(n - 1, 1), (0, 0)], "id long, label int")
+    got = {r.id: r for r in density.spread_labels(p, labels).collect()}
+    assert got.keys() == set(range(n)) and all(got[i].label == int(i >= n // 2) for i in got)
+    assert max(r.hops for r in got.values()) > 30
+
+
+def test_correlation_of_arrays(spark):
+    x = np.random.default_rng(3).standard_normal((500, 5)) @ np.random.default_rng(4).standard_normal((5, 5))
+    got = svm.correlation(spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>"), "v")
+    assert np.allclose(got, np.corrcoef(x.T))
+
+
+def test_imputing_along_a_stream_agrees_with_the_whole_column(spark):
+    """One batch and a window of all rows: the same latents, matrix and inverses as the batch operators have."""
+    long = masked_long(spark, SF)
+    rows = matrix(spark, SF).select(F.lit(1).alias("s"), "row_id", frames.mask_pairs(F.array(*FEATURES), F.col("row_id")).alias("x"))
+    got = {(r.row_id, r.k): r.v for r in copula.impute_stream(rows, "s", "row_id", "x", [2, 3], 10**6, 10**6).select("row_id", F.posexplode("values").alias("k", "v")).collect()}
+    want = {(r.row_id, r.feature_id): r.value for r in copula.impute(long, [2, 3], 4, np.eye(4)).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want if k[1] < 2)
+    assert np.mean([got[k] == want[k] for k in want if k[1] > 1]) > 0.99  # a middle between two levels may fall to either
+
+
+def test_imputing_along_a_stream_with_late_columns():
+    r = np.random.default_rng(2)
+    x = r.multivariate_normal([0, 0, 0], [[1, 0.9, 0.8], [0.9, 1, 0.8], [0.8, 0.8, 1]], 1200)
+    seen = np.where(r.uniform(size=x.shape) < 0.3, np.nan, x)
+    state = copula.StreamState([], 300)
+    done = [state.step(seen[a : a + 100, : 2 + (a >= 400)]) for a in range(0, 1200, 100)]
+    assert done[0].shape == (100, 2) and done[-1].shape == (100, 3) and not np.isnan(done[-1]).any()
+    assert state.sigma[0, 1] > 0.75 and state.sigma[0, 2] > 0.6 and all(len(w) == 300 for w in state.rings)
+    gone = np.isnan(seen[1100:])
+    assert np.abs(done[-1] - x[1100:])[gone].mean() < 0.8 * np.abs(x[1100:])[gone].mean()
