@@ -22,10 +22,23 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, 0.8); rows without id stay."""
+    """One document of each group of near duplicates (five-word shingles, 0.8).
+
+    Rows that repeat an id and text are one document, of which one row stays. Rows without an id
+    stay once for each text that no row with an id has.
+    """
     judged = minhash.near_duplicates(docs, shingle_words=5, percent=80)
     lost = judged.where(F.col("doc_id").isNotNull() & ~F.col("kept")).select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(lost, "doc_id", "left_anti").select(*(docs[f"`{c}`"] for c in docs.columns))
+    often = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    if often.isEmpty():
+        return left
+    odd = Scratch(spark, "repeated-ids").write(often.select(F.col("doc_id").alias("odd_id")))
+    is_odd = left["doc_id"].eqNullSafe(odd["odd_id"])
+    once = left.join(odd, is_odd, "left_semi").dropDuplicates(["doc_id", "text"])
+    named = docs.where("doc_id is not null").select(F.col("text").alias("named_text"))
+    nameless = once.where("doc_id is null").join(named, F.col("text") == F.col("named_text"), "left_anti")
+    return left.join(odd, is_odd, "left_anti").unionByName(once.where("doc_id is not null")).unionByName(nameless)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +66,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``; a stage's table goes once the next one is written."""
     scratch = Scratch(spark, "corpus-pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = scratch.write(docs)
+            if i:
+                scratch.drop(before)
     return docs

@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The sample's bound; parts, neighbours in the graph, hidden units; rows of a block.
-SAMPLE, PARTS, GRAPH_NEIGHBOURS, UNITS, BLOCK_ROWS = 6000, 32, 12, 96, 2048
+#: The sample's bound, and the sample's vectors for each part; neighbours in the graph, hidden units; rows of a block.
+SAMPLE, EACH, GRAPH_NEIGHBOURS, UNITS, BLOCK_ROWS = 6000, 32, 12, 96, 4096
+#: Parts: one for each 7 of the square root of the rows, so that parts and what a query meets grow alike.
+LEAST_PARTS, ROOT_SHARE = 32, 7
 RECALL = 0.97
 
 
@@ -119,10 +121,15 @@ class Router:
         return np.maximum((x * self.scale) @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3]
 
 
-def fit(x: np.ndarray, k: int, parts: int = PARTS, recall: float = RECALL) -> tuple[Router, int]:
+def parts_for(rows: int) -> int:
+    """How many parts a table of so many rows is cut into; :func:`fit` bounds it by what the sample can carry."""
+    return max(LEAST_PARTS, int(rows**0.5) // ROOT_SHARE)
+
+
+def fit(x: np.ndarray, k: int, parts: int = LEAST_PARTS, recall: float = RECALL) -> tuple[Router, int]:
     """The router, and how many parts a query visits to find ``recall`` of the k nearest in the sample."""
     x = x.astype(np.float32)
-    parts = max(1, min(parts, len(x) // 32))
+    parts = max(1, min(parts, len(x) // EACH))
     near = nearest(x, x, min(GRAPH_NEIGHBOURS, len(x) - 1), same=True) if len(x) > 1 else np.zeros((len(x), 0), np.int64)
     part = balanced_parts(near, parts)
     spread = np.zeros((len(x), parts), np.float32)
@@ -194,7 +201,7 @@ def _rerank(k: int):
 
 
 def search(
-    vectors: DataFrame, queries, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20, sample: int = SAMPLE, parts: int = PARTS, recall: float = RECALL
+    vectors: DataFrame, queries, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20, sample: int = SAMPLE, parts: int | None = None, recall: float = RECALL
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row for which ``queries`` holds.
 
@@ -202,7 +209,8 @@ def search(
     double precision; ties go to the smaller id; a query does not find its own id. Rows with a null
     id, and vectors that are null, zero, of another than the most frequent length, or have null or
     non-finite components take no part; rows that repeat an id and vector count once. With fewer
-    than k others all are found. No vectors or no queries: an empty result.
+    than k others all are found. No vectors or no queries: an empty result. ``parts``: by default
+    they grow with the square root of the rows, up to one for each ``EACH`` vectors of the sample.
     """
     real = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     clean = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & real)
@@ -212,7 +220,7 @@ def search(
     # before blocks take their k nearest, so that no repeated row takes the place of another
     clean = clean.where(F.size("v") == lengths["d"]).dropDuplicates(["id", "v"])
     some = clean.select("v").orderBy(F.xxhash64("id"), "id").limit(sample).toArrow().column(0).combine_chunks()
-    router, visits = fit(_matrix(some), k, parts, recall)
+    router, visits = fit(_matrix(some), k, parts or parts_for(lengths["n"]), recall)
     schema = "id long, v array<double>, parts array<int>"
     home = clean.mapInArrow(_route_batches(router, 1), schema).select("id", "v", F.get("parts", 0).alias("part"))
     asked = clean.where(queries).mapInArrow(_route_batches(router, visits), schema).select("id", "v", F.explode("parts").alias("part"))

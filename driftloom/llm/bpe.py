@@ -33,8 +33,8 @@ from driftloom.llm.shared import slices
 
 #: Bytes that are merged directly, characters and tokens at which the trees over texts end.
 LEAF_BYTES, LEAF_CHARS, LEAF_TOKENS = 12, 1 << 16, 1 << 16
-#: Entries of each cache of a worker; it empties when full, so memory stays bounded.
-CACHED = 120_000
+#: Entries of each cache of a worker, and the longest that is kept; it empties when full, so memory stays bounded.
+CACHED, CACHED_LENGTH = 120_000, 64
 _NONE = 1 << 62
 
 
@@ -54,6 +54,8 @@ class _Cache(dict):
         value = self.old.pop(key, None)
         if value is None:
             value = self.make(key)
+        if len(key) > CACHED_LENGTH:
+            return value
         if len(self) >= CACHED:
             self.old = dict(self)
             self.clear()

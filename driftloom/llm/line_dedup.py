@@ -155,12 +155,15 @@ def matched_lines(texts: DataFrame, bits: int, chars: int, percent: int, scratch
     heads = heads.select("c", n.alias("n"), "o", prefix.alias("prefix"))
     hot = (F.col("n") > 1) & (F.element_at("prefix", -1) >= _HOT)
     mark = _mark(F.col("o"), F.col("n"), F.lit(0).cast("long"), hot | (F.col("n") == 1))
-    heads = heads.select("c", "n", mark.alias("mark"), F.when(hot, F.col("prefix")).otherwise(F.array().cast("array<bigint>")).alias("later"), "prefix")
-    posts = heads.select("c", "n", "mark", "later", F.posexplode("prefix").alias("p", "word"))
-    paired = (F.col("n") > 1) & (F.col("word") >= _HOT)
-    with_ = F.when(paired, F.slice("later", F.col("p") + 2, F.size("later"))).otherwise(F.array(F.lit(0).cast("long")))
-    posts = posts.select("c", (F.col("mark") + F.least("p", F.lit(_MOST))).alias("mark"), "word", paired.alias("paired"), F.explode(with_).alias("with"))
-    posts = posts.select(F.when(F.col("paired"), F.xxhash64("word", "with")).otherwise(F.col("word")).alias("word"), "c", "mark")
+    # a hot word with each later one, at the hot word's place; other words alone
+    later = lambda w, i: F.transform(F.slice("prefix", i + 2, F.size("prefix")), lambda g: F.struct(F.xxhash64(w, g).alias("w"), i.alias("p")))
+    paired = F.flatten(F.transform("prefix", lambda w, i: F.when(w >= _HOT, later(w, i)).otherwise(F.array(F.struct(w.alias("w"), i.alias("p"))))))
+    heads = heads.select("c", mark.alias("mark"), "prefix", F.when(hot, paired).alias("paired"))
+    keys = F.coalesce(F.transform("paired", lambda x: x["w"]), F.col("prefix"))
+    places = F.coalesce(F.transform("paired", lambda x: x["p"]), F.array().cast("array<int>"))
+    posts = heads.select("c", "mark", places.alias("places"), F.posexplode(keys).alias("pos", "word"))
+    p = F.coalesce(F.get("places", F.col("pos")), F.col("pos"))
+    posts = posts.select("word", "c", (F.col("mark") + F.least(p, F.lit(_MOST))).alias("mark"))
 
     place = Window.partitionBy("word").orderBy("c")
     lead = F.first(F.struct("c", "mark")).over(place)
@@ -176,23 +179,28 @@ def matched_lines(texts: DataFrame, bits: int, chars: int, percent: int, scratch
         nos = wanted.groupBy(F.shiftleft(F.shiftright("c", bits), bits).alias("base")).agg(F.collect_list("c").alias("cs"))
         found = texts.join(F.broadcast(nos) if wanted.count() * 24 <= BROADCAST_BYTES else nos, "base")
         # rows that repeat an id and text give the same lines twice, and the pairs are made distinct in the end
-        found = found.select("base", F.split(_plain(F.col("text")), "\n").alias("lines"), F.explode("cs").alias("c"))
-        line = F.get("lines", (F.col("c") - F.col("base")).cast("int"))
-        full = scratch.write(found.select("c", F.array_distinct(F.array_remove(F.split(line, " "), "")).alias("w")))
-        both = pairs.join(full.select(F.col("c").alias("x"), F.col("w").alias("xw")), "x").join(full.select(F.col("c").alias("y"), F.col("w").alias("yw")), "y")
+        found = found.withColumn("lines", F.split(_plain(F.col("text")), "\n"))
+        cut = F.transform("cs", lambda c: F.struct(c.alias("c"), F.get("lines", (c - F.col("base")).cast("int")).alias("line")))
+        full = scratch.write(found.select(F.inline(cut)))
+        both = pairs.join(full.select(F.col("c").alias("x"), F.col("line").alias("xl")), "x").join(full.select(F.col("c").alias("y"), F.col("line").alias("yl")), "y")
+        words = lambda line: F.array_distinct(F.array_remove(F.split(line, " "), ""))
+        both = both.select("x", words("xl").alias("xw"), words("yl").alias("yw"))
         inter = F.size(F.array_intersect("xw", "yw"))
-        return both.where(100 * inter >= percent * (F.size("xw") + F.size("yw") - inter)).select(F.col("x").alias("c")).distinct()
+        similar = both.where(100 * inter >= percent * (F.size("xw") + F.size("yw") - inter)).select(F.col("x").alias("c")).distinct()
+        out = scratch.write(similar)
+        scratch.drop(pairs, wanted, full)
+        return out
 
     try:
         posts.write.option("compression", "zstd").bucketBy(parts, "word").saveAsTable(name)
         posts = spark.table(name)
         first = posts.where((F.col("c") > F.col("lead.c")) & _near(F.col("mark"), F.col("lead.mark"), percent))
-        found = scratch.write(verified(first.select(F.col("c").alias("x"), F.col("lead.c").alias("y")).distinct()))
+        found = verified(first.select(F.col("c").alias("x"), F.col("lead.c").alias("y")).distinct())
         x = _join(posts.select("word", "c", F.col("mark").alias("xm")), found, ["c"], "left_anti", 16).withColumnRenamed("c", "x")
         y = posts.select("word", F.col("c").alias("y"), F.col("mark").alias("ym"))
         met = x.join(y, "word").where((F.col("x") > F.col("y")) & _near(F.col("xm"), F.col("ym"), percent))
         pairs = met.groupBy("x", "y").agg(F.count("*").alias("words"), F.max(F.greatest("xm", "ym") >= 1 << 62).alias("solo"))
-        more = scratch.write(verified(pairs.where("words > 1 or solo").select("x", "y")))
+        more = verified(pairs.where("words > 1 or solo").select("x", "y"))
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     return copies.unionByName(found).unionByName(more).distinct()

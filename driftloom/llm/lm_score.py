@@ -8,10 +8,13 @@ distribution over all words. Its output is a softmax over classes times a softma
 class.
 
 Training is synchronous: in each round every trainer starts from the same parameters, runs Adam
-with back-propagation truncated to windows over its share of the training documents, and the
-parameters are averaged. Each training document is cut into windows of ``WINDOW`` tokens that
-follow one another, the last as short as what is left with the end mark, so every token and every
-end is a target once. Scoring carries the state from the first token of a document to its end.
+with truncated back-propagation over its share of the training documents, and the parameters are
+averaged. A trainer has ``BATCH`` lanes; each takes a document, window after window of ``WINDOW``
+tokens, the last as short as what is left with the end mark, and carries the state from one window
+to the next, so that training sees the states that scoring is in. Every token and every end is a
+target once. Documents beyond ``SEGMENT`` tokens are learned from in segments, each from an empty
+state. Shares, order and seeds follow from hashes of id and text, not from partitions. Scoring
+carries the state from the first token of a document to its end.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ VOCABULARY, CLASS_SIZE, HIDDEN = 1022, 32, 16
 #: Words whose counts every task holds: 16 bytes each, whatever the corpus.
 LOOKED_UP = 200_000
 WINDOW, BATCH, ROUNDS, RATE = 32, 128, 3, 0.01
-#: Windows of a trainer in a round: the trainers grow in number with the corpus.
-WINDOWS_EACH = 16_384
+#: Tokens of a document that follow one another in a lane, and tokens of a trainer in a round: the trainers grow in number with the corpus.
+SEGMENT, TOKENS_EACH = 64 * WINDOW, 400_000
 SCORED_TOGETHER, STEPS_TOGETHER = 512, 16
 _SHAPES = {
     "embed": (VOCABULARY + 2, HIDDEN), "wx": (HIDDEN, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,),
@@ -118,15 +121,16 @@ def output(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray, grads: d
     return score, back
 
 
-def loss_and_gradients(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, real: np.ndarray | None = None):
-    """Mean negative log-likelihood of windows (steps x batch) from an empty state, and its gradients.
+def loss_and_gradients(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, real: np.ndarray | None = None, h: np.ndarray | None = None):
+    """Mean negative log-likelihood of windows (steps x batch) from the states ``h`` (by default empty), its gradients, and the last states.
 
     Only the targets that are ``real`` count; what is not stands behind a window's end.
     """
     steps, batch = inputs.shape
     real = np.ones(inputs.shape, bool) if real is None else real
     g = {k: np.zeros(s, np.float32) for k, s in _SHAPES.items()}
-    table, h, kept, states = gate_inputs(p), np.zeros((batch, HIDDEN), np.float32), [], []
+    table, kept, states = gate_inputs(p), [], []
+    h = np.zeros((batch, HIDDEN), np.float32) if h is None else h
     for t in range(steps):
         h, way = step(p, table, inputs[t], h)
         kept.append(way)
@@ -153,19 +157,20 @@ def loss_and_gradients(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np
     g["wx"] += p["embed"].T @ per_word
     g["embed"] += per_word @ p["wx"].T
     total = len(score)
-    return -float(score.mean()), {k: v / total for k, v in g.items()}
+    return -float(score.mean()), {k: v / total for k, v in g.items()}, states[-1]
 
 
 class Adam:
     def __init__(self, p, rate=RATE):
         self.m, self.v, self.t, self.rate = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0, rate
 
-    def update(self, p, g) -> None:
+    def update(self, p, g, share: float = 1.0) -> None:
+        """``share``: how large a part of a full batch the gradient stands for."""
         self.t += 1
         for k in p:
             self.m[k] += 0.1 * (g[k] - self.m[k])
             self.v[k] += 0.01 * (g[k] * g[k] - self.v[k])
-            p[k] -= self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-8)
+            p[k] -= share * self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-8)
 
 
 def document_scores(p: dict[str, np.ndarray], docs: list[np.ndarray]) -> np.ndarray:
@@ -256,18 +261,19 @@ def _encode_batches(hashes: np.ndarray, counts: np.ndarray, ranks: np.ndarray):
     return work
 
 
-def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, window) for all windows of each document, each with the token before in front, the first with an end mark."""
+def _segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(seed, part, segment) for the segments of each document, each with the token before in front, the first with an end mark."""
     for batch in batches:
-        rows, out = [], []
-        for row, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        seeds, parts, out = [], [], []
+        for seed, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             ids = np.concatenate(([END], ids.values.to_numpy(zero_copy_only=False))).astype(np.int16)
-            for a in range(0, len(ids) - 1, WINDOW):
-                rows.append(row * 31 + a)
-                out.append(ids[a : a + WINDOW + 1])
+            for part, a in enumerate(range(0, len(ids) - 1, SEGMENT)):
+                seeds.append(seed)
+                parts.append(part)
+                out.append(ids[a : a + SEGMENT + 1])
         at = np.cumsum([0, *map(len, out)]).astype(np.int32)
         body = np.concatenate([*out, np.zeros(0, np.int16)]).astype(np.int16)
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(body))], names=["row", "window"])
+        yield pa.RecordBatch.from_arrays([pa.array(seeds, pa.int64()), pa.array(parts, pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(body))], names=["seed", "part", "segment"])
 
 
 def _block(windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -279,29 +285,48 @@ def _block(windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.arange(1, sizes.max())[:, None] < sizes
 
 
-def _train_batches(flat: np.ndarray):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, waiting, done = unpack(flat), [], 0
-        adam = Adam(p)
+class _Lanes:
+    """Up to ``BATCH`` segments side by side, each with its state and how far it is read."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.p, self.adam, self.updates = p, Adam(p), 0
+        self.lanes: list[np.ndarray] = []
+        self.at = np.zeros(0, np.int64)
+        self.h = np.zeros((0, HIDDEN), np.float32)
+
+    def full(self) -> bool:
+        return len(self.lanes) >= BATCH
+
+    def add(self, segment: np.ndarray) -> None:
+        self.lanes.append(segment)
+        self.at = np.append(self.at, 0)
+        self.h = np.concatenate((self.h, np.zeros((1, HIDDEN), np.float32)))
 
-        def learn(windows: list[np.ndarray]) -> None:
-            block, real = _block(windows)
-            adam.update(p, loss_and_gradients(p, block[:-1], block[1:], real)[1])
+    def learn(self) -> None:
+        """One window of each lane; lanes that are read to their end are free again."""
+        block, real = _block([x[a : a + WINDOW + 1] for x, a in zip(self.lanes, self.at.tolist(), strict=True)])
+        _, g, h = loss_and_gradients(self.p, block[:-1], block[1:], real, self.h)
+        self.adam.update(self.p, g, real.sum() / (WINDOW * BATCH))
+        self.updates += int(real.sum())
+        self.at += WINDOW
+        live = [i for i, x in enumerate(self.lanes) if self.at[i] < len(x) - 1]
+        self.lanes, self.at, self.h = [self.lanes[i] for i in live], self.at[live], h[live]
 
+
+def _train_batches(flat: np.ndarray):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lanes = _Lanes(unpack(flat))
         for batch in batches:
-            body, at = batch.column(1).values.to_numpy(zero_copy_only=False), batch.column(1).offsets.to_numpy()
+            column = batch.column(2)
+            body, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
             for a, b in zip(at[:-1], at[1:], strict=True):
-                waiting.append(body[a:b])
-                if len(waiting) == 2 * BATCH:
-                    learn(waiting[:BATCH])
-                    waiting, done = waiting[BATCH:], done + 1
-        # what is left is dealt over equal blocks, so that none is a few windows beside full ones
-        blocks = -(-len(waiting) // BATCH)
-        for k in range(blocks):
-            learn(waiting[k::blocks])
-            done += 1
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64()), pa.array([pack(p)], pa.list_(pa.float32()))], names=["updates", "p"])
+                while lanes.full():
+                    lanes.learn()
+                lanes.add(body[a:b])
+        while lanes.lanes:
+            lanes.learn()
+        if lanes.updates:
+            yield pa.RecordBatch.from_arrays([pa.array([lanes.updates], pa.int64()), pa.array([pack(lanes.p)], pa.list_(pa.float32()))], names=["updates", "p"])
 
     return work
 
@@ -330,6 +355,8 @@ def _score_batches(flat: np.ndarray):
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
+    The scores do not depend on how ``docs`` is partitioned, but for the last digits of float sums.
+
     Tokens are the lower-cased (A-Z) words and one end. Held out are ids whose text's crc32 leaves
     2 when divided by 7; a null id trains. Null or blank text is the end alone. Scores are log10
     probabilities. Repeated rows are scored alike (and counted as often as they occur). An empty
@@ -353,29 +380,33 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     by_rank = top["n"].to_numpy()[:VOCABULARY].astype(np.int64)
     n_rare, v_rare = int(total - by_rank.sum()), distinct - len(by_rank)
 
-    keyed = slim.select(F.monotonically_increasing_id().alias("row"), "id", "held_out", "text")
+    seed = F.xxhash64("id", "text")
+    keyed = slim.select(F.monotonically_increasing_id().alias("row"), "id", "held_out", "text", seed.alias("seed"))
     kind = keyed.schema["id"].dataType.simpleString()
-    whole = keyed.select("row", F.struct("id", "held_out").alias("who"), "text").mapInArrow(
+    whole = keyed.select("row", F.struct("id", "held_out", "seed").alias("who"), "text").mapInArrow(
         _encode_batches(hashes, often, order),
-        f"row long, who struct<id:{kind},held_out:boolean>, n_tokens long, known long, log_known double, log_rare double, n_rare long, ids array<smallint>, tail array<long>",
+        f"row long, who struct<id:{kind},held_out:boolean,seed:bigint>, n_tokens long, known long, log_known double, log_rare double, n_rare long, ids array<smallint>, tail array<long>",
     )
     table = scratch.write(whole)
 
     first = np.zeros(VOCABULARY + 2)
     first[END], first[RARE], first[2 : 2 + len(by_rank)] = ends, n_rare, by_rank
     flat = pack(initial(first))
-    windows = scratch.write(table.where("not who.held_out").select("row", "ids").mapInArrow(_window_batches, "row long, window array<smallint>"))
-    trainers = 1 + windows.count() // (ROUNDS * WINDOWS_EACH)
+    taught = table.where("not who.held_out")
+    segments = scratch.write(taught.select("who.seed", "ids").mapInArrow(_segment_batches, "seed long, part int, segment array<smallint>"))
+    trainers = 1 + (taught.agg(F.sum("n_tokens")).first()[0] or 0) // (ROUNDS * TOKENS_EACH)
+    draw = F.xxhash64("seed", "part")
     for r in range(ROUNDS):
-        share = windows.where(F.pmod(F.xxhash64("row"), F.lit(ROUNDS)) == r).repartition(trainers, "row")
+        share = segments.where(F.pmod(draw, F.lit(ROUNDS)) == r).withColumn("draw", F.xxhash64(F.lit(r), draw)).repartition(trainers, "draw")
+        share = share.sortWithinPartitions("draw", "seed", "part").select("seed", "part", "segment")
         found = share.mapInArrow(_train_batches(flat), "updates long, p array<float>").select("updates", F.posexplode("p").alias("i", "x"))
         # averaged by the cluster: the driver gets one set of parameters, however many trainers there are
         mean = found.groupBy("i").agg((F.sum(F.col("x").cast("double") * F.col("updates")) / F.sum("updates")).alias("x")).toPandas()
         if len(mean):
             flat = mean.sort_values("i")["x"].to_numpy().astype(np.float32)
 
-    alike = table.select("row", "ids", "n_tokens").repartitionByRange("n_tokens").select("row", "ids")
-    scores = alike.mapInArrow(_score_batches(flat), "row long, log_model double")
+    # where the documents lie; each task brings those of like length together itself
+    scores = table.select("row", "ids").mapInArrow(_score_batches(flat), "row long, log_model double")
     tail = table.select("row", F.explode("tail").alias("h")).join(counts, "h")
     tail = tail.groupBy("row").agg(F.count("*").alias("more_known"), F.sum(F.log10(F.col("n") + 1.0)).alias("log_tail"))
     both = table.select("row", "who", "n_tokens", "known", "log_known", "log_rare", "n_rare").join(scores, "row").join(tail, "row", "left")

@@ -42,7 +42,7 @@ def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
             break
         sizes = np.array([len(sets[i]) for i in live])
         items = np.concatenate([sets[i] for i in live])
-        h = mix(items + _STEP * np.uint64(round_ + 1))
+        h = mix(items + _STEP * np.array([round_ + 1], np.uint64))
         # the round in the upper bits makes earlier rounds win; fractions keep 48 bits
         value = (np.uint64(round_) << np.uint64(48)) | (h >> np.uint64(16))
         if round_ < t:

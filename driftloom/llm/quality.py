@@ -1,27 +1,26 @@
 """Quality rules: repetition guards, then distance of a document's histograms from its language.
 
-Two histograms are taken of each document: characters by class, and its language's common words
-with all other words in one bin. Each is compared with the sum of that histogram over *all*
-documents of the language, by the Jensen-Shannon distance (base 2, the root of the divergence).
-A document is rejected by a histogram only from a least length on, below which a histogram says
-little. Only DataFrame functions are used; the one shuffle is the sum by language, of a fixed
-number of rows, whose result is broadcast.
+Two histograms are taken of each document: characters by class, and its language's most frequent
+words, counted over all documents, with all other words in one bin. Each is compared with the sum
+of that histogram over *all* documents of the language, by the Jensen-Shannon distance (base 2, the
+root of the divergence). A document is rejected by a histogram only from a least length on, below
+which a histogram says little, and a language is its own reference only from a least number of
+documents on; the others are compared together, by characters. Only DataFrame functions are used.
+Shuffled are the words with their counts and the sums by language; texts stay where they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftloom.llm.shared import SPACE_CLASS, Scratch
 
-# Common words of the languages that have word histograms.
-COMMON_WORDS = {
-    "de": ["der", "die", "und", "den", "in", "von", "zu", "das", "mit", "sich", "des", "auf", "ist", "ein", "eine"],
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "it", "for", "on", "was", "be", "with", "as"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans"],
-}
+#: Most frequent words of each language that make its word histogram.
+COMMON = 15
+#: Documents from which on a language is its own reference, and how many languages can be, the largest.
+LEAST_DOCUMENTS, MOST_LANGUAGES = 20, 500
+OTHER = "(other)"
 # Character classes besides white space, symbols and the rest.
 CLASSES = {"digit": "[0-9]", "upper": "[A-Z]", "mark": "[.,;:!?'\"()-]", "beyond_ascii": "[^\\x00-\\x7F]"}
 SYMBOLS = "[#*$%&|<>]"
@@ -71,17 +70,35 @@ def base_counts(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def _histograms(df: DataFrame, lang: str) -> DataFrame:
-    """Adds q_lang (a language of :data:`COMMON_WORDS` or other), q_c and q_w: bins of characters and words."""
-    df = df.withColumn("q_lang", F.when(F.col(lang).isin(*COMMON_WORDS), F.col(lang)).otherwise("other"))
+def common_words(docs: DataFrame, text: str, lang: str) -> dict[str, list[str]]:
+    """The most frequent words of each language with enough documents, by count and then by word: bounded, whatever the corpus."""
+    sizes = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("q_lang")).agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS)
+    known = [r.q_lang for r in sizes.orderBy(F.desc("n"), "q_lang").limit(MOST_LANGUAGES).collect()]
+    if not known:
+        return {}
+    low = F.split(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), SPACE_CLASS + "+")
+    words = docs.where(F.col(lang).isin(known)).select(F.col(lang).alias("q_lang"), F.explode(low).alias("w")).where("w <> ''")
+    counts = words.groupBy("q_lang", "w").agg(F.count("*").alias("n"))
+    # each task passes on no more than COMMON words of a language
+    first = F.row_number().over(Window.partitionBy("q_lang").orderBy(F.desc("n"), "w"))
+    out: dict[str, list[str]] = {x: [] for x in known}
+    for r in counts.withColumn("o", first).where(F.col("o") <= COMMON).orderBy("q_lang", "o").collect():
+        out[r.q_lang].append(r.w)
+    return out
+
+
+def _histograms(df: DataFrame, lang: str, common: dict[str, list[str]]) -> DataFrame:
+    """Adds q_lang (one of ``common`` or the rest), q_c and q_w: bins of characters and words."""
+    named_lang = F.col(lang).isin(*common) if common else F.lit(False)
+    df = df.withColumn("q_lang", F.when(named_lang, F.col(lang)).otherwise(OTHER))
     for name, pattern in CLASSES.items():
         df = df.withColumn(f"q_c_{name}", _count(F.col("q_text"), pattern))
     named = ["q_space", "q_symbols", *(f"q_c_{x}" for x in CLASSES)]
     rest = F.length("q_text").cast("long") - sum((F.col(x) for x in named[1:]), F.col(named[0]))
     df = df.withColumn("q_c", F.array(*named, rest))
     words = F.array().cast("array<string>")
-    for name, found in COMMON_WORDS.items():
-        words = F.when(F.col("q_lang") == name, F.array(*map(F.lit, found))).otherwise(words)
+    for name, found in common.items():
+        words = F.when(F.col("q_lang") == name, F.array(*map(F.lit, found)).cast("array<string>")).otherwise(words)
     df = df.withColumn("q_common", words)
     df = df.withColumn("q_hits", F.filter(F.transform("q_list", F.lower), lambda w: F.array_contains("q_common", w)))
     each = F.transform("q_common", lambda c: F.size(F.filter("q_hits", lambda h: h == c)).cast("long"))
@@ -99,7 +116,7 @@ def js_distance(p: str, q: str) -> Column:
 
 def _languages(counted: DataFrame) -> DataFrame:
     """The summed histograms of each language."""
-    bins = {"q_c": len(CLASSES) + 3, "q_w": max(map(len, COMMON_WORDS.values())) + 1}
+    bins = {"q_c": len(CLASSES) + 3, "q_w": COMMON + 1}
     sums = [F.sum(F.get(F.col(c), F.lit(i))).alias(f"{c}_{i}") for c, n in bins.items() for i in range(n)]
     language = counted.groupBy("q_lang").agg(*sums)
     given = [
@@ -127,16 +144,17 @@ def assess(
 ) -> DataFrame:
     """One row per input row: id, the base counts, both distances, base_failed and kept.
 
-    Null, empty or blank text has no words and fails the base. A language without a word list, or
+    Null, empty or blank text has no words and fails the base. A language of too few documents, or
     null, is compared by characters only, with all such documents. Repeated rows are assessed
     alike; a null id stays null. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     slim = docs.select(F.col(doc_id).alias("q_id"), F.col(text).alias("q_raw"), F.col(lang).alias("q_raw_lang"))
-    counted = _histograms(base_counts(slim, "q_raw"), "q_raw_lang")
+    common = common_words(slim, "q_raw", "q_raw_lang")
+    counted = _histograms(base_counts(slim, "q_raw"), "q_raw_lang", common)
     counts = ["q_words", "q_word_chars", "q_symbols", "q_dup_lines", "q_repeat_words"]
     table = scratch.write(counted.select("q_id", "q_lang", *counts, "q_c", "q_w"))
-    # at most as many rows as there are word lists, and one
+    # at most MOST_LANGUAGES rows, and one
     both = table.join(F.broadcast(_languages(table)), "q_lang")
     return (
         both.select(
@@ -159,17 +177,18 @@ def keep(
 ) -> DataFrame:
     """The rows of ``docs`` that :func:`assess` keeps, with all their columns.
 
-    Two scans and no shuffle of rows: the first sums the languages' histograms, the second judges
-    each row where it is read.
+    Three scans and no shuffle of rows: the first counts words, the second sums the languages'
+    histograms, the third judges each row where it is read.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     bare = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("q_text"), F.col(lang).alias("q_raw_lang"))
     bare = bare.withColumn("q_list", _word_list()).withColumn("q_words", F.size("q_list").cast("long"))
     bare = bare.withColumn("q_space", _count(F.col("q_text"), SPACE_CLASS)).withColumn("q_symbols", _count(F.col("q_text"), SYMBOLS))
-    bins = scratch.write(_histograms(bare, "q_raw_lang").select("q_lang", "q_c", "q_w"))
+    common = common_words(bare, "q_text", "q_raw_lang")
+    bins = scratch.write(_histograms(bare, "q_raw_lang", common).select("q_lang", "q_c", "q_w"))
     language = scratch.write(_languages(bins))
     whole = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("q_row"), F.col(text).alias("q_raw"), F.col(lang).alias("q_raw_lang"))
-    counted = _histograms(base_counts(whole, "q_raw"), "q_raw_lang")
+    counted = _histograms(base_counts(whole, "q_raw"), "q_raw_lang", common)
     # the verdict is to use the counts, not to be rewritten into their expressions below
     counted = counted.withColumn("q_barrier", F.monotonically_increasing_id())
     return counted.join(F.broadcast(language), "q_lang").where((F.col("q_barrier") >= 0) & _kept(least_words, most_distance)).select("q_row.*")

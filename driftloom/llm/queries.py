@@ -24,11 +24,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, path, pattern))
 
 
-def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation as a transcript whose roles are found again, and its canonical lines.
+def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations' lines as transcripts show them: conv_id, turn, part, place, role, opens_turn, line.
 
-    The table names the roles. A transcript shows each turn by a marker, of a style that follows
-    from the turn's hash, but for one turn in six, which shows none; later lines never do.
+    A turn begins with a marker, of a style that follows from the turn's hash, but for one turn in
+    six, which shows none; later lines never do.
     """
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     style = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(6))
@@ -37,12 +37,22 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     marker = F.coalesce(marker.when(style == 3, F.concat(F.lit("["), shown, F.lit("] "))).otherwise(F.concat(shown, F.lit(": "))), F.lit(""))
     cells = turns.select("conv_id", "turn", "role", F.posexplode(F.split(F.concat(marker, "text"), "\n")).alias("part", "line"))
     # a line's place: turns and lines below two to the 31st each
-    cells = cells.withColumn("place", F.shiftleft(F.col("turn"), 31) + F.col("part"))
-    out = chat.format_lines(cells.select("conv_id", "place", "line"), "conv_id", "place", "line")
-    out = out.select("conv_id", F.shiftright("place", 31).alias("turn"), F.col("place").bitwiseAND(F.lit((1 << 31) - 1)).alias("part"), F.col("role").alias("found_role"), "opens", "rendered")
-    return cells.select("conv_id", "turn", "part", "role").join(out, ["conv_id", "turn", "part"]).select(
-        "conv_id", "turn", "part", "role", "found_role", (F.col("part") == 0).alias("opens_turn"), F.col("opens").alias("opens_found_turn"), "rendered"
-    )
+    return cells.withColumn("place", F.shiftleft(F.col("turn"), 31) + F.col("part")).withColumn("opens_turn", F.col("part") == 0)
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a transcript whose roles are found again, and its canonical lines.
+
+    The table names the roles, which the transcripts hide in part. The model is counted on the
+    conversations whose id's crc32 leaves 2 when divided by 7, all of them, and used on every one.
+    A turn of another role than the three is shown by a marker that none of them has, and is given
+    one of the three.
+    """
+    cells = _transcripts(spark, sf_dir)
+    teach = cells.where(F.crc32(F.col("conv_id").cast("string")) % 7 == 2)
+    model = chat.fitted(teach, "conv_id", "place", "line", "role", "opens_turn")
+    out = chat.format_lines(cells, "conv_id", "place", "line", ["turn", "part", "role", "opens_turn"], model)
+    return out.select("conv_id", "turn", "part", "role", "found_role", "opens_turn", F.col("opens").alias("opens_found_turn"), "rendered")
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

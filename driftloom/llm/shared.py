@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,10 +22,15 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is configured (local tests)."""
+    """The folder that driver and executors share.
+
+    Where none is configured: on one machine a temporary folder, on a cluster one in the warehouse.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="spark-shared-"))
     return _OWN[0]

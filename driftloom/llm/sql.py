@@ -7,14 +7,9 @@ from driftloom.llm import quality
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
-def _list(values) -> str:
-    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
-
-
 def op5() -> str:
     count = lambda p: "len(regexp_extract_all(t, '" + p.replace("'", "''") + "'))"
     named = [count(r"[\x20\x09-\x0D]"), count(quality.SYMBOLS), *(count(p) for p in quality.CLASSES.values())]
-    common = "CASE q_lang " + " ".join(f"WHEN '{k}' THEN {_list(v)}" for k, v in quality.COMMON_WORDS.items()) + " ELSE []::VARCHAR[] END"
     sums = lambda c, n: "[" + ", ".join(f"sum({c}[{i + 1}])" for i in range(n)) + "]"
     far = (
         "sqrt(greatest(coalesce(list_sum(list_transform(list_zip({p}, {q}), lambda x: ({h}) / 2)), 0), 0))"
@@ -27,18 +22,20 @@ def op5() -> str:
         return f"CASE WHEN list_sum({p}) > 0 THEN " + far.format(p=p, q=q, h=f"{half(u, v)} + {half(v, u)}") + " ELSE 0 END"
 
     return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS w,
-    CASE WHEN lang IN ({_list(quality.COMMON_WORDS)[1:-1]}) THEN lang ELSE 'other' END AS q_lang FROM documents),
+WITH known AS (SELECT lang FROM documents WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= {quality.LEAST_DOCUMENTS} ORDER BY count(*) DESC, lang LIMIT {quality.MOST_LANGUAGES}),
+d AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS w, CASE WHEN lang IN (SELECT lang FROM known) THEN lang ELSE '{quality.OTHER}' END AS q_lang FROM documents),
+often AS (SELECT q_lang, list(x ORDER BY n DESC, x) AS cw FROM (SELECT *, row_number() OVER (PARTITION BY q_lang ORDER BY n DESC, x) AS o FROM
+    (SELECT q_lang, x, count(*) AS n FROM (SELECT q_lang, unnest(regexp_extract_all(lower(t), '[^\\x20\\x09-\\x0D]+')) AS x FROM d WHERE q_lang <> '{quality.OTHER}') GROUP BY ALL)) WHERE o <= {quality.COMMON} GROUP BY q_lang),
 runs AS (SELECT doc_id, i, list_slice(w, i, i + 4) AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
 twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS c FROM runs) WHERE c > 1),
 hit AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + unnest(range(0, 5)) FROM twice) GROUP BY doc_id),
 lines AS (SELECT doc_id, sum(c - 1) AS n FROM (SELECT doc_id, l, count(*) AS c FROM
     (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id, l) GROUP BY doc_id),
-h AS (SELECT d.*, [{", ".join(named)}] AS n, {common} AS cw FROM d),
+h AS (SELECT d.*, [{", ".join(named)}] AS n, coalesce(cw, []::VARCHAR[]) AS cw FROM d LEFT JOIN often USING (q_lang)),
 f AS (SELECT *, list_append(n, length(t) - list_sum(n))::BIGINT[] AS qc,
     list_append(list_transform(cw, lambda c: len(list_filter(w, lambda x: lower(x) = c))), len(list_filter(w, lambda x: NOT list_contains(cw, lower(x)))))::BIGINT[] AS qw FROM h),
 lang AS (SELECT q_lang, {sums("qc", len(quality.CLASSES) + 3)} AS rc,
-    list_filter({sums("qw", 1 + max(map(len, quality.COMMON_WORDS.values())))}, lambda x: x IS NOT NULL) AS rw FROM f GROUP BY q_lang),
+    list_filter({sums("qw", 1 + quality.COMMON)}, lambda x: x IS NOT NULL) AS rw FROM f GROUP BY q_lang),
 e AS (SELECT f.doc_id, len(w)::BIGINT AS n_words, (length(t) - f.n[1])::BIGINT AS word_chars, f.n[2]::BIGINT AS n_symbols,
     coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(hit.n, 0)::BIGINT AS n_repeat_words,
     {distance("qc", "rc")} AS character_distance, {distance("qw", "rw")} AS word_distance

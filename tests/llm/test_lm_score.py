@@ -13,7 +13,7 @@ def test_gradients():
     r = np.random.default_rng(0)
     p = {k: (v + r.standard_normal(v.shape) * 0.05).astype(np.float64) for k, v in lm_score.initial(np.ones(1024)).items()}
     ids = r.integers(0, 1024, (6, 5))
-    _, g = lm_score.loss_and_gradients(p, ids[:-1], ids[1:])
+    _, g, _ = lm_score.loss_and_gradients(p, ids[:-1], ids[1:])
     for k in p:
         at = np.unravel_index(np.argmax(np.abs(g[k])), g[k].shape)
         around = []
@@ -70,33 +70,76 @@ def test_empty(spark):
     assert one.n_tokens == 3 and one.train_tokens == 3
 
 
-def test_every_token_and_end_is_a_target_once():
-    docs = [[*np.random.default_rng(n).integers(1, 1024, n - 1).tolist(), lm_score.END] for n in (1, 2, 31, 32, 33, 64, 94, 200)]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs)), pa.int64()), pa.array(docs, pa.list_(pa.int16()))], names=["row", "ids"])
-    windows = [w for b in lm_score._window_batches(iter([batch])) for w in b.column(1).to_pylist()]
-    assert [t for w in windows for t in w[1:]] == [t for d in docs for t in d]
-    assert all(2 <= len(w) <= lm_score.WINDOW + 1 for w in windows)
+def test_every_token_and_end_is_a_target_once(monkeypatch):
+    monkeypatch.setattr(lm_score, "SEGMENT", 3 * lm_score.WINDOW)
+    docs = [[*np.random.default_rng(n).integers(1, 1024, n - 1).tolist(), lm_score.END] for n in (1, 2, 31, 32, 33, 64, 94, 96, 97, 200)] * 30
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs)), pa.int64()), pa.array(docs, pa.list_(pa.int16()))], names=["seed", "ids"])
+    segments = [b for b in lm_score._segment_batches(iter([batch]))]
+    assert [t for b in segments for x in b.column(2).to_pylist() for t in x[1:]] == [t for d in docs for t in d]
+    seen, real_one = [], lm_score.loss_and_gradients
+    monkeypatch.setattr(lm_score, "loss_and_gradients", lambda p, i, t, real, h: (seen.extend(t[real].tolist()), real_one(p, i, t, real, h))[1])
+    (out,) = lm_score._train_batches(lm_score.pack(lm_score.initial(np.ones(1024))))(iter(segments))
+    assert sorted(seen) == sorted(t for d in docs for t in d) and out.column(0).to_pylist() == [len(seen)]
+
+
+def test_training_carries_the_state():
+    p = {k: v.astype(np.float64) for k, v in lm_score.initial(np.ones(1024), 2).items()}
+    doc = np.random.default_rng(5).integers(0, 1024, 2 * lm_score.WINDOW + 1)
+    lanes = lm_score._Lanes({k: v.copy() for k, v in p.items()})
+    lanes.adam.rate = 0.0
+    lanes.add(doc)
+    lanes.learn()
+    table, h = lm_score.gate_inputs(p), np.zeros((1, lm_score.HIDDEN))
+    for t in doc[: lm_score.WINDOW]:
+        h, _ = lm_score.step(p, table, np.array([t]), h)
+    assert np.allclose(lanes.h, h, atol=1e-5) and lanes.at.tolist() == [lm_score.WINDOW]
 
 
 def test_filled_up_windows_count_as_themselves():
     p = {k: v.astype(np.float64) for k, v in lm_score.initial(np.ones(1024), 2).items()}
     windows = [np.random.default_rng(n).integers(0, 1024, n) for n in (2, 5, 33)]
     block, real = lm_score._block(windows)
-    loss, g = lm_score.loss_and_gradients(p, block[:-1], block[1:], real)
-    alone = [(len(w) - 1, *lm_score.loss_and_gradients(p, w[:-1, None], w[1:, None])) for w in windows]
+    loss, g, _ = lm_score.loss_and_gradients(p, block[:-1], block[1:], real)
+    alone = [(len(w) - 1, *lm_score.loss_and_gradients(p, w[:-1, None], w[1:, None])[:2]) for w in windows]
     total = sum(n for n, _, _ in alone)
     assert loss == pytest.approx(sum(n * x for n, x, _ in alone) / total)
     for k in g:
         assert np.allclose(g[k], sum(n * x[k] for n, _, x in alone) / total, atol=1e-7)
 
 
-def test_leftover_blocks_are_trained_on(monkeypatch):
-    seen = []
-    real_one = lm_score.loss_and_gradients
-    monkeypatch.setattr(lm_score, "loss_and_gradients", lambda p, i, t, real=None: (seen.append(i.shape[1]), real_one(p, i, t, real))[1])
-    flat = lm_score.pack(lm_score.initial(np.ones(1024)))
-    for n in (1, 7, 128, 131, 300):
-        seen.clear()
-        batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([[0, 5, 0]] * n, pa.list_(pa.int16()))], names=["row", "window"])
-        (out,) = lm_score._train_batches(flat)(iter([batch.slice(0, n // 2), batch.slice(n // 2)]))
-        assert sum(seen) == n and out.column(0).to_pylist() == [len(seen)]
+def test_scores_do_not_follow_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    a, b = ({r.doc_id: r.score for r in lm_score.score_documents(docs.repartition(n)).collect()} for n in (1, 7))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-5) for k in a)
+
+
+def test_score_from_training_to_result(spark):
+    """The whole operator against the same steps taken one after the other in this process."""
+    rows = [(i, " ".join(f"w{(i * k) % 13}" for k in range(1, 5 + i % 40))) for i in range(60)]
+    got = {r.doc_id: r.score for r in lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    c = Counter(w for i, t in rows if not held[i] for w in t.split())
+    ends = sum(not h for h in held.values())
+    hash_of = lambda w: int(lm_score.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0].view(np.int64))
+    order = sorted(c, key=lambda w: (-c[w], hash_of(w)))
+    ids = {w: i + 2 for i, w in enumerate(order)}
+    first = np.zeros(lm_score.VOCABULARY + 2)
+    first[lm_score.END] = ends
+    first[2 : 2 + len(order)] = [c[w] for w in order]
+    flat = lm_score.pack(lm_score.initial(first))
+    seeds = {r.doc_id: (r.s, r.d, r.k) for r in spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "xxhash64(doc_id, text) s", "xxhash64(xxhash64(doc_id, text), 0) d", "0 k").collect()}
+    for r in range(lm_score.ROUNDS):
+        drawn = {x.i: x.h for x in spark.createDataFrame([(i, seeds[i][1]) for i in seeds], "i long, d long").selectExpr("i", f"xxhash64({r}, d) h").collect()}
+        mine = sorted((i for i, _ in rows if not held[i] and seeds[i][1] % lm_score.ROUNDS == r), key=lambda i: drawn[i])
+        lanes = lm_score._Lanes(lm_score.unpack(flat))
+        for i in mine:
+            while lanes.full():
+                lanes.learn()
+            lanes.add(np.array([lm_score.END, *(ids[w] for w in dict(rows)[i].split()), lm_score.END], np.int16))
+        while lanes.lanes:
+            lanes.learn()
+        flat = lm_score.pack(lanes.p) if lanes.updates else flat
+    p = lm_score.unpack(flat)
+    for i, t in rows:
+        want = lm_score.document_scores(p, [np.array([*(ids.get(w, lm_score.RARE) for w in t.split()), lm_score.END])])[0] / math.log(10)
+        assert got[i] == pytest.approx(want, rel=1e-4)

@@ -33,9 +33,11 @@ def test_sliding_min():
         assert repeats.sliding_min(x, w).tolist() == [x[i : i + w].min() for i in range(101 - w)]
 
 
-@pytest.mark.parametrize(("length", "gram", "block"), [(20, 6, 8192), (30, 30, 5), (12, 3, 1)])
-def test_random(spark, monkeypatch, length, gram, block):
+@pytest.mark.parametrize(("length", "gram", "block", "crowd"), [(20, 6, 8192, 1 << 16), (30, 30, 5, 1 << 16), (12, 3, 1, 4), (20, 6, 8192, 1)])
+def test_random(spark, monkeypatch, length, gram, block, crowd):
+    """In small blocks, and with some or all anchors crowded."""
     monkeypatch.setattr(repeats, "BLOCK", block)
+    monkeypatch.setattr(repeats, "CROWD", crowd)
     r = random.Random(length)
     make = lambda n, letters="abcdé ": "".join(r.choice(letters) for _ in range(n))
     shared = [make(n) for n in (length - 3, length // 2, length, length + 1, 70, 300)]
@@ -53,5 +55,29 @@ def test_table(spark):
     assert got(docs) == brute([tuple(r) for r in docs.select("doc_id", "text").collect()], 200)
 
 
+def test_periodic_stretches_are_one_piece():
+    for unit in (b"a", b"ab", b"abcde" * 3, bytes(range(100))):  # up to as many bytes as a window has grams
+        body = np.frombuffer(b"start of it" + unit * (1_000_000 // len(unit)) + b"the end", np.uint8)
+        row, anchor, first, last, place, until = repeats.anchors(body, np.array([0, len(body)]), 200, 64)
+        assert len(row) < 1000
+        # pieces and their runs cover every window once
+        assert first[0] == 0 and until[-1] == len(body) - 200 and (first[1:] == until[:-1] + 1).all()
+
+
+def test_many_texts_with_one_passage(spark):
+    """A third of all windows share their anchors; no block holds them all."""
+    passage = " ".join(f"licence{i}" for i in range(60))
+    rows = [(i, f"{i} " * 40 + passage + f" {i * 7}" * 40) for i in range(400)] + [(1000, "x" * 1_000_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    repeats_crowd, repeats.CROWD = repeats.CROWD, 100
+    try:
+        found = {r.doc_id: r for r in repeats.remove_repeats(df).collect()}
+    finally:
+        repeats.CROWD = repeats_crowd
+    assert found[1000].n_removed == 1_000_000 and len(found[1000].starts) == 1
+    want = {eval(x)[0]: eval(x) for x in brute(rows[:-1], 200)}
+    assert all((r.n_bytes, r.n_removed, len(r.starts), r.kept_sha256) == want[i][1:] for i, r in found.items() if i < 1000)
+
+
 def test_empty(spark):
     assert got(spark.createDataFrame([], "doc_id long, text string")) == []
