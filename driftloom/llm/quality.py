@@ -99,10 +99,12 @@ def _histograms(df: DataFrame, lang: str, common: dict[str, list[str]]) -> DataF
     words = F.array().cast("array<string>")
     for name, found in common.items():
         words = F.when(F.col("q_lang") == name, F.array(*map(F.lit, found)).cast("array<string>")).otherwise(words)
-    df = df.withColumn("q_common", words)
-    df = df.withColumn("q_hits", F.filter(F.transform("q_list", F.lower), lambda w: F.array_contains("q_common", w)))
-    each = F.transform("q_common", lambda c: F.size(F.filter("q_hits", lambda h: h == c)).cast("long"))
-    return df.withColumn("q_w", F.concat(each, F.array(F.col("q_words") - F.size("q_hits"))))
+    # first what is common in any language, a look into one constant set
+    either = sorted({w for found in common.values() for w in found})
+    some = F.filter("q_list", lambda w: F.lower(w).isin(either)) if either else F.array().cast("array<string>")
+    df = df.withColumn("q_common", words).withColumn("q_some", F.transform(some, F.lower))
+    df = df.withColumn("q_each", F.transform("q_common", lambda c: (F.size("q_some") - F.size(F.array_remove("q_some", c))).cast("long")))
+    return df.withColumn("q_w", F.concat("q_each", F.array(F.col("q_words") - F.aggregate("q_each", F.lit(0).cast("long"), lambda a, x: a + x))))
 
 
 def js_distance(p: str, q: str) -> Column:
