@@ -120,6 +120,16 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
+def sparse_dot(a: Column, b: Column) -> Column:
+    """Of maps from feature to value; what a map lacks is 0."""
+    return F.aggregate(F.map_entries(a), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(b, e["key"]), F.lit(0.0)))
+
+
+def sparse_rbf_kernel(a: Column, b: Column, sigma: float) -> Column:
+    square = lambda m: F.aggregate(F.map_values(m), F.lit(0.0), lambda s, x: s + x * x)
+    return F.exp(-(square(a) + square(b) - 2 * sparse_dot(a, b)) / (2 * sigma * sigma))
+
+
 def rbf_kernel(a: Column, b: Column, sigma: float) -> Column:
     return F.exp(-squared_distance(a, b) / (2 * sigma * sigma))
 

@@ -8,6 +8,7 @@ missing cells in a batch.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,77 +77,79 @@ def rows_of(cells: DataFrame, width: int) -> DataFrame:
     return made.select("row_id", *(pick(x).alias(x) for x in ("z", "lo", "hi")))
 
 
-def _truncated(mean: float, sd: float, lo: float, hi: float) -> tuple[float, float]:
-    from statistics import NormalDist
+_erfc = np.frompyfunc(math.erfc, 1, 1)
+
 
-    d = NormalDist()
+def _truncated(mean: np.ndarray, sd: float, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Means and variances of normal variables cut to intervals; NaN where next to nothing is left."""
+    cdf = lambda x: _erfc(-x / math.sqrt(2)).astype(float) / 2
     a, b = (lo - mean) / sd, (hi - mean) / sd
-    mass = d.cdf(b) - d.cdf(a)
-    if mass <= 1e-12:
-        return float("nan"), float("nan")
-    pa, pb = (d.pdf(x) if abs(x) < 1e6 else 0.0 for x in (a, b))
-    xa, xb = (x * p if abs(x) < 1e6 else 0.0 for x, p in ((a, pa), (b, pb)))
-    m = (pa - pb) / mass
-    return mean + sd * m, sd * sd * (1 + (xa - xb) / mass - m * m)
+    mass = cdf(b) - cdf(a)
+    near = [np.where(np.abs(x) < 1e6, x, 0.0) for x in (a, b)]
+    pa, pb = (np.where(np.abs(x) < 1e6, np.exp(-y * y / 2) / math.sqrt(2 * math.pi), 0.0) for x, y in zip((a, b), near, strict=True))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        m = (pa - pb) / mass
+        t = 1 + (near[0] * pa - near[1] * pb) / mass - m * m
+    gone = mass <= 1e-12
+    return np.where(gone, np.nan, mean + sd * m), np.where(gone, np.nan, sd * sd * t)
 
 
-def expect_row(z: np.ndarray, lo: np.ndarray, hi: np.ndarray, sigma: np.ndarray, cache: dict) -> tuple[np.ndarray, np.ndarray]:
-    """One row's E-step: imputed latents and its share of the conditional covariance.
+def expect_rows(z: np.ndarray, lo: np.ndarray, hi: np.ndarray, sigma: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The E-step of a block of rows: imputed latents, and the sum of their conditional covariances.
 
     Observed ordinals (those with a bound) move to the mean of their cut conditional law, then the
-    missing cells to theirs. ``cache`` keeps one solve for each pattern of missing cells.
+    missing cells to theirs. Rows are taken by their pattern of missing cells: one solve, and a few
+    matrix products, for each.
     """
-    seen = ~np.isnan(z)
-    key = seen.tobytes()
-    if key not in cache:
-        inv = np.linalg.inv(sigma[np.ix_(seen, seen)]) if seen.any() else np.zeros((0, 0))
-        cache[key] = inv, inv @ sigma[np.ix_(seen, ~seen)]
-    inv, j = cache[key]
     x, c = z.copy(), np.zeros_like(sigma)
-    obs, mis = np.flatnonzero(seen), np.flatnonzero(~seen)
-    var = np.zeros(len(obs))
-    kinds = ~(np.isnan(lo[obs]) & np.isnan(hi[obs]))
-    if len(obs) > 1 and kinds.any():
-        s = inv @ z[obs]
-        for i in np.flatnonzero(kinds):
-            v = 1 / inv[i, i]
-            m, t = _truncated(z[obs[i]] - v * s[i], np.sqrt(v), lo[obs[i]] if lo[obs[i]] == lo[obs[i]] else -np.inf, hi[obs[i]] if hi[obs[i]] == hi[obs[i]] else np.inf)
-            if np.isfinite(m):
-                x[obs[i]] = m
-            if np.isfinite(t):
-                var[i] = t
-                c[obs[i], obs[i]] += t
-    x[mis] = j.T @ x[obs]
-    c[np.ix_(mis, mis)] += sigma[np.ix_(mis, mis)] - j.T @ sigma[np.ix_(seen, ~seen)]
-    if var.sum() > 0:
-        k = j.T * var
-        c[np.ix_(mis, obs)] += k
-        c[np.ix_(obs, mis)] += k.T
-        c[np.ix_(mis, mis)] += k @ j
+    seen = ~np.isnan(z)
+    for pattern in np.unique(seen, axis=0):
+        at = np.flatnonzero((seen == pattern).all(1))
+        obs, mis = np.flatnonzero(pattern), np.flatnonzero(~pattern)
+        inv = np.linalg.inv(sigma[np.ix_(obs, obs)]) if len(obs) else np.zeros((0, 0))
+        j = inv @ sigma[np.ix_(obs, mis)]
+        told, var = z[np.ix_(at, obs)], np.zeros(len(obs))
+        moved, pull = told.copy(), told @ inv
+        for i, k in enumerate(obs if len(obs) > 1 else ()):
+            some = np.flatnonzero(~(np.isnan(lo[at, k]) & np.isnan(hi[at, k])))
+            if len(some):
+                v = 1 / inv[i, i]
+                ends = (np.where(np.isnan(e[at[some], k]), f, e[at[some], k]) for e, f in ((lo, -np.inf), (hi, np.inf)))
+                m, t = _truncated(told[some, i] - v * pull[some, i], math.sqrt(v), *ends)
+                moved[some, i] = np.where(np.isfinite(m), m, told[some, i])
+                var[i] = t[np.isfinite(t)].sum()
+        x[np.ix_(at, obs)] = moved
+        x[np.ix_(at, mis)] = moved @ j
+        c[obs, obs] += var
+        c[np.ix_(mis, mis)] += len(at) * (sigma[np.ix_(mis, mis)] - j.T @ sigma[np.ix_(obs, mis)])
+        if var.sum() > 0:
+            k = j.T * var
+            c[np.ix_(mis, obs)] += k
+            c[np.ix_(obs, mis)] += k.T
+            c[np.ix_(mis, mis)] += k @ j
     return x, c
 
 
+def _arrays(pdf: pd.DataFrame, width: int) -> list[np.ndarray]:
+    return [np.array(pdf[c].tolist(), float).reshape(-1, width) for c in ("z", "lo", "hi")]
+
+
 def expectation(rows: DataFrame, sigma: np.ndarray) -> DataFrame:
     """(row_id, x): every row's latents with the missing ones at their conditional means."""
 
     def work(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict = {}
         for pdf in pdfs:
             if len(pdf):
-                a = [np.array(pdf[c].tolist(), float) for c in ("z", "lo", "hi")]
-                yield pd.DataFrame({"row_id": pdf["row_id"], "x": [expect_row(*r, sigma, cache)[0].tolist() for r in zip(*a, strict=True)]})
+                yield pd.DataFrame({"row_id": pdf["row_id"], "x": expect_rows(*_arrays(pdf, len(sigma)), sigma)[0].tolist()})
 
     return rows.mapInPandas(work, "row_id long, x array<double>")
 
 
-def _add_rows(sums: tuple[int, np.ndarray, np.ndarray], pdf: pd.DataFrame, sigma: np.ndarray, cache: dict) -> tuple[int, np.ndarray, np.ndarray]:
+def _add_rows(sums: tuple[int, np.ndarray, np.ndarray], pdf: pd.DataFrame, sigma: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     """Number, sum and second moments of the imputed latents of all rows so far."""
     k, one, two = sums
-    a = [np.array(pdf[c].tolist(), float).reshape(-1, len(sigma)) for c in ("z", "lo", "hi")]
-    for r in zip(*a, strict=True):
-        x, c = expect_row(*r, sigma, cache)
-        k, one, two = k + 1, one + x, two + np.outer(x, x) + c
-    return k, one, two
+    x, c = expect_rows(*_arrays(pdf, len(sigma)), sigma)
+    return k + len(x), one + x.sum(0), two + x.T @ x + c
 
 
 def _next_matrix(k: int, one: np.ndarray, two: np.ndarray, sigma: np.ndarray) -> np.ndarray:
@@ -159,7 +162,7 @@ def _next_matrix(k: int, one: np.ndarray, two: np.ndarray, sigma: np.ndarray) ->
 
 def _local_moments(pdf: pd.DataFrame, sigma: np.ndarray) -> np.ndarray:
     """:func:`moments` of the rows of one batch, inside a task."""
-    return _next_matrix(*_add_rows((0, np.zeros(len(sigma)), np.zeros_like(sigma)), pdf, sigma, {}), sigma)
+    return _next_matrix(*_add_rows((0, np.zeros(len(sigma)), np.zeros_like(sigma)), pdf, sigma), sigma)
 
 
 def moments(rows: DataFrame, sigma: np.ndarray) -> np.ndarray:
@@ -170,9 +173,9 @@ def moments(rows: DataFrame, sigma: np.ndarray) -> np.ndarray:
     p = len(sigma)
 
     def work(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, sums = {}, (0, np.zeros(p), np.zeros((p, p)))
+        sums = (0, np.zeros(p), np.zeros((p, p)))
         for pdf in pdfs:
-            sums = _add_rows(sums, pdf, sigma, cache)
+            sums = _add_rows(sums, pdf, sigma)
         k, one, two = sums
         yield pd.DataFrame({"k": [k], "v": [np.concatenate((one, two.ravel())).tolist()]})
 
@@ -235,8 +238,8 @@ def fit_batches(rows: DataFrame, width: int, size: int, count: int | None = None
                 for j, part in pdf.groupby(pdf["row_id"] // size):
                     if j != at:
                         now = blended() if sums else now
-                        sums, at, cache = (0, np.zeros(width), np.zeros((width, width))), int(j), {}
-                    sums = _add_rows(sums, part, now, cache)
+                        sums, at = (0, np.zeros(width), np.zeros((width, width))), int(j)
+                    sums = _add_rows(sums, part, now)
             if sums:
                 yield pd.DataFrame({"v": [blended().ravel().tolist()]})
 
@@ -333,17 +336,12 @@ class StreamState:
         self._see(x)
         x = np.concatenate((x, np.full((len(x), len(self.rings) - x.shape[1]), np.nan)), axis=1)
         z, lo, hi = self._latent(x)
-        p, cache = len(self.sigma), {}
-        sums, latents = (0, np.zeros(p), np.zeros((p, p))), []
-        for r in zip(z, lo, hi, strict=True):
-            e, c = expect_row(*r, self.sigma, cache)
-            latents.append(e)
-            sums = sums[0] + 1, sums[1] + e, sums[2] + np.outer(e, e) + c
+        latents, c = expect_rows(z, lo, hi, self.sigma)
         self.batches += 1
         d = batch_decay(self.batches, self.changing)
-        self.sigma = d * _next_matrix(*sums, self.sigma) + (1 - d) * self.sigma
-        out, latents = x.copy(), np.array(latents)
-        for k in range(p):
+        self.sigma = d * _next_matrix(len(x), latents.sum(0), latents.T @ latents + c, self.sigma) + (1 - d) * self.sigma
+        out = x.copy()
+        for k in range(x.shape[1]):
             gone = np.isnan(x[:, k])
             if gone.any():
                 out[gone, k] = self._inverse(k, latents[gone, k])

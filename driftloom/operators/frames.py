@@ -81,9 +81,9 @@ def with_bias(features: Column) -> Column:
     return F.concat(F.array(F.lit(1.0)), features)
 
 
-def interleaved(label: Column, rank: Column, majors: Column, every: int, major: int = 0) -> Column:
-    """0-based place after a minor row follows each ``every``-th major one; ``rank`` is 0-based within the label."""
-    on_major = rank + F.ceil(rank / every)
+def interleaved(label: Column, rank: Column, majors: Column, minors: Column, every: int, major: int = 0) -> Column:
+    """0-based place after a minor row follows each ``every``-th major one, while there are any; ``rank`` is 0-based within the label."""
+    on_major = rank + F.least(F.ceil(rank / every), minors)
     on_minor = F.when(rank < F.ceil(majors / every), rank * (every + 1) + 1).otherwise(majors + rank)
     return F.when(label == major, on_major).otherwise(on_minor).cast("long")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,5 +25,9 @@ def stored(df: DataFrame, order: str) -> DataFrame:
 def _folder(df: DataFrame) -> str:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at:  # a local test has one machine; a cluster shares its warehouse
+            local = re.fullmatch(r"local(\[.*\])?", context.master)
+            at = tempfile.mkdtemp(prefix="spark-checkpoint-") if local else f"{df.sparkSession.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+        context.setCheckpointDir(at)
     return context.getCheckpointDir()

@@ -54,7 +54,7 @@ def ftrl_rows(rows: Iterable[tuple], schedule: int = 3, blend: float = 0.0, drif
     s = state or start()
     out = []
     for o, x, y in rows:
-        x = [0.0 if a is None or a != a else a for a in x or ()]
+        x = [0.0 if a is None or a != a else a for a in (() if x is None else x)]
         for name in ("v", "h", "z"):
             s[name].extend([0.0] * (len(x) - len(s[name])))
         w = [0.0 if abs(z) <= l1 else -(z - math.copysign(l1, z)) / (l2 + lp * s["r"]) for z in s["z"][: len(x)]]

@@ -75,15 +75,52 @@ def lbfgs(f, w: np.ndarray, rounds: int, memory: int = 10) -> np.ndarray:
     return w
 
 
+class _Sparse:
+    """Rows given as maps from feature to value."""
+
+    def __init__(self, maps, width: int):
+        entries = [dict(m) if m is not None else {} for m in maps]
+        self.rows, self.width = len(entries), width
+        self.row = np.repeat(np.arange(len(entries)), [len(m) for m in entries])
+        self.at = np.array([k for m in entries for k in m], np.int64)
+        self.value = np.array([v for m in entries for v in m.values()], float)
+        known = (self.at >= 0) & (self.at < width)  # a feature that was not learned has no weight
+        self.row, self.at, self.value = self.row[known], self.at[known], self.value[known]
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.at], minlength=self.rows)
+
+    def weighted(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, self.value * v[self.row], minlength=self.width)
+
+
+class _Dense:
+    def __init__(self, x: np.ndarray):
+        self.x = x
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return self.x @ w
+
+    def weighted(self, v: np.ndarray) -> np.ndarray:
+        return v @ self.x
+
+
 class TransductiveSVM:
-    """Labels in {0, 1}, null where unknown; learns from both kinds of rows."""
+    """Labels in {0, 1}, null where unknown; learns from both kinds of rows.
+
+    Features are an array, or a map from feature number to value, which stays sparse (linear
+    kernel only). A null label is an unlabelled row.
+    """
 
     def __init__(self, lam: float = 1e-3, lam_u: float = 1.0, kernel: str = "linear", sigma: float = 1.0, width: int = 200, rounds: int = 4, seed: int = 1):
         self.lam, self.lam_u, self.kernel, self.sigma, self.width, self.rounds, self.seed = lam, lam_u, kernel, sigma, width, rounds, seed
         self.w, self.offset, self.platt = np.zeros(0), 0.0, (1.0, 0.0)
 
-    def _map(self, x: np.ndarray) -> np.ndarray:
-        return fourier(x, self.width, self.sigma, self.seed) if self.kernel == "rbf" else x
+    def _map(self, column: pd.Series):
+        if len(column) and not isinstance(column.iloc[0], (list, np.ndarray)):
+            return _Sparse(column, len(self.w))
+        x = np.array(column.tolist(), float).reshape(len(column), -1)
+        return _Dense(fourier(x, self.width, self.sigma, self.seed) if self.kernel == "rbf" else x)
 
     def _sums(self, rows: DataFrame, w: np.ndarray, share: float):
         me, b = self, self.offset
@@ -93,16 +130,18 @@ class TransductiveSVM:
             for pdf in pdfs:
                 if not len(pdf):
                     continue
-                x = me._map(np.array(pdf["x"].tolist(), float))
-                y, f = pdf["y"].to_numpy(float), x @ w + b
+                x = me._map(pdf["x"])
+                y, f = pdf["y"].to_numpy(float), x.dot(w) + b
                 seen = ~np.isnan(y)
+                pull = np.zeros((2, len(y)))
                 s = 2 * y[seen] - 1
                 m = _GAMMA * (1 - s * f[seen])
                 soft = np.where(m > 500, m, np.log1p(np.exp(np.minimum(m, 500)))) / _GAMMA
                 slope = -s / (1 + np.exp(-np.clip(m, -500, 500)))
-                out[0] += [seen.sum(), soft.sum(), *(slope @ x[seen])]
                 e = np.exp(-_S * f[~seen] ** 2)
-                out[1] += [(~seen).sum(), e.sum(), *((-2 * _S * f[~seen] * e) @ x[~seen])]
+                pull[0, seen], pull[1, ~seen] = slope, -2 * _S * f[~seen] * e
+                out[0] += [seen.sum(), soft.sum(), *x.weighted(pull[0])]
+                out[1] += [(~seen).sum(), e.sum(), *x.weighted(pull[1])]
             yield pd.DataFrame({"k": [0, 1], "v": out.tolist()})
 
         parts = rows.mapInPandas(work, "k int, v array<double>").select("k", F.posexplode("v").alias("i", "x"))
@@ -113,10 +152,13 @@ class TransductiveSVM:
         return value, np.array(lg) / l + share * self.lam_u * np.array(ug) / u + 2 * self.lam * w
 
     def fit(self, df: DataFrame, features: str, label: str) -> TransductiveSVM:
-        rows = df.select(F.col(features).cast("array<double>").alias("x"), F.col(label).cast("double").alias("y")).cache()
+        sparse = df.schema[features].dataType.typeName() == "map"
+        if sparse and self.kernel != "linear":
+            raise ValueError("sparse features take the linear kernel")
+        rows = df.select(F.col(features).cast("map<int,double>" if sparse else "array<double>").alias("x"), F.col(label).cast("double").alias("y")).cache()
         self.offset = float(rows.agg(F.avg(2 * F.col("y") - 1)).first()[0] or 0.0)
-        first = rows.first()
-        self.w = np.zeros(self.width if self.kernel == "rbf" else len(first["x"]) if first else 0)
+        wide = rows.agg(F.max(F.array_max(F.map_keys("x")) + 1) if sparse else F.max(F.size("x"))).first()[0] or 0
+        self.w = np.zeros(self.width if self.kernel == "rbf" else wide)
         for share in ANNEALING:
             self.w = lbfgs(lambda w, s=share: self._sums(rows, w, s), self.w, self.rounds)
         scored = self.decision(rows.where("y is not null"), "x").cache()
@@ -140,9 +182,10 @@ class TransductiveSVM:
 
         @F.pandas_udf("double")
         def score(x: pd.Series) -> pd.Series:
-            return pd.Series(me._map(np.array(x.tolist(), float).reshape(len(x), -1)) @ w + b if len(x) else [], dtype=float)
+            return pd.Series(me._map(x).dot(w) + b if len(x) else [], dtype=float)
 
-        return df.withColumn("score", score(F.col(features).cast("array<double>")))
+        kind = "map<int,double>" if df.schema[features].dataType.typeName() == "map" else "array<double>"
+        return df.withColumn("score", score(F.col(features).cast(kind)))
 
     def predict(self, df: DataFrame, features: str) -> DataFrame:
         """``df`` with score, label (a score of 0 counts as 1) and probability."""

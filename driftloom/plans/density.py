@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from driftloom.operators import density as d
@@ -89,14 +90,38 @@ def density_clusters(spark, sf_dir):
     return d.assign(_peaks(spark, sf_dir), 8)
 
 
-@register("peak_count")
+_COUNT = _PEAK + """, top AS (SELECT gamma AS x, row_number() OVER (ORDER BY gamma) - 1 AS i, count(*) OVER () AS n FROM (SELECT gamma FROM g ORDER BY gamma DESC, id LIMIT 30)),
+ks AS (SELECT unnest(range(max(n) // 2, max(n) - 2)) AS k FROM top),
+part AS (SELECT k, i >= k AS post, avg(x) AS mean, CASE WHEN min(x) = 0 THEN 1e-5 ELSE min(x) END AS s, count(*) AS c FROM top, ks GROUP BY ALL),
+sums AS (SELECT part.k, post, sum(ln(CASE WHEN x = 0 THEN 1e-5 ELSE x END / s)) AS t FROM part JOIN top ON post = (i >= part.k) GROUP BY ALL),
+law AS (SELECT k, post, mean, s, CASE WHEN t > 0 THEN c / t ELSE -ln(s) END AS a FROM part JOIN sums USING (k, post)),
+fit AS (SELECT p.k, p.s AS s0, p.a AS a0, q.s AS s1, q.a AS a1 FROM law p JOIN law q USING (k) WHERE NOT p.post AND q.post AND p.mean <= 0.95 * q.mean AND least(p.a, q.a) > 0),
+f AS (SELECT k, i, ln(a0) - ln(s0) - (1 + a0) * ln(1 + x / s0) AS f0, ln(a1) - ln(s1) - (1 + a1) * ln(1 + x / s1) AS f1 FROM fit JOIN top ON i >= k),
+u AS (SELECT k, i, CASE WHEN greatest(max(f0) OVER w, 5e-324) > min(f0) OVER w THEN (f0 - min(f0) OVER w) / (greatest(max(f0) OVER w, 5e-324) - min(f0) OVER w) ELSE 0 END AS u0,
+  CASE WHEN greatest(max(f1) OVER w, 5e-324) > min(f1) OVER w THEN (f1 - min(f1) OVER w) / (greatest(max(f1) OVER w, 5e-324) - min(f1) OVER w) ELSE 0 END AS u1 FROM f WINDOW w AS (PARTITION BY k)),
+e AS (SELECT k, min(i) FILTER (WHERE u0 <= 0 OR u1 <= 0) AS z FROM u GROUP BY k),
+b AS (SELECT k, sum(CASE WHEN z IS NULL OR i < z THEN ln(u0 / u1) ELSE 0 END) AS v FROM u JOIN e USING (k) GROUP BY k ORDER BY v DESC, k LIMIT 1)
+SELECT CAST(coalesce((SELECT (SELECT max(n) FROM top) - 1 - k FROM b WHERE v > 0 AND v >= -ln(0.05) * 2 / (SELECT max(n) FROM top)), 1) AS INT) AS clusters"""
+
+
+@register("peak_count", _COUNT)
 def peak_count(spark, sf_dir):
     """How many of the thirty largest gammas stand out."""
     return spark.range(1).select(F.lit(d.cluster_count(d.gamma_list(_peaks(spark, sf_dir)))).alias("clusters"))
 
 
+def _spread(spark, sf_dir, fit=None):
+    labels = table(spark, sf_dir, "embeddings").where("vec_id % 10 = 0").select(F.col("vec_id").alias("id"), "label")
+    return d.spread_labels(_peaks(spark, sf_dir).join(_points(spark, sf_dir), "id"), labels, fit=fit)
+
+
 @register("label_spreading")
 def label_spreading(spark, sf_dir):
-    """A tenth of the labels spread along the pointers of all points, to parents and then to children, by a learner fitted anew each hop."""
-    labels = table(spark, sf_dir, "embeddings").where("vec_id % 10 = 0").select(F.col("vec_id").alias("id"), "label")
-    return d.spread_labels(_peaks(spark, sf_dir).join(_points(spark, sf_dir), "id"), labels)
+    """A tenth of the labels spread along the pointers of all points, to parents and then to children, by a tree fitted anew each hop."""
+    return _spread(spark, sf_dir)
+
+
+@register("label_spreading_linear")
+def label_spreading_linear(spark, sf_dir):
+    """The same with a linear learner."""
+    return _spread(spark, sf_dir, lambda rows: LogisticRegression(featuresCol="v", labelCol="label", regParam=0.01, maxIter=10).fit(rows))

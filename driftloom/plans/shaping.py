@@ -61,23 +61,23 @@ def permuted_stream(spark, sf_dir):
     return matrix(spark, sf_dir).select("row_id", (F.row_number().over(w) - 1).cast("long").alias("place"))
 
 
-@register("interleaved_classes", f"""WITH {MATRIX}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, label ORDER BY row_id) - 1 AS i, count(*) FILTER (WHERE label = 0) OVER (PARTITION BY user_id) AS c FROM m)
-SELECT row_id, CASE WHEN label = 0 THEN i + CAST(ceil(i / 2.0) AS BIGINT) WHEN i < ceil(c / 2.0) THEN i * 3 + 1 ELSE c + i END AS place FROM r""")
+@register("interleaved_classes", f"""WITH {MATRIX}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, label ORDER BY row_id) - 1 AS i, count(*) FILTER (WHERE label = 0) OVER (PARTITION BY user_id) AS c, count(*) FILTER (WHERE label = 1) OVER (PARTITION BY user_id) AS d FROM m)
+SELECT row_id, CASE WHEN label = 0 THEN i + least(CAST(ceil(i / 2.0) AS BIGINT), d) WHEN i < ceil(c / 2.0) THEN i * 3 + 1 ELSE c + i END AS place FROM r""")
 def interleaved_classes(spark, sf_dir):
     """M8: after every second row of the larger class one of the smaller, in closed form."""
     per = Window.partitionBy("user_id")
     m = matrix(spark, sf_dir).withColumn("i", F.row_number().over(Window.partitionBy("user_id", "label").orderBy("row_id")) - 1)
-    m = m.withColumn("c", F.count_if(F.col("label") == 0).over(per))
-    return m.select("row_id", frames.interleaved(F.col("label"), F.col("i"), F.col("c"), 2).alias("place"))
+    m = m.withColumns({"c": F.count_if(F.col("label") == 0).over(per), "d": F.count_if(F.col("label") == 1).over(per)})
+    return m.select("row_id", frames.interleaved(F.col("label"), F.col("i"), F.col("c"), F.col("d"), 2).alias("place"))
 
 
 @register("circular_batches", f"""WITH {MATRIX}, n AS (SELECT count(*) AS n FROM m), e AS (SELECT row_id, n, unnest([0, 1]) AS epoch FROM m, n)
-SELECT CAST(floor((epoch * n + row_id) / 700) AS BIGINT) AS batch_id, count(*) AS rows, min(row_id) AS first FROM e GROUP BY ALL""")
+SELECT CAST(floor((epoch * n + row_id) / 700) AS BIGINT) AS batch_id, count(*) AS rows, min(row_id) AS first, count(*) FILTER (WHERE row_id % 3 = 0) AS labelled FROM e GROUP BY ALL""")
 def circular_batches(spark, sf_dir):
-    """Two passes over the stream in batches that wrap around."""
-    m = matrix(spark, sf_dir)
+    """Two passes over the stream in batches that wrap around; whether a row's label is known goes with it."""
+    m = matrix(spark, sf_dir).withColumn("is_labelled", F.col("row_id") % 3 == 0)
     b = frames.batches(m, "row_id", m.count(), 700)
-    return b.groupBy("batch_id").agg(F.count("*").alias("rows"), F.min("row_id").alias("first"))
+    return b.groupBy("batch_id").agg(F.count("*").alias("rows"), F.min("row_id").alias("first"), F.count_if("is_labelled").alias("labelled"))
 
 
 @register("trapezoid_stream", _ROW + """, n AS (SELECT *, count(*) OVER () AS n FROM x), t AS (SELECT row_id, fs[1:least(4, (floor(row_id / ceil(n / 5.0)) + 1) * 1)::INT] AS fs FROM n)
@@ -93,8 +93,7 @@ def trapezoid_stream(spark, sf_dir):
 def ragged_text(spark, sf_dir):
     """Rows written as bracketed text and parsed again, NaN as 0."""
     fs = frames.mask_pairs(F.col("fs"), F.col("row_id"))
-    text = F.concat(F.lit("["), F.array_join(F.transform(fs, lambda x: F.coalesce(x.cast("string"), F.lit("nan"))), ", "), F.lit("]"))
-    return _rows(spark, sf_dir).select("row_id", _sum(readers.parse_ragged(text)).alias("total"))
+    return _rows(spark, sf_dir).select("row_id", _sum(readers.parse_ragged(readers.ragged_text(fs))).alias("total"))
 
 
 @register("stream_settings", "SELECT * FROM (VALUES ('cap', 'australian', 0.01E0, 2, 10, 4, false), ('cap', 'wdbc', 0.02E0, 2, 8, 0, true), ('tra', 'australian', 0.02E0, 2, 10, 4, false), ('tra', 'wdbc', 0.0E0, 2, 2, 3, true)) t(kind, dataset, contribute_error_rate, window_den, batch_den, decay_choice, shuffle)")

@@ -85,11 +85,11 @@ def tree_predictions(spark, sf_dir):
 
 @register("tree_stream")
 def tree_stream(spark, sf_dir):
-    """The tree along the stream in eight micro-batches, half of the labels missing; what it predicts at the end."""
+    """The tree along the stream in five micro-batches, half of the labels missing; what it predicts at the end."""
     m = matrix(spark, sf_dir).withColumn("known", F.when(F.col("row_id") % 2 == 0, F.col("label")))
-    size = m.agg(F.max("row_id")).first()[0] // 8 + 1
+    size = m.agg(F.max("row_id")).first()[0] // 5 + 1
     tree = t.StreamTree("row_id", FEATURES[:2], FEATURES[2:], "known")
-    for j in range(8):
+    for j in range(5):
         tree.update(m.where(F.col("row_id").between(j * size, (j + 1) * size - 1)))
     return tree.predict(m).select("row_id", "label", "node", "predicted")
 

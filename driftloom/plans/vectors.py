@@ -38,6 +38,23 @@ def linear_kernel(spark, sf_dir):
     return both.select("vec_id", "centre", F.round(n.dot(F.col("x"), F.col("c")), 6).alias("k"))
 
 
+_MAPS = """WITH s AS (SELECT user_id, map_from_entries(list((event_type, v))) AS x FROM (SELECT user_id, event_type, sum(value) / 1000 AS v FROM events GROUP BY ALL) GROUP BY user_id),
+c AS (SELECT map_from_entries(list((event_type, v))) AS c FROM (SELECT event_type, avg(value) / 100 AS v FROM events WHERE event_type <> 'view' GROUP BY event_type))"""
+_DOT = "list_sum(list_transform(map_keys(x), lambda k: coalesce(x[k], 0) * coalesce(c[k], 0)))"
+_SQUARE = "list_sum(list_transform(map_values({m}), lambda v: v * v))"
+
+
+@register("sparse_kernels", f"{_MAPS} SELECT user_id, round({_DOT}, 6) AS linear, round(exp(-({_SQUARE.format(m='x')} + {_SQUARE.format(m='c')} - 2 * {_DOT}) / 2), 6) AS rbf FROM s, c")
+def sparse_kernels(spark, sf_dir):
+    """F8, F12 on maps: kernels of each user's sums by event type with the average of all but one type."""
+    events = table(spark, sf_dir, "events")
+    entries = lambda v: F.map_from_entries(F.collect_list(F.struct("event_type", v)))
+    users = events.groupBy("user_id", "event_type").agg((F.sum("value") / 1000).alias("v")).groupBy("user_id").agg(entries("v").alias("x"))
+    mean = events.where("event_type <> 'view'").groupBy("event_type").agg((F.avg("value") / 100).alias("v")).agg(entries("v").alias("c")).scalar()
+    both = users.select("user_id", "x", mean.alias("c"))
+    return both.select("user_id", F.round(n.sparse_dot(F.col("x"), F.col("c")), 6).alias("linear"), F.round(n.sparse_rbf_kernel(F.col("x"), F.col("c"), 1.0), 6).alias("rbf"))
+
+
 @register("linear_svm_grid")
 def linear_svm_grid(spark, sf_dir):
     """The best of six costs, learned on seven rows of ten."""
@@ -54,6 +71,23 @@ def transductive_svm(spark, sf_dir):
     return model.predict(v, "x").select("vec_id", "y", "predicted", "probability")
 
 
+@register("transductive_svm_sparse")
+def transductive_svm_sparse(spark, sf_dir):
+    """The same on maps of the components that stand out."""
+    few = F.map_filter(F.map_from_arrays(F.sequence(F.lit(0), F.size("embedding") - 1), F.col("embedding").cast("array<double>")), lambda _, v: F.abs(v) > 0.1)
+    v = table(spark, sf_dir, "embeddings").select("vec_id", few.alias("x"), (F.col("label") < 5).cast("int").alias("y"))
+    known = v.withColumn("known", F.when(F.col("vec_id") % 4 == 0, F.col("y")))
+    return svm.TransductiveSVM(rounds=2).fit(known, "x", "known").predict(v, "x").select("vec_id", "y", "predicted", "probability")
+
+
+@register("transductive_svm_radial")
+def transductive_svm_radial(spark, sf_dir):
+    """The same with a radial kernel."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("x"), (F.col("label") < 5).cast("int").alias("y"))
+    known = v.withColumn("known", F.when(F.col("vec_id") % 4 == 0, F.col("y")))
+    return svm.TransductiveSVM(kernel="rbf", rounds=2).fit(known, "x", "known").predict(v, "x").select("vec_id", "y", "predicted", "probability")
+
+
 @register("subspace_distance")
 def subspace_distance(spark, sf_dir):
     """The leading subspaces of the embeddings' correlations, labels below five against the others, and against a random correlation matrix."""

@@ -57,18 +57,28 @@ def ring_window(stream: DataFrame, key: str, order: str, value: str, size: int)
 def copula_batches(stream: DataFrame, width: int, ordinal: list[int], path: str, checkpoint: str, changing: bool = True):
     """Online EM by micro-batch: each batch of (row_id, feature_id, value) moves the matrix and is written imputed under ``path``.
 
-    Returns the query, started with all data available now, and the holder of the latest matrix.
+    Batch j goes to ``path``/rows/batch=j and the matrix after it to ``path``/matrix/batch=j, each
+    written over: a batch that is tried again, or a query that is started again, goes on from the
+    matrix of the batch before. Returns the query, started with all data available now.
     """
     import numpy as np
 
     from driftloom.operators import copula
 
-    holder = {"sigma": np.eye(width)}
+    def matrix_at(spark, j: int):
+        if j < 0:
+            return np.eye(width)
+        rows = spark.read.schema("i int, row array<double>").parquet(f"{path}/matrix/batch={j}").orderBy("i").collect()
+        return np.array([r.row for r in rows])
 
     def step(batch: DataFrame, j: int) -> None:
+        spark = batch.sparkSession
+        before = matrix_at(spark, j - 1)
         rows = copula.rows_of(copula.latent(batch, ordinal), width)
         d = copula.batch_decay(j + 1, changing)
-        holder["sigma"] = d * copula.moments(rows, holder["sigma"]) + (1 - d) * holder["sigma"]
-        copula.impute(batch, ordinal, width, holder["sigma"]).withColumn("batch", F.lit(j)).write.mode("append").parquet(path)
+        sigma = d * copula.moments(rows, before) + (1 - d) * before
+        copula.impute(batch, ordinal, width, sigma).write.mode("overwrite").parquet(f"{path}/rows/batch={j}")
+        done = spark.createDataFrame([(i, row) for i, row in enumerate(sigma.tolist())], "i int, row array<double>")
+        done.coalesce(1).write.mode("overwrite").parquet(f"{path}/matrix/batch={j}")
 
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), holder
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

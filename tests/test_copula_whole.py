@@ -22,7 +22,7 @@ def test_online_em_takes_all_batches(spark, monkeypatch):
     monkeypatch.setattr(copula, "CHAIN", 2)
     assert np.allclose(copula.fit_batches(rows, 4, 200), want)
     asked = []
-    monkeypatch.setattr(copula, "_add_rows", lambda sums, pdf, sigma, cache: sums)
+    monkeypatch.setattr(copula, "_add_rows", lambda sums, pdf, sigma: sums)
     real = copula.fit_batches
     monkeypatch.setattr(copula, "fit_batches", lambda rows, width, size, count=None: (asked.append((size, count)), real(rows, width, size, count))[1])
     imputation.copula_imputed(spark, SMALL)
