@@ -34,8 +34,8 @@ VOCABULARY, CLASS_SIZE, HIDDEN = 1022, 32, 16
 LOOKED_UP = 200_000
 WINDOW, BATCH, ROUNDS, RATE = 32, 128, 3, 0.01
 #: Tokens of a document that follow one another in a lane, and tokens of a trainer in a round: the trainers grow in number with the corpus.
-SEGMENT, TOKENS_EACH = 64 * WINDOW, 400_000
-SCORED_TOGETHER, STEPS_TOGETHER = 512, 16
+SEGMENT, TOKENS_EACH = 32 * WINDOW, 1_200_000
+SCORED_TOGETHER, STEPS_TOGETHER = 512, 64
 _SHAPES = {
     "embed": (VOCABULARY + 2, HIDDEN), "wx": (HIDDEN, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,),
     "wc": (HIDDEN, (VOCABULARY + 2) // CLASS_SIZE), "bc": ((VOCABULARY + 2) // CLASS_SIZE,),
