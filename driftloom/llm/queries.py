@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import ann, bpe, chat, line_dedup, lm_score, minhash, mixing, quality, repeats, sql, url_filter
+from driftloom.llm import ann, bpe, chat, decontaminate, importance, infill, line_dedup, lm_score, minhash, mixing, quality, repeats, sql, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -116,6 +116,24 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.evaluate(pages, by_host.unionByName(by_zone)).withColumn("lists", F.array_join("lists", ","))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight of every document towards the benchmark's texts, and the rank of those drawn."""
+    return importance.importance(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in windows of benchmark items, and which items those are."""
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    named = F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", *named, (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut in three by lines and put together for infilling, and what the output restores to."""
+    out = infill.restored(infill.infilled(_table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_chat_format": op2_chat_format,
@@ -127,6 +145,9 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_lm_score": op9_lm_score,
     "op10_url_filter": op10_url_filter,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_decontamination": op12_decontamination,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -135,4 +156,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": sql.op5(),
     "op6_suffix_repeats": sql.op6(),
     "op10_url_filter": sql.op10(),
+    "op11_importance_resampling": sql.op11(),
+    "op12_decontamination": sql.op12(),
+    "op13_fill_in_middle": sql.op13(),
 }

@@ -116,3 +116,58 @@ kept AS (SELECT doc_id, string_agg(CASE WHEN t > f THEN hex(b[f:t - 1]) ELSE ''
 size AS (SELECT doc_id, sum(z - a) AS n, count(*) AS k FROM span GROUP BY doc_id)
 SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(k, 0)::BIGINT AS n_spans, sha256(unhex(h)) AS kept_sha256
 FROM d JOIN kept USING (doc_id) LEFT JOIN size USING (doc_id)"""
+
+
+_LOW = "translate(coalesce(text, ''), '" + "".join(map(chr, range(65, 91))) + "', '" + "".join(map(chr, range(97, 123))) + "')"
+_SPOKEN = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def op11() -> str:
+    """The checksum is computed byte by byte with its table, once for each different run of words."""
+    return f"""
+WITH tab AS MATERIALIZED (SELECT list_transform(range(256), lambda v: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, v)) AS tab),
+w AS (SELECT true AS mine, doc_id, {_SPOKEN} AS w FROM documents UNION ALL SELECT false, item_id, {_SPOKEN} FROM benchmark),
+f AS MATERIALIZED (SELECT mine, doc_id, array_to_string(list_slice(w, i, i + k - 1), ' ') AS f FROM (SELECT mine, doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) v(k) WHERE len(w) >= k)),
+h AS (SELECT f, hex(f) AS x FROM (SELECT DISTINCT f FROM f)),
+c AS MATERIALIZED (SELECT f, xor(list_reduce(list_transform(range(len(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) % 10000 AS b FROM h, tab),
+n AS MATERIALIZED (SELECT mine, doc_id, b, count(*) AS n FROM f JOIN c USING (f) GROUP BY ALL),
+g AS (SELECT b, floor(1000 * ln((t + 1)::DOUBLE * (ss + 10000)::DOUBLE / ((s + 1)::DOUBLE * (tt + 10000)::DOUBLE)))::BIGINT AS gain FROM
+  (SELECT b, coalesce(sum(n) FILTER (mine), 0)::BIGINT AS s, coalesce(sum(n) FILTER (NOT mine), 0)::BIGINT AS t FROM n GROUP BY b),
+  (SELECT coalesce(sum(n) FILTER (mine), 0)::BIGINT AS ss, coalesce(sum(n) FILTER (NOT mine), 0)::BIGINT AS tt FROM n)),
+weighed AS (SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM n JOIN g USING (b) WHERE mine GROUP BY doc_id),
+scored AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || doc_id)[1:8])::BIGINT + 0.5) / 4294967296)))::BIGINT AS score FROM w LEFT JOIN weighed USING (doc_id) WHERE mine),
+place AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, 5 * count(*) OVER () // 100 AS most FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= most THEN place END AS rank FROM scored LEFT JOIN place USING (doc_id)"""
+
+
+def op12(window: int = 10) -> str:
+    """Every run of words of every document held against all windows."""
+    return f"""
+WITH d AS (SELECT doc_id, {_SPOKEN} AS w FROM documents),
+b AS (SELECT item_id, {_SPOKEN} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, k, list_slice(w, i, i + k - 1) AS x FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT *, least(len(w), {window}) AS k FROM b WHERE len(w) > 0))),
+run AS (SELECT doc_id, k, i, list_slice(w, i, i + k - 1) AS x FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
+hit AS (SELECT doc_id, i, k, item_id FROM run JOIN win USING (k, x)),
+cover AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + unnest(range(0, k)) AS p FROM hit) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(cover.n, 0)::BIGINT AS n_hit, coalesce(named.n, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, cover.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+
+def op13() -> str:
+    """The three parts as stretches of the text, by where its lines end; SQL restores the text from the output's marks."""
+    h = lambda i: f"('0x' || h[{8 * i + 1}:{8 * i + 8}])::BIGINT"
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id) AS h FROM documents),
+u AS (SELECT *, string_split(t, chr(10)) AS l FROM t),
+n AS (SELECT *, CASE WHEN l[-1] = '' THEN len(l) - 1 ELSE len(l) END AS n FROM u),
+c AS (SELECT *, {h(0)} % (n + 1) AS a, {h(1)} % (n + 1) AS b FROM n),
+e AS (SELECT *, coalesce(list_sum(list_transform(l[:least(a, b)], lambda x: length(x) + 1)), 0) AS p, coalesce(list_sum(list_transform(l[:greatest(a, b)], lambda x: length(x) + 1)), 0) AS m FROM c),
+f AS (SELECT doc_id, t, n, least(p, length(t))::BIGINT AS p, least(m, length(t))::BIGINT AS m,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN {h(3)} % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM e),
+o AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || t[m + 1:] || '<P>' || t[:p] || '<M>' || t[p + 1:m] ELSE '<P>' || t[:p] || '<S>' || t[m + 1:] || '<M>' || t[p + 1:m] END AS o FROM f),
+r AS (SELECT *, split_part(o, '<M>', 2) AS mid, split_part(o, '<M>', 1)[4:] AS head FROM o)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN m - p END AS middle_chars, sha256(o) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN o WHEN 'spm' THEN split_part(head, '<P>', 2) || mid || split_part(head, '<P>', 1) ELSE split_part(head, '<S>', 1) || mid || split_part(head, '<S>', 2) END) AS restored_sha256
+FROM r"""
