@@ -6,11 +6,13 @@ there at their places. That is containment of 1, for which the prefix filter nee
 each window: the rarest. Rarity is counted over all documents.
 
 * Documents are normalised once and dealt into shingles; those that no window has leave before any
-  shuffle. What is left is written once, with row and place, and counted.
+  shuffle. What is left is written once, with row, place and words, and counted.
 * A window one of whose shingles occurs nowhere is gone. Every other one is looked for by its rarest
-  shingle only, at the places that leave room for the rest of the window on both sides (positional
-  and length bound).
-* The words at each such place are cut out and joined with the windows as text: an exact check.
+  shingle only, at the places that leave room for the rest of the window on both sides.
+* That room is the stretch of shingles, each one place behind the last, around it (positional and
+  length bound): a shingle that no window has ends it, and most stretches are too short. The words
+  at each such place are cut out of the stretch and joined with the windows as text: an exact check
+  that reads no document again.
 
 Windows that items share are one row, and documents with the same set of windows look their items
 up once. Only DataFrame functions are used.
@@ -29,7 +31,7 @@ BROADCAST_BYTES = 32 << 20
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What separates words: every ASCII character but letters and digits.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_FOUND = "array<struct<first:int,after:int>>"
+_FOUND, _LOOKED = "array<struct<first:int,after:int>>", "array<struct<skip:int,k:int>>"
 
 
 def normalised(text: Column) -> Column:
@@ -49,10 +51,11 @@ def _few(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 
 
 def _shingles(df: DataFrame, keep: list[str], size: int) -> DataFrame:
-    """(*keep, pos, t): the hash of each run of ``size`` words in the column ``w``, and where it starts."""
+    """(*keep, pos, t, words): each run of ``size`` words in the column ``w``, its hash, and where it starts."""
     runs = F.arrays_zip(*(F.slice("w", i + 1, F.size("w")).alias(f"w{i}") for i in range(size)))
     cells = df.where(F.size("w") >= size).select(*keep, F.posexplode(runs).alias("pos", "run"))
-    return cells.where(F.col(f"run.w{size - 1}").isNotNull()).select(*keep, "pos", F.xxhash64(*(F.col(f"run.w{i}") for i in range(size))).alias("t"))
+    words = [F.col(f"run.w{i}") for i in range(size)]
+    return cells.where(words[-1].isNotNull()).select(*keep, "pos", F.xxhash64(*words).alias("t"), F.array(*words).alias("words"))
 
 
 def _windows(items: DataFrame, window: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -82,30 +85,37 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     sizes = [r.s for r in wins.select(F.least("k", F.lit(shingle)).alias("s")).distinct().collect()]
 
     parts = wins.select("win", "k", F.split("text", " ").alias("w"))
-    empty = spark.createDataFrame([], "win long, k int, pos int, t long")
-    ordered = empty
+    ordered = spark.createDataFrame([], "win long, k int, pos int, t long")
     for s in sizes:  # at most ``shingle`` of them
-        ordered = ordered.unionByName(_shingles(parts.where(F.least("k", F.lit(shingle)) == s), ["win", "k"], s))
+        ordered = ordered.unionByName(_shingles(parts.where(F.least("k", F.lit(shingle)) == s), ["win", "k"], s).drop("words"))
     ordered = scratch.write(ordered)
     tokens = scratch.write(ordered.select("t").distinct())
     n_tokens = tokens.count()
 
-    cells = texts.select("row", "n", _words("norm").alias("w"))
-    posts = spark.createDataFrame([], "row long, n int, pos int, t long")
+    cells = texts.select("row", _words("norm").alias("w"))
+    posts = spark.createDataFrame([], "row long, pos int, t long, words array<string>, size int")
     for s in sizes:
-        posts = posts.unionByName(_shingles(cells, ["row", "n"], s).join(_few(tokens, n_tokens, 16), "t", "left_semi"))
+        posts = posts.unionByName(_shingles(cells, ["row"], s).join(_few(tokens, n_tokens, 16), "t", "left_semi").withColumn("size", F.lit(s)))
     posts = scratch.write(posts)
 
     often = posts.groupBy("t").agg(F.count("*").alias("often"))
     ranked = ordered.join(often, "t", "left").withColumn("often", F.coalesce("often", F.lit(0)))
     rarest = ranked.groupBy("win", "k").agg(F.min(F.struct("often", "t", "pos")).alias("r")).where("r.often > 0")
-    prefix = scratch.write(rarest.select(F.col("r.t").alias("t"), F.col("r.pos").alias("skip"), "k").distinct())
-
-    start = F.col("pos") - F.col("skip")
-    met = posts.join(_few(prefix, prefix.count(), 24), "t").where((start >= 0) & (start + F.col("k") <= F.col("n")))
-    spots = scratch.write(met.groupBy("row").agg(F.collect_set(F.struct(start.alias("first"), "k")).alias("spots")))
-    cut = F.transform("spots", lambda s: F.struct(s["first"].alias("first"), s["k"].alias("k"), F.array_join(F.slice("w", s["first"] + 1, s["k"]), " ").alias("text")))
-    near = texts.select("row", "norm").join(spots, "row").select("row", "spots", _words("norm").alias("w")).select("row", F.inline(cut))
+    # at most one entry for each place in a window
+    prefix = scratch.write(rarest.groupBy(F.col("r.t").alias("t")).agg(F.collect_set(F.struct(F.col("r.pos").alias("skip"), "k")).alias("looked")))
+
+    marked = posts.join(_few(prefix, prefix.count(), 24 * window), "t", "left")
+    island = F.col("pos") - F.row_number().over(Window.partitionBy("row", "size").orderBy("pos"))
+    cell = F.struct("pos", "words", "looked")
+    islands = marked.withColumn("island", island).groupBy("row", "size", "island").agg(
+        F.min("pos").alias("low"), (F.max("pos") + F.first("size")).alias("high"), F.sort_array(F.collect_list(cell)).alias("cells")
+    )
+    starts = F.flatten(F.transform("cells", lambda c: F.transform(F.coalesce(c["looked"], F.array().cast(_LOOKED)), lambda x: F.struct((c["pos"] - x["skip"]).alias("first"), x["k"].alias("k")))))
+    fits = F.filter(F.array_distinct(starts), lambda s: (s["first"] >= F.col("low")) & (s["first"] + s["k"] <= F.col("high")))
+    told = F.concat(F.col("cells")[0]["words"], F.flatten(F.transform(F.slice("cells", 2, F.size("cells")), lambda c: F.slice(c["words"], -1, 1))))
+    near = islands.select("row", "low", fits.alias("fits"), told.alias("w")).where(F.size("fits") > 0)
+    cut = F.transform("fits", lambda s: F.struct(s["first"].alias("first"), s["k"].alias("k"), F.array_join(F.slice("w", s["first"] - F.col("low") + 1, s["k"]), " ").alias("text")))
+    near = near.select("row", F.inline(cut))
     hits = scratch.write(near.join(_few(wins, n_wins, 160), ["text", "k"]).select("row", "first", "k", "win"))
 
     by = Window.partitionBy("row").orderBy("first", F.desc("k"))
