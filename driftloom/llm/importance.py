@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from driftloom.llm.shared import Scratch, slices
 
@@ -75,8 +75,25 @@ def bucket_counts(body: bytes, buckets: int, run: int) -> tuple[int, np.ndarray,
     return n, at, total[at]
 
 
+def _packed(cells: np.ndarray) -> bytes:
+    return pa.compress(cells.tobytes(), codec="zstd", asbytes=True)
+
+
+def _cells(block: pa.RecordBatch, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row ends, buckets and counts of a batch of one block."""
+    ends = block.column("ends").flatten().to_numpy(zero_copy_only=False)
+    kinds = {"buckets": np.min_scalar_type(buckets - 1), "counts": np.dtype(np.int32)}
+    unpacked = (pa.decompress(block.column(c)[0].as_buffer(), int(ends[-1]) * kind.itemsize, codec="zstd", asbytes=True) for c, kind in kinds.items())
+    return ends, *(np.frombuffer(x, kind) for x, kind in zip(unpacked, kinds.values(), strict=True))
+
+
 def matrix(texts: DataFrame, buckets: int = BUCKETS, run: int = RUN) -> DataFrame:
-    """Blocks (ids, words, ends, buckets, counts) of the rows (id, text); ``ends`` are where rows end in the last two."""
+    """Blocks (ids, words, ends, buckets, counts) of the rows (id, text).
+
+    ``buckets`` and ``counts`` are compressed arrays of all entries of the block, row after row;
+    ``ends`` says where rows end in them. A reader thus holds packed blocks and unpacks one at a time.
+    """
+    small = np.min_scalar_type(buckets - 1)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,9 +103,10 @@ def matrix(texts: DataFrame, buckets: int = BUCKETS, run: int = RUN) -> DataFram
                 def block(upto: int):
                     ids = part.column(0).slice(first, upto - first)
                     flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (at, counts)]
-                    cells = [np.asarray(words, np.int64), np.asarray(ends, np.int32), flat[0].astype(np.int32), flat[1].astype(np.int64)]
-                    lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c)) for c in cells]
-                    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *lists], ["ids", "words", "ends", "buckets", "counts"])
+                    lists = [pa.array(np.asarray(words, np.int64)), pa.array(np.asarray(ends, np.int32))]
+                    lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in (ids, *lists)]
+                    packed = [pa.array([_packed(c.astype(kind))], pa.binary()) for c, kind in zip(flat, (small, np.int32), strict=True)]
+                    return pa.RecordBatch.from_arrays([*lists, *packed], ["ids", "words", "ends", "buckets", "counts"])
 
                 for i, text in enumerate(part.column(1)):
                     body = (text.as_py() or "").encode()
@@ -101,12 +119,9 @@ def matrix(texts: DataFrame, buckets: int = BUCKETS, run: int = RUN) -> DataFram
                 if words:
                     yield block(part.num_rows)
 
-    cells = {"ids": texts.schema["id"].dataType, "words": LongType(), "ends": IntegerType(), "buckets": IntegerType(), "counts": LongType()}
-    return texts.mapInArrow(task, StructType([StructField(c, ArrayType(kind)) for c, kind in cells.items()]))
-
-
-def _flat(batch: pa.RecordBatch, column: str) -> np.ndarray:
-    return batch.column(column).flatten().to_numpy(zero_copy_only=False)
+    cells = {"ids": texts.schema["id"].dataType, "words": LongType(), "ends": IntegerType()}
+    lists = [StructField(c, ArrayType(kind)) for c, kind in cells.items()]
+    return texts.mapInArrow(task, StructType([*lists, *(StructField(c, BinaryType()) for c in ("buckets", "counts"))]))
 
 
 def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
@@ -115,11 +130,13 @@ def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            np.add.at(total, _flat(batch, "buckets"), _flat(batch, "counts"))
+            for i in range(batch.num_rows):
+                _, at, counts = _cells(batch.slice(i, 1), buckets)
+                total += np.bincount(at, counts, buckets).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["bucket", "n"])
 
-    sums = blocks.select("buckets", "counts").mapInArrow(task, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    sums = blocks.select("ends", "buckets", "counts").mapInArrow(task, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros(buckets, np.int64)
     total[sums["bucket"].to_numpy()] = sums["n"].to_numpy()
     return total
@@ -138,9 +155,9 @@ def products(blocks: DataFrame, vector: np.ndarray) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                ends = np.concatenate(([0], _flat(one, "ends")))
-                counts = _flat(one, "counts")
-                by_row = [np.diff(np.concatenate(([0], np.cumsum(x)))[ends]) for x in (counts, counts * vector[_flat(one, "buckets")])]
+                ends, at, counts = _cells(one, len(vector))
+                ends, counts = np.concatenate(([0], ends)), counts.astype(np.int64)
+                by_row = [np.diff(np.concatenate(([0], np.cumsum(x)))[ends]) for x in (counts, counts * vector[at])]
                 yield pa.RecordBatch.from_arrays([one.column("ids").flatten(), one.column("words").flatten(), *map(pa.array, by_row)], ["id", "n_words", "n_features", "weight"])
 
     cells = {"id": blocks.schema["ids"].dataType.elementType, **dict.fromkeys(("n_words", "n_features", "weight"), LongType())}
