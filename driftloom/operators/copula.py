@@ -15,8 +15,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from driftloom.functions import numeric as n
+from driftloom.functions.arrays import norm_cdf, norm_ppf
 from driftloom.operators import order
 from driftloom.operators.lineage import cut, stored
 
@@ -77,14 +79,10 @@ def rows_of(cells: DataFrame, width: int) -> DataFrame:
     return made.select("row_id", *(pick(x).alias(x) for x in ("z", "lo", "hi")))
 
 
-_erfc = np.frompyfunc(math.erfc, 1, 1)
-
-
 def _truncated(mean: np.ndarray, sd: float, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Means and variances of normal variables cut to intervals; NaN where next to nothing is left."""
-    cdf = lambda x: _erfc(-x / math.sqrt(2)).astype(float) / 2
     a, b = (lo - mean) / sd, (hi - mean) / sd
-    mass = cdf(b) - cdf(a)
+    mass = norm_cdf(b) - norm_cdf(a)
     near = [np.where(np.abs(x) < 1e6, x, 0.0) for x in (a, b)]
     pa, pb = (np.where(np.abs(x) < 1e6, np.exp(-y * y / 2) / math.sqrt(2 * math.pi), 0.0) for x, y in zip((a, b), near, strict=True))
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -286,13 +284,21 @@ class StreamState:
 
     Features may appear late: they start uncorrelated and without values. A batch first enters the
     windows, then its rows are made latent by them, the matrix moves, and missing cells are read
-    back from the windows. A feature that was never seen stays missing.
+    back from the windows. A feature that was never seen stays missing, in both spaces.
+
+    With ``samples``, each batch's own matrix is first tested against the one carried: as many
+    pairs of samples are drawn from the carried one, of the batch's size and of the number of rows
+    that the carried one is worth, and where next to none differs as much (a p-value of at most
+    ``level``) the stream has changed: the batch's own matrix takes the place of the carried one,
+    and the decay starts anew.
     """
 
-    def __init__(self, ordinal: list[int], window: int, changing: bool = True, last_only: bool = False):
+    def __init__(self, ordinal: list[int], window: int, changing: bool = True, last_only: bool = False, samples: int = 0, level: float = 0.01, seed: int = 1):
         self.ordinal, self.window, self.changing, self.last_only = set(ordinal), window, changing, last_only
+        self.samples, self.level, self.seed = samples, level, seed
         self.rings: list[np.ndarray] = []
-        self.sigma, self.batches = np.eye(0), 0
+        self.sigma, self.batches, self.since, self.spread = np.eye(0), 0, 0, 0.0
+        self.p_change: float | None = None
 
     def _see(self, x: np.ndarray) -> None:
         """After the first batch, only the last row enters if ``last_only``."""
@@ -313,70 +319,92 @@ class StreamState:
                 continue
             upto, below = np.searchsorted(ring, v, "right") / n, np.searchsorted(ring, v, "left") / n
             if k in self.ordinal:
-                lo[at, k], hi[at, k] = _quantiles(below, -np.inf, np.inf), _quantiles(upto, -np.inf, np.inf)
-                z[at, k] = _quantiles(np.clip((below + upto) / 2, 0.5 / (n + 1), 1 - 0.5 / (n + 1)))
+                lo[at, k], hi[at, k] = norm_ppf(below, -np.inf, np.inf), norm_ppf(upto, -np.inf, np.inf)
+                z[at, k] = norm_ppf(np.clip((below + upto) / 2, 0.5 / (n + 1), 1 - 0.5 / (n + 1)))
             else:
-                z[at, k] = _quantiles(np.clip(upto * n / (n + 1), 1 / (n + 1), None))
+                z[at, k] = norm_ppf(np.clip(upto * n / (n + 1), 1 / (n + 1), None))
         return z, lo, hi
 
     def _inverse(self, k: int, z: np.ndarray) -> np.ndarray:
-        from statistics import NormalDist
-
         ring = np.sort(self.rings[k])
         if not len(ring):
             return np.full(len(z), np.nan)
-        q = np.array([NormalDist().cdf(v) for v in z])
+        q = norm_cdf(z)
         if k in self.ordinal:
             at = np.ceil(np.round((len(ring) + 1) * q - 1, 3)).astype(int)
             return ring[np.clip(at, 0, len(ring) - 1)]
         return np.quantile(ring, q)
 
-    def step(self, x: np.ndarray) -> np.ndarray:
-        """One batch, rows x features with NaN for what is missing; the batch with its missing cells filled."""
+    def _moved(self, own: np.ndarray, rows: int) -> np.ndarray:
+        """The matrix after a batch whose own one is ``own``."""
+        self.batches += 1
+        self.since += 1
+        self.p_change = None
+        if self.samples and self.batches > 1 and rows > 1:
+            rng = np.random.default_rng([self.seed, self.batches])
+            old, new = (sample_correlations(rng, self.sigma, n, self.samples) for n in (1 / self.spread, rows))
+            seen = differences(self.sigma, own)[0]
+            self.p_change = (1 + sum(differences(a, b)[0] >= seen for a, b in zip(old, new, strict=True))) / (1 + self.samples)
+            if self.p_change <= self.level:
+                self.since, self.spread = 0, 1 / rows
+                return own
+        d = batch_decay(self.since, self.changing)
+        # a weighted mean of batches has the variance of their rows, each by its weight's square
+        self.spread = d * d / rows + (1 - d) * (1 - d) * self.spread if self.batches > 1 else 1 / rows
+        return d * own + (1 - d) * self.sigma
+
+    def step(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One batch, rows x features with NaN for what is missing; the batch with its missing cells filled, and its latents."""
         self._see(x)
         x = np.concatenate((x, np.full((len(x), len(self.rings) - x.shape[1]), np.nan)), axis=1)
         z, lo, hi = self._latent(x)
         latents, c = expect_rows(z, lo, hi, self.sigma)
-        self.batches += 1
-        d = batch_decay(self.batches, self.changing)
-        self.sigma = d * _next_matrix(len(x), latents.sum(0), latents.T @ latents + c, self.sigma) + (1 - d) * self.sigma
+        self.sigma = self._moved(_next_matrix(len(x), latents.sum(0), latents.T @ latents + c, self.sigma), len(x))
         out = x.copy()
         for k in range(x.shape[1]):
             gone = np.isnan(x[:, k])
             if gone.any():
                 out[gone, k] = self._inverse(k, latents[gone, k])
-        return out
+            if not len(self.rings[k]):
+                latents[:, k] = np.nan
+        return out, latents
+
 
+#: What imputation along a stream returns for each row, beside its key.
+IMPUTED = "row_id long, values array<double>, latents array<double>, p_change double"
 
-def _quantiles(q: np.ndarray, low: float = np.nan, high: float = np.nan) -> np.ndarray:
-    """Normal quantiles; ``low`` at 0 and ``high`` at 1."""
-    from statistics import NormalDist
 
-    return np.array([low if v <= 0 else high if v >= 1 else NormalDist().inv_cdf(v) for v in q], float)
+def filled_batch(state: StreamState, row_ids, xs) -> pd.DataFrame:
+    """The next batch of a stream, as rows of :data:`IMPUTED`; a row may be shorter than others."""
+    rows = np.full((len(xs), max(1, *map(len, xs))), np.nan)
+    for i, r in enumerate(xs):
+        rows[i, : len(r)] = [np.nan if v is None else v for v in r]
+    cells = [[[None if v != v else v for v in r] for r in a.tolist()] for a in state.step(rows)]
+    return pd.DataFrame({"row_id": list(row_ids), "values": cells[0], "latents": cells[1], "p_change": [state.p_change] * len(xs)})
 
 
-def impute_stream(df: DataFrame, key: str, order: str, features: str, ordinal: list[int], window: int, batch: int, **options) -> DataFrame:
-    """(key, row_id, values): each key's rows, in order and in batches of ``batch``, with missing cells filled as :class:`StreamState` does.
+def impute_stream(df: DataFrame, key: str, order: str, features: str, ordinal: list[int], window: int, batch: int, carry: tuple[str, ...] = (), **options) -> DataFrame:
+    """(key, row_id, values, latents, p_change, *carry): each key's rows, in order and in batches of ``batch``, in both spaces.
 
-    ``features``: an array column; later rows may be longer. Streams of different keys run in
-    parallel; a task holds one batch and one state, however long a stream is. An empty table gives
-    an empty result.
+    ``values`` are the row's with its missing cells filled, ``latents`` the same cells in the latent
+    space, as :class:`StreamState` gives them; ``p_change`` is that of the row's batch. ``features``:
+    an array column; later rows may be longer. ``carry``: columns that go along, of other names than
+    these. Streams of different keys run in parallel; a task holds one batch and one state, however
+    long a stream is. Rows without a key or features are left
+    out. An empty table gives an empty result.
     """
     x = F.col(features).cast("array<double>")
-    slim = df.select(F.col(key).alias("key"), F.col(order).cast("long").alias("row_id"), x.alias("x")).repartition("key").sortWithinPartitions("key", "row_id")
-    kind = slim.schema["key"].dataType.simpleString()
+    slim = df.select(F.col(key).alias("key"), F.col(order).cast("long").alias("row_id"), x.alias("_x"), *(F.col(c) for c in carry)).repartition("key").sortWithinPartitions("key", "row_id")
+    schema = StructType([slim.schema["key"], *StructType.fromDDL(IMPUTED), *(slim.schema[c] for c in carry)])
 
     def work(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
         state: StreamState | None = None
 
         def filled(some: pd.DataFrame) -> pd.DataFrame:
-            wide = max(1, *map(len, some["x"]))
-            rows = np.full((len(some), wide), np.nan)
-            for i, r in enumerate(some["x"]):
-                rows[i, : len(r)] = [np.nan if v is None else v for v in r]
-            done = state.step(rows)
-            return pd.DataFrame({"key": some["key"], "row_id": some["row_id"], "values": [[None if np.isnan(v) else float(v) for v in r] for r in done]})
+            done = filled_batch(state, some["row_id"], some["_x"])
+            done.insert(0, "key", some["key"].to_numpy())
+            return pd.concat((done, some[list(carry)].reset_index(drop=True)), axis=1)
 
         at = None
         for pdf in pdfs:
@@ -393,7 +421,7 @@ def impute_stream(df: DataFrame, key: str, order: str, features: str, ordinal: l
         if held is not None and len(held):
             yield filled(held)
 
-    return slim.where("key is not null and x is not null").mapInPandas(work, f"key {kind}, row_id long, values array<double>")
+    return slim.where("key is not null and _x is not null").mapInPandas(work, schema)
 
 
 def differences(old: np.ndarray, new: np.ndarray) -> tuple[float, float, float]:
@@ -404,6 +432,18 @@ def differences(old: np.ndarray, new: np.ndarray) -> tuple[float, float, float]:
     return float(np.sqrt((s * s).sum())), float(s.max()), float(s.sum())
 
 
+def sample_correlations(rng: np.random.Generator, law: np.ndarray, rows: float, samples: int) -> np.ndarray:
+    """Correlations of ``samples`` samples of ``rows`` normal rows: Bartlett's decomposition, whatever the number of rows."""
+    p = len(law)
+    a = np.tril(rng.standard_normal((samples, p, p)), -1)
+    a[:, range(p), range(p)] = np.sqrt(rng.chisquare(np.maximum(rows - 1 - np.arange(p), 1), (samples, p)))
+    w, v = np.linalg.eigh(law)
+    half = v * np.sqrt(np.maximum(w, 1e-12)) @ v.T @ a
+    c = half @ half.transpose(0, 2, 1)
+    d = np.sqrt(c[:, range(p), range(p)])
+    return c / (d[:, :, None] * d[:, None, :])
+
+
 def _drawn(old: np.ndarray, rows: int, seed: int, i: int) -> tuple[float, float, float]:
     x = np.random.default_rng([seed, i]).multivariate_normal(np.zeros(len(old)), old, rows)
     return differences(old, to_correlation(np.cov(x.T)))

@@ -42,6 +42,24 @@ def cumulative(counts: DataFrame, key: str, value: str, n: str) -> DataFrame:
     return out.withColumn("upto", F.col("_inside") + F.col("_before")).drop("_part", "_row", "_inside", "_before")
 
 
+def running(counts: DataFrame, keys: list[str], value: str, ns: list[str]) -> DataFrame:
+    """(…, upto_n and total_n for each of ``ns``, next): sums over the key's rows with no larger value, over all of them, and the next larger value.
+
+    Values are distinct within their key; the largest has no next.
+    """
+    rows = _ranged(counts.withColumn("_key", F.struct(*keys)), "_key", [value]).withColumn("_part", F.shiftright("_row", 33))
+    parts = rows.groupBy("_key", "_part").agg(*(F.sum(n).alias(f"_{n}") for n in ns), F.min(value).alias("_first"))
+    w = Window.partitionBy("_key")
+    up = w.orderBy("_part")
+    moved = [e for n in ns for e in ((F.sum(f"_{n}").over(up) - F.col(f"_{n}")).alias(f"_before_{n}"), F.sum(f"_{n}").over(w).alias(f"total_{n}"))]
+    parts = parts.select("_key", "_part", *moved, F.lead("_first").over(up).alias("_after"))
+    at = Window.partitionBy("_key", "_part").orderBy("_row")
+    inside = {f"_in_{n}": F.sum(n).over(at.rowsBetween(Window.unboundedPreceding, 0)) for n in ns}
+    out = rows.withColumns(inside | {"_next": F.lead(value).over(at)}).join(parts, ["_key", "_part"])
+    done = {f"upto_{n}": F.col(f"_in_{n}") + F.col(f"_before_{n}") for n in ns} | {"next": F.coalesce("_next", "_after")}
+    return out.withColumns(done).select(*counts.columns, *(c for n in ns for c in (f"upto_{n}", f"total_{n}")), "next")
+
+
 def quantiles(df: DataFrame, key: str, value: str, shares: list[float]) -> DataFrame:
     """(key, q): an array of the exact quantiles at ``shares``, linear between neighbours; nulls do not count."""
     seen = df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))

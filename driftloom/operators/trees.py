@@ -11,10 +11,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftloom.operators import clusters
+from driftloom.operators import clusters, order
 from driftloom.operators.lineage import cut
 
 DELTA, TIE, LEAST_ROWS = 0.001, 0.5, 20
+#: Rows that a leaf must have seen before it is asked whether it drifted with its sibling.
+SIBLING_ROWS = 120
 
 
 def class_counts(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -30,14 +32,12 @@ def _gini(a: Column, b: Column) -> Column:
 
 
 def numeric_splits(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """(…keys, feature_id, cut, g, root): weighted Gini of each midpoint between neighbouring values, by running sums."""
-    per = Window.partitionBy(*keys, "feature_id")
-    up = per.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    s = counts.select(*keys, "feature_id", "value", F.sum("n0").over(up).alias("l0"), F.sum("n1").over(up).alias("l1"), F.sum("n0").over(per).alias("t0"),
-                      F.sum("n1").over(per).alias("t1"), F.lead("value").over(per.orderBy("value")).alias("nxt"))
-    l, r, t = F.col("l0") + F.col("l1"), F.col("t0") + F.col("t1") - F.col("l0") - F.col("l1"), F.col("t0") + F.col("t1")
-    g = _gini(F.col("l0"), F.col("l1")) * l / t + _gini(F.col("t0") - F.col("l0"), F.col("t1") - F.col("l1")) * r / t
-    return s.where("nxt is not null").select(*keys, "feature_id", ((F.col("value") + F.col("nxt")) / 2).alias("cut"), g.alias("g"), _gini(F.col("t0"), F.col("t1")).alias("root"), t.alias("n"))
+    """(…keys, feature_id, cut, g, root, n): weighted Gini of each midpoint between neighbouring values, by running sums over ranges of the values."""
+    s = order.running(counts, [*keys, "feature_id"], "value", ["n0", "n1"])
+    l0, l1, t0, t1 = (F.col(c) for c in ("upto_n0", "upto_n1", "total_n0", "total_n1"))
+    l, t = l0 + l1, t0 + t1
+    g = _gini(l0, l1) * l / t + _gini(t0 - l0, t1 - l1) * (t - l) / t
+    return s.where("next is not null").select(*keys, "feature_id", ((F.col("value") + F.col("next")) / 2).alias("cut"), g.alias("g"), _gini(t0, t1).alias("root"), t.alias("n"))
 
 
 def one_against_rest(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -184,19 +184,26 @@ class StreamTree:
     Rows wait at their leaf until it has ``least`` of them. A ready leaf's rows are clustered by
     k-modes from the first labelled row of each class, missing labels become their cluster's main
     one, and the counts of (leaf, feature, value, class) grow. A leaf whose best split is certain
-    is split. One that is not keeps its clusters, and compares them with those it had: at a
-    distance of both tightnesses or more the leaf has drifted, and its parent becomes a leaf again
-    (the root, if it is one, starts anew).
-
-    Waiting rows, counts and clusters are tables keyed by node and cut after each batch. The driver
-    holds the tree and sees a row for each ready leaf, and for each of its clusters and features.
+    is split. One that is not compares its clusters with those it had: at a distance of both
+    tightnesses or more the leaf has drifted. Then its sibling decides: if that is a leaf with
+    clusters of its own that has seen ``sibling_rows`` rows, and the last of these have drifted
+    from its clusters too, their parent becomes a leaf again and learns anew; else all stays, and
+    the drifted leaf keeps its old clusters. Without a drift, or at the root, the new clusters
+    replace the old.
+
+    Waiting and recent rows, counts and clusters are tables keyed by node and cut after each batch.
+    The driver holds the tree and sees a row for each ready leaf, and for each of its clusters and
+    features. :meth:`save` writes all of it, so that another process can :meth:`load` it and go on.
     """
 
-    def __init__(self, row_id: str, numeric: list[str], categories: list[str], label: str, width: float = 10.0, delta: float = DELTA, tie: float = TIE, least: int = LEAST_ROWS):
+    _TABLES = ("waiting", "recent", "counts", "history")
+
+    def __init__(self, row_id: str, numeric: list[str], categories: list[str], label: str, width: float = 10.0, delta: float = DELTA, tie: float = TIE, least: int = LEAST_ROWS, sibling_rows: int = SIBLING_ROWS):
         self.row_id, self.numeric, self.categories, self.label, self.width = row_id, numeric, categories, label, width
-        self.features, self.delta, self.tie, self.least = [*numeric, *categories], delta, tie, least
+        self.features, self.delta, self.tie, self.least, self.sibling_rows = [*numeric, *categories], delta, tie, least, sibling_rows
         self.root, self.log = Node(), []
         self.waiting: DataFrame | None = None
+        self.recent: DataFrame | None = None
         self.counts: DataFrame | None = None
         self.history: DataFrame | None = None
         self.tight: dict[int, float] = {}
@@ -229,10 +236,17 @@ class StreamTree:
         rows = near.join(F.broadcast(major), ["node", "cluster"], "left")
         return cut(rows.withColumn("told", F.coalesce(self.label, "_major")).drop("_major")), modes
 
+    def step(self, batch: DataFrame) -> DataFrame:
+        """``batch`` with node and predicted, as the tree sees it before it learns from it; then :meth:`update`."""
+        said = cut(self.predict(batch))
+        self.update(batch)
+        return said
+
     def update(self, batch: DataFrame) -> None:
         """One micro-batch: rows with the features, the label (null where unknown) and the row id, which are kept in its order."""
-        rows = batch.select(self.row_id, *self.features, self.label)
-        rows = rows if self.waiting is None else self.waiting.select(rows.columns).unionByName(rows)
+        new = cut(batch.select(self.row_id, *self.features, self.label))
+        self._remember(new)
+        rows = new if self.waiting is None else self.waiting.select(new.columns).unionByName(new)
         rows = cut(self._modal(rows.withColumn("node", node_id(self.root, self.features).cast("long"))))
         full = [r.node for r in rows.groupBy("node").count().where(F.col("count") >= self.least).collect()]
         is_full = F.col("node").isin(full) if full else F.lit(False)
@@ -249,6 +263,15 @@ class StreamTree:
         split = self._split(full)
         self._compare([k for k in full if k not in split], near, modes)
         self._name_leaves()
+        at = [k for k, _ in _leaves(self.root)]
+        self.recent = self.recent.where(F.col("node").isin(at))
+
+    def _remember(self, new: DataFrame) -> None:
+        """Each leaf's last ``sibling_rows`` rows."""
+        new = new.withColumn("node", node_id(self.root, self.features).cast("long"))
+        both = new if self.recent is None else self.recent.unionByName(new)
+        last = Window.partitionBy("node").orderBy(F.desc(self.row_id))
+        self.recent = cut(both.withColumn("_k", F.row_number().over(last)).where(F.col("_k") <= self.sibling_rows).drop("_k"))
 
     def _split(self, full: list[int]) -> set[int]:
         at = self.counts.where(F.col("node").isin(full))
@@ -268,24 +291,46 @@ class StreamTree:
             done.add(r.node)
         return done
 
+    def _tightness(self, near: DataFrame) -> dict[int, float]:
+        share = near.groupBy("node", "cluster").agg(F.avg(1 - F.col("mismatches") / len(self.features)).alias("s"))
+        return {r.node: r.r for r in share.groupBy("node").agg(F.avg("s").alias("r")).collect()}
+
+    def _away(self, nodes: list[int], modes: DataFrame, tight: dict[int, float]) -> set[int]:
+        """Those of ``nodes`` whose clusters drifted from the ones they had."""
+        if self.history is None or not nodes:
+            return set()
+        found = clusters.cluster_set_distances(self.history, modes.where(F.col("node").isin(nodes)), ["node"]).collect()
+        return {r.node for r in found if clusters.drifted(r.distance, self.tight[r.node], tight[r.node])}
+
     def _compare(self, nodes: list[int], near: DataFrame, modes: DataFrame) -> None:
         """The clusters of leaves that were not split, against those they had."""
-        share = near.groupBy("node", "cluster").agg(F.avg(1 - F.col("mismatches") / len(self.features)).alias("s"))
-        tight = {r.node: r.r for r in share.groupBy("node").agg(F.avg("s").alias("r")).collect()}
-        drifted = set()
-        if self.history is not None and nodes:
-            for r in clusters.cluster_set_distances(self.history, modes.where(F.col("node").isin(nodes)), ["node"]).collect():
-                if clusters.drifted(r.distance, self.tight[r.node], tight[r.node]):
-                    drifted.add(max(1, r.node // 2))
-                    self.log.append(("drift", r.node))
-        kept = modes.where(F.col("node").isin(nodes)) if nodes else modes.limit(0)
+        tight = self._tightness(near)
+        away = self._away(nodes, modes, tight)
+        self.log += [("drift", k) for k in sorted(away)]
+        back = self._with_siblings({k for k in away if k > 1})
+        fresh = [k for k in nodes if k not in away or k == 1]
+        kept = modes.where(F.col("node").isin(fresh)) if fresh else modes.limit(0)
         if self.history is not None:
-            kept = kept.unionByName(self.history.where(~F.col("node").isin([*nodes, 0])))
-        gone = reset_drifted(self.root, drifted) | drifted if drifted else set()
+            kept = kept.unionByName(self.history.where(~F.col("node").isin([*fresh, 0])))
+        gone = reset_drifted(self.root, back) | back if back else set()
         if gone:
             kept, self.counts = kept.where(~F.col("node").isin(list(gone))), cut(self.counts.where(~F.col("node").isin(list(gone))))
+            self.log += [("back", k) for k in sorted(back)]
         self.history = cut(kept)
-        self.tight = {k: v for k, v in {**self.tight, **{k: tight[k] for k in nodes}}.items() if k not in gone}
+        self.tight = {k: v for k, v in {**self.tight, **{k: tight[k] for k in fresh}}.items() if k not in gone}
+
+    def _with_siblings(self, away: set[int]) -> set[int]:
+        """Parents of the drifted leaves whose siblings drifted too."""
+        leaves = {k for k, _ in _leaves(self.root)}
+        asked = sorted({k ^ 1 for k in away} & leaves & set(self.tight))
+        if not asked:
+            return set()
+        rows = self.recent.where(F.col("node").isin(asked))
+        asked = [r.node for r in rows.groupBy("node").count().where(F.col("count") >= self.sibling_rows).collect()]
+        if not asked:
+            return set()
+        near, modes = self._clustered(self._modal(rows.where(F.col("node").isin(asked))))
+        return {k // 2 for k in self._away(asked, modes, self._tightness(near))}
 
     def _name_leaves(self) -> None:
         """A leaf's label is its main class; one without counts keeps its parent's."""
@@ -302,6 +347,75 @@ class StreamTree:
         return rows.withColumns({"node": node_id(self.root, self.features), "predicted": predict(self.root, self.features)})
 
 
+    def save(self, path: str) -> None:
+        """The tree and its tables, under ``path``; what is there is written over."""
+        held = [t for t in self._TABLES if getattr(self, t) is not None]
+        for t in held:
+            getattr(self, t).write.mode("overwrite").parquet(f"{path}/{t}")
+        nodes = [(k, f, c if isinstance(c, float) else None, c if isinstance(c, list) else None, n, self.tight.get(k)) for k, f, c, n in _all_nodes(self.root)]
+        spark = self._spark()
+        spark.createDataFrame(nodes, "node long, feature int, cut double, members array<string>, label int, tight double").coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
+        log = [(i, kind, k) for i, (kind, k) in enumerate(self.log)]
+        spark.createDataFrame([(held, log)], "held array<string>, log array<struct<i:long,kind:string,node:long>>").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+
+    def load(self, spark, path: str) -> StreamTree:
+        """What :meth:`save` wrote, into this tree; its parameters stay."""
+        about = spark.read.parquet(f"{path}/about").first()
+        for t in self._TABLES:
+            setattr(self, t, spark.read.parquet(f"{path}/{t}") if t in about.held else None)
+        self.log = [(e.kind, e.node) for e in about.log]
+        nodes = {r.node: r for r in spark.read.parquet(f"{path}/nodes").collect()}
+        self.tight = {k: r.tight for k, r in nodes.items() if r.tight is not None}
+
+        def made(k: int) -> Node:
+            r = nodes[k]
+            if r.feature is None:
+                return Node(label=r.label)
+            return Node(r.feature, r.cut, made(2 * k), made(2 * k + 1), r.label, tuple(r.members) if r.members is not None else None)
+
+        self.root = made(1)
+        return self
+
+    def _spark(self):
+        return (self.waiting if self.waiting is not None else self.counts).sparkSession
+
+
+class TwoSpaces:
+    """Two stream trees over the observed and the latent space of one stream, which step through the same batches.
+
+    Each batch is predicted by both before either learns from it; a row's label is 1 if either
+    says so. Both trees have the same row id and label columns.
+    """
+
+    def __init__(self, x: StreamTree, z: StreamTree):
+        self.x, self.z = x, z
+
+    def step(self, batch: DataFrame) -> DataFrame:
+        """``batch`` with predicted_x, predicted_z and predicted."""
+        x, z = predict(self.x.root, self.x.features), predict(self.z.root, self.z.features)
+        said = cut(batch.withColumns({"predicted_x": x, "predicted_z": z, "predicted": either(x, z)}))
+        self.x.update(batch)
+        self.z.update(batch)
+        return said
+
+    def save(self, path: str) -> None:
+        self.x.save(f"{path}/x")
+        self.z.save(f"{path}/z")
+
+    def load(self, spark, path: str) -> TwoSpaces:
+        self.x.load(spark, f"{path}/x")
+        self.z.load(spark, f"{path}/z")
+        return self
+
+
+def _all_nodes(tree: Node, number: int = 1) -> list[tuple]:
+    """(node, feature, cut or members, label) of all nodes, inner ones with their own label."""
+    if tree.feature is None:
+        return [(number, None, None, tree.label)]
+    test = float(tree.cut) if tree.members is None else list(map(str, tree.members))
+    return [(number, tree.feature, test, tree.label), *_all_nodes(tree.left, 2 * number), *_all_nodes(tree.right, 2 * number + 1)]
+
+
 def _leaves(tree: Node, number: int = 1) -> list[tuple[int, Node]]:
     if tree.feature is None:
         return [(number, tree)]

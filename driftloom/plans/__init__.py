@@ -1,3 +1,3 @@
 """Queries over the test tables; importing this package registers them all."""
 
-from driftloom.plans import clusters, density, imputation, scalars, shaping, stream, trees, vectors  # noqa: F401
+from driftloom.plans import clusters, density, experiment, imputation, scalars, shaping, stream, trees, vectors  # noqa: F401

@@ -104,3 +104,11 @@ def copula_trapezoid(spark, sf_dir):
     rows = matrix(spark, sf_dir).select((F.col("user_id") % 4).alias("stream"), "row_id", frames.mask_pairs(F.array(*FEATURES), F.col("row_id")).alias("x"))
     shown = rows.withColumn("x", frames.trapezoid(F.col("x"), F.col("row_id"), F.lit(rows.count())))
     return copula.impute_stream(shown, "stream", "row_id", "x", ORDINAL, 200, 50, last_only=True).select("key", "row_id", F.posexplode("values").alias("feature_id", "value"))
+
+
+@register("copula_stream_change")
+def copula_stream_change(spark, sf_dir):
+    """G12 along the stream: how each batch's correlations differ from those carried so far, which sets the decay after it."""
+    rows = matrix(spark, sf_dir).select((F.col("user_id") % 4).alias("stream"), "row_id", frames.mask_pairs(F.array(*FEATURES), F.col("row_id")).alias("x"))
+    tested = copula.impute_stream(rows, "stream", "row_id", "x", ORDINAL, 200, 50, samples=100, level=0.01)
+    return tested.select("key", "row_id", "p_change")

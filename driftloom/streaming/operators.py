@@ -9,11 +9,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
+from driftloom.operators import copula
 from driftloom.operators.online import STATE, ftrl_rows, start
 
 _FIELDS = tuple(start())
@@ -61,10 +65,6 @@ def copula_batches(stream: DataFrame, width: int, ordinal: list[int], path: str,
     written over: a batch that is tried again, or a query that is started again, goes on from the
     matrix of the batch before. Returns the query, started with all data available now.
     """
-    import numpy as np
-
-    from driftloom.operators import copula
-
     def matrix_at(spark, j: int):
         if j < 0:
             return np.eye(width)
@@ -82,3 +82,94 @@ def copula_batches(stream: DataFrame, width: int, ordinal: list[int], path: str,
         done.coalesce(1).write.mode("overwrite").parquet(f"{path}/matrix/batch={j}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class _Imputer(StatefulProcessor):
+    """One stream's :class:`~driftloom.operators.copula.StreamState` in the state store.
+
+    The window of each feature is an entry of a map, so that a feature may appear at any time; the
+    matrix and the counts of batches are one value; rows wait in a list until a batch is full.
+    """
+
+    def __init__(self, ordinal: list[int], window: int, batch: int, options: dict):
+        self.made, self.batch = (lambda: copula.StreamState(ordinal, window, **options)), batch
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("held", "row_id long, x array<double>")
+        self.rings = handle.getMapState("rings", "feature int", "seen array<double>")
+        self.known = handle.getValueState("known", "sigma array<double>, batches long, since long, spread double")
+
+    def _state(self) -> copula.StreamState:
+        state = self.made()
+        if self.known.exists():
+            sigma, state.batches, state.since, state.spread = self.known.get()
+            width = int(np.sqrt(len(sigma)))
+            state.sigma = np.array(sigma, float).reshape(width, width)
+            found = {int(k[0]): np.array(v[0], float) for k, v in self.rings.iterator()}
+            state.rings = [found.get(k, np.zeros(0)) for k in range(width)]
+        return state
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values("row_id", kind="stable")
+        wait = [(int(i), list(x)) for i, x in self.held.get()] if self.held.exists() else []
+        wait += [(int(i), [None if v is None or v != v else float(v) for v in x]) for i, x in zip(new["row_id"], new["x"], strict=True)]
+        if len(wait) >= self.batch:
+            state = self._state()
+            while len(wait) >= self.batch:
+                ids, xs = zip(*wait[: self.batch], strict=True)
+                done = copula.filled_batch(state, ids, xs)
+                done.insert(0, "key", [key[0]] * len(done))
+                yield done
+                wait = wait[self.batch :]
+            for k, ring in enumerate(state.rings):
+                self.rings.updateValue((k,), (ring.tolist(),))
+            self.known.update((state.sigma.ravel().tolist(), state.batches, state.since, float(state.spread)))
+        if wait:
+            self.held.put(wait)
+        else:
+            self.held.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def impute_stream(stream: DataFrame, key: str, order: str, features: str, ordinal: list[int], window: int, batch: int, **options) -> DataFrame:
+    """(key, row_id, values, latents, p_change): :func:`driftloom.operators.copula.impute_stream` over an unbounded stream.
+
+    Rows of a key come in order; however they are cut into micro-batches, they give what the whole
+    stream would. Rows wait in the state store until ``batch`` of their key are there. Needs the
+    RocksDB state store. Rows without a key or features are left out.
+    """
+    x = F.col(features).cast("array<double>")
+    slim = stream.select(F.col(key).alias("key"), F.col(order).cast("long").alias("row_id"), x.alias("x")).where("key is not null and x is not null")
+    schema = StructType([slim.schema["key"], *StructType.fromDDL(copula.IMPUTED)])
+    return slim.groupBy("key").transformWithStateInPandas(_Imputer(ordinal, window, batch, options), schema, "Append", "None")
+
+
+def _gone(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def tree_batches(stream: DataFrame, make, path: str, checkpoint: str):
+    """A tree along a stream (``make()``: a new StreamTree or TwoSpaces): each micro-batch is predicted, then learned from.
+
+    The tree and its tables are versioned by batch: batch j reads version j - 1 and writes version
+    j to ``path``/tree/batch=j and its rows, with what the tree said, to ``path``/rows/batch=j, each
+    written over. A batch that is tried again, or a query that is started again, thus goes on from
+    the tree of the batch before. The last two versions are kept. Which leaf a row waits at depends
+    on splits of the batch before, so state is dealt by leaf anew for every batch, and a batch's
+    leaves are worked on in parallel. Returns the query, started with all data available now.
+    """
+
+    def step(batch: DataFrame, j: int) -> None:
+        spark = batch.sparkSession
+        tree = make()
+        if j:
+            tree.load(spark, f"{path}/tree/batch={j - 1}")
+        tree.step(batch).write.mode("overwrite").parquet(f"{path}/rows/batch={j}")
+        tree.save(f"{path}/tree/batch={j}")
+        if j > 1:
+            _gone(spark, f"{path}/tree/batch={j - 2}")
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

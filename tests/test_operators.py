@@ -324,7 +324,7 @@ def test_imputing_along_a_stream_with_late_columns():
     x = r.multivariate_normal([0, 0, 0], [[1, 0.9, 0.8], [0.9, 1, 0.8], [0.8, 0.8, 1]], 1200)
     seen = np.where(r.uniform(size=x.shape) < 0.3, np.nan, x)
     state = copula.StreamState([], 300)
-    done = [state.step(seen[a : a + 100, : 2 + (a >= 400)]) for a in range(0, 1200, 100)]
+    done = [state.step(seen[a : a + 100, : 2 + (a >= 400)])[0] for a in range(0, 1200, 100)]
     assert done[0].shape == (100, 2) and done[-1].shape == (100, 3) and not np.isnan(done[-1]).any()
     assert state.sigma[0, 1] > 0.75 and state.sigma[0, 2] > 0.6 and all(len(w) == 300 for w in state.rings)
     gone = np.isnan(seen[1100:])
