@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftloom.functions import numeric
-from driftloom.operators import order
+from driftloom.operators import online, order, trees
 from driftloom.operators.lineage import cut
 
 
@@ -42,6 +43,67 @@ def pair_distances(points: DataFrame, row_id: str, features: str, block_rows: in
     return cells.groupBy("a", "b").applyInArrow(work, "i long, j long, d double")
 
 
+def met_in_blocks(left: DataFrame, right: DataFrame, work, schema: str, block_rows: int = 512) -> DataFrame:
+    """``work(left table, right table)`` for every pair of blocks of the two sides, which have an id and the same columns.
+
+    Both are dealt by their id in blocks of about ``block_rows``; one task sees one pair at a time.
+    """
+    sides = []
+    for side in (left, right):
+        blocks = max(1, -(-side.count() // block_rows))
+        sides.append((blocks, side.withColumn("_k", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))))
+    (na, a), (nb, b) = sides
+    other = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = a.select(F.col("_k").alias("_a"), other(nb).alias("_b"), F.lit(True).alias("_left"), *left.columns)
+    b = b.select(other(na).alias("_a"), F.col("_k").alias("_b"), F.lit(False).alias("_left"), *left.columns)
+
+    def both(t: pa.Table) -> pa.Table:
+        return work(t.filter(t["_left"]), t.filter(pc.invert(t["_left"])))
+
+    return a.unionByName(b).groupBy("_a", "_b").applyInArrow(both, schema)
+
+
+def _vectors(t: pa.Table, column: str = "x") -> np.ndarray:
+    return np.asarray(t[column].combine_chunks().flatten()).reshape(t.num_rows, -1) if t.num_rows else np.zeros((0, 0))
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all rows of ``x`` to all of ``y``, a row at a time, by differences: equal rows are exactly 0 apart."""
+    return np.array([np.sqrt(((y - r) ** 2).sum(1)) for r in x]).reshape(len(x), len(y))
+
+
+def k_nearest(queries: DataFrame, points: DataFrame, k: int, block_rows: int = 512) -> DataFrame:
+    """(id, d, label, place): each query's ``k`` nearest points, ties by the point's id; both have id and x, points a label.
+
+    Each pair of blocks gives at most ``k`` rows for a query, and these meet by query.
+    """
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, names, labels = left["id"].to_numpy(), right["id"].to_numpy(), right["label"].to_numpy()
+        by_id = np.argsort(names)
+        d = _apart(_vectors(left), _vectors(right)[by_id]) if len(ids) and len(names) else np.zeros((len(ids), 0))
+        near = np.argsort(d, axis=1, kind="stable")[:, :k]
+        at = by_id[near].ravel()
+        return pa.table({"id": np.repeat(ids, near.shape[1]), "d": np.take_along_axis(d, near, 1).ravel(), "other": names[at], "label": labels[at]})
+
+    q = queries.select("id", "x", F.lit(None).cast("long").alias("label"))
+    p = points.select("id", "x", F.col("label").cast("long").alias("label"))
+    met = met_in_blocks(q, p, work, "id long, d double, other long, label long", block_rows)
+    w = Window.partitionBy("id").orderBy("d", "other")
+    return met.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).drop("other")
+
+
+def vote(near: DataFrame) -> DataFrame:
+    """(id, label) of :func:`k_nearest`: the label of most weight, the smallest among equals.
+
+    A neighbour weighs the inverse of its distance; where some are at distance 0, only those count, alike.
+    """
+    some = F.min("d").over(Window.partitionBy("id")) == 0
+    weight = F.when(some, (F.col("d") == 0).cast("double")).otherwise(1 / F.col("d"))
+    sums = near.withColumn("w", weight).groupBy("id", "label").agg(F.sum("w").alias("w"))
+    return sums.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("w"), "label")).alias("b")).select("id", F.col("b.label").alias("label"))
+
+
 def cutoff(pairs: DataFrame, percent: float) -> float:
     """The distance at ``percent`` of all, by position, narrowed down by counts in ranges."""
     n = pairs.count()
@@ -133,31 +195,178 @@ def cluster_count(values: list[float]) -> int:
     return n - 1 - at if at is not None and best >= -math.log(0.05) * 2 / n else 1
 
 
-def spread_labels(p: DataFrame, labels: DataFrame, features: str = "x", fit=None) -> DataFrame:
+class BatchLearner:
+    """A Spark ML learner fitted anew on all labelled points in each hop; ``fit``: rows with v and label -> model."""
+
+    def __init__(self, fit=None):
+        self.fit = fit or (lambda rows: DecisionTreeClassifier(featuresCol="v", labelCol="label", seed=1).fit(rows))
+        self.known: DataFrame | None = None
+
+    def learn(self, rows: DataFrame) -> None:
+        rows = rows.select("id", array_to_vector("x").alias("v"), F.col("label").cast("double").alias("label"))
+        self.known = cut(rows if self.known is None else self.known.unionByName(rows))
+
+    def tell(self, rows: DataFrame, last: bool) -> DataFrame:
+        told = self.fit(self.known).transform(rows.withColumn("v", array_to_vector("x")))
+        return told.select("id", F.col("prediction").cast("int").alias("label"))
+
+
+class NearestLearner:
+    """The vote of the ``k`` nearest labelled points, by inverse distance."""
+
+    def __init__(self, k: int = 5, block_rows: int = 512):
+        self.k, self.block_rows, self.known = k, block_rows, None
+
+    def learn(self, rows: DataFrame) -> None:
+        rows = rows.select("id", "x", "label")
+        self.known = cut(rows if self.known is None else self.known.unionByName(rows))
+
+    def tell(self, rows: DataFrame, last: bool) -> DataFrame:
+        return vote(k_nearest(rows, self.known, self.k, self.block_rows)).select("id", F.col("label").cast("int").alias("label"))
+
+
+class OnlineLearner:
+    """One online logistic learner that goes on from hop to hop and learns the points of each, in the order of their ids.
+
+    Labels are 0 and 1: a point is 1 if its probability is ``threshold`` or more. Where that is
+    nearer than ``unsure``, the point abstains and is asked again in the next hop, and at the end.
+    The learner is sequential, as a stream is; a hop's points pass one task.
+    """
+
+    def __init__(self, threshold: float = 0.3, unsure: float = 0.0, **options):
+        self.threshold, self.unsure, self.options, self.state = threshold, unsure, options, None
+
+    def learn(self, rows: DataFrame) -> None:
+        x = rows.select(F.lit(0).alias("key"), "id", F.concat(F.array(F.lit(1.0)), "x").alias("x"), "label")
+        for r in online.learned(x, "key", "id", "x", "label", start_from=self.state, **self.options).collect():
+            self.state = r.state.asDict()
+
+    def tell(self, rows: DataFrame, last: bool) -> DataFrame:
+        state = F.struct(F.array(*map(F.lit, self.state["z"])).alias("z"), F.lit(self.state["r"]).alias("r"))
+        p = online.predict(state, F.concat(F.array(F.lit(1.0)), "x"), **{k: v for k, v in self.options.items() if k in ("l1", "l2", "lp")})
+        asked = rows.select("id", p.alias("p"))
+        sure = F.lit(True) if last else F.abs(F.col("p") - self.threshold) >= self.unsure
+        return asked.select("id", F.when(sure, (F.col("p") >= self.threshold).cast("int")).alias("label"))
+
+
+class TreeLearner:
+    """A stream tree whose counts grow by the points of each hop instead of by arrival; labels are 0 and 1."""
+
+    def __init__(self, tree: trees.StreamTree):
+        self.tree = tree
+
+    def _columns(self, rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("id").alias(self.tree.row_id), *(F.get("x", F.lit(i)).alias(f) for i, f in enumerate(self.tree.features)), *([F.col("label").alias(self.tree.label)] if "label" in rows.columns else []))
+
+    def learn(self, rows: DataFrame) -> None:
+        self.tree.update(self._columns(rows))
+
+    def tell(self, rows: DataFrame, last: bool) -> DataFrame:
+        return self.tree.predict(self._columns(rows)).select(F.col(self.tree.row_id).alias("id"), F.col("predicted").alias("label"))
+
+
+def spread_labels(p: DataFrame, labels: DataFrame, features: str = "x", fit=None, learner=None) -> DataFrame:
     """(id, label, hops): labels along the pointer graph, first to parents, then to children, a hop a round.
 
-    ``p`` has id, parent and the features. In each hop a learner is fitted on all points labelled so
-    far and predicts those that the hop reaches; it goes on until a hop reaches no point. ``fit``:
-    (rows with vector and label) -> a fitted Spark ML model; by default a decision tree.
+    ``p`` has id, parent and the features. In each hop a learner first learns the points that the
+    hop before labelled, then labels those that the hop reaches; points on which it abstains wait.
+    It goes on until a hop reaches no point; then those that still wait are labelled. ``learner``:
+    one of the above, by default :class:`BatchLearner` with ``fit``.
     """
-    points = cut(p.select("id", "parent", array_to_vector(F.col(features).cast("array<double>")).alias("v")))
+    points = cut(p.select("id", "parent", F.col(features).cast("array<double>").alias("x")))
     edges = points.where("parent is not null").select("id", "parent")
-    known = cut(labels.select("id", F.col("label").cast("double").alias("label")).withColumn("hops", F.lit(0)))
-    fit = fit or (lambda rows: DecisionTreeClassifier(featuresCol="v", labelCol="label", seed=1).fit(rows))
-    hop = 0
+    known = cut(labels.select("id", F.col("label").cast("int").alias("label")).withColumn("hops", F.lit(0)))
+    learner = learner or BatchLearner(fit)
+    rows = points.drop("parent")
+    news, hop = known, 0
     for source, target in (("id", "parent"), ("parent", "id")):
-        front = known.select("id")
+        front, waiting, last = known.select("id"), known.select("id").limit(0), False
         while True:
             # a hop only starts from what the hop before reached
-            new = edges.join(front.withColumnRenamed("id", source), source, "left_semi").select(F.col(target).alias("id")).distinct()
-            new = cut(new.join(known, "id", "left_anti"))
-            if new.isEmpty():
+            reached = edges.join(front.withColumnRenamed("id", source), source, "left_semi").select(F.col(target).alias("id"))
+            asked = cut(reached.unionByName(waiting).distinct().join(known, "id", "left_anti"))
+            if asked.isEmpty():
                 break
             hop += 1
-            model = fit(points.join(known, "id").select("v", "label"))
-            told = model.transform(points.join(new, "id")).select("id", F.col("prediction").alias("label"), F.lit(hop).alias("hops"))
-            known, front = cut(known.unionByName(told)), new
-    return known.select("id", F.col("label").cast("int").alias("label"), "hops")
+            if not news.isEmpty():
+                learner.learn(rows.join(news, "id").select("id", "x", "label"))
+            told = cut(learner.tell(rows.join(asked, "id"), last).withColumn("hops", F.lit(hop)))
+            news = told.where("label is not null")
+            # without news and without points beyond, the next hop is the last word for those that wait
+            last = news.isEmpty()
+            front, waiting = news.select("id"), told.where("label is null").select("id")
+            known = cut(known.unionByName(news))
+    return known
+
+
+class PointerGraph:
+    """Cutoff densities and nearest denser points of a growing set of points.
+
+    A batch's points are held against all points; densities change only where a new point is near.
+    Densities only grow, so an unchanged point keeps its denser points: it is held against the new
+    and the changed ones alone. Only those are looked up anew among all. After each batch the graph
+    is what :func:`densities` (without the Gaussian) and :func:`peaks` give for all points.
+    """
+
+    def __init__(self, dc: float, block_rows: int = 512):
+        self.dc, self.block_rows, self.far = dc, block_rows, None
+        self.points: DataFrame | None = None
+
+    def add(self, batch: DataFrame) -> int:
+        """One batch of (id, x), ids not seen before; how many of the points before changed their density."""
+        dc, schema = self.dc, "id long, near long, far double"
+        new = cut(batch.select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x")))
+        old = self.points if self.points is not None else new.limit(0).select("id", "x", F.lit(0.0).alias("rho"), F.lit(0.0).alias("delta"), F.lit(0).cast("long").alias("parent"))
+        every = old.select("id", "x").unionByName(new)
+
+        def count(left: pa.Table, right: pa.Table) -> pa.Table:
+            """Of a block of new points against one of all: near ones of each end; a pair of new points is seen from both sides."""
+            a, b = left["id"].to_numpy(), right["id"].to_numpy()
+            d = _apart(_vectors(left), _vectors(right)) if len(a) and len(b) else np.zeros((len(a), len(b)))
+            near = (d < dc) & (a[:, None] != b[None, :])
+            far = d.max(initial=0.0)
+            old_side = ~right["fresh"].to_numpy(zero_copy_only=False)
+            ids, n = np.concatenate((a, b[old_side])), np.concatenate((near.sum(1), near.sum(0)[old_side]))
+            some = n > 0
+            some[:1] = True  # carries the largest distance
+            return pa.table({"id": ids[some], "near": n[some], "far": np.full(some.sum(), far)})
+
+        fresh = new.withColumn("fresh", F.lit(True))
+        counted = cut(met_in_blocks(fresh, old.select("id", "x").withColumn("fresh", F.lit(False)).unionByName(fresh), count, schema, self.block_rows))
+        far = counted.agg(F.max("far")).first()[0]
+        self.far = max((f for f in (self.far, far) if f is not None), default=None)
+        more = counted.groupBy("id").agg(F.sum("near").cast("double").alias("more")).where("more > 0")
+        rho = cut(every.join(old.select("id", "rho", "delta", "parent"), "id", "left").join(more, "id", "left").select(
+            "id", "x", (F.coalesce("rho", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("rho"), "delta", "parent", (F.col("rho").isNull() | F.col("more").isNotNull()).alias("moved")))
+
+        def denser(left: pa.Table, right: pa.Table) -> pa.Table:
+            """Nearest denser points between a block of moved points and one of all, both ways."""
+            (a, ra), (b, rb) = ((t["id"].to_numpy(), t["rho"].to_numpy()) for t in (left, right))
+            still = ~right["moved"].to_numpy(zero_copy_only=False)
+            out: list[tuple] = []
+            if len(a) and len(b):
+                d = _apart(_vectors(left), _vectors(right))
+                above = (rb[None, :] > ra[:, None]) | ((rb[None, :] == ra[:, None]) & (b[None, :] < a[:, None]))
+                below = (ra[:, None] > rb[None, :]) | ((ra[:, None] == rb[None, :]) & (a[:, None] < b[None, :]))
+                out += _least(a, b, np.where(above, d, np.inf))
+                out += _least(b[still], a, np.where(below, d, np.inf).T[still])
+            cells = list(zip(*out, strict=True)) if out else [[], [], []]
+            return pa.table({"id": pa.array(cells[0], pa.int64()), "d": pa.array(cells[1], pa.float64()), "p": pa.array(cells[2], pa.int64())})
+
+        moved = rho.where("moved").select("id", "x", "rho", "moved")
+        found = met_in_blocks(moved, rho.select("id", "x", "rho", "moved"), denser, "id long, d double, p long", self.block_rows)
+        best = found.groupBy("id").agg(F.min(F.struct("d", "p")).alias("s"))
+        held = F.when(~F.col("moved") & F.col("parent").isNotNull(), F.struct(F.col("delta").alias("d"), F.col("parent").alias("p")))
+        both = rho.join(best, "id", "left").withColumn("s", F.least("s", held))
+        self.points = cut(both.select("id", "x", "rho", F.coalesce("s.d", F.lit(self.far)).alias("delta"), F.col("s.p").alias("parent")))
+        return rho.where("moved").count() - new.count()
+
+
+def _least(ids: np.ndarray, others: np.ndarray, d: np.ndarray) -> list[tuple]:
+    """(id, d, other) of each row's smallest finite cell, ties by the smaller other."""
+    by_id = np.argsort(others)
+    at = d[:, by_id].argmin(1) if d.shape[1] else np.zeros(0, int)
+    return [(int(i), float(d[r, by_id[k]]), int(others[by_id[k]])) for r, (i, k) in enumerate(zip(ids, at, strict=True)) if np.isfinite(d[r, by_id[k]])]
 
 
 def gamma_list(p: DataFrame, most: int = 30) -> list[float]:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from copy import deepcopy
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 STATE = "v array<double>, h array<double>, z array<double>, r double, t long, fails long, tw long, fw long, pm double, sm double"
 
+STATE_SCHEMA = f"state struct<{STATE.replace(' ', ':').replace(',:', ',')}>"
+
 
 def start() -> dict:
     """The state before the first row. tw, fw: rows and errors since a warning; pm, sm: the lowest error rate and its deviation."""
@@ -125,17 +128,17 @@ def replay(df: DataFrame, key: str, order: str, features: list[str] | str, label
     return slim.mapInArrow(work, f"key {kind}, row_id long, y double, score double, p double, loss double, decay double")
 
 
-def learned(df: DataFrame, key: str, order: str, features: list[str] | str, label: str, **options) -> DataFrame:
-    """(key, state): what the learner knows at the end of each key's stream; see :func:`predict`."""
+def learned(df: DataFrame, key: str, order: str, features: list[str] | str, label: str, start_from: dict | None = None, **options) -> DataFrame:
+    """(key, state): what the learner knows at the end of each key's stream; see :func:`predict`. ``start_from``: what it knows before."""
     slim = _streams(df, key, order, features, label, None)
     kind = slim.schema["key"].dataType.simpleString()
-    schema = slim.sparkSession.createDataFrame([], f"key {kind}, state struct<{STATE.replace(' ', ':').replace(',:', ',')}>").schema
+    schema = slim.sparkSession.createDataFrame([], f"key {kind}, {STATE_SCHEMA}").schema
     fields = list(start())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        held, state = None, None
+        held, state = None, deepcopy(start_from)
 
         def given() -> pa.RecordBatch:
             kinds = to_arrow_schema(schema)
@@ -147,7 +150,7 @@ def learned(df: DataFrame, key: str, order: str, features: list[str] | str, labe
             for a, z in _runs(keys):
                 if held is not None and held[0].as_py() != keys[a]:
                     yield given()
-                    state = None
+                    state = deepcopy(start_from)
                 held = batch.column(0).slice(a, 1)
                 _, state = ftrl_rows(zip(orders[a:z], xs[a:z], labels[a:z], strict=True), state=state, **options)
         if held is not None:

@@ -6,6 +6,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from driftloom.operators import density as d
+from driftloom.operators import trees
 from driftloom.operators.lineage import cut
 from driftloom.plans.registry import register
 from driftloom.plans.tables import table
@@ -125,3 +126,74 @@ def label_spreading(spark, sf_dir):
 def label_spreading_linear(spark, sf_dir):
     """The same with a linear learner."""
     return _spread(spark, sf_dir, lambda rows: LogisticRegression(featuresCol="v", labelCol="label", regParam=0.01, maxIter=10).fit(rows))
+
+
+def _spread_by(spark, sf_dir, learner, label="label"):
+    labels = table(spark, sf_dir, "embeddings").where("vec_id % 10 = 0").select(F.col("vec_id").alias("id"), F.expr(label).alias("label"))
+    return d.spread_labels(_peaks(spark, sf_dir).join(_points(spark, sf_dir), "id"), labels, learner=learner)
+
+
+def _hops(name: str, start: str, here: str, there: str, k: int) -> str:
+    """One direction of the spreading: each step hands on all labelled points, and adds those that it reaches."""
+    return f"""{name} AS (SELECT id, label, hops, true AS fresh, step FROM {start}
+  UNION ALL SELECT * FROM (WITH front AS (SELECT DISTINCT e.{there} AS id FROM {name} s JOIN k e ON e.{here} = s.id WHERE s.fresh AND e.parent IS NOT NULL AND e.{there} NOT IN (SELECT id FROM {name})),
+    near AS (SELECT f.id, s.label, d, row_number() OVER (PARTITION BY f.id ORDER BY d, s.id) AS n FROM front f JOIN dist ON dist.i = f.id JOIN {name} s ON s.id = dist.j),
+    w AS (SELECT id, label, CASE WHEN min(d) OVER (PARTITION BY id) = 0 THEN CAST(d = 0 AS INT)::DOUBLE ELSE 1 / d END AS w FROM near WHERE n <= {k}),
+    told AS (SELECT id, label FROM (SELECT id, label, row_number() OVER (PARTITION BY id ORDER BY sum(w) DESC, label) AS n FROM w GROUP BY id, label) WHERE n = 1)
+    SELECT id, label, hops, false AS fresh, step + 1 AS step FROM {name} WHERE EXISTS (SELECT 1 FROM front)
+    UNION ALL SELECT id, label, (SELECT max(step) + 1 FROM {name}), true, (SELECT max(step) + 1 FROM {name}) FROM told))"""
+
+
+_KNN = _PEAK.replace("WITH p AS", "WITH RECURSIVE p AS") + f""", dist AS (SELECT i, j, d FROM q UNION ALL SELECT j, i, d FROM q),
+seed AS (SELECT vec_id AS id, label, 0 AS hops, 0 AS step FROM embeddings WHERE vec_id % 10 = 0),
+{_hops('onward', 'seed', 'id', 'parent', 5)},
+turn AS (SELECT id, label, hops, step FROM onward WHERE step = (SELECT max(step) FROM onward)),
+{_hops('backward', 'turn', 'parent', 'id', 5)}
+SELECT id, label, hops FROM backward WHERE step = (SELECT max(step) FROM backward)"""
+
+
+@register("label_spreading_nearest", _KNN)
+def label_spreading_nearest(spark, sf_dir):
+    """A tenth of the labels spread by the weighted vote of the five nearest labelled points."""
+    return _spread_by(spark, sf_dir, d.NearestLearner(5))
+
+
+@register("label_spreading_online")
+def label_spreading_online(spark, sf_dir):
+    """The parity of the labels spread by one online learner that goes on from hop to hop; from 0.3 on a point is odd."""
+    return _spread_by(spark, sf_dir, d.OnlineLearner(0.3, unsure=0.05), "label % 2")
+
+
+@register("label_spreading_tree")
+def label_spreading_tree(spark, sf_dir):
+    """The parity of the labels spread by an incremental tree whose counts grow by the fronts of the graph."""
+    tree = trees.StreamTree("id", [f"x{i}" for i in range(64)], [], "label", width=0.2)
+    return _spread_by(spark, sf_dir, d.TreeLearner(tree), "label % 2")
+
+
+#: Batches in which the growing graph takes the points.
+GROWING = 4
+
+
+def growing_graph(spark, sf_dir) -> d.PointerGraph:
+    """The points by the remainder of their id, a batch for each."""
+    graph, pts = d.PointerGraph(_DC), cut(_points(spark, sf_dir))
+    for j in range(GROWING):
+        graph.add(pts.where(F.col("id") % GROWING == j))
+    return graph
+
+
+_COUNTED = _PEAK.replace(f"sum(exp(-pow(d / {_DC}, 2))) AS rho", f"sum(CAST(d < {_DC} AS INT))::DOUBLE AS rho")
+
+
+@register("growing_peaks", _COUNTED + " SELECT id, rho, round(delta, 6) AS delta, parent FROM k")
+def growing_peaks(spark, sf_dir):
+    """D4 along a stream: densities and nearest denser points, repaired batch by batch where new points change them."""
+    return growing_graph(spark, sf_dir).points.select("id", "rho", F.round("delta", 6).alias("delta"), "parent")
+
+
+@register("label_spreading_growing")
+def label_spreading_growing(spark, sf_dir):
+    """D8 online: the parity of the labels spread by an online learner over the graph that grew batch by batch."""
+    labels = table(spark, sf_dir, "embeddings").where("vec_id % 10 = 0").select(F.col("vec_id").alias("id"), (F.col("label") % 2).alias("label"))
+    return d.spread_labels(growing_graph(spark, sf_dir).points, labels, learner=d.OnlineLearner(0.3))
