@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.functions import numeric
+from driftloom.operators.frames import draw
 from driftloom.operators.lineage import cut
 
 
@@ -48,6 +49,19 @@ def seeds(rows: DataFrame, features: str = "x", order: str = "row_id", label: st
     return [tuple(r["f"][1]) for r in first.collect()]
 
 
+def seeds_drawn(rows: DataFrame, k: int, features: str = "x", order: str = "row_id", label: str = "label", seed: int = 0) -> list[tuple]:
+    """A seed for each of ``k`` clusters: the first row of class 0, 1, …; a class without one takes an unlabelled row, by draw.
+
+    Fewer, if the unlabelled rows do not suffice. The driver sees ``k`` rows.
+    """
+    named = rows.where(F.col(label).between(0, k - 1)).groupBy(label).agg(F.min(F.struct(order, features)).alias("f"))
+    found = {r[0]: tuple(r["f"][1]) for r in named.collect()}
+    empty = [i for i in range(k) if i not in found]
+    drawn = rows.where(F.col(label).isNull()).orderBy(draw(F.col(order), seed=seed), order).limit(len(empty))
+    found |= {i: tuple(r[0]) for i, r in zip(empty, drawn.select(features).collect(), strict=False)}
+    return [found[i] for i in sorted(found)]
+
+
 def repair_labels(assigned: DataFrame, label: str = "label") -> DataFrame:
     """(…, repaired): a missing label becomes its cluster's most frequent one, the smallest among equals."""
     counted = assigned.where(F.col(label).isNotNull()).groupBy("cluster", label).agg(F.count("*").alias("n"))

@@ -110,6 +110,12 @@ def cutoff(pairs: DataFrame, percent: float) -> float:
     return order.value_at(pairs, "d", min(n - 1, max(1, round(n * percent / 100)))) if n else 0.0
 
 
+def cutoff_counted(pairs: DataFrame, points: int, percent: float = 2.0) -> float:
+    """The distance at ``percent`` of all cells of the square matrix of distances, whose diagonal holds zeros: 0 where that is in the diagonal."""
+    place = int(points * (points - 1) / 2 * percent / 100)
+    return order.value_at(pairs, "d", place - 1) if place else 0.0
+
+
 def cutoff_bisected(pairs: DataFrame, low_share: float = 0.01, high_share: float = 0.02, width: float = 1e-4) -> float:
     """A distance below which between 1 and 2 % of the pairs lie, by halving an interval; one small count a step."""
     lo, hi, n = *pairs.agg(F.min("d"), F.max("d")).first(), pairs.count()

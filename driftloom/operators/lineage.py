@@ -6,28 +6,29 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
     """A checkpoint in the cluster's shared folder; in a temporary one where none is configured (local tests)."""
-    _folder(df)
+    folder(df.sparkSession)
     return df.checkpoint()
 
 
 def stored(df: DataFrame, order: str) -> DataFrame:
     """Like :func:`cut`, as Parquet in ranges of ``order``: a filter on it reads only the ranges that it needs."""
-    path = f"{_folder(df)}/{uuid.uuid4().hex}"
+    path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.repartitionByRange(order).sortWithinPartitions(order).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _folder(df: DataFrame) -> str:
-    context = df.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, which holds checkpoints."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        at = spark.conf.get("spark.checkpoint.dir", None)
         if not at:  # a local test has one machine; a cluster shares its warehouse
             local = re.fullmatch(r"local(\[.*\])?", context.master)
-            at = tempfile.mkdtemp(prefix="spark-checkpoint-") if local else f"{df.sparkSession.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+            at = tempfile.mkdtemp(prefix="spark-checkpoint-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
         context.setCheckpointDir(at)
     return context.getCheckpointDir()

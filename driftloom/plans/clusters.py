@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driftloom.operators import clusters as c
 from driftloom.plans.registry import register
-from driftloom.plans.tables import MATRIX, matrix
+from driftloom.plans.tables import MATRIX, draw, matrix
 
 _START = [("0", "0", "signup"), ("5", "2", "other"), ("9", "4", "signup")]
 _X = MATRIX + ", x AS (SELECT row_id, label, CAST(CAST(f2 AS INT) AS VARCHAR) AS a, CAST(CAST(f3 AS INT) AS VARCHAR) AS b, CASE WHEN label = 1 THEN 'signup' ELSE 'other' END AS c FROM m)"
@@ -87,6 +87,20 @@ def seeded_modes(spark, sf_dir):
     return c.repair_labels(c.k_modes(rows, c.seeds(rows))[0]).groupBy("cluster", "repaired").agg(F.count("*").alias("n"))
 
 
+_HALF = "SELECT row_id, a, b, c, CASE WHEN row_id % 3 = 0 THEN label END AS label FROM x"
+_DRAWN = f"""SELECT label AS k, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY row_id) AS o FROM ({_HALF}) WHERE label IS NOT NULL) WHERE o = 1 GROUP BY label
+UNION ALL SELECT 1 + row_number() OVER (ORDER BY {draw('row_id')}, row_id) AS k, a, b, c FROM ({_HALF}) WHERE label IS NULL QUALIFY k < 4"""
+
+
+@register("seeded_modes_drawn", _rounds_sql(_DRAWN) + """, h AS (SELECT k, CASE WHEN row_id % 3 = 0 THEN label END AS label FROM fin),
+g AS (SELECT k, label AS major FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, label) AS o FROM (SELECT k, label, count(*) AS n FROM h WHERE label IS NOT NULL GROUP BY ALL)) WHERE o = 1)
+SELECT h.k AS cluster, coalesce(label, major) AS repaired, count(*) AS n FROM h LEFT JOIN g USING (k) GROUP BY ALL""")
+def seeded_modes_drawn(spark, sf_dir):
+    """K4 with more clusters than classes: those without a labelled row start from drawn unlabelled ones."""
+    rows = _rows(spark, sf_dir).withColumn("label", F.when(F.col("row_id") % 3 == 0, F.col("label")))
+    return c.repair_labels(c.k_modes(rows, c.seeds_drawn(rows, 4))[0]).groupBy("cluster", "repaired").agg(F.count("*").alias("n"))
+
+
 @register("cluster_tightness", _ASSIGN + " SELECT round(avg(t), 6) AS r FROM (SELECT avg(1 - mismatches / 3.0) AS t FROM s GROUP BY cluster)")
 def cluster_tightness(spark, sf_dir):
     """How close rows are to their centres."""

@@ -46,6 +46,15 @@ def distance_cutoff(spark, sf_dir):
     return spark.range(1).select(F.round(F.lit(dc), 6).alias("dc"))
 
 
+@register("distance_cutoff_counted", _P + """, m AS (SELECT d FROM q UNION ALL SELECT d FROM q UNION ALL SELECT 0 FROM p),
+n AS (SELECT count(*) AS k FROM p) SELECT round(d, 6) AS dc FROM (SELECT d, row_number() OVER (ORDER BY d) - 1 AS r FROM m) WHERE r = (SELECT 2 * CAST(floor(k * (k - 1) / 2 * 2 / 100) AS BIGINT) + k - 1 FROM n)""")
+def distance_cutoff_counted(spark, sf_dir):
+    """D1, second form: the distance at two in a hundred of the square matrix."""
+    pts = _points(spark, sf_dir)
+    dc = d.cutoff_counted(cut(d.pair_distances(pts, "id", "x")), pts.count())
+    return spark.range(1).select(F.round(F.lit(dc), 6).alias("dc"))
+
+
 @register("bisected_cutoff", _P.replace("WITH p AS", "WITH RECURSIVE p AS") + """, e AS (SELECT min(d) AS lo, max(d) AS hi, count(*) AS n FROM q),
 b AS (SELECT lo, hi, n, 0 AS step, NULL::DOUBLE AS found FROM e
   UNION ALL SELECT CASE WHEN share < 0.01 THEN mid ELSE lo END, CASE WHEN share > 0.02 THEN mid ELSE hi END, n, step + 1, CASE WHEN share BETWEEN 0.01 AND 0.02 THEN mid END

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftloom.operators import frames, order
+from driftloom.operators.lineage import folder
 from driftloom.plans.registry import register
 from driftloom.plans.tables import FEATURES, LONG, MASKED, MATRIX, draw, long, masked_long, matrix, table
 from driftloom.sources import readers
@@ -96,6 +99,29 @@ def ragged_text(spark, sf_dir):
     return _rows(spark, sf_dir).select("row_id", _sum(readers.parse_ragged(readers.ragged_text(fs))).alias("total"))
 
 
+@register("files_round_trip", f"""WITH {MASKED}, r AS (SELECT row_id, [max(value) FILTER (WHERE feature_id = 0), max(value) FILTER (WHERE feature_id = 1), max(value) FILTER (WHERE feature_id = 2), max(value) FILTER (WHERE feature_id = 3)] AS x FROM k GROUP BY row_id),
+c AS (SELECT [round(50 - f0, 4), f1, f2, f3] AS x FROM m),
+s AS (SELECT 'ragged' AS file, list_transform(x, lambda v: coalesce(v, 0)) AS x FROM r UNION ALL SELECT 'csv', x FROM c UNION ALL SELECT 'magnitudes', list_transform(x, lambda v: abs(v)) FROM c UNION ALL SELECT 'series', [label::DOUBLE] FROM m)
+SELECT file, count(*) AS n, round(sum(x[1]), 4) AS first, round(sum(list_sum(x)), 4) AS total FROM s GROUP BY file""")
+def files_round_trip(spark, sf_dir):
+    """The stream written as ragged rows, as CSV and as a series of labels, and read again, CSV with and without signs."""
+    rows, at = _rows(spark, sf_dir), f"{folder(spark)}/files-{uuid.uuid4().hex}"
+    readers.write_ragged(rows.select("row_id", frames.mask_pairs(F.col("fs"), F.col("row_id")).alias("x")), f"{at}/ragged", "x", "row_id")
+    signed = [F.round(50 - F.col("fs")[0], 4).alias("f0"), *(F.col("fs")[i].alias(f"f{i}") for i in (1, 2, 3))]
+    readers.write_csv(rows.select(*signed), f"{at}/csv")
+    readers.write_series(matrix(spark, sf_dir).select("row_id", "label"), f"{at}/series", "label", "row_id")
+    read = {"ragged": readers.read_ragged(spark, f"{at}/ragged"), "csv": readers.read_matrix(spark, f"{at}/csv", 4, ",", header=True),
+            "magnitudes": readers.read_matrix(spark, f"{at}/csv", 4, ",", absolute=True, header=True),
+            "series": readers.read_vector(spark, f"{at}/series").select(F.array("value").alias("features"))}
+    parts = [df.select(F.lit(name).alias("file"), "features") for name, df in read.items()]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return every.groupBy("file").agg(F.count("*").alias("n"), F.round(F.sum(F.col("features")[0]), 4).alias("first"), F.round(F.sum(_whole("features")), 4).alias("total"))
+
+
+def _whole(values: str):
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+
+
 @register("stream_settings", "SELECT * FROM (VALUES ('cap', 'australian', 0.01E0, 2, 10, 4, false), ('cap', 'wdbc', 0.02E0, 2, 8, 0, true), ('tra', 'australian', 0.02E0, 2, 10, 4, false), ('tra', 'wdbc', 0.0E0, 2, 2, 3, true)) t(kind, dataset, contribute_error_rate, window_den, batch_den, decay_choice, shuffle)")
 def stream_settings(spark, sf_dir):
     """Hyper-parameters by data set and kind of stream."""

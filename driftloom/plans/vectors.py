@@ -77,15 +77,15 @@ def transductive_svm_sparse(spark, sf_dir):
     few = F.map_filter(F.map_from_arrays(F.sequence(F.lit(0), F.size("embedding") - 1), F.col("embedding").cast("array<double>")), lambda _, v: F.abs(v) > 0.1)
     v = table(spark, sf_dir, "embeddings").select("vec_id", few.alias("x"), (F.col("label") < 5).cast("int").alias("y"))
     known = v.withColumn("known", F.when(F.col("vec_id") % 4 == 0, F.col("y")))
-    return svm.TransductiveSVM(rounds=2).fit(known, "x", "known").predict(v, "x").select("vec_id", "y", "predicted", "probability")
+    return svm.TransductiveSVM().fit(known, "x", "known").predict(v, "x").select("vec_id", "y", "predicted", "probability")
 
 
 @register("transductive_svm_radial")
 def transductive_svm_radial(spark, sf_dir):
-    """The same with a radial kernel."""
+    """The same with a radial kernel over a basis of at most 200 vectors."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("x"), (F.col("label") < 5).cast("int").alias("y"))
     known = v.withColumn("known", F.when(F.col("vec_id") % 4 == 0, F.col("y")))
-    return svm.TransductiveSVM(kernel="rbf", rounds=2).fit(known, "x", "known").predict(v, "x").select("vec_id", "y", "predicted", "probability")
+    return svm.TransductiveSVM(kernel="rbf").fit(known, "x", "known").predict(v, "x").select("vec_id", "y", "predicted", "probability")
 
 
 @register("subspace_distance")

@@ -25,9 +25,10 @@ class PlainStream:
     def latent(self, k, v):
         ring = self.seen[k]
         n, below, upto = len(ring), sum(a < v for a in ring), sum(a <= v for a in ring)
+        if not n:  # nothing to compare with: as if it were missing
+            return None
         if k in self.ordinal:
-            lo = N.inv_cdf(below / n) if below else -math.inf
-            hi = N.inv_cdf(upto / n) if upto < n else math.inf
+            lo, hi = (-math.inf if not m else math.inf if m == n else N.inv_cdf(m / n) for m in (below, upto))
             return N.inv_cdf(min(max((below + upto) / 2 / n, 0.5 / (n + 1)), 1 - 0.5 / (n + 1))), lo, hi
         return N.inv_cdf(max(upto / (n + 1), 1 / (n + 1))), None, None
 
