@@ -31,7 +31,8 @@ MOST_DISTANCE = {"characters": 0.3, "words": 0.45}
 
 
 def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern)).cast("long")
+    """How many characters of a class there are: what is missing without them. (A count of matches would gather each match.)"""
+    return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
 
 
 def _word_list() -> Column:
@@ -39,6 +40,10 @@ def _word_list() -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE_CLASS + "+"))
 
 
+def _word_chars() -> Column:
+    return F.length(F.array_join("q_list", "")).cast("long")
+
+
 def base_counts(df: DataFrame, text: str) -> DataFrame:
     """``df`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words under ``q_`` names.
 
@@ -63,8 +68,8 @@ def base_counts(df: DataFrame, text: str) -> DataFrame:
     df = df.withColumn("q_lines", F.filter(F.split("q_text", "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != ""))
     return (
         df.withColumn("q_dup_lines", (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"))
-        .withColumn("q_space", _count(F.col("q_text"), SPACE_CLASS))
-        .withColumn("q_word_chars", F.length("q_text").cast("long") - F.col("q_space"))
+        .withColumn("q_word_chars", _word_chars())
+        .withColumn("q_space", F.length("q_text").cast("long") - F.col("q_word_chars"))
         .withColumn("q_symbols", _count(F.col("q_text"), SYMBOLS))
         .drop("q_hash", "q_runs", "q_sorted", "q_at", "q_lines")
     )
@@ -185,7 +190,7 @@ def keep(
     scratch = Scratch(docs.sparkSession, "quality")
     bare = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("q_text"), F.col(lang).alias("q_raw_lang"))
     bare = bare.withColumn("q_list", _word_list()).withColumn("q_words", F.size("q_list").cast("long"))
-    bare = bare.withColumn("q_space", _count(F.col("q_text"), SPACE_CLASS)).withColumn("q_symbols", _count(F.col("q_text"), SYMBOLS))
+    bare = bare.withColumn("q_space", F.length("q_text").cast("long") - _word_chars()).withColumn("q_symbols", _count(F.col("q_text"), SYMBOLS))
     common = common_words(bare, "q_text", "q_raw_lang")
     bins = scratch.write(_histograms(bare, "q_raw_lang", common).select("q_lang", "q_c", "q_w"))
     language = scratch.write(_languages(bins))
