@@ -170,7 +170,8 @@ def near_duplicates(
     shingles (A-Z lower-cased; a text of fewer words is one shingle). Null or blank text: an empty
     set, linked with nothing, its own component. Equal sets are always linked. Rows that share an
     id are one document and share a component. A null id takes its class's component (null if
-    all of the class are null) and is never kept. An empty table gives an empty result.
+    all of the class are null) and is never kept. Ids are whole numbers; others fail. An empty table
+    gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "near-duplicates")
     slim = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))

@@ -174,6 +174,8 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     Rows that share an id are taken equally often, as often as the one taken most.
     """
     often = mix(docs, doc_id, text, source, **more).groupBy(F.col(doc_id).alias("mix_id")).agg(F.max("copies").alias("mix_copies"))
-    joined = docs.join(often, docs[doc_id].eqNullSafe(often["mix_id"])).where("mix_copies > 0")
-    each = joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
-    return each.select(*(docs[f"`{c}`"] for c in docs.columns))
+    # the row travels as one column, so that no name of its own can clash
+    whole = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
+    joined = whole.join(often, F.col("row")[doc_id].eqNullSafe(F.col("mix_id"))).where("mix_copies > 0")
+    each = joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
+    return each.select(*(F.col("row")[c].alias(c) for c in docs.columns))

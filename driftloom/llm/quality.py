@@ -20,7 +20,6 @@ from driftloom.llm.shared import SPACE_CLASS, Scratch
 COMMON = 15
 #: Documents from which on a language is its own reference, and how many languages can be, the largest.
 LEAST_DOCUMENTS, MOST_LANGUAGES = 20, 500
-OTHER = "(other)"
 # Character classes besides white space, symbols and the rest.
 CLASSES = {"digit": "[0-9]", "upper": "[A-Z]", "mark": "[.,;:!?'\"()-]", "beyond_ascii": "[^\\x00-\\x7F]"}
 SYMBOLS = "[#*$%&|<>]"
@@ -93,9 +92,9 @@ def common_words(docs: DataFrame, text: str, lang: str) -> dict[str, list[str]]:
 
 
 def _histograms(df: DataFrame, lang: str, common: dict[str, list[str]]) -> DataFrame:
-    """Adds q_lang (one of ``common`` or the rest), q_c and q_w: bins of characters and words."""
+    """Adds q_lang (one of ``common``, or null for the rest), q_c and q_w: bins of characters and words."""
     named_lang = F.col(lang).isin(*common) if common else F.lit(False)
-    df = df.withColumn("q_lang", F.when(named_lang, F.col(lang)).otherwise(OTHER))
+    df = df.withColumn("q_lang", F.when(named_lang, F.col(lang)).otherwise(F.lit(None).cast("string")))
     for name, pattern in CLASSES.items():
         df = df.withColumn(f"q_c_{name}", _count(F.col("q_text"), pattern))
     named = ["q_space", "q_symbols", *(f"q_c_{x}" for x in CLASSES)]
@@ -132,6 +131,12 @@ def _languages(counted: DataFrame) -> DataFrame:
     return language.select("q_lang", *given)
 
 
+def _with_language(rows: DataFrame, language: DataFrame) -> DataFrame:
+    """At most MOST_LANGUAGES rows, and one of null for the rest."""
+    named = language.withColumnRenamed("q_lang", "q_of")
+    return rows.join(F.broadcast(named), F.col("q_lang").eqNullSafe(F.col("q_of"))).drop("q_of")
+
+
 def _base_failed() -> Column:
     return (F.col("q_words") < 10) | (100 * F.col("q_repeat_words") > 20 * F.col("q_words"))
 
@@ -161,8 +166,7 @@ def assess(
     counted = _histograms(base_counts(slim, "q_raw"), "q_raw_lang", common)
     counts = ["q_words", "q_word_chars", "q_symbols", "q_dup_lines", "q_repeat_words"]
     table = scratch.write(counted.select("q_id", "q_lang", *counts, "q_c", "q_w"))
-    # at most MOST_LANGUAGES rows, and one
-    both = table.join(F.broadcast(_languages(table)), "q_lang")
+    both = _with_language(table, _languages(table))
     return (
         both.select(
             F.col("q_id").alias(doc_id),
@@ -198,4 +202,4 @@ def keep(
     counted = _histograms(base_counts(whole, "q_raw"), "q_raw_lang", common)
     # the verdict is to use the counts, not to be rewritten into their expressions below
     counted = counted.withColumn("q_barrier", F.monotonically_increasing_id())
-    return counted.join(F.broadcast(language), "q_lang").where((F.col("q_barrier") >= 0) & _kept(least_words, most_distance)).select("q_row.*")
+    return _with_language(counted, language).where((F.col("q_barrier") >= 0) & _kept(least_words, most_distance)).select("q_row.*")

@@ -23,9 +23,9 @@ def op5() -> str:
 
     return f"""
 WITH known AS (SELECT lang FROM documents WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= {quality.LEAST_DOCUMENTS} ORDER BY count(*) DESC, lang LIMIT {quality.MOST_LANGUAGES}),
-d AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS w, CASE WHEN lang IN (SELECT lang FROM known) THEN lang ELSE '{quality.OTHER}' END AS q_lang FROM documents),
+d AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS w, CASE WHEN lang IN (SELECT lang FROM known) THEN lang END AS q_lang FROM documents),
 often AS (SELECT q_lang, list(x ORDER BY n DESC, x) AS cw FROM (SELECT *, row_number() OVER (PARTITION BY q_lang ORDER BY n DESC, x) AS o FROM
-    (SELECT q_lang, x, count(*) AS n FROM (SELECT q_lang, unnest(regexp_extract_all(lower(t), '[^\\x20\\x09-\\x0D]+')) AS x FROM d WHERE q_lang <> '{quality.OTHER}') GROUP BY ALL)) WHERE o <= {quality.COMMON} GROUP BY q_lang),
+    (SELECT q_lang, x, count(*) AS n FROM (SELECT q_lang, unnest(regexp_extract_all(lower(t), '[^\\x20\\x09-\\x0D]+')) AS x FROM d WHERE q_lang IS NOT NULL) GROUP BY ALL)) WHERE o <= {quality.COMMON} GROUP BY q_lang),
 runs AS (SELECT doc_id, i, list_slice(w, i, i + 4) AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
 twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS c FROM runs) WHERE c > 1),
 hit AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + unnest(range(0, 5)) FROM twice) GROUP BY doc_id),
@@ -39,7 +39,7 @@ lang AS (SELECT q_lang, {sums("qc", len(quality.CLASSES) + 3)} AS rc,
 e AS (SELECT f.doc_id, len(w)::BIGINT AS n_words, (length(t) - f.n[1])::BIGINT AS word_chars, f.n[2]::BIGINT AS n_symbols,
     coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(hit.n, 0)::BIGINT AS n_repeat_words,
     {distance("qc", "rc")} AS character_distance, {distance("qw", "rw")} AS word_distance
-  FROM f JOIN lang USING (q_lang) LEFT JOIN hit USING (doc_id) LEFT JOIN lines USING (doc_id)),
+  FROM f JOIN lang ON f.q_lang IS NOT DISTINCT FROM lang.q_lang LEFT JOIN hit USING (doc_id) LEFT JOIN lines USING (doc_id)),
 g AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM e)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT (n_words >= {quality.LEAST_WORDS["characters"]} AND character_distance > {quality.MOST_DISTANCE["characters"]})

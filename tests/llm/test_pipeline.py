@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_bpe import REAL
 from test_line_dedup import brute as brute_lines
 from test_minhash import brute as brute_near
@@ -56,3 +57,36 @@ def test_each_stage_on_what_came_before(spark, sf_dir, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 50
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+CLASHING = ["row", "id", "mix_id", "mix_copies", "mix_copy", "named_text", "odd_id", "lost_id", "q_text", "q_lang", "q_row", "dedup_id", "lines", "stays", "ids", "n", "a.b"]
+
+
+def through(spark, docs):
+    """All stages in memory: rows before each, and what comes out at the end."""
+    tables = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        tables.append(stage(spark, tables[-1], "").cache())
+    return tables
+
+
+def test_empty_table(spark):
+    tables = through(spark, spark.createDataFrame([], SCHEMA))
+    assert [t.count() for t in tables] == [0] * 6 and all(t.columns == tables[0].columns for t in tables[:5])
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    text = lambda i: " ".join(f"word{(i * 7 + j * j) % 61} of{i}" for j in range(30))
+    plain = [(i, text(i), "(other)" if i % 2 else None, f"s{i % 2}", None) for i in range(30)]
+    rows = plain + [plain[3]] * 4 + [(4, text(104), "en", "s0", None), (None, text(5), "en", "s1", 1), (None, text(200), "en", None, 1), (None, text(200), "en", None, 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for i, c in enumerate(CLASHING):
+        docs = docs.withColumn(c, F.lit(f"x{i}"))
+    tables = through(spark, docs)
+    assert all(t.columns == docs.columns for t in tables[:5])
+    assert all(r[c] == f"x{i}" for t in tables[1:5] for r in t.collect() for i, c in enumerate(CLASHING))
+    kept = Counter((r.doc_id, r.text) for r in tables[3].collect())
+    assert kept == Counter([(r[0], r[1]) for r in plain] + [(4, text(104)), (None, text(200))])
+    ids = {r.doc_id for r in tables[5].collect()}
+    assert ids <= {*range(30), None} and len(ids) > 20  # a source may get less than its size
