@@ -28,17 +28,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay once for each text that no row with an id has.
     """
     judged = minhash.near_duplicates(docs, shingle_words=5, percent=80)
-    lost = judged.where(F.col("doc_id").isNotNull() & ~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(lost, "doc_id", "left_anti").select(*(docs[f"`{c}`"] for c in docs.columns))
+    lost = judged.where(F.col("doc_id").isNotNull() & ~F.col("kept")).select(F.col("doc_id").alias("lost_id")).distinct()
+    # rows travel as one column, so that no name of theirs can clash
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
+    whole = lambda df: df.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    left = rows.join(lost, F.col("row")["doc_id"] == F.col("lost_id"), "left_anti")
     often = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
     if often.isEmpty():
-        return left
+        return whole(left)
     odd = Scratch(spark, "repeated-ids").write(often.select(F.col("doc_id").alias("odd_id")))
-    is_odd = left["doc_id"].eqNullSafe(odd["odd_id"])
-    once = left.join(odd, is_odd, "left_semi").dropDuplicates(["doc_id", "text"])
+    is_odd = F.col("row")["doc_id"].eqNullSafe(F.col("odd_id"))
+    found = left.join(odd, is_odd, "left_semi").select("row", F.col("row")["doc_id"].alias("id"), F.col("row")["text"].alias("text"))
+    once = found.dropDuplicates(["id", "text"])
     named = docs.where("doc_id is not null").select(F.col("text").alias("named_text"))
-    nameless = once.where("doc_id is null").join(named, F.col("text") == F.col("named_text"), "left_anti")
-    return left.join(odd, is_odd, "left_anti").unionByName(once.where("doc_id is not null")).unionByName(nameless)
+    nameless = once.where("id is null").join(named, F.col("text") == F.col("named_text"), "left_anti")
+    kept = left.join(odd, is_odd, "left_anti").unionByName(once.where("id is not null").select("row")).unionByName(nameless.select("row"))
+    return whole(kept)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
