@@ -12,9 +12,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
-from copy import deepcopy
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,6 +85,127 @@ def ftrl_rows(rows: Iterable[tuple], schedule: int = 3, blend: float = 0.0, drif
     return out, s
 
 
+#: Streams that are stepped together; fewer go row by row.
+LANES = 16
+
+
+def _decays(schedule: int, t: np.ndarray) -> np.ndarray:
+    return ((np.cbrt(t) - 1) / np.cbrt(t), (np.sqrt(t) - 1) / np.sqrt(t), (t - 1) / t, t / (t + 1), 1 - np.log(t) / (2 * t))[schedule]
+
+
+class _Lanes:
+    """The states of many streams, longest first, whose rows at one place are learned together."""
+
+    _COUNTS = ("t", "fails", "tw", "fw")
+
+    def __init__(self, lanes: int, width: int):
+        self.v, self.h, self.z = (np.zeros((lanes, width)) for _ in range(3))
+        self.r, self.pm, self.sm = np.ones(lanes), np.ones(lanes), np.full(lanes, 10.0)
+        self.t, self.fails, self.tw, self.fw = (np.zeros(lanes, np.int64) for _ in range(4))
+        self.width = np.zeros(lanes, np.int64)
+
+    def put(self, lane: int, state: dict) -> None:
+        self.width[lane] = len(state["z"])
+        for f, value in state.items():
+            if f in ("v", "h", "z"):
+                getattr(self, f)[lane, : len(value)] = value
+            else:
+                getattr(self, f)[lane] = value
+
+    def get(self, lane: int) -> dict:
+        wide = {f: getattr(self, f)[lane, : self.width[lane]].tolist() for f in ("v", "h", "z")}
+        return wide | {f: (int if f in self._COUNTS else float)(getattr(self, f)[lane]) for f in ("r", "t", "fails", "tw", "fw", "pm", "sm")}
+
+    def step(self, x: np.ndarray, sizes: np.ndarray, y: np.ndarray, schedule: int = 3, blend: float = 0.0, drift: bool = False, l1: float = 0.0, l2: float = 0.0, lp: float = 1.0) -> tuple[np.ndarray, ...]:
+        """One row of each of the first lanes: score, p, loss and decay, as :func:`ftrl_rows` gives them; NaN for null."""
+        n = len(y)
+        self.width[:n] = np.maximum(self.width[:n], sizes)
+        has, known = np.arange(x.shape[1]) < sizes[:, None], ~np.isnan(y)
+        v, h, z, r = self.v[:n], self.h[:n], self.z[:n], self.r[:n]
+        w = np.where((np.abs(z) <= l1) | ~has, 0.0, -(z - np.copysign(l1, z)) / (l2 + lp * r)[:, None])
+        score = np.zeros(n)
+        for f in range(x.shape[1]):
+            score += w[:, f] * x[:, f]
+        e = np.exp(-np.abs(score))
+        p = np.where(score >= 0, 1 / (1 + e), e / (1 + e))
+        loss = np.maximum(score, 0.0) - y * score + np.log(1 + e)
+        err = (known & (np.abs(y - p) > 0.5)).astype(np.int64)
+        self.t[:n] += known
+        self.fails[:n] += err
+        decay = _decays(schedule, np.maximum(self.t[:n], 1).astype(float))
+        if drift:
+            decay = self._drifted(known & (self.t[:n] > 30), err, decay, blend)
+        learns = has & known[:, None]
+        v += np.where(learns, np.where(known, p - y, 0.0)[:, None] * x, 0.0)
+        h[:] = np.where(learns, decay[:, None] * h + w, h)
+        z[:] = np.where(learns, v - lp * h, z)
+        r[:] = np.where(known, 1 + decay * r, r)
+        return score, p, np.where(known, loss, np.nan), np.where(known, decay, np.nan)
+
+    def _drifted(self, at: np.ndarray, err: np.ndarray, decay: np.ndarray, blend: float) -> np.ndarray:
+        n = len(at)
+        t, fails, tw, fw, pm, sm = (getattr(self, f)[:n] for f in ("t", "fails", "tw", "fw", "pm", "sm"))
+        rate = fails / np.maximum(t, 1)
+        spread = np.sqrt(np.maximum(rate * (1 - rate), 0.0) / np.maximum(t, 1))
+        low = at & (rate + spread < pm + sm)
+        pm[low], sm[low] = rate[low], spread[low]
+        calm = at & (rate + spread < pm + 2 * sm)
+        tw[calm] = fw[calm] = 0
+        warned = at & ~calm
+        tw[warned] += 1
+        fw[warned] += err[warned]
+        back = warned & (rate + spread > pm + 3 * sm)
+        t[back], fails[back] = tw[back], fw[back]
+        tw[back] = fw[back] = 0
+        pm[back], sm[back] = 1.0, 10.0
+        return np.where(at, decay * (1 - blend) + blend * rate, decay)
+
+
+def _dense(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """An array column as rows x features, 0 for null or NaN, and each row's number of features."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    x = np.zeros((len(sizes), max(int(sizes.max(initial=0)), 1)))
+    flat = pc.fill_null(column.flatten().cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False)
+    x[np.arange(x.shape[1]) < sizes[:, None]] = np.nan_to_num(flat, nan=0.0, posinf=np.inf, neginf=-np.inf)
+    return x, sizes
+
+
+def ftrl_streams(runs: list[tuple[int, int]], xs: pa.Array, labels: pa.Array, first: dict | None, others: dict | None = None, **options) -> tuple[np.ndarray, list[dict]]:
+    """The learner over several streams, each a run of rows: (score, p, loss, decay) by row, NaN for null, and the state after each.
+
+    ``first`` is what is known of the first stream, ``others`` what is known of all others. Rows at
+    the same place of their streams are learned together; where fewer than ``LANES`` streams go on
+    so far, each goes row by row. Streams are independent, so both ways give the same.
+    """
+    x, sizes = _dense(xs)
+    y = pc.fill_null(labels, math.nan).to_numpy(zero_copy_only=False).astype(float)
+    out = np.full((4, len(y)), np.nan)
+    befores = [first if i == 0 else others for i in range(len(runs))]
+    width = max([x.shape[1], *(len(b["z"]) for b in (first, others) if b)])
+    x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
+    by_length = sorted(range(len(runs)), key=lambda i: runs[i][0] - runs[i][1])
+    starts, lengths = (np.array([f(runs[i]) for i in by_length], np.int64) for f in (lambda r: r[0], lambda r: r[1] - r[0]))
+    lanes = _Lanes(len(runs), width)
+    for lane, i in enumerate(by_length):
+        if befores[i]:
+            lanes.put(lane, befores[i])
+    done = 0
+    while len(runs) >= LANES and (n := int((lengths > done).sum())) >= LANES:
+        at = starts[:n] + done
+        out[:, at] = lanes.step(x[at], sizes[at], y[at], **options)
+        done += 1
+    states: list[dict] = [{}] * len(runs)
+    for lane, i in enumerate(by_length):
+        state = lanes.get(lane)
+        a, z = runs[i][0] + done, runs[i][1]
+        if a < z:
+            rows = ((None, x[k, : sizes[k]].tolist(), y[k]) for k in range(a, z))
+            found, state = ftrl_rows(rows, state=state, **options)
+            out[:, a:z] = np.array([r[1:] for r in found], float).T
+        states[i] = state
+    return out, states
+
+
 def _runs(keys: list) -> Iterator[tuple[int, int]]:
     """Where equal neighbours start and end."""
     a = 0
@@ -112,16 +234,15 @@ def replay(df: DataFrame, key: str, order: str, features: list[str] | str, label
     slim = _streams(df, key, order, features, label, learn_from)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, state, some = None, None, False
+        at, state = None, None
         for batch in batches:
-            keys, orders, xs, labels = (batch.column(i).to_pylist() for i in (0, 1, 2, 4))
-            out: list[tuple] = []
-            for a, z in _runs(keys):
-                if not some or keys[a] != at:
-                    at, state, some = keys[a], None, True
-                found, state = ftrl_rows(zip(orders[a:z], xs[a:z], labels[a:z], strict=True), state=state, **options)
-                out += found
-            done = [pa.array([r[i] for r in out], pa.float64()) for i in range(1, 5)]
+            keys = batch.column(0).to_pylist()
+            runs = list(_runs(keys))
+            if not runs:
+                continue
+            out, states = ftrl_streams(runs, batch.column(2), batch.column(4), state if keys[0] == at else None, **options)
+            at, state = keys[-1], states[-1]
+            done = [pa.array(c, pa.float64(), from_pandas=True) for c in out]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *done], names=["key", "row_id", "y", "score", "p", "loss", "decay"])
 
     kind = slim.schema["key"].dataType.simpleString()
@@ -138,23 +259,26 @@ def learned(df: DataFrame, key: str, order: str, features: list[str] | str, labe
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        held, state = None, deepcopy(start_from)
+        held, state = None, None
 
-        def given() -> pa.RecordBatch:
+        def given(keys: pa.Array, states: list[dict]) -> pa.RecordBatch:
             kinds = to_arrow_schema(schema)
-            one = {f: state[f] for f in fields}
-            return pa.RecordBatch.from_arrays([held, pa.array([one], kinds.field("state").type)], names=["key", "state"])
+            return pa.RecordBatch.from_arrays([keys, pa.array([{f: one[f] for f in fields} for one in states], kinds.field("state").type)], names=["key", "state"])
 
         for batch in batches:
-            keys, orders, xs, labels = (batch.column(i).to_pylist() for i in (0, 1, 2, 4))
-            for a, z in _runs(keys):
-                if held is not None and held[0].as_py() != keys[a]:
-                    yield given()
-                    state = deepcopy(start_from)
-                held = batch.column(0).slice(a, 1)
-                _, state = ftrl_rows(zip(orders[a:z], xs[a:z], labels[a:z], strict=True), state=state, **options)
+            keys = batch.column(0).to_pylist()
+            runs = list(_runs(keys))
+            if not runs:
+                continue
+            goes_on = held is not None and held[0].as_py() == keys[0]
+            if held is not None and not goes_on:
+                yield given(held, [state])
+            _, states = ftrl_streams(runs, batch.column(2), batch.column(4), state if goes_on else start_from, start_from, **options)
+            if len(runs) > 1:
+                yield given(batch.column(0).take(pa.array([a for a, _ in runs[:-1]])), states[:-1])
+            held, state = batch.column(0).slice(runs[-1][0], 1), states[-1]
         if held is not None:
-            yield given()
+            yield given(held, [state])
 
     return slim.mapInArrow(work, schema)
 
