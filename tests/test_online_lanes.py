@@ -60,5 +60,5 @@ def test_streams_over_batches(spark, size):
     assert len(got) == len(rows) and states.keys() == set(range(60))
     for k, s in enumerate(some):
         for i, want in enumerate(by_row(s)[0]):
-            assert got[k, i] == pytest.approx(want[1:], rel=1e-9, abs=1e-9)
+            assert np.allclose(np.array(got[k, i], float), np.array(want[1:], float), rtol=1e-9, atol=1e-9, equal_nan=True)
         same_state(states[k], by_row(s, deepcopy(start))[1])
