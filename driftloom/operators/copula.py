@@ -250,6 +250,22 @@ def fit_batches(rows: DataFrame, width: int, size: int, count: int | None = None
     return sigma
 
 
+def fit_shares(rows: DataFrame, width: int, batches: int = 20, changing: bool = True) -> np.ndarray:
+    """Online EM in ``batches`` equal shares of the range of row_id, however long the stream: each share's sums are added by the cluster.
+
+    For streams whose batches are too large for one task; :func:`fit_batches` is for small ones.
+    """
+    rows, sigma = stored(rows, "row_id"), np.eye(width)
+    low, high = rows.agg(F.min("row_id"), F.max("row_id")).first()
+    if low is None:
+        return sigma
+    for j in range(batches):
+        a, b = (low + (high + 1 - low) * k // batches for k in (j, j + 1))
+        d = batch_decay(j + 1, changing)
+        sigma = d * moments(rows.where((F.col("row_id") >= a) & (F.col("row_id") < b)), sigma) + (1 - d) * sigma
+    return sigma
+
+
 def widen(sigma: np.ndarray, width: int) -> np.ndarray:
     """For a trapezoid stream: new features are uncorrelated at first."""
     out = np.eye(width)

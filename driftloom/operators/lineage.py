@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_MARKED: set[str] = set()
+
 
 def cut(df: DataFrame) -> DataFrame:
     """A checkpoint in the cluster's shared folder; in a temporary one where none is configured (local tests)."""
@@ -31,4 +33,10 @@ def folder(spark: SparkSession) -> str:
             local = re.fullmatch(r"local(\[.*\])?", context.master)
             at = tempfile.mkdtemp(prefix="spark-checkpoint-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
         context.setCheckpointDir(at)
-    return context.getCheckpointDir()
+    at = context.getCheckpointDir()
+    if at not in _MARKED:
+        # checkpoints and tables go when the driver ends; no result outlives its session
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _MARKED.add(at)
+    return at

@@ -20,8 +20,11 @@ ANNEALING = (0.0, 1e-6, 1e-4, 0.01, 0.1, 0.5, 1.0)
 _GAMMA, _S = 20.0, 3.0
 
 
-def linear_grid(train: DataFrame, test: DataFrame, features: str, label: str, costs=(0.001, 0.01, 0.1, 1.0, 10.0, 100.0)) -> DataFrame:
-    """(cost, error): test error of a linear machine for each cost."""
+def linear_grid(train: DataFrame, test: DataFrame, features: str, label: str, costs=(0.001, 0.01, 0.1, 1.0, 10.0, 100.0), rounds: int = 200) -> DataFrame:
+    """(cost, error, objective): test error of a linear machine for each cost, and its mean hinge loss and penalty where the descent ended.
+
+    Features are scaled to unit deviation, and the penalty is on the scaled weights.
+    """
     from pyspark.ml.classification import LinearSVC
     from pyspark.ml.functions import array_to_vector
 
@@ -29,12 +32,12 @@ def linear_grid(train: DataFrame, test: DataFrame, features: str, label: str, co
     ready = lambda d: d.select(array_to_vector(F.col(features).cast("array<double>")).alias("x"), F.col(label).cast("double").alias("y"))
     fit, judge = ready(train).cache(), ready(test).cache()
     for cost in costs:
-        model = LinearSVC(featuresCol="x", labelCol="y", regParam=1 / (2 * cost * max(1, fit.count())), maxIter=20).fit(fit)
+        model = LinearSVC(featuresCol="x", labelCol="y", regParam=1 / (2 * cost * max(1, fit.count())), maxIter=rounds).fit(fit)
         wrong = model.transform(judge).agg(F.avg((F.col("prediction") != F.col("y")).cast("double"))).first()[0]
-        out.append((cost, wrong))
+        out.append((cost, wrong, float(model.summary().objectiveHistory[-1])))
     fit.unpersist()
     judge.unpersist()
-    return spark.createDataFrame(out, "cost double, error double")
+    return spark.createDataFrame(out, "cost double, error double, objective double")
 
 
 class KernelMap:

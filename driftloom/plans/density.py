@@ -127,7 +127,7 @@ def _spread(spark, sf_dir, fit=None):
 
 @register("label_spreading")
 def label_spreading(spark, sf_dir):
-    """A tenth of the labels spread along the pointers of all points, to parents and then to children, by a tree fitted anew each hop."""
+    """A tenth of the labels spread along the pointers of all points, to parents and then to children, by a batch tree fitted anew each hop."""
     return _spread(spark, sf_dir)
 
 

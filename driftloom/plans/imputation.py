@@ -84,6 +84,14 @@ def copula_imputed(spark, sf_dir):
     return copula.impute(cells, ORDINAL, 4, sigma)
 
 
+@register("copula_imputed_shares")
+def copula_imputed_shares(spark, sf_dir):
+    """The same after online EM over ten shares of the stream, each of which the whole cluster takes."""
+    cells = masked_long(spark, sf_dir)
+    sigma = copula.fit_shares(copula.rows_of(copula.latent(cells, ORDINAL), 4), 4, 10)
+    return copula.impute(cells, ORDINAL, 4, sigma)
+
+
 @register("copula_change")
 def copula_change(spark, sf_dir):
     """Whether the correlations changed from each batch of 500 to the next."""

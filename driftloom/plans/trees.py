@@ -77,7 +77,7 @@ def tree_routed(spark, sf_dir):
 
 @register("tree_predictions")
 def tree_predictions(spark, sf_dir):
-    """H8: a tree grown level by level on the labelled rows of the whole table predicts the stream."""
+    """H1, H5: a batch tree grown level by level on the labelled rows of the whole table predicts the stream."""
     m = matrix(spark, sf_dir).withColumn("known", F.when(F.col("row_id") % 2 == 0, F.col("label")))
     tree = t.grow(m, FEATURES, "known")
     return m.select("row_id", "label", t.node_id(tree, FEATURES).alias("node"), t.predict(tree, FEATURES).alias("predicted"))
@@ -96,7 +96,7 @@ def tree_stream(spark, sf_dir):
 
 @register("tree_ensemble")
 def tree_ensemble(spark, sf_dir):
-    """H9: trees over two views of the stream, joined by either."""
+    """Batch trees over two views of the stream, joined by either; the incremental ones are in two_space_labels."""
     m = matrix(spark, sf_dir).withColumn("known", F.when(F.col("row_id") % 2 == 0, F.col("label")))
     a, b = t.grow(m, FEATURES[:2], "known"), t.grow(m, FEATURES[2:], "known")
     return m.select("row_id", "label", t.either(t.predict(a, FEATURES[:2]), t.predict(b, FEATURES[2:])).alias("predicted"))

@@ -130,11 +130,12 @@ def test_copula_matrix(spark, columns):
     assert np.allclose(got, columns.sigma, atol=1e-7)
 
 
-def test_copula_imputed(spark, columns):
-    columns.sigma = np.eye(4)
-    for j in range(2):
+@pytest.mark.parametrize("query, batches", [("copula_imputed", 2), ("copula_imputed_shares", 10)])
+def test_copula_imputed(spark, columns, query, batches):
+    columns.sigma, size = np.eye(4), 1000 // batches
+    for j in range(batches):
         d = 8 / (j + 1 + 8)
-        columns.sigma = d * columns.own([i for i in columns.ids if i // 500 == j]) + (1 - d) * columns.sigma
+        columns.sigma = d * columns.own([i for i in columns.ids if i // size == j]) + (1 - d) * columns.sigma
     want = {}
     for r in masked_long(spark, SMALL).collect():
         ring = sorted(columns.seen[r.feature_id])
@@ -143,7 +144,7 @@ def test_copula_imputed(spark, columns):
             q = N.cdf(columns.row(columns.rows[r.row_id])[0][r.feature_id])
             v = float(np.quantile(ring, q)) if r.feature_id < 2 else ring[min(max(math.ceil(round((len(ring) + 1) * q - 1, 3)), 0), len(ring) - 1)]
         want[0, r.row_id, r.feature_id] = v
-    same({(0, r.row_id, r.feature_id): r.value for r in imputation.copula_imputed(spark, SMALL).collect()}, want)
+    same({(0, r.row_id, r.feature_id): r.value for r in getattr(imputation, query)(spark, SMALL).collect()}, want)
 
 
 def test_three_norms():
@@ -246,3 +247,21 @@ def test_more_features_than_curvature_takes(spark, monkeypatch):
     one = svm.TransductiveSVM().fit(df, "x", "y").w
     monkeypatch.setattr(svm.TransductiveSVM, "CURVED", 2)
     assert np.allclose(svm.TransductiveSVM(still=1e-5).fit(df, "x", "y").w, one, atol=1e-3)
+
+
+def test_linear_grid_reaches_the_least_objective(spark):
+    """At each cost no nearby weights do better, and a long plain descent ends no lower."""
+    rows = spark.read.parquet(f"{SMALL}/embeddings.parquet").where("vec_id % 10 < 7").collect()
+    x, y = np.array([r.embedding for r in rows], float), np.array([1.0 if r.label < 5 else -1.0 for r in rows])
+    sd = x.std(0, ddof=1)
+    for r in vectors.linear_svm_grid(spark, SMALL).collect():
+        lam = 1 / (2 * r.cost * len(rows))
+        goal = lambda w, b: np.maximum(0, 1 - y * (x @ w + b)).mean() + lam / 2 * ((w * sd) ** 2).sum()  # noqa: B023, E731
+        w, b, best = np.zeros(x.shape[1]), 0.0, np.inf
+        for t in range(4000):
+            on = y * (x @ w + b) < 1
+            gw, gb = -(y[on] @ x[on]) / len(y) + lam * w * sd * sd, -y[on].sum() / len(y)
+            step = 2.0 / (1 + t) ** 0.6
+            w, b = w - step * gw, b - step * gb
+            best = min(best, goal(w, b))
+        assert r.objective <= best + 2e-3 * max(best, 0.05)
