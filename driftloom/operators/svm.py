@@ -15,6 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftloom.functions import numeric
+from driftloom.operators.frames import draw
+
 #: Weight of the unlabelled rows in each round.
 ANNEALING = (0.0, 1e-6, 1e-4, 0.01, 0.1, 0.5, 1.0)
 _GAMMA, _S = 20.0, 3.0
@@ -310,3 +313,15 @@ def random_correlation(width: int = 18, seed: int = 1) -> np.ndarray:
     c = w @ w.T
     d = np.sqrt(np.diag(c))
     return c / np.outer(d, d)
+
+
+def random_correlation_rows(spark, width: int, seed: int = 1) -> DataFrame:
+    """(i, j, rho): a random correlation matrix as rows, products of normal draws that depend on their place alone; no side is gathered."""
+    u = (draw(F.col("i"), F.col("k"), seed) + 1.0) / 2147483648.0
+    grid = spark.range(width).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("k"))
+    w = grid.select("i", "k", u.alias("u")).select("i", "k", numeric.col(numeric.norm_ppf("u")).alias("w"))
+    other = w.select(F.col("i").alias("j"), "k", F.col("w").alias("v"))
+    c = w.join(other, "k").groupBy("i", "j").agg(F.sum(F.col("w") * F.col("v")).alias("c"))
+    d = c.where("i = j").select("i", F.sqrt("c").alias("d"))
+    scaled = c.join(d, "i").join(d.select(F.col("i").alias("j"), F.col("d").alias("e")), "j")
+    return scaled.select("i", "j", F.when(F.col("i") == F.col("j"), 1.0).otherwise(F.col("c") / (F.col("d") * F.col("e"))).alias("rho"))

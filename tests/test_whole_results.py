@@ -265,3 +265,15 @@ def test_linear_grid_reaches_the_least_objective(spark):
             w, b = w - step * gw, b - step * gb
             best = min(best, goal(w, b))
         assert r.objective <= best + 2e-3 * max(best, 0.05)
+
+
+def test_random_correlation_as_rows(spark):
+    got = {(r.i, r.j): r.rho for r in svm.random_correlation_rows(spark, 18, 3).collect()}
+    m = np.array([[got[i, j] for j in range(18)] for i in range(18)])
+    assert np.allclose(m, m.T) and (np.diag(m) == 1).all() and np.linalg.eigvalsh(m).min() > -1e-9
+    u = lambda i, k: ((((i * 1103515245 + k * 12345 + 3) % 2147483648) * 48271 + 11) % 2147483647 + 1) / 2147483648
+    w = np.array([[N.inv_cdf(u(i, k)) for k in range(18)] for i in range(18)])
+    c = w @ w.T
+    assert np.allclose(m, c / np.sqrt(np.outer(np.diag(c), np.diag(c))))
+    again = {(r.i, r.j): r.rho for r in svm.random_correlation_rows(spark, 18, 4).collect()}
+    assert again != got
