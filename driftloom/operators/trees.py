@@ -193,14 +193,17 @@ class StreamTree:
 
     Waiting and recent rows, counts and clusters are tables keyed by node and cut after each batch.
     The driver holds the tree and sees a row for each ready leaf, and for each of its clusters and
-    features. :meth:`save` writes all of it, so that another process can :meth:`load` it and go on.
+    features. Counts hold each distinct number that a leaf saw; with ``digits``, numbers are counted by
+    so many leading binary digits, so that counts stay small however long the stream, and cuts are
+    that exact. :meth:`save` writes all of it, so that another process can :meth:`load` it and go on.
     """
 
     _TABLES = ("waiting", "recent", "counts", "history")
 
-    def __init__(self, row_id: str, numeric: list[str], categories: list[str], label: str, width: float = 10.0, delta: float = DELTA, tie: float = TIE, least: int = LEAST_ROWS, sibling_rows: int = SIBLING_ROWS):
+    def __init__(self, row_id: str, numeric: list[str], categories: list[str], label: str, width: float = 10.0, delta: float = DELTA, tie: float = TIE, least: int = LEAST_ROWS, sibling_rows: int = SIBLING_ROWS, digits: int | None = None):
         self.row_id, self.numeric, self.categories, self.label, self.width = row_id, numeric, categories, label, width
         self.features, self.delta, self.tie, self.least, self.sibling_rows = [*numeric, *categories], delta, tie, least, sibling_rows
+        self.digits = digits
         self.root, self.log = Node(), []
         self.waiting: DataFrame | None = None
         self.recent: DataFrame | None = None
@@ -255,7 +258,7 @@ class StreamTree:
             return
         near, modes = self._clustered(rows.where(is_full))
         names = {f: i for i, f in enumerate(self.features)}
-        cells = F.inline(F.array(*(F.struct(F.lit(i).alias("feature_id"), F.col(f).cast("string").alias("value")) for f, i in names.items())))
+        cells = F.inline(F.array(*(F.struct(F.lit(i).alias("feature_id"), self._counted(f).cast("string").alias("value")) for f, i in names.items())))
         new = class_counts(near.select("node", F.col("told").alias("label"), cells), ["node"])
         if self.counts is not None:
             new = self.counts.unionByName(new).groupBy("node", "feature_id", "value").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
@@ -266,6 +269,13 @@ class StreamTree:
         at = [k for k, _ in _leaves(self.root)]
         self.recent = self.recent.where(F.col("node").isin(at))
 
+    def _counted(self, f: str) -> Column:
+        if self.digits is None or f not in self.numeric:
+            return F.col(f)
+        v = F.col(f).cast("double")
+        unit = F.pow(F.lit(2.0), F.floor(F.log2(F.abs(v))) - (self.digits - 1))
+        return F.when(v == 0, v).otherwise(F.rint(v / unit) * unit)
+
     def _remember(self, new: DataFrame) -> None:
         """Each leaf's last ``sibling_rows`` rows."""
         new = new.withColumn("node", node_id(self.root, self.features).cast("long"))

@@ -383,3 +383,22 @@ def test_sibling_with_few_rows_keeps_the_parent(spark):
     start = [r for pair in zip(kind(0, 0, 0, 130), kind(100, 0, 1000, 130), strict=True) for r in pair]
     tree = grown(spark, [start, kind(0, 0, 2000, 40) + kind(100, 0, 2100, 40), kind(100, 1, 3000, 15), kind(0, 1, 5000, 40)], sibling_rows=120)
     assert ("drift", 2) in tree.log and tree.root.feature is not None
+
+
+def test_counts_by_leading_digits(spark):
+    """Counts stay small whatever the numbers, and a cut is as exact as the digits; small whole numbers stay as they are."""
+    r = np.random.default_rng(12)
+    values = np.concatenate((r.uniform(-100, 100, 900), np.arange(-40.0, 60.0), [0.0]))
+    rows = [(i, float(v), "c", int(v > 30.05)) for i, v in enumerate(r.permutation(values))]
+    trees_ = {d: trees.StreamTree("i", ["a"], ["c"], "y", width=10.0, digits=d) for d in (None, 6)}
+    for tree in trees_.values():
+        for a in range(0, len(rows), 500):
+            tree.update(spark.createDataFrame(rows[a : a + 500], SCHEMA))
+    exact, rounded = trees_[None].root, trees_[6].root
+    assert exact.feature == rounded.feature == 0 and rounded.cut == pytest.approx(exact.cut, rel=2.0**-5)
+    tree = trees.StreamTree("i", ["a"], ["c"], "y", width=10.0, digits=6, delta=1e-300, tie=0.0)  # never split
+    tree.update(spark.createDataFrame(rows, SCHEMA))
+    kept = {float(c.value) for c in tree.counts.where("feature_id = 0").collect()}
+    unit = lambda v: 2.0 ** (math.floor(math.log2(abs(v))) - 5)
+    assert kept == {round(v / unit(v)) * unit(v) if v else 0.0 for v in values} and {float(v) for v in range(-40, 60)} <= kept
+    assert len(kept) < 500 and tree.counts.where("feature_id = 0").agg(F.sum("n0") + F.sum("n1")).first()[0] == len(rows)
