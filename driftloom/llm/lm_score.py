@@ -68,57 +68,103 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+def _gates(w: tuple[np.ndarray, np.ndarray], x: np.ndarray, h: np.ndarray, out: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+    """One step, each column a sequence: gate inputs and old states to gates, candidates and new states (``out``).
+
+    Columns keep the rows of a gate together in memory; exp may overflow, to a gate of 0.
+    """
+    gates, c, new = out
+    n = HIDDEN
+    np.matmul(w[0], h, out=gates)
+    gates += x[: 2 * n]
+    np.negative(gates, out=gates)
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    np.matmul(w[1], gates[n:] * h, out=c)
+    c += x[2 * n :]
+    np.tanh(c, out=c)
+    np.subtract(c, h, out=new)
+    new *= gates[:n]
+    new += h
+
+
+def _recurrent(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of :func:`_gates`."""
+    return np.ascontiguousarray(p["wh"][:, : 2 * HIDDEN].T), np.ascontiguousarray(p["wh"][:, 2 * HIDDEN :].T)
 
 
 def step(p: dict[str, np.ndarray], table: np.ndarray, ids: np.ndarray, h: np.ndarray):
-    """New state, and what the way back needs. ``table`` holds each word's input to the gates."""
-    x, n = table[ids], HIDDEN
-    zr = _sigmoid(x[:, : 2 * n] + h @ p["wh"][:, : 2 * n])
-    z, r = zr[:, :n], zr[:, n:]
-    rh = r * h
-    c = np.tanh(x[:, 2 * n :] + rh @ p["wh"][:, 2 * n :])
-    return h + z * (c - h), (h, z, r, rh, c)
+    """New states (rows), gates and candidates (columns). ``table`` holds each word's input to the gates."""
+    x, h = table[ids].T, h.T
+    gates, c, new = (np.empty((n, len(ids)), np.result_type(x, h)) for n in (2 * HIDDEN, HIDDEN, HIDDEN))
+    with np.errstate(over="ignore"):
+        _gates(_recurrent(p), x, h, (gates, c, new))
+    return new.T, (gates, c)
 
 
 def gate_inputs(p: dict[str, np.ndarray]) -> np.ndarray:
     return p["embed"] @ p["wx"] + p["b"]
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _chosen(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-softmax down the columns at each column's target, and the gradient of its negative. ``x`` is used up."""
+    rows = np.arange(x.shape[1])
+    x -= x.max(0)
+    score = x[target, rows]
+    e = np.exp(x, out=x)
+    total = e.sum(0)
+    e /= total
+    e[target, rows] -= 1
+    return score - np.log(total), e
 
 
 def output(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray, grads: dict | None = None):
-    """Natural log-probability of each target after its state; with ``grads``, also the gradient for the states."""
-    kind, inside = target // CLASS_SIZE, target % CLASS_SIZE
-    rows = np.arange(len(h))
-    lc = _log_softmax(h @ p["wc"] + p["bc"])
-    score = lc[rows, kind]
+    """Natural log-probability of each target after its state (a row); with ``grads``, also the gradient for the states."""
+    score, back = _output(p, h.T, target, grads)
+    return score, None if back is None else back.T
+
+
+def _output(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray, grads: dict | None = None):
+    """:func:`output` with states as columns."""
+    kind = (target // CLASS_SIZE).astype(np.int16)
+    order = np.argsort(kind, kind="stable")
+    # targets of a class lie together
+    kind, inside, h = kind[order], (target % CLASS_SIZE)[order], np.take(h, order, axis=1)
+    cuts = np.searchsorted(kind, np.arange(len(p["bc"]) + 1))
+    score, d = _chosen(p["wc"].T @ h + p["bc"][:, None], kind)
     back = None
     if grads is not None:
-        d = np.exp(lc)
-        d[rows, kind] -= 1
-        grads["wc"] += h.T @ d
-        grads["bc"] += d.sum(0)
-        back = d @ p["wc"].T
-    order = np.argsort(kind, kind="stable")
-    cuts = np.searchsorted(kind[order], np.arange(len(p["bc"]) + 1))
-    for k in np.flatnonzero(np.diff(cuts)):
-        at = order[cuts[k] : cuts[k + 1]]
-        hk = h[at]
-        lw = _log_softmax(hk @ p["ww"][k] + p["bw"][k])
-        one = np.arange(len(at))
-        score[at] += lw[one, inside[at]]
-        if grads is not None:
-            d = np.exp(lw)
-            d[one, inside[at]] -= 1
-            grads["ww"][k] += hk.T @ d
-            grads["bw"][k] += d.sum(0)
-            back[at] += d @ p["ww"][k].T
-    return score, back
+        grads["wc"] += h @ d.T
+        grads["bc"] += d.sum(1)
+        back = p["wc"] @ d
+    some = np.flatnonzero(np.diff(cuts))
+    x = np.empty_like(d)
+    for k in some:
+        at = slice(cuts[k], cuts[k + 1])
+        x[:, at] = p["ww"][k].T @ h[:, at]
+        x[:, at] += p["bw"][k][:, None]
+    more, d = _chosen(x, inside)
+    score += more
+    if grads is not None:
+        grads["bw"][some] += np.add.reduceat(d, cuts[some], axis=1).T
+        for k in some:
+            at = slice(cuts[k], cuts[k + 1])
+            grads["ww"][k] += h[:, at] @ d[:, at].T
+            back[:, at] += p["ww"][k] @ d[:, at]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return score[place], None if back is None else np.take(back, place, axis=1)
+
+
+def _sum_by(ids: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The sums of ``rows`` that share an id, for ids up to ``n``."""
+    order = np.argsort(ids.astype(np.int16), kind="stable")
+    some = ids[order]
+    first = np.flatnonzero(np.diff(some, prepend=-1))
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    out[some[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
 
 
 def loss_and_gradients(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, real: np.ndarray | None = None, h: np.ndarray | None = None):
@@ -127,37 +173,46 @@ def loss_and_gradients(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np
     Only the targets that are ``real`` count; what is not stands behind a window's end.
     """
     steps, batch = inputs.shape
+    n = HIDDEN
     real = np.ones(inputs.shape, bool) if real is None else real
     g = {k: np.zeros(s, np.float32) for k, s in _SHAPES.items()}
-    table, kept, states = gate_inputs(p), [], []
-    h = np.zeros((batch, HIDDEN), np.float32) if h is None else h
-    for t in range(steps):
-        h, way = step(p, table, inputs[t], h)
-        kept.append(way)
-        states.append(h)
-    score, some = output(p, np.stack(states)[real], targets[real], g)
-    back = np.zeros((steps, batch, HIDDEN), some.dtype)
-    back[real] = some
-    n, dh, gates = HIDDEN, np.zeros((batch, HIDDEN), np.float32), []
+    x = np.ascontiguousarray(gate_inputs(p)[inputs].transpose(0, 2, 1))
+    states, gates, c = (np.empty((m, k, batch), x.dtype) for m, k in ((steps + 1, n), (steps, 2 * n), (steps, n)))
+    states[0] = 0 if h is None else h.T
+    w = _recurrent(p)
+    with np.errstate(over="ignore"):
+        for t in range(steps):
+            _gates(w, x[t], states[t], (gates[t], c[t], states[t + 1]))
+    at = np.flatnonzero(real)
+    columns = lambda a: a.transpose(1, 0, 2).reshape(a.shape[1], -1)
+    score, some = _output(p, np.take(columns(states[1:]), at, axis=1), targets.ravel()[at], g)
+    back = np.zeros((n, steps * batch), some.dtype)
+    back[:, at] = some
+    back = np.ascontiguousarray(back.reshape(n, steps, batch).transpose(1, 0, 2))
+    # what does not depend on later steps, for all steps at once
+    h0, z, r = states[:-1], gates[:, :n], gates[:, n:]
+    stay = 1 - z
+    for_z, for_r, for_c = (c - h0) * z * stay, h0 * r * (1 - r), z * (1 - c * c)
     wz, wn = p["wh"][:, : 2 * n], p["wh"][:, 2 * n :]
+    d, dh = np.empty_like(x), np.zeros((n, batch), x.dtype)
     for t in range(steps - 1, -1, -1):
-        h0, z, r, rh, c = kept[t]
-        dh = dh + back[t]
-        dc = dh * z * (1 - c * c)
-        drh = dc @ wn.T
-        dzr = np.concatenate((dh * (c - h0) * z * (1 - z), drh * h0 * r * (1 - r)), axis=1)
-        g["wh"][:, 2 * n :] += rh.T @ dc
-        g["wh"][:, : 2 * n] += h0.T @ dzr
-        gates.append(np.concatenate((dzr, dc), axis=1))
-        dh = dh * (1 - z) + drh * r + dzr @ wz.T
-    d = np.concatenate(gates[::-1])
-    g["b"] += d.sum(0)
-    per_word = np.zeros((VOCABULARY + 2, 3 * n), np.float32)
-    np.add.at(per_word, inputs.ravel(), d)
-    g["wx"] += p["embed"].T @ per_word
-    g["embed"] += per_word @ p["wx"].T
+        dh += back[t]
+        drh = wn @ np.multiply(dh, for_c[t], out=d[t, 2 * n :])
+        np.multiply(dh, for_z[t], out=d[t, :n])
+        np.multiply(drh, for_r[t], out=d[t, n : 2 * n])
+        dh *= stay[t]
+        drh *= r[t]
+        dh += drh
+        dh += wz @ d[t, : 2 * n]
+    flat = columns(d)
+    g["wh"][:, 2 * n :] += columns(r * h0) @ flat[2 * n :].T
+    g["wh"][:, : 2 * n] += columns(h0) @ flat[: 2 * n].T
+    g["b"] += flat.sum(1)
+    rows = np.ascontiguousarray(d.transpose(0, 2, 1)).reshape(-1, 3 * n)
+    g["wx"] += np.take(p["embed"], inputs.ravel(), axis=0).T @ rows
+    g["embed"] += _sum_by(inputs.ravel(), rows @ p["wx"].T, VOCABULARY + 2)
     total = len(score)
-    return -float(score.mean()), {k: v / total for k, v in g.items()}, states[-1]
+    return -float(score.mean()), {k: v / total for k, v in g.items()}, states[-1].T
 
 
 class Adam:
@@ -175,17 +230,16 @@ class Adam:
 
 def document_scores(p: dict[str, np.ndarray], docs: list[np.ndarray]) -> np.ndarray:
     """Natural log-likelihood of each whole id sequence, its state carried from start to end."""
-    table, out = gate_inputs(p), np.zeros(len(docs))
+    table, w, out = np.ascontiguousarray(gate_inputs(p).T), _recurrent(p), np.zeros(len(docs))
     sizes = np.array([len(d) for d in docs])
     order = np.argsort(-sizes, kind="stable")
     for a in range(0, len(order), SCORED_TOGETHER):
         some = order[a : a + SCORED_TOGETHER]
-        h, last = np.zeros((len(some), HIDDEN), np.float32), np.full(len(some), END)
+        h, last = np.zeros((HIDDEN, len(some)), np.float32), np.full(len(some), END)
         longest = sizes[some[0]]
         for t0 in range(0, longest, STEPS_TOGETHER):
             live = int((sizes[some] > t0).sum())
-            if live < len(h):
-                h, last = h[:live], last[:live]
+            h, last = np.ascontiguousarray(h[:, :live]), last[:live]
             width = min(STEPS_TOGETHER, longest - t0)
             ids = np.zeros((width, live), np.int64)
             real = np.zeros((width, live), bool)
@@ -193,13 +247,16 @@ def document_scores(p: dict[str, np.ndarray], docs: list[np.ndarray]) -> np.ndar
                 part = docs[i][t0 : t0 + width]
                 ids[: len(part), j] = part
                 real[: len(part), j] = True
-            states = np.empty((width, live, HIDDEN), np.float32)
-            for t in range(width):
-                h, _ = step(p, table, last, h)
-                states[t], last = h, ids[t]
-            score = np.zeros((width, live))
-            score[real] = output(p, states[real], ids[real])[0]
-            out[some[:live]] += score.sum(0)
+            states = np.empty((width, HIDDEN, live), np.float32)
+            gates, c = np.empty((2 * HIDDEN, live), np.float32), np.empty((HIDDEN, live), np.float32)
+            with np.errstate(over="ignore"):
+                for t in range(width):
+                    _gates(w, np.take(table, last, axis=1), h, (gates, c, states[t]))
+                    h, last = states[t], ids[t]
+            at = np.flatnonzero(real)
+            score = np.zeros(width * live)
+            score[at] = _output(p, np.take(states.transpose(1, 0, 2).reshape(HIDDEN, -1), at, axis=1), ids.ravel()[at])[0]
+            out[some[:live]] += score.reshape(width, live).sum(0)
     return out
 
 

@@ -143,3 +143,29 @@ def test_score_from_training_to_result(spark):
     for i, t in rows:
         want = lm_score.document_scores(p, [np.array([*(ids.get(w, lm_score.RARE) for w in t.split()), lm_score.END])])[0] / math.log(10)
         assert got[i] == pytest.approx(want, rel=1e-4)
+
+
+def test_gates_at_any_size():
+    """States are those of the plain formulas, also where exp overflows."""
+    p = lm_score.initial(np.ones(1024), 4)
+    r = np.random.default_rng(6)
+    table = (r.standard_normal((1024, 48)) * r.choice([0.1, 1, 200], (1024, 1))).astype(np.float32)
+    h, n = r.uniform(-1, 1, (300, lm_score.HIDDEN)).astype(np.float32), lm_score.HIDDEN
+    ids = r.integers(0, 1024, 300)
+    x, w = table[ids].astype(float), p["wh"].astype(float)
+    z, u = (1 / (1 + np.exp(-np.clip(x[:, a : a + n] + h @ w[:, a : a + n], -500, 500))) for a in (0, n))
+    c = np.tanh(x[:, 2 * n :] + (u * h) @ w[:, 2 * n :])
+    assert np.allclose(lm_score.step(p, table, ids, h)[0], h + z * (c - h), atol=1e-5)
+
+
+def test_sums_by_id():
+    ids, rows = np.array([5, 0, 5, 9, 0]), np.arange(10.0).reshape(5, 2)
+    want = np.zeros((10, 2))
+    np.add.at(want, ids, rows)
+    assert np.array_equal(lm_score._sum_by(ids, rows, 10), want)
+
+
+def test_output_without_targets():
+    p = lm_score.initial(np.ones(1024))
+    score, back = lm_score.output(p, np.zeros((0, lm_score.HIDDEN), np.float32), np.zeros(0, np.int64), {k: np.zeros_like(v) for k, v in p.items()})
+    assert score.shape == (0,) and back.shape == (0, lm_score.HIDDEN)
