@@ -33,6 +33,8 @@ from driftloom.llm.shared import slices
 
 #: Bytes that are merged directly, characters and tokens at which the trees over texts end.
 LEAF_BYTES, LEAF_CHARS, LEAF_TOKENS = 12, 1 << 16, 1 << 16
+#: Bytes from which a window that still grows is merged directly instead of up a tree of its own.
+LONG_WINDOW = 1024
 #: Entries of each cache of a worker, and the longest that is kept; it empties when full, so memory stays bounded.
 CACHED, CACHED_LENGTH = 120_000, 64
 _NONE = 1 << 62
@@ -104,6 +106,8 @@ class Codec:
     def window(self, tokens: Sequence[int]) -> tuple[int, ...]:
         """The valid encoding of a window's bytes."""
         data = b"".join(map(self.bytes_of.__getitem__, tokens))
+        if len(data) > LONG_WINDOW:
+            return merge_long(data, self.ranks)
         return self.merge(data) if len(data) <= 16 else self.merged[data]
 
     def join(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:

@@ -47,6 +47,13 @@ def test_join_is_associative():
     assert left == right == CODEC.merge(data) == bpe.merge_long(data, RANKS)
 
 
+@pytest.mark.parametrize("unit", [b"a", b"the", b"ab", "é".encode(), b"aab", b"0"])
+def test_windows_longer_than_the_limit(unit):
+    """Windows that keep growing are merged directly, with the same ids."""
+    data = unit * (9 * bpe.LONG_WINDOW // len(unit) + 1)
+    assert bpe.Codec(RAW, P.PATTERN)._halves(data) == bpe.merge_long(data, RANKS)
+
+
 def test_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [*(tuple(r) for r in docs.select("doc_id", "text").collect()), (7, None), (None, "x"), (7, "")]
