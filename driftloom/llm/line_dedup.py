@@ -40,11 +40,10 @@ _LOW = (1 << 58) - 1
 _BLANK = " \t\n\x0b\x0c\r"
 
 
-def _plain(text: Column) -> Column:
-    """Lower case, other white space but line ends as spaces."""
-    low = F.lower(text)
-    odd = F.contains(low, F.lit("\t")) | F.contains(low, F.lit("\r")) | F.contains(low, F.lit("\x0b")) | F.contains(low, F.lit("\x0c"))
-    return F.when(odd, F.regexp_replace(low, r"[\t\x0B\f\r]", " ")).otherwise(low)
+def _plain(line: Column) -> Column:
+    """Lower case, other white space as spaces. Of single lines: one letter beyond ASCII makes a whole text slow to lower."""
+    odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c"))
+    return F.lower(F.when(odd, F.regexp_replace(line, r"[\t\x0B\f\r]", " ")).otherwise(line))
 
 
 class _Order:
@@ -140,16 +139,18 @@ def matched_lines(texts: DataFrame, bits: int, chars: int, percent: int, scratch
     """(c) of every line of (base, text) that has a word and an earlier match: the base and its place in the text."""
     spark = texts.sparkSession
     order = _Order(texts, chars)
-    lines = texts.select("base", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("no", "line")).select((F.col("base") + F.col("no")).alias("c"), "line")
-    hashed = lines.select("c", "line", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2")).where(F.trim("line") != "")
+    lines = texts.select("base", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.btrim("line", F.lit(_BLANK)) != "")
+    lines = lines.select((F.col("base") + F.col("no")).alias("c"), _plain(F.col("line")).alias("line"))
+    hashed = scratch.write(lines.select("c", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2")))
 
     often = hashed.groupBy("k1", "k2").agg(F.min("c").alias("first"), F.count("*").alias("copies")).where("copies > 1")
     often = scratch.write(often.select("k1", "k2", "first"))
     # of its class, but not the first
     copy = (hashed["k1"] == often["k1"]) & (hashed["k2"] == often["k2"]) & (hashed["c"] != often["first"])
     copies = scratch.write(_join(hashed, often, copy, "left_semi", 32).select("c"))
+    scratch.drop(hashed, often)
 
-    heads = _join(hashed, often, copy, "left_anti", 32).select("c", order.keys(F.col("line")).alias("o"))
+    heads = _join(lines, copies, ["c"], "left_anti", 16).select("c", order.keys(F.col("line")).alias("o"))
     n = F.size("o")
     prefix = F.slice("o", F.lit(1), n - F.ceil(n * percent / 100.0 - 1e-9).cast("int") + 2)
     heads = heads.select("c", n.alias("n"), "o", prefix.alias("prefix"))
@@ -165,10 +166,9 @@ def matched_lines(texts: DataFrame, bits: int, chars: int, percent: int, scratch
     p = F.coalesce(F.get("places", F.col("pos")), F.col("pos"))
     posts = posts.select("word", "c", (F.col("mark") + F.least(p, F.lit(_MOST))).alias("mark"))
 
-    place = Window.partitionBy("word").orderBy("c")
+    place = Window.partitionBy("word").orderBy("c").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     lead = F.first(F.struct("c", "mark")).over(place)
-    alone = F.lag("c").over(place).isNull() & F.lead("c").over(place).isNull()
-    posts = posts.select("word", "c", "mark", lead.alias("lead"), alone.alias("alone")).where("not alone").drop("alone")
+    posts = posts.select("word", "c", "mark", lead.alias("lead"), F.count("*").over(place).alias("lines")).where("lines > 1").drop("lines")
     name = f"line_posts_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -179,14 +179,15 @@ def matched_lines(texts: DataFrame, bits: int, chars: int, percent: int, scratch
         nos = wanted.groupBy(F.shiftleft(F.shiftright("c", bits), bits).alias("base")).agg(F.collect_list("c").alias("cs"))
         found = texts.join(F.broadcast(nos) if wanted.count() * 24 <= BROADCAST_BYTES else nos, "base")
         # rows that repeat an id and text give the same lines twice, and the pairs are made distinct in the end
-        found = found.withColumn("lines", F.split(_plain(F.col("text")), "\n"))
+        found = found.withColumn("lines", F.split("text", "\n"))
         cut = F.transform("cs", lambda c: F.struct(c.alias("c"), F.get("lines", (c - F.col("base")).cast("int")).alias("line")))
-        full = scratch.write(found.select(F.inline(cut)))
+        full = scratch.write(found.select(F.inline(cut)).select("c", _plain(F.col("line")).alias("line")))
         both = pairs.join(full.select(F.col("c").alias("x"), F.col("line").alias("xl")), "x").join(full.select(F.col("c").alias("y"), F.col("line").alias("yl")), "y")
         words = lambda line: F.array_distinct(F.array_remove(F.split(line, " "), ""))
-        both = both.select("x", words("xl").alias("xw"), words("yl").alias("yw"))
-        inter = F.size(F.array_intersect("xw", "yw"))
-        similar = both.where(100 * inter >= percent * (F.size("xw") + F.size("yw") - inter)).select(F.col("x").alias("c")).distinct()
+        # a generator, so that the filter behind it does not split the lines anew at each mention
+        both = both.select("x", F.inline(F.array(F.struct(words("xl").alias("xw"), words("yl").alias("yw")))))
+        enough = (100 + percent) * F.size(F.array_intersect("xw", "yw")) >= percent * (F.size("xw") + F.size("yw"))
+        similar = both.where(enough).select(F.col("x").alias("c")).distinct()
         out = scratch.write(similar)
         scratch.drop(pairs, wanted, full)
         return out

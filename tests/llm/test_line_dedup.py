@@ -84,5 +84,13 @@ def test_ids_that_are_no_numbers(spark):
     assert sorted(map(str, got)) == brute(rows)
 
 
+def test_copies_are_found_without_the_text(spark, monkeypatch):
+    """Copies come from the lines' hashes, which are written once: the text is not split and hashed again for them."""
+    seen, join = {}, line_dedup._join
+    monkeypatch.setattr(line_dedup, "_join", lambda big, few, on, how, n: (seen.setdefault(how, big.columns), join(big, few, on, how, n))[1])
+    same(spark, [(1, "a b\nC d"), (2, "A b\n\tc\x0bd\n\x0b\r"), (3, "Σας ΣΑΣ\r\nσας ΣΑΣ"), (4, "σας σας\nİ i")])
+    assert seen["left_semi"] == ["c", "k1", "k2"]
+
+
 def test_empty(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
