@@ -107,16 +107,19 @@ def gate_inputs(p: dict[str, np.ndarray]) -> np.ndarray:
     return p["embed"] @ p["wx"] + p["b"]
 
 
-def _chosen(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-softmax down the columns at each column's target, and the gradient of its negative. ``x`` is used up."""
+def _chosen(x: np.ndarray, target: np.ndarray, gradient: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log-softmax down the columns at each column's target, and if asked for the gradient of its negative. ``x`` is used up."""
     rows = np.arange(x.shape[1])
     x -= x.max(0)
     score = x[target, rows]
     e = np.exp(x, out=x)
     total = e.sum(0)
+    score -= np.log(total)
+    if not gradient:
+        return score, None
     e /= total
     e[target, rows] -= 1
-    return score - np.log(total), e
+    return score, e
 
 
 def output(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray, grads: dict | None = None):
@@ -132,19 +135,19 @@ def _output(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray, grads:
     # targets of a class lie together
     kind, inside, h = kind[order], (target % CLASS_SIZE)[order], np.take(h, order, axis=1)
     cuts = np.searchsorted(kind, np.arange(len(p["bc"]) + 1))
-    score, d = _chosen(p["wc"].T @ h + p["bc"][:, None], kind)
+    score, d = _chosen(p["wc"].T @ h + p["bc"][:, None], kind, grads is not None)
     back = None
     if grads is not None:
         grads["wc"] += h @ d.T
         grads["bc"] += d.sum(1)
         back = p["wc"] @ d
     some = np.flatnonzero(np.diff(cuts))
-    x = np.empty_like(d)
+    x = np.empty((CLASS_SIZE, len(kind)), score.dtype)
     for k in some:
         at = slice(cuts[k], cuts[k + 1])
         x[:, at] = p["ww"][k].T @ h[:, at]
         x[:, at] += p["bw"][k][:, None]
-    more, d = _chosen(x, inside)
+    more, d = _chosen(x, inside, grads is not None)
     score += more
     if grads is not None:
         grads["bw"][some] += np.add.reduceat(d, cuts[some], axis=1).T
@@ -216,16 +219,30 @@ def loss_and_gradients(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np
 
 
 class Adam:
+    """Moments of all parameters in one array each, in the order of ``_SHAPES``."""
+
     def __init__(self, p, rate=RATE):
-        self.m, self.v, self.t, self.rate = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0, rate
+        flat = pack(p)
+        self.m, self.v, self.t, self.rate = np.zeros_like(flat), np.zeros_like(flat), 0, rate
 
     def update(self, p, g, share: float = 1.0) -> None:
         """``share``: how large a part of a full batch the gradient stands for."""
         self.t += 1
-        for k in p:
-            self.m[k] += 0.1 * (g[k] - self.m[k])
-            self.v[k] += 0.01 * (g[k] * g[k] - self.v[k])
-            p[k] -= share * self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-8)
+        g = pack(g)
+        self.m += 0.1 * (g - self.m)
+        g *= g
+        g -= self.v
+        g *= 0.01
+        self.v += g
+        below = np.sqrt(np.divide(self.v, 1 - 0.99**self.t, out=g), out=g)
+        below += 1e-8
+        step = self.m / (1 - 0.9**self.t)
+        step *= share * self.rate
+        step /= below
+        at = 0
+        for k in _SHAPES:
+            p[k] -= step[at : at + p[k].size].reshape(p[k].shape)
+            at += p[k].size
 
 
 def document_scores(p: dict[str, np.ndarray], docs: list[np.ndarray]) -> np.ndarray:
@@ -241,12 +258,10 @@ def document_scores(p: dict[str, np.ndarray], docs: list[np.ndarray]) -> np.ndar
             live = int((sizes[some] > t0).sum())
             h, last = np.ascontiguousarray(h[:, :live]), last[:live]
             width = min(STEPS_TOGETHER, longest - t0)
-            ids = np.zeros((width, live), np.int64)
-            real = np.zeros((width, live), bool)
-            for j, i in enumerate(some[:live]):
-                part = docs[i][t0 : t0 + width]
-                ids[: len(part), j] = part
-                real[: len(part), j] = True
+            real = np.arange(t0, t0 + width)[:, None] < sizes[some[:live]]
+            ids = np.zeros((live, width), np.int64)
+            ids[real.T] = np.concatenate([docs[i][t0 : t0 + width] for i in some[:live]])
+            ids = np.ascontiguousarray(ids.T)
             states = np.empty((width, HIDDEN, live), np.float32)
             gates, c = np.empty((2 * HIDDEN, live), np.float32), np.empty((HIDDEN, live), np.float32)
             with np.errstate(over="ignore"):

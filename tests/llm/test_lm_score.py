@@ -169,3 +169,29 @@ def test_output_without_targets():
     p = lm_score.initial(np.ones(1024))
     score, back = lm_score.output(p, np.zeros((0, lm_score.HIDDEN), np.float32), np.zeros(0, np.int64), {k: np.zeros_like(v) for k, v in p.items()})
     assert score.shape == (0,) and back.shape == (0, lm_score.HIDDEN)
+
+
+def test_adam_over_all_parameters():
+    """One array for all parameters gives the plain formulas."""
+    r = np.random.default_rng(8)
+    p = {k: v.astype(np.float64) for k, v in lm_score.initial(np.ones(1024), 5).items()}
+    q, adam = {k: v.copy() for k, v in p.items()}, lm_score.Adam(p)
+    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+    for t in range(1, 4):
+        g = {k: r.standard_normal(x.shape) for k, x in p.items()}
+        kept = {k: x.copy() for k, x in g.items()}
+        adam.update(p, g, 0.5)
+        for k in q:
+            assert np.array_equal(g[k], kept[k])
+            m[k], v[k] = 0.9 * m[k] + 0.1 * g[k], 0.99 * v[k] + 0.01 * g[k] ** 2
+            q[k] -= 0.5 * lm_score.RATE * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
+            assert np.allclose(p[k], q[k], rtol=1e-9, atol=1e-12)
+    assert adam.m.shape == lm_score.pack(p).shape
+
+
+def test_scoring_takes_no_gradient(monkeypatch):
+    """What only training needs, a fifth of the time of scoring, is not computed for scores."""
+    asked, chosen = [], lm_score._chosen
+    monkeypatch.setattr(lm_score, "_chosen", lambda x, target, *more: (asked.append(more), chosen(x, target, *more))[1])
+    lm_score.document_scores(lm_score.initial(np.ones(1024)), [np.arange(40), np.arange(700) % 1024])
+    assert set(asked) == {(False,)}
