@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import array
 import base64
+import re
 from collections.abc import Iterator, Sequence
 from itertools import chain
 
@@ -71,10 +72,14 @@ class Codec:
     def __init__(self, ranks: bytes, pattern: str):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in ranks.splitlines() if x)}
         self.bytes_of = dict(zip(self.ranks.values(), self.ranks.keys(), strict=True))
-        self.split = regex.compile(pattern).findall
+        self.split_any, self.split_ascii = regex.compile(pattern).findall, _for_ascii(pattern)
         self.pieces = _Cache(self._piece)
         self.merged = _Cache(self._halves)
 
+    def split(self, text: str) -> list[str]:
+        """The matches of the pattern."""
+        return self.split_ascii(text) if self.split_ascii and text.isascii() else self.split_any(text)
+
     def _piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
         whole = self.ranks.get(data)
@@ -146,6 +151,29 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+#: What classes hold of ASCII, inside of brackets.
+_ASCII = {r"\p{L}": "a-zA-Z", r"\p{N}": "0-9", r"\s": r"\t-\r\x20"}
+
+
+def _for_ascii(pattern: str):
+    """``findall`` of the same pattern for ASCII texts in Python's own engine, which is faster; None if it uses more than the classes above."""
+    inside = False
+    out, at = [], 0
+    while at < len(pattern):
+        known = next((x for x in (*_ASCII, r"\S") if pattern.startswith(x, at)), None)
+        if known == r"\S" and not inside:
+            out.append(f"[^{_ASCII[chr(92) + 's']}]")
+        elif known and known != r"\S":
+            out.append(_ASCII[known] if inside else f"[{_ASCII[known]}]")
+        elif known or pattern[at] in "\\.^$" and not (inside and pattern[at - 1 : at + 1] == "[^") or pattern[at : at + 2] == "(?" and pattern[at : at + 3] not in ("(?!", "(?="):
+            return None
+        else:
+            inside = pattern[at] == "[" or inside and pattern[at] != "]"
+            out.append(pattern[at])
+        at += len(known or " ")
+    return re.compile("".join(out)).findall
+
+
 def _safe_cut(text: str) -> int:
     """Near the middle, a place where white space follows something else; 0 if there is none."""
     found = regex.compile(r"\S(?=\s)").search(text, len(text) // 2)

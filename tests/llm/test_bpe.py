@@ -54,6 +54,20 @@ def test_windows_longer_than_the_limit(unit):
     assert bpe.Codec(RAW, P.PATTERN)._halves(data) == bpe.merge_long(data, RANKS)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.text(st.characters(max_codepoint=127)), st.text("aB'slr 1\n\t\x0b\x1c\x1f\x85.#", max_size=60)))
+def test_ascii_texts_are_split_alike(text):
+    """ASCII texts go to the faster engine, with the same matches."""
+    assert CODEC.split_ascii is not None
+    assert CODEC.split(text) == CODEC.split_any(text)
+
+
+def test_other_patterns_keep_their_engine():
+    for pattern in (r"\w+", r"(?i:'s)|\p{L}+", r"\p{Lu}+", "a.b", "^a", r"[\S]", r"(?i)a"):
+        assert bpe._for_ascii(pattern) is None
+    assert bpe._for_ascii(r"\p{N}{1,3}|[^\s]+")("12345 a") == ["123", "45", "a"]
+
+
 def test_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [*(tuple(r) for r in docs.select("doc_id", "text").collect()), (7, None), (None, "x"), (7, "")]
