@@ -10,12 +10,13 @@ share two such words are verified on the full sets of words.
 
 * Equal lines (but for case) are found first, by 128-bit hashes; all but the first are gone and
   never reach the join, so that a line of any frequency is one row there.
-* Each word's lines are first compared with the earliest of them alone; only lines that this
-  leaves standing meet all earlier lines of their prefix words.
+* The lines of a word that many have are first compared with the earliest of them alone; only lines
+  that this leaves standing meet all earlier lines of their prefix words.
 * A word of a hot bucket makes no group of its own: it is posted together with each later word of
   the prefix, which is exact because a second shared word is sure.
 
-What is shuffled for all lines is the prefix, never the text. Only DataFrame functions are used.
+The text is read once for the words' 64-bit hashes, which stand for the words from there on. What is
+shuffled for all lines is the prefix, never the text. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -29,10 +30,12 @@ from pyspark.sql import functions as F
 from driftloom.llm.shared import Scratch
 
 PERCENT = 80
-#: Hash buckets of the word counts, at least and at most; between them one for each CHARS characters.
-BUCKETS, CHARS = (1 << 16, 1 << 20), 4096
+#: Hash buckets of the word counts, at least and at most; between them one for each CHARS characters: with fewer, rare words share a bucket with frequent ones.
+BUCKETS, CHARS = (1 << 16, 1 << 22), 512
 #: Occurrences from which a bucket is hot, if that is 64 times the mean of all buckets or more.
 HOT_COUNT = 4096
+#: Lines above which a word's lines first meet the earliest of them alone: groups of near copies leave before they form pairs.
+CROWD = 1024
 #: Bytes up to which a side is broadcast; above, the join shuffles.
 BROADCAST_BYTES = 32 << 20
 _HOT = 15 << 58
@@ -46,21 +49,26 @@ def _plain(line: Column) -> Column:
     return F.lower(F.when(odd, F.regexp_replace(line, r"[\t\x0B\f\r]", " ")).otherwise(line))
 
 
+def _hashes(line: Column) -> Column:
+    """Of the distinct words of a plain line; what lies between two spaces is no word."""
+    return F.array_distinct(F.array_remove(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+
+
 class _Order:
     """Keys of words that ascend from rare to common."""
 
-    def __init__(self, docs: DataFrame, chars: int):
-        """Counts every word of ``docs``; for order only, so a word may hold a line end."""
+    def __init__(self, lines: DataFrame, chars: int):
+        """Counts the lines of each word, from their hashes (words)."""
         self.buckets = BUCKETS[0]
         while self.buckets < min(BUCKETS[1], chars // CHARS):
             self.buckets *= 2
-        word = docs.select(F.explode(F.split(F.lower("text"), " ")).alias("w"))
-        counts = word.groupBy(F.xxhash64("w").bitwiseAND(F.lit(self.buckets - 1)).alias("b")).agg(F.count("*").alias("n")).toPandas()
+        word = lines.select(F.explode("words").alias("w"))
+        counts = word.groupBy(F.col("w").bitwiseAND(F.lit(self.buckets - 1)).alias("b")).agg(F.count("*").alias("n")).toPandas()
         hot = max(HOT_COUNT, 64 * int(counts["n"].sum()) // self.buckets)
-        unit = max(1, hot >> 12)
+        self.unit = max(1, hot >> 12)
         table = [0] * self.buckets
         for b, n in zip(counts["b"].tolist(), counts["n"].tolist(), strict=True):
-            table[b] = 15 if n >= hot else (n // unit).bit_length()
+            table[b] = 15 if n >= hot else (n // self.unit).bit_length()
         self.levels = F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<tinyint>")
 
     def _key(self, h: Column) -> Column:
@@ -68,10 +76,12 @@ class _Order:
         level = F.coalesce(F.get(self.levels, h.bitwiseAND(F.lit(self.buckets - 1)).cast("int")), F.lit(0).cast("byte"))
         return F.shiftleft(level.cast("long"), 58).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
 
-    def keys(self, line: Column) -> Column:
-        """Of the distinct words of a plain line; what lies between two spaces is no word."""
-        hashes = F.array_remove(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
-        return F.sort_array(F.transform(F.array_distinct(hashes), self._key))
+    def keys(self, words: Column) -> Column:
+        return F.sort_array(F.transform(words, self._key))
+
+    def crowd(self, key: Column) -> Column:
+        """Whether a word may be in more than CROWD lines."""
+        return F.shiftrightunsigned(key, 58) >= (CROWD // self.unit).bit_length()
 
 
 def _join(big: DataFrame, few: DataFrame, on: list[str] | Column, how: str, row_bytes: int) -> DataFrame:
@@ -117,40 +127,57 @@ _SIGNS, _MOST = 38, 4095
 
 
 def _mark(o: Column, n: Column, p: Column, solo: Column) -> Column:
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(_SIGNS)).cast("int"))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
     bits = F.aggregate(o, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
+    # the upper bits fold onto the lower: still a parity of each cell
+    bits = F.transform(F.array(bits), lambda b: b.bitwiseXOR(F.shiftrightunsigned(b, _SIGNS)).bitwiseAND(F.lit((1 << _SIGNS) - 1)))[0]
     return F.shiftleft(solo.cast("long"), 62).bitwiseOR(F.shiftleft(bits, 24)).bitwiseOR(F.shiftleft(F.least(n, F.lit(_MOST)).cast("long"), 12)).bitwiseOR(p)
 
 
 def _near(x: Column, y: Column, percent: int) -> Column:
     """Bitmap, length and positional filter on two marks; the place of a second shared word passes. Lines too long for a mark pass."""
     signs = F.shiftright(x.bitwiseXOR(y), 24).bitwiseAND(F.lit((1 << _SIGNS) - 1))
-    xn, yn = (F.shiftright(m, 12).bitwiseAND(F.lit(_MOST)) for m in (x, y))
+    xn, yn = _length(x), _length(y)
     xp, yp = (m.bitwiseAND(F.lit(_MOST)) for m in (x, y))
     near = (
-        (F.bit_count(signs) * (100 + percent) <= (100 - percent) * (xn + yn))
-        & (100 * F.least(xn, yn) >= percent * F.greatest(xn, yn))
+        (100 * F.least(xn, yn) >= percent * F.greatest(xn, yn))
         & ((F.least(xn - xp, yn - yp) + 1) * (100 + percent) >= percent * (xn + yn))
+        & (F.bit_count(signs) * (100 + percent) <= (100 - percent) * (xn + yn))
     )
     return near | (F.greatest(xn, yn) == _MOST)
 
 
+def _length(mark: Column) -> Column:
+    return F.shiftright(mark, 12).bitwiseAND(F.lit(_MOST))
+
+
+def _shorter(mark: Column, percent: int) -> Column:
+    """Whether a post can be one of the first two words that its line shares with a line of as many words or more."""
+    n = _length(mark)
+    lost = n - F.ceil(n * (2 * percent) / (100.0 + percent) - 1e-9)
+    return (mark.bitwiseAND(F.lit(_MOST)) < lost + 2) | (n == _MOST)
+
+
 def matched_lines(texts: DataFrame, bits: int, chars: int, percent: int, scratch: Scratch) -> DataFrame:
     """(c) of every line of (base, text) that has a word and an earlier match: the base and its place in the text."""
     spark = texts.sparkSession
-    order = _Order(texts, chars)
-    lines = texts.select("base", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.btrim("line", F.lit(_BLANK)) != "")
+    lines = texts.select("base", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    lines = lines.where((F.left("line", F.lit(1)) > " ") | (F.btrim("line", F.lit(_BLANK)) != ""))
     lines = lines.select((F.col("base") + F.col("no")).alias("c"), _plain(F.col("line")).alias("line"))
-    hashed = scratch.write(lines.select("c", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2")))
+    lines = lines.select("c", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2"), _hashes(F.col("line")).alias("words"))
+    # words come again and again: with room for a dictionary a hash takes less than three bytes
+    lines = scratch.write(lines, **{"parquet.dictionary.page.size": str(16 << 20)})
+    hashed = lines.select("c", "k1", "k2")
+    order = _Order(lines, chars)
 
     often = hashed.groupBy("k1", "k2").agg(F.min("c").alias("first"), F.count("*").alias("copies")).where("copies > 1")
     often = scratch.write(often.select("k1", "k2", "first"))
     # of its class, but not the first
     copy = (hashed["k1"] == often["k1"]) & (hashed["k2"] == often["k2"]) & (hashed["c"] != often["first"])
     copies = scratch.write(_join(hashed, often, copy, "left_semi", 32).select("c"))
-    scratch.drop(hashed, often)
+    scratch.drop(often)
 
-    heads = _join(lines, copies, ["c"], "left_anti", 16).select("c", order.keys(F.col("line")).alias("o"))
+    heads = _join(lines, copies, ["c"], "left_anti", 16).select("c", order.keys(F.col("words")).alias("o"))
     n = F.size("o")
     prefix = F.slice("o", F.lit(1), n - F.ceil(n * percent / 100.0 - 1e-9).cast("int") + 2)
     heads = heads.select("c", n.alias("n"), "o", prefix.alias("prefix"))
@@ -166,26 +193,16 @@ def matched_lines(texts: DataFrame, bits: int, chars: int, percent: int, scratch
     p = F.coalesce(F.get("places", F.col("pos")), F.col("pos"))
     posts = posts.select("word", "c", (F.col("mark") + F.least(p, F.lit(_MOST))).alias("mark"))
 
-    place = Window.partitionBy("word").orderBy("c").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    lead = F.first(F.struct("c", "mark")).over(place)
-    posts = posts.select("word", "c", "mark", lead.alias("lead"), F.count("*").over(place).alias("lines")).where("lines > 1").drop("lines")
     name = f"line_posts_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """(c) of the later line x of each pair (x, y) that is similar, by its words."""
+        """(c) of the later line x of each pair (x, y) that is similar, by the 64-bit hashes of all words of the two."""
         pairs = scratch.write(pairs)
         wanted = scratch.write(pairs.select(F.col("x").alias("c")).unionByName(pairs.select(F.col("y").alias("c"))).distinct())
-        nos = wanted.groupBy(F.shiftleft(F.shiftright("c", bits), bits).alias("base")).agg(F.collect_list("c").alias("cs"))
-        found = texts.join(F.broadcast(nos) if wanted.count() * 24 <= BROADCAST_BYTES else nos, "base")
         # rows that repeat an id and text give the same lines twice, and the pairs are made distinct in the end
-        found = found.withColumn("lines", F.split("text", "\n"))
-        cut = F.transform("cs", lambda c: F.struct(c.alias("c"), F.get("lines", (c - F.col("base")).cast("int")).alias("line")))
-        full = scratch.write(found.select(F.inline(cut)).select("c", _plain(F.col("line")).alias("line")))
-        both = pairs.join(full.select(F.col("c").alias("x"), F.col("line").alias("xl")), "x").join(full.select(F.col("c").alias("y"), F.col("line").alias("yl")), "y")
-        words = lambda line: F.array_distinct(F.array_remove(F.split(line, " "), ""))
-        # a generator, so that the filter behind it does not split the lines anew at each mention
-        both = both.select("x", F.inline(F.array(F.struct(words("xl").alias("xw"), words("yl").alias("yw")))))
+        full = scratch.write(_join(lines.select("c", "words"), wanted, ["c"], "left_semi", 16))
+        both = pairs.join(full.select(F.col("c").alias("x"), F.col("words").alias("xw")), "x").join(full.select(F.col("c").alias("y"), F.col("words").alias("yw")), "y")
         enough = (100 + percent) * F.size(F.array_intersect("xw", "yw")) >= percent * (F.size("xw") + F.size("yw"))
         similar = both.where(enough).select(F.col("x").alias("c")).distinct()
         out = scratch.write(similar)
@@ -193,18 +210,33 @@ def matched_lines(texts: DataFrame, bits: int, chars: int, percent: int, scratch
         return out
 
     try:
-        posts.write.option("compression", "zstd").bucketBy(parts, "word").saveAsTable(name)
+        posts.repartition(parts, "word").write.option("compression", "zstd").bucketBy(parts, "word").saveAsTable(name)
         posts = spark.table(name)
-        first = posts.where((F.col("c") > F.col("lead.c")) & _near(F.col("mark"), F.col("lead.mark"), percent))
-        found = verified(first.select(F.col("c").alias("x"), F.col("lead.c").alias("y")).distinct())
-        x = _join(posts.select("word", "c", F.col("mark").alias("xm")), found, ["c"], "left_anti", 16).withColumnRenamed("c", "x")
-        y = posts.select("word", F.col("c").alias("y"), F.col("mark").alias("ym"))
-        met = x.join(y, "word").where((F.col("x") > F.col("y")) & _near(F.col("xm"), F.col("ym"), percent))
+        # hot words' pairs have keys without a level
+        crowds = posts.where(order.crowd(F.col("word")) | (F.col("mark") >= 1 << 62)).groupBy("word").agg(F.count("*").alias("lines"), F.min("c").alias("y")).where(F.col("lines") > CROWD)
+        crowds = scratch.write(crowds.select("word", "y"))
+        x = posts.select("word", F.col("c").alias("x"), F.col("mark").alias("xm"))
+        near = _near(F.col("xm"), F.col("ym"), percent)
+        found, past = None, None
+        if not crowds.isEmpty():
+            leads = _join(x, crowds, ["word"], "inner", 16).where("x = y").select("word", "y", F.col("xm").alias("ym"))
+            found = verified(_join(x, scratch.write(leads), ["word"], "inner", 24).where((F.col("x") > F.col("y")) & near).select("x", "y").distinct())
+            gone = found.withColumnRenamed("c", "x")
+            past = scratch.write(_join(x, gone, ["x"], "left_semi", 16).select("word", F.col("x").alias("y"), F.col("xm").alias("ym")))
+            x = _join(x, gone, ["x"], "left_anti", 16)
+        # of two standing lines the shorter is y, so that fewer words of it are enough; the later one goes
+        y = x.where(_shorter(F.col("xm"), percent)).select("word", F.col("x").alias("y"), F.col("xm").alias("ym"))
+        xn, yn = _length(F.col("xm")), _length(F.col("ym"))
+        met = x.join(y, "word").where(((xn > yn) | (xn == yn) & (F.col("x") > F.col("y"))) & near)
+        met = met.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"), "xm", "ym")
+        if past is not None:
+            met = met.unionByName(_join(x, past, ["word"], "inner", 32).where((F.col("x") > F.col("y")) & near).select("x", "y", "xm", "ym"))
         pairs = met.groupBy("x", "y").agg(F.count("*").alias("words"), F.max(F.greatest("xm", "ym") >= 1 << 62).alias("solo"))
         more = verified(pairs.where("words > 1 or solo").select("x", "y"))
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-    return copies.unionByName(found).unionByName(more).distinct()
+        scratch.drop(lines)
+    return (copies.unionByName(found) if found else copies).unionByName(more).distinct()
 
 
 def _marked(docs: DataFrame, row: list, doc_id: str, text: str, percent: int) -> DataFrame:

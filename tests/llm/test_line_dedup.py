@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from driftloom.llm import line_dedup
+from driftloom.llm.shared import Scratch
 
 
 def brute(rows, percent=80):
@@ -63,6 +65,30 @@ def test_hot_words_and_shuffled_sides(spark, every, monkeypatch):
     same(spark, lines_like_each_other(3, every))
 
 
+@pytest.mark.parametrize("hot", [8, 4096])
+@pytest.mark.parametrize("broadcast", [-1, 1 << 20])
+def test_crowds(spark, hot, broadcast, monkeypatch):
+    """Near copies of a word's first line leave before its lines form pairs; lines like a line that left still go."""
+    for k, v in {"CROWD": 3, "HOT_COUNT": hot, "BROADCAST_BYTES": broadcast, "BUCKETS": (1 << 14, 1 << 14)}.items():
+        monkeypatch.setattr(line_dedup, k, v)
+    same(spark, lines_like_each_other(5, "the"))
+
+
+def test_text_is_split_once(spark):
+    """Words are counted, ordered and compared by hashes that one pass over the texts has written."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        reads.add(1)
+        return text
+
+    rows = lines_like_each_other(6)
+    texts = frame(spark, rows).select(F.shiftleft("doc_id", 12).alias("base"), F.udf(read)("text").alias("text"))
+    found = line_dedup.matched_lines(texts, 12, 1 << 20, 80, Scratch(spark, "split-once"))
+    assert found.count() == sum(int(x.rsplit(" ", 1)[1][:-1]) for x in brute(rows))
+    assert reads.value == len(rows)
+
+
 def test_rows_that_share_an_id(spark):
     once, twice = "only here stands this line of words", "this other one is found in two places"
     rows = [(1, twice), (2, once), (2, f"{twice}\nmore of it"), (2, f"{twice}\nmore of it")]
