@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from driftloom.llm.shared import Scratch
 
 PERCENT = 80
-#: Hash buckets of the word counts, at least and at most; between them one for each CHARS characters: with fewer, rare words share a bucket with frequent ones.
-BUCKETS, CHARS = (1 << 16, 1 << 22), 512
+#: Hash buckets of the word counts, at least and at most; between them one for each CHARS characters.
+BUCKETS, CHARS = (1 << 16, 1 << 20), 4096
 #: Occurrences from which a bucket is hot, if that is 64 times the mean of all buckets or more.
 HOT_COUNT = 4096
 #: Lines above which a word's lines first meet the earliest of them alone: groups of near copies leave before they form pairs.
@@ -232,7 +232,10 @@ def matched_lines(texts: DataFrame, bits: int, chars: int, percent: int, scratch
         if past is not None:
             met = met.unionByName(_join(x, past, ["word"], "inner", 32).where((F.col("x") > F.col("y")) & near).select("x", "y", "xm", "ym"))
         pairs = met.groupBy("x", "y").agg(F.count("*").alias("words"), F.max(F.greatest("xm", "ym") >= 1 << 62).alias("solo"))
-        more = verified(pairs.where("words > 1 or solo").select("x", "y"))
+        pairs = scratch.write(pairs.where("words > 1 or solo").select("x", "y"))
+        # one similar line is enough: a line of many like each other mostly goes by its earliest
+        more = verified(pairs.groupBy("x").agg(F.min("y").alias("y")))
+        more = more.unionByName(verified(_join(pairs, more.withColumnRenamed("c", "x"), ["x"], "left_anti", 16)))
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         scratch.drop(lines)
