@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftloom.functions import numeric as n
@@ -129,6 +129,11 @@ def online_ragged(spark, sf_dir):
     return _measured(online.replay(_ragged(_half(_input(spark, sf_dir))), "user_id", "row_id", "xs", "label", "known"))
 
 
+def _first_seven_tenths() -> Column:
+    """Of rows with rn and c, in whole numbers as SQL's decimals: 0.7 * 90 is below 63 as a double."""
+    return F.expr("rn <= 7 * c div 10")
+
+
 _EARLY = "CASE WHEN rn <= floor(0.7 * c) THEN label END"
 
 
@@ -212,7 +217,7 @@ def online_holdout(spark, sf_dir):
     """The first 70 % of each stream to learn from, the rest to test on."""
     w = Window.partitionBy("user_id")
     ranked = matrix(spark, sf_dir).select("user_id", F.row_number().over(w.orderBy("row_id")).alias("rn"), F.count("*").over(w).alias("c"))
-    early = F.col("rn") <= F.floor(0.7 * F.col("c"))
+    early = _first_seven_tenths()
     return ranked.groupBy("user_id").agg(F.count_if(early).alias("train"), F.count_if(~early).alias("test"))
 
 
