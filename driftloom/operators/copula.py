@@ -92,6 +92,18 @@ def _truncated(mean: np.ndarray, sd: float, lo: np.ndarray, hi: np.ndarray) -> t
     return np.where(gone, np.nan, mean + sd * m), np.where(gone, np.nan, sd * sd * t)
 
 
+def _patterns(seen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each distinct row, in order, and where it is."""
+    if seen.shape[1] > 62:
+        for pattern in np.unique(seen, axis=0):
+            yield pattern, np.flatnonzero((seen == pattern).all(1))
+        return
+    codes = seen @ (1 << np.arange(seen.shape[1] - 1, -1, -1))
+    for code in np.unique(codes):
+        at = np.flatnonzero(codes == code)
+        yield seen[at[0]], at
+
+
 def expect_rows(z: np.ndarray, lo: np.ndarray, hi: np.ndarray, sigma: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The E-step of a block of rows: imputed latents, and the sum of their conditional covariances.
 
@@ -101,8 +113,7 @@ def expect_rows(z: np.ndarray, lo: np.ndarray, hi: np.ndarray, sigma: np.ndarray
     """
     x, c = z.copy(), np.zeros_like(sigma)
     seen = ~np.isnan(z)
-    for pattern in np.unique(seen, axis=0):
-        at = np.flatnonzero((seen == pattern).all(1))
+    for pattern, at in _patterns(seen):
         obs, mis = np.flatnonzero(pattern), np.flatnonzero(~pattern)
         inv = np.linalg.inv(sigma[np.ix_(obs, obs)]) if len(obs) else np.zeros((0, 0))
         j = inv @ sigma[np.ix_(obs, mis)]
@@ -360,7 +371,7 @@ class StreamState:
             rng = np.random.default_rng([self.seed, self.batches])
             old, new = (sample_correlations(rng, self.sigma, n, self.samples) for n in (1 / self.spread, rows))
             seen = differences(self.sigma, own)[0]
-            self.p_change = (1 + sum(differences(a, b)[0] >= seen for a, b in zip(old, new, strict=True))) / (1 + self.samples)
+            self.p_change = (1 + int((frobenius(old, new) >= seen).sum())) / (1 + self.samples)
             if self.p_change <= self.level:
                 self.since, self.spread = 0, 1 / rows
                 return own
@@ -448,6 +459,14 @@ def differences(old: np.ndarray, new: np.ndarray) -> tuple[float, float, float]:
     return float(np.sqrt((s * s).sum())), float(s.max()), float(s.sum())
 
 
+def frobenius(old: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """The first of :func:`differences` for many pairs of matrices at once."""
+    w, v = np.linalg.eigh(old)
+    half = v / np.sqrt(np.maximum(w, 1e-12))[:, None, :] @ v.transpose(0, 2, 1)
+    apart = half @ new @ half - np.eye(old.shape[-1])
+    return np.sqrt((apart * apart).sum((1, 2)))
+
+
 def sample_correlations(rng: np.random.Generator, law: np.ndarray, rows: float, samples: int) -> np.ndarray:
     """Correlations of ``samples`` samples of ``rows`` normal rows: Bartlett's decomposition, whatever the number of rows."""
     p = len(law)
