@@ -24,6 +24,8 @@ from driftloom.operators.lineage import cut, stored
 
 #: Batches that one task takes in turn before the driver hands the matrix to the next task.
 CHAIN = 200
+#: Tasks that streams are dealt to.
+STREAM_TASKS = 64
 
 
 def ring(long: DataFrame, size: int) -> DataFrame:
@@ -421,7 +423,8 @@ def impute_stream(df: DataFrame, key: str, order: str, features: str, ordinal: l
     out. An empty table gives an empty result.
     """
     x = F.col(features).cast("array<double>")
-    slim = df.select(F.col(key).alias("key"), F.col(order).cast("long").alias("row_id"), x.alias("_x"), *(F.col(c) for c in carry)).repartition("key").sortWithinPartitions("key", "row_id")
+    # in ranges of a given number: a few long streams neither meet by their hashes nor are brought together as small partitions
+    slim = df.select(F.col(key).alias("key"), F.col(order).cast("long").alias("row_id"), x.alias("_x"), *(F.col(c) for c in carry)).repartitionByRange(STREAM_TASKS, "key").sortWithinPartitions("key", "row_id")
     schema = StructType([slim.schema["key"], *StructType.fromDDL(IMPUTED), *(slim.schema[c] for c in carry)])
 
     def work(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from driftloom.operators import copula
 
@@ -22,3 +23,10 @@ def test_one_matrix_is_decomposed_alone_in_a_batch(monkeypatch):
         x[::2, 1] = np.nan
         state.step(x)
     assert len(alone) == 2 and 0 < state.p_change <= 1
+
+
+def test_few_streams_are_in_tasks_of_their_own(spark):
+    rows = spark.createDataFrame([(i % 4, i, [float(i % 7), None if i % 3 else 1.0]) for i in range(400)], "stream long, row_id long, x array<double>")
+    got = copula.impute_stream(rows, "stream", "row_id", "x", [], 20, 10).withColumn("task", F.spark_partition_id())
+    tasks = got.groupBy("task").agg(F.collect_set("key").alias("keys")).collect()
+    assert sorted(r["keys"] for r in tasks) == [[0], [1], [2], [3]]
