@@ -33,6 +33,7 @@ def many(tmp_path_factory):
 MOST = {
     "density_peaks": 8,
     "density_clusters": 8,
+    "peak_count": 8,
 }
 
 
