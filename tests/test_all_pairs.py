@@ -34,6 +34,7 @@ MOST = {
     "density_peaks": 8,
     "density_clusters": 8,
     "peak_count": 8,
+    "peak_order": 8,
 }
 
 
