@@ -35,6 +35,7 @@ MOST = {
     "density_clusters": 8,
     "peak_count": 8,
     "peak_order": 8,
+    "bisected_cutoff": 8,
 }
 
 
