@@ -36,6 +36,7 @@ MOST = {
     "peak_count": 8,
     "peak_order": 8,
     "bisected_cutoff": 8,
+    "distance_cutoff_counted": 8,
 }
 
 
