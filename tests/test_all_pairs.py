@@ -37,6 +37,7 @@ MOST = {
     "peak_order": 8,
     "bisected_cutoff": 8,
     "distance_cutoff_counted": 8,
+    "distance_cutoff": 8,
 }
 
 
