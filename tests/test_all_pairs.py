@@ -38,6 +38,7 @@ MOST = {
     "bisected_cutoff": 8,
     "distance_cutoff_counted": 8,
     "distance_cutoff": 8,
+    "label_spreading_nearest": 60,
 }
 
 
