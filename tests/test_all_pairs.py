@@ -39,6 +39,7 @@ MOST = {
     "distance_cutoff_counted": 8,
     "distance_cutoff": 8,
     "label_spreading_nearest": 60,
+    "growing_peaks": 42,
 }
 
 
