@@ -40,6 +40,7 @@ MOST = {
     "distance_cutoff": 8,
     "label_spreading_nearest": 60,
     "growing_peaks": 42,
+    "densities": 4,
 }
 
 
