@@ -41,6 +41,7 @@ MOST = {
     "label_spreading_nearest": 60,
     "growing_peaks": 42,
     "densities": 4,
+    "pair_distances": 4,
 }
 
 
