@@ -42,6 +42,7 @@ MOST = {
     "growing_peaks": 42,
     "densities": 4,
     "pair_distances": 4,
+    "cutoff_densities": 4,
 }
 
 
